@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from riverbed.llm import quality_rules, secrets
+from riverbed.llm import decontaminate, quality_rules, secrets
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_secret_scan": secrets.op4_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.SQL, "op4_secret_scan": secrets.SQL}
+    return {"op1_quality_rules": quality_rules.SQL, "op3_decontaminate": decontaminate.SQL, "op4_secret_scan": secrets.SQL}
