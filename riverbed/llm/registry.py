@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riverbed.llm import decontaminate, quality_rules, secrets
+from riverbed.llm import decontaminate, near_dedup, quality_rules, secrets
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_secret_scan": secrets.op4_secret_scan,
+        "op10_near_dedup": near_dedup.op10_near_dedup,
     }
 
 
