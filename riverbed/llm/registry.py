@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from riverbed.llm import decontaminate, near_dedup, quality_rules, secrets
+from riverbed.llm import bpe, decontaminate, near_dedup, quality_rules, secrets
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op2_byte_bpe": bpe.op2_byte_bpe,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_secret_scan": secrets.op4_secret_scan,
         "op10_near_dedup": near_dedup.op10_near_dedup,
