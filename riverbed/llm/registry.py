@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riverbed.llm import bpe, decontaminate, near_dedup, quality_rules, secrets
+from riverbed.llm import bpe, decontaminate, near_dedup, quality_rules, secrets, suffix_dedup, url_filter, warc
 
 
 def queries() -> dict:
@@ -11,9 +11,12 @@ def queries() -> dict:
         "op2_byte_bpe": bpe.op2_byte_bpe,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_secret_scan": secrets.op4_secret_scan,
+        "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
+        "op6_url_filter": url_filter.op6_url_filter,
+        "op7_warc": warc.op7_warc,
         "op10_near_dedup": near_dedup.op10_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.SQL, "op3_decontaminate": decontaminate.SQL, "op4_secret_scan": secrets.SQL}
+    return {"op1_quality_rules": quality_rules.SQL, "op3_decontaminate": decontaminate.SQL, "op4_secret_scan": secrets.SQL, "op7_warc": warc.SQL}
