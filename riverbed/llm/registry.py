@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from riverbed.llm import bpe, decontaminate, near_dedup, quality_rules, secrets, suffix_dedup, url_filter, warc
+from riverbed.llm import bpe, decontaminate, license_scan, near_dedup, quality_model, quality_rules, secrets, suffix_dedup, url_filter, warc
+
+
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
@@ -14,7 +20,10 @@ def queries() -> dict:
         "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_warc": warc.op7_warc,
+        "op8_license_scan": license_scan.op8_license_scan,
+        "op9_quality_model": quality_model.op9_quality_model,
         "op10_near_dedup": near_dedup.op10_near_dedup,
+        "pipeline": _pipeline,
     }
 
 
