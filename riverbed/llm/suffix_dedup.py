@@ -31,8 +31,8 @@ from riverbed.llm.near_dedup import _groups
 from riverbed.llm.shingles import BLOCK, mixed, powers, prefix
 
 SIZE = 200
-#: Spans of a gram that one suffix array may hold.
-HOT = 500
+#: Spans of a gram that one suffix array may hold; with their bytes they take about 50 MB in a task.
+HOT = 50_000
 
 
 def _bytes(batch: pa.RecordBatch) -> list[bytes]:
