@@ -5,9 +5,11 @@ tokens: at the root by one coordinate of the MinHash signature, below by BRANCH
 are compared exhaustively. A pair of similarity s meets in a tree with probability s q at least, where q = 1 - (1 - s q)^BRANCH; at 0.8 and BRANCH = 2 that is 0.75 in a
 tree however deep, and over 0.9999 in TREES = 8 trees. Comparison uses signatures first and then the full sets, so that every link is exact.
 
-Large groups of near copies would never split. A first round therefore compares, in the nodes of the first two trees, each chunk of a large node with the same few
-pivots and within itself; the links it finds make components, and the trees proper drop every node whose classes are all in one component by then. Nodes that are still large at the last level are compared
-in such chunks. Chunks hold SMALL + PIVOTS classes, so no task's group grows with a group of copies, and no pairs are emitted but the links that join two components of a chunk.
+Large groups of near copies would never split. A first round therefore follows FIRST paths of DEEP coordinates at once, where hardly anything but near copies meets, and compares each chunk of a
+large node with the same few pivots and within itself; the links it finds make components, and the trees proper drop every node whose classes are all in one component by then. A node
+with over half the classes of its parent is dense: most of its pairs are similar, and further splitting would only multiply it. Dense nodes, and those still large at the last level, are compared in such chunks
+rather than split, as the method compares points of high average similarity directly. There, the classes outside a node's largest component also meet all of it: each class takes part in one of its dense nodes,
+chosen anew by each of CLOSING hashes, and chunks of outsiders are paired with chunks of all members, up to ACROSS per chunk; where there are more, trees and hashes repeat the chance. Chunks hold SMALL + PIVOTS classes, so no task's group grows with a group of copies, and no pairs are emitted but the links that join two components of a chunk.
 
 Edge cases: null texts and texts without words have an empty set and stay alone, with their own doc_id as component. A text shorter than a shingle is one shingle as a whole.
 Repeated rows have the same set and so one component; rows that share a doc_id but differ are judged apart. A null doc_id takes part, but never names a component unless nothing else does.
@@ -31,6 +33,10 @@ SIMILAR = 80
 TREES = 8
 BRANCH = 2
 LEVELS = 6
+FIRST = 4
+DEEP = 3
+CLOSING = 3
+ACROSS = 12
 SMALL = 48
 PIVOTS = 3
 COORDINATES = 64
@@ -167,13 +173,13 @@ def _compared(groups: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
 
 def _counted(rows: DataFrame) -> DataFrame:
     """node, n and the prints by which nodes with the same classes are told; nodes with one label are left out. Sums and extremes: combined on the map side."""
-    same = rows.groupBy("node").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(cid))").alias("x"), F.expr("sum(xxhash64(cid, 1) % 1000000007)").alias("y"), F.min("label").alias("lo"), F.max("label").alias("hi"), *[F.min_by("cid", F.xxhash64("cid", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)])
-    return same.where("lo <> hi").groupBy("n", "x", "y").agg(F.min_by(F.struct("node", *[f"p{k}" for k in range(PIVOTS)]), "node").alias("s")).select("n", "s.*")
+    same = rows.groupBy("node").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(cid))").alias("x"), F.expr("sum(xxhash64(cid, 1) % 1000000007)").alias("y"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("up").alias("up"), *[F.min_by("cid", F.xxhash64("cid", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)])
+    return same.where("lo <> hi").groupBy("n", "x", "y").agg(F.min_by(F.struct("node", "up", *[f"p{k}" for k in range(PIVOTS)]), "node").alias("s")).select("n", "s.*")
 
 
 def _chunks(rows: DataFrame, counts: DataFrame, salt: int) -> DataFrame:
     """grp, cid, label: small nodes as they are, larger ones in chunks of about SMALL, each with the node's pivots."""
-    kept = rows.join(counts, "node").withColumn("_c", F.expr(f"ceil(n / {SMALL})"))
+    kept = rows.drop("up").join(counts, "node").withColumn("_c", F.expr(f"ceil(n / {SMALL})"))
     spread = kept.select(F.expr(f"xxhash64(node, pmod(xxhash64(cid, {salt}), _c))").alias("grp"), "cid", "label")
     pivots = counts.where(f"n > {SMALL}").select("node", "n", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("cid"))
     at = pivots.select("cid", F.explode(F.expr(f"transform(sequence(0, CAST(ceil(n / {SMALL}) AS int) - 1), i -> xxhash64(node, i))")).alias("grp"))
@@ -181,32 +187,48 @@ def _chunks(rows: DataFrame, counts: DataFrame, salt: int) -> DataFrame:
     return spread.unionByName(at.join(labels, "cid").select("grp", "cid", "label")).distinct()
 
 
+def _closing(dense: DataFrame) -> DataFrame:
+    """grp, cid, label: in each class's chosen dense node, chunks of those outside the largest component, each with chunks of all members. Rows are at most 2 * ACROSS for each class and hash. dense: node, cid, label."""
+    picks = F.array(*[F.struct(F.lit(k).alias("k"), F.expr(f"xxhash64(node, {k})").alias("h"), F.col("node").alias("node")) for k in range(CLOSING)])
+    mine = dense.select("cid", "label", F.inline(picks)).groupBy("cid", "k").agg(F.min_by("node", "h").alias("node"), F.first("label").alias("label"))
+    by = mine.groupBy("k", "node", "label").agg(F.count("*").alias("n")).groupBy("k", "node").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.max("n").alias("m"))
+    by = by.where("n > m").selectExpr("k", "node", "most", f"ceil((n - m) / {SMALL}) AS s", f"ceil(n / {SMALL}) AS a")
+    both = mine.join(by, ["k", "node"]).selectExpr("*", "pmod(xxhash64(cid, 11), a) AS mya", "pmod(xxhash64(cid, 13), s) AS mys")
+    inside = both.select("cid", "label", "k", "node", F.col("mya").alias("x"), F.explode(F.expr(f"transform(sequence(0L, least(s, {ACROSS}) - 1), r -> pmod(mya * {ACROSS} + r, s))")).alias("y"))
+    outside = both.where("label <> most").select("cid", "label", "k", "node", F.explode(F.expr(f"filter(sequence(0L, a - 1), x -> pmod(mys - x * {ACROSS}, s) < {ACROSS})")).alias("x"), F.col("mys").alias("y"))
+    return inside.unionByName(outside).select(F.xxhash64("k", "node", "x", "y").alias("grp"), "cid", "label")
+
+
 def links(classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """root for every cid that has a link; classes: cid, doc_id, sig."""
     spark = docs.sparkSession
     place = scratch(spark)
-    rooted = lambda trees: classes.select("cid", "label", F.explode(F.array(*[F.expr(f"xxhash64({t}, sig[{t * (COORDINATES // TREES)}])") for t in trees])).alias("node"))
+    path = lambda t, deep: "xxhash64(" + ", ".join([str(t), *[f"sig[{t * (COORDINATES // TREES) + k}]" for k in range(deep)]]) + ")"
+    rooted = lambda trees, deep: classes.select("cid", "label", F.lit(None).cast("long").alias("up"), F.explode(F.array(*[F.expr(path(t, deep)) for t in range(trees)])).alias("node"))
     # first round: every class is its own label
     plain = classes
     classes = plain.withColumn("label", F.col("cid"))
-    rows = rooted(range(2))
+    rows = rooted(FIRST, DEEP)
     first = _compared(written(_chunks(rows, written(_counted(rows), f"{place}/c"), 0), f"{place}/g"), plain, docs, size, f"{place}/first")
     roots = written(components(first), f"{place}/roots")
     classes = written(plain.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "doc_id", "sig", F.coalesce("root", "cid").alias("label")), f"{place}/classes")
-    rows, small = rooted(range(TREES)), []
+    rows, small, dense = rooted(TREES, 1), [], []
     for level in range(1, LEVELS + 1):
         counts = written(_counted(rows), f"{place}/n{level}")
+        split = f"n > {SMALL} AND NOT coalesce(2 * n > up, false)"
         last = level == LEVELS
-        small.append(_chunks(rows, counts if last else counts.where(f"n <= {SMALL}"), level))
-        large = counts.where(f"n > {SMALL}").select("node")
+        small.append(_chunks(rows, counts if last else counts.where(f"NOT ({split})"), level))
+        dense.append(rows.join(counts.where(f"n > {SMALL}" + f" AND NOT ({split})" * (not last)).select("node"), "node").select("node", "cid", "label"))
+        large = counts.where(split).select("node", "n")
         if last or large.isEmpty():
             break
-        below = rows.join(large, "node").join(classes.select("cid", "sig"), "cid")
+        below = rows.drop("up").join(large, "node").join(classes.select("cid", "sig"), "cid")
         step = [F.expr(f"xxhash64(node, {k}, sig[CAST(pmod(xxhash64(node, {k}), {COORDINATES}) AS int)])") for k in range(BRANCH)]
-        rows = written(below.select("cid", "label", F.explode(F.array(*step)).alias("node")), f"{place}/r{level}")
-    groups = small[0]
-    for g in small[1:]:
-        groups = groups.unionByName(g)
+        rows = written(below.select("cid", "label", F.col("n").alias("up"), F.explode(F.array(*step)).alias("node")), f"{place}/r{level}")
+    groups, close = small[0], dense[0]
+    for g, d in zip(small[1:], dense[1:], strict=True):
+        groups, close = groups.unionByName(g), close.unionByName(d)
+    groups = groups.unionByName(_closing(close)).distinct()
     more = _compared(written(groups, f"{place}/groups"), plain, docs, size, f"{place}/more")
     return components(first.unionByName(more))
 
