@@ -1,2 +1,50 @@
-def queries(): return {}
-def oracle_sql(): return {}
+"""Registry of queries: a Spark plan and the SQL that says the same."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+PLACES = 6
+#: Added before rounding, so that exact halves round alike on both sides.
+NUDGE = 3.1e-10
+#: Columns that are given as timestamps, also where they are dates inside.
+TIMES = ("ts", "week")
+
+
+def query(sql: str | None = None, floats: str = "", exact: str = ""):
+    """Registers a plan. sql: a query whose result has the columns named in exact and floats; those in floats are rounded on both sides, since sums in another order differ in the last bits."""
+
+    def add(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        f, e = floats.split(), exact.split()
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = fn(spark, sf_dir)
+            return df.select(*[F.col(c).cast("timestamp").alias(c) if c in TIMES else c for c in e], *[(F.round(F.col(c) + NUDGE, PLACES) + 0.0).alias(c) for c in f]) if f or e else df
+
+        _queries[fn.__name__] = run
+        if sql:
+            head, body = sql.rsplit("\nSELECT", 1) if "\nSELECT" in sql else ("", sql.removeprefix("SELECT"))
+            _sql[fn.__name__] = f"{head}\nSELECT {', '.join([*[f'CAST({c} AS TIMESTAMP) AS {c}' if c in TIMES else c for c in e], *[f'round({c} + {NUDGE}, {PLACES}) + 0.0 AS {c}' for c in f]])} FROM (SELECT{body})" if f or e else sql
+        return fn
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from riverbed.plans import research, strategies  # noqa: F401
+
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    queries()
+    return dict(_sql)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["battery"](spark, sf_dir)
