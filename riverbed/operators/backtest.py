@@ -36,7 +36,11 @@ def metrics(df: DataFrame, keys: list[str], per_year: int, position: str | None
     time = _time(keys)
     finite = df.where(F.col("net").isNotNull() & ~F.isnan("net") & (F.abs("net") < float("inf")))
     past = time.rowsBetween(W.unboundedPreceding, 0)
-    curve = finite.withColumn("_eq", F.exp(F.sum(F.log1p("net")).over(past)))
+    # a running product: magnitudes by logarithms, the sign by the parity of negative factors, zero for good once a factor is zero
+    factor = F.col("net") + 1
+    size = F.exp(F.sum(F.log(F.when(factor != 0, F.abs(factor)).otherwise(1.0))).over(past))
+    sign = 1 - 2 * (F.sum((factor < 0).cast("int")).over(past) % 2)
+    curve = finite.withColumn("_eq", F.when(F.max((factor == 0).cast("int")).over(past) == 1, 0.0).otherwise(size * sign))
     curve = curve.withColumn("_top", F.max("_eq").over(past))
     turn = F.abs(F.col(position) - F.lag(position, 1, 0.0).over(time)) if position else F.lit(None).cast("double")
     m = curve.withColumn("_turn", turn).groupBy(*keys).agg(F.count("*").alias("n"), F.avg("net").alias("mu"), F.stddev_samp("net").alias("sd"), F.min(F.col("_eq") / F.col("_top") - 1).alias("maxdd"), F.avg((F.col("net") > 0).cast("double")).alias("hit"), F.avg("_turn").alias("turnover"), F.skewness("net").alias("skew"), (F.kurtosis("net") + 3).alias("kurt"))

@@ -16,7 +16,7 @@ from riverbed.sources import panels as P
 
 _SIG = f"{DRETS}, g AS (SELECT symbol, ts, ret, h, sign(lag(close) OVER w / lag(close, CAST(h AS INTEGER) + 1) OVER w - 1) AS pos FROM r, (SELECT unnest([7, 14, 30]) AS h) WINDOW w AS (PARTITION BY symbol, h ORDER BY ts)), n AS (SELECT symbol, h, ts, ret, coalesce(pos, 0) AS pos FROM g WHERE ret IS NOT NULL)"
 _NET = f"{_SIG}, t AS (SELECT *, pos * ret - abs(pos - lag(pos, 1, 0) OVER w) * 5 / 1e4 AS net, CASE WHEN row_number() OVER w <= floor(count(*) OVER (PARTITION BY symbol, h) * 0.6) THEN 'is' ELSE 'oos' END AS split FROM n WINDOW w AS (PARTITION BY symbol, h ORDER BY ts))"
-_MET = f"""{_NET}, e AS (SELECT *, exp(sum(ln(1 + net)) OVER w) AS eq, abs(pos - lag(pos, 1, 0) OVER w) AS tn FROM t WINDOW w AS (PARTITION BY symbol, h, split ORDER BY ts)), e2 AS (SELECT *, max(eq) OVER (PARTITION BY symbol, h, split ORDER BY ts) AS top FROM e),
+_MET = f"""{_NET}, e AS (SELECT *, CASE WHEN max(CAST(net = -1 AS INTEGER)) OVER w = 1 THEN 0 ELSE exp(sum(ln(CASE WHEN net = -1 THEN 1 ELSE abs(1 + net) END)) OVER w) * (1 - 2 * (sum(CAST(net < -1 AS INTEGER)) OVER w % 2)) END AS eq, abs(pos - lag(pos, 1, 0) OVER w) AS tn FROM t WINDOW w AS (PARTITION BY symbol, h, split ORDER BY ts)), e2 AS (SELECT *, max(eq) OVER (PARTITION BY symbol, h, split ORDER BY ts) AS top FROM e),
 mu AS (SELECT *, net - avg(net) OVER (PARTITION BY symbol, h, split) AS c FROM e2),
 m AS (SELECT symbol, h, split, count(*) AS n, avg(net) / stddev_samp(net) AS sr_pp, avg(net) * 365 AS ret_ann, min(eq / top - 1) AS maxdd, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0 END) AS hit, avg(tn) AS turnover, avg(c * c * c) / avg(c * c) ** 1.5 AS skew, avg(c * c * c * c) / avg(c * c) ** 2 AS kurt FROM mu GROUP BY ALL HAVING count(*) >= 10 AND stddev_samp(net) > 0)"""
 
