@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from riverbed.llm.common import table
 
 #: Characters whose pieces are replayed together.
-CHUNK = 8_000_000
+CHUNK = 4_000_000
 #: Pieces whose ids a worker keeps between chunks.
-KNOWN = 400_000
+KNOWN = 250_000
 
 
 class Vocabulary:
