@@ -212,23 +212,23 @@ def links(classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     first = _compared(written(_chunks(rows, written(_counted(rows), f"{place}/c"), 0), f"{place}/g"), plain, docs, size, f"{place}/first")
     roots = written(components(first), f"{place}/roots")
     classes = written(plain.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "doc_id", "sig", F.coalesce("root", "cid").alias("label")), f"{place}/classes")
-    rows, small, dense = rooted(TREES, 1), [], []
+    # each level's groups are written at once: one plan for all levels would be planned again after each of its many stages
+    rows, levels = rooted(TREES, 1), 0
     for level in range(1, LEVELS + 1):
         counts = written(_counted(rows), f"{place}/n{level}")
         split = f"n > {SMALL} AND NOT coalesce(2 * n > up, false)"
         last = level == LEVELS
-        small.append(_chunks(rows, counts if last else counts.where(f"NOT ({split})"), level))
-        dense.append(rows.join(counts.where(f"n > {SMALL}" + f" AND NOT ({split})" * (not last)).select("node"), "node").select("node", "cid", "label"))
+        written(_chunks(rows, counts if last else counts.where(f"NOT ({split})"), level), f"{place}/small{level}")
+        written(rows.join(counts.where(f"n > {SMALL}" + f" AND NOT ({split})" * (not last)).select("node"), "node").select("node", "cid", "label"), f"{place}/dense{level}")
+        levels = level
         large = counts.where(split).select("node", "n")
         if last or large.isEmpty():
             break
         below = rows.drop("up").join(large, "node").join(classes.select("cid", "sig"), "cid")
         step = [F.expr(f"xxhash64(node, {k}, sig[CAST(pmod(xxhash64(node, {k}), {COORDINATES}) AS int)])") for k in range(BRANCH)]
         rows = written(below.select("cid", "label", F.col("n").alias("up"), F.explode(F.array(*step)).alias("node")), f"{place}/r{level}")
-    groups, close = small[0], dense[0]
-    for g, d in zip(small[1:], dense[1:], strict=True):
-        groups, close = groups.unionByName(g), close.unionByName(d)
-    groups = groups.unionByName(_closing(close)).distinct()
+    small, dense = (spark.read.schema(t).parquet(*[f"{place}/{kind}{k}" for k in range(1, levels + 1)]) for kind, t in (("small", "grp long, cid binary, label binary"), ("dense", "node long, cid binary, label binary")))
+    groups = small.unionByName(_closing(dense)).distinct()
     more = _compared(written(groups, f"{place}/groups"), plain, docs, size, f"{place}/more")
     return components(first.unionByName(more))
 
