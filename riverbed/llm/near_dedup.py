@@ -37,6 +37,8 @@ FIRST = 4
 DEEP = 3
 CLOSING = 3
 ACROSS = 12
+#: Classes in a chunk of the closing comparison, which meets another such chunk.
+WIDE = 128
 SMALL = 48
 PIVOTS = 3
 COORDINATES = 64
@@ -192,7 +194,7 @@ def _closing(dense: DataFrame) -> DataFrame:
     picks = F.array(*[F.struct(F.lit(k).alias("k"), F.expr(f"xxhash64(node, {k})").alias("h"), F.col("node").alias("node")) for k in range(CLOSING)])
     mine = dense.select("cid", "label", F.inline(picks)).groupBy("cid", "k").agg(F.min_by("node", "h").alias("node"), F.first("label").alias("label"))
     by = mine.groupBy("k", "node", "label").agg(F.count("*").alias("n")).groupBy("k", "node").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.max("n").alias("m"))
-    by = by.where("n > m").selectExpr("k", "node", "most", f"ceil((n - m) / {SMALL}) AS s", f"ceil(n / {SMALL}) AS a")
+    by = by.where("n > m").selectExpr("k", "node", "most", f"ceil((n - m) / {WIDE}) AS s", f"ceil(n / {WIDE}) AS a")
     both = mine.join(by, ["k", "node"]).selectExpr("*", "pmod(xxhash64(cid, 11), a) AS mya", "pmod(xxhash64(cid, 13), s) AS mys")
     inside = both.select("cid", "label", "k", "node", F.col("mya").alias("x"), F.explode(F.expr(f"transform(sequence(0L, least(s, {ACROSS}) - 1), r -> pmod(mya * {ACROSS} + r, s))")).alias("y"))
     outside = both.where("label <> most").select("cid", "label", "k", "node", F.explode(F.expr(f"filter(sequence(0L, a - 1), x -> pmod(mys - x * {ACROSS}, s) < {ACROSS})")).alias("x"), F.col("mys").alias("y"))
