@@ -6,18 +6,25 @@ from pyspark.sql import Column, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BY_SYMBOL: WindowSpec = W.partitionBy("symbol").orderBy("ts")
-BY_TIME: WindowSpec = W.partitionBy("ts")
+
+def by_symbol() -> WindowSpec:
+    """A symbol's rows in time order. Windows are made when a plan is: they need a session."""
+    return W.partitionBy("symbol").orderBy("ts")
+
+
+def by_time() -> WindowSpec:
+    """The symbols of one time."""
+    return W.partitionBy("ts")
 
 
 def trailing(n: int) -> WindowSpec:
     """The last n rows, this one included."""
-    return BY_SYMBOL.rowsBetween(1 - n, 0)
+    return by_symbol().rowsBetween(1 - n, 0)
 
 
 def lagged(c: Column | str, k: int = 1, default=None) -> Column:
     """The value k rows earlier: what may be known when a position is taken."""
-    return F.lag(c, k, default).over(BY_SYMBOL)
+    return F.lag(c, k, default).over(by_symbol())
 
 
 def simple_return(c: str, k: int = 1) -> Column:
@@ -29,12 +36,12 @@ def log_return(c: str) -> Column:
 
 
 def forward_return(c: str, k: int = 1) -> Column:
-    return F.try_divide(F.lead(c, k).over(BY_SYMBOL), F.col(c)) - 1
+    return F.try_divide(F.lead(c, k).over(by_symbol()), F.col(c)) - 1
 
 
 def full(n: int, value: Column) -> Column:
     """value once n rows have been seen."""
-    return F.when(F.row_number().over(BY_SYMBOL) >= n, value)
+    return F.when(F.row_number().over(by_symbol()) >= n, value)
 
 
 def rolling_mean(c: Column | str, n: int) -> Column:
@@ -59,8 +66,8 @@ def zscore(c: str, n: int, least: int) -> Column:
 
 def hold(value: Column, every: int) -> Column:
     """The value of every k-th row, kept until the next."""
-    at = F.row_number().over(BY_SYMBOL) - 1
-    return F.last(F.when(at % every == 0, value), True).over(BY_SYMBOL.rowsBetween(W.unboundedPreceding, 0))
+    at = F.row_number().over(by_symbol()) - 1
+    return F.last(F.when(at % every == 0, value), True).over(by_symbol().rowsBetween(W.unboundedPreceding, 0))
 
 
 def average_rank(c: str) -> Column:
@@ -71,12 +78,12 @@ def average_rank(c: str) -> Column:
 
 
 def row_zscore(c: str, clip: float = 4.0) -> Column:
-    z = (F.col(c) - F.avg(c).over(BY_TIME)) / (F.stddev_pop(c).over(BY_TIME) + 1e-9)
+    z = (F.col(c) - F.avg(c).over(by_time())) / (F.stddev_pop(c).over(by_time()) + 1e-9)
     return F.greatest(F.lit(-clip), F.least(F.lit(clip), z))
 
 
 def neutral(c: str) -> Column:
-    return F.col(c) - F.avg(c).over(BY_TIME)
+    return F.col(c) - F.avg(c).over(by_time())
 
 
 def ewm(values: Column, span: int) -> Column:

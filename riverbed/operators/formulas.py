@@ -23,7 +23,7 @@ ROW_OPS = {
 
 
 def _rank(a: str) -> Column:
-    n = F.count(a).over(S.BY_TIME)
+    n = F.count(a).over(S.by_time())
     return F.when(n > 1, S.average_rank(a) / n - 0.5)
 
 

@@ -114,7 +114,7 @@ SELECT symbol, ts, rk AS rank, greatest(-4, least(4, (ret - m) / (sd + 1e-9))) A
 def cross_section(spark: SparkSession, sf: str) -> DataFrame:
     r = _weekly_returns(spark, sf).where("ret IS NOT NULL").withColumns({"rank": S.average_rank("ret"), "z": S.row_zscore("ret"), "neut": S.neutral("ret")})
     r = r.withColumn("dm", S.neutral("rank"))
-    return r.withColumn("weight", F.try_divide("dm", F.sum(F.abs("dm")).over(S.BY_TIME)))
+    return r.withColumn("weight", F.try_divide("dm", F.sum(F.abs("dm")).over(S.by_time())))
 
 
 @query(f"""{RETS}, k AS (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY ret, symbol) AS up, row_number() OVER (PARTITION BY ts ORDER BY ret DESC, symbol DESC) AS dn, count(*) OVER (PARTITION BY ts) AS n FROM r WHERE ret IS NOT NULL)
@@ -123,7 +123,7 @@ CASE WHEN n < 10 THEN 0 WHEN dn <= greatest(1, n // 10) THEN 0.5 / greatest(1, n
 def bucket_weights(spark: SparkSession, sf: str) -> DataFrame:
     """Thirds, deciles and quintiles of last week's return; ties by symbol."""
     r = _weekly_returns(spark, sf).where("ret IS NOT NULL")
-    up, dn, n = F.row_number().over(W.partitionBy("ts").orderBy("ret", "symbol")), F.row_number().over(W.partitionBy("ts").orderBy(F.desc("ret"), F.desc("symbol"))), F.count("*").over(S.BY_TIME)
+    up, dn, n = F.row_number().over(W.partitionBy("ts").orderBy("ret", "symbol")), F.row_number().over(W.partitionBy("ts").orderBy(F.desc("ret"), F.desc("symbol"))), F.count("*").over(S.by_time())
     r = r.withColumns({"up": up, "dn": dn, "n": n})
 
     def ends(k: str, each: float, least: int):
@@ -136,7 +136,7 @@ def bucket_weights(spark: SparkSession, sf: str) -> DataFrame:
 q AS (SELECT ts, CAST(ceil(up * 5.0 / n) - 1 AS INTEGER) AS quintile, avg(fwd) AS m FROM k WHERE n >= 10 GROUP BY 1, 2)
 SELECT quintile, avg(m) AS mean_fwd, count(*) AS days FROM q GROUP BY quintile""", "mean_fwd", "quintile days")
 def quintile_profile(spark: SparkSession, sf: str) -> DataFrame:
-    r = _weekly_returns(spark, sf).where("ret IS NOT NULL AND fwd IS NOT NULL").withColumns({"up": F.row_number().over(W.partitionBy("ts").orderBy("ret", "symbol")), "n": F.count("*").over(S.BY_TIME)})
+    r = _weekly_returns(spark, sf).where("ret IS NOT NULL AND fwd IS NOT NULL").withColumns({"up": F.row_number().over(W.partitionBy("ts").orderBy("ret", "symbol")), "n": F.count("*").over(S.by_time())})
     q = r.where("n >= 10").groupBy("ts", F.expr("CAST(ceil(up * 5.0D / n) - 1 AS int)").alias("quintile")).agg(F.avg("fwd").alias("m"))
     return q.groupBy("quintile").agg(F.avg("m").alias("mean_fwd"), F.count("*").alias("days"))
 
@@ -183,7 +183,7 @@ SELECT symbol, n, q, exp(-q / 2) * (1 + q / 2 + (q / 2) ** 2 / 2 + (q / 2) ** 3
 def ljung_box(spark: SparkSession, sf: str) -> DataFrame:
     """Ten lags; the p-value is closed for an even number of degrees of freedom."""
     x = _daily_returns(spark, sf).where("ret IS NOT NULL").withColumn("e", F.col("ret") - F.avg("ret").over(W.partitionBy("symbol")))
-    lags = [(F.col("e") * F.lag("e", k).over(S.BY_SYMBOL)).alias(f"p{k}") for k in range(1, 11)]
+    lags = [(F.col("e") * F.lag("e", k).over(S.by_symbol())).alias(f"p{k}") for k in range(1, 11)]
     a = x.select("symbol", "e", *lags).groupBy("symbol").agg(F.count("e").alias("n"), *[(F.sum(f"p{k}") / F.sum(F.col("e") * F.col("e"))).alias(f"r{k}") for k in range(1, 11)])
     h = "q / 2"
     q = a.selectExpr("symbol", "n", "n * (n + 2) * (" + " + ".join(f"r{k} * r{k} / (n - {k})" for k in range(1, 11)) + ") AS q")
@@ -194,7 +194,7 @@ def ljung_box(spark: SparkSession, sf: str) -> DataFrame:
 SELECT symbol, any_value(n) AS n, (sum(CASE WHEN rn >= 4 THEN (s4 - 4 * mu) ** 2 END) / (4 * (any_value(n) - 3) * (1 - 4.0 / any_value(n)))) / (sum((ret - mu) ** 2) / (any_value(n) - 1)) AS vr4 FROM x GROUP BY symbol""", "vr4", "symbol n")
 def variance_ratio(spark: SparkSession, sf: str) -> DataFrame:
     every = W.partitionBy("symbol")
-    x = _daily_returns(spark, sf).where("ret IS NOT NULL").withColumns({"rn": F.row_number().over(S.BY_SYMBOL), "mu": F.avg("ret").over(every), "n": F.count("*").over(every), "s4": F.sum("ret").over(S.trailing(4))})
+    x = _daily_returns(spark, sf).where("ret IS NOT NULL").withColumns({"rn": F.row_number().over(S.by_symbol()), "mu": F.avg("ret").over(every), "n": F.count("*").over(every), "s4": F.sum("ret").over(S.trailing(4))})
     return x.groupBy("symbol").agg(F.first("n").alias("n"), F.expr("(sum(CASE WHEN rn >= 4 THEN pow(s4 - 4 * mu, 2) END) / (4 * (first(n) - 3) * (1 - 4.0D / first(n)))) / (sum(pow(ret - mu, 2)) / (first(n) - 1))").alias("vr4"))
 
 
@@ -213,7 +213,7 @@ def asof_orders(spark: SparkSession, sf: str) -> DataFrame:
 SELECT symbol, count(*) AS n, CAST(sum(tail) AS BIGINT) AS run, CAST(count(*) - CASE WHEN sum(tail) > 1 THEN sum(tail) - 1 ELSE 0 END AS BIGINT) AS kept FROM t GROUP BY symbol""", "", "symbol n run kept")
 def frozen_tail(spark: SparkSession, sf: str) -> DataFrame:
     """Rows left after a trailing run of the last price is cut to its first bar."""
-    d = P.daily(spark, sf).withColumn("fin", F.last("close").over(S.BY_SYMBOL.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    d = P.daily(spark, sf).withColumn("fin", F.last("close").over(S.by_symbol().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     d = d.withColumn("tail", F.min((F.col("close") == F.col("fin")).cast("int")).over(W.partitionBy("symbol").orderBy(F.desc("ts")).rowsBetween(W.unboundedPreceding, 0)))
     return d.groupBy("symbol").agg(F.count("*").alias("n"), F.sum("tail").alias("run")).withColumn("kept", F.expr("n - CASE WHEN run > 1 THEN run - 1 ELSE 0 END"))
 
@@ -252,7 +252,7 @@ def wavelet(spark: SparkSession, sf: str) -> DataFrame:
     """Causal a-trous decomposition: smoothing j averages with the row 2^j earlier."""
     d = P.daily(spark, sf).select("symbol", "ts", F.col("close").alias("s0"))
     for j in range(4):
-        d = d.withColumn(f"s{j + 1}", 0.5 * F.col(f"s{j}") + 0.5 * F.coalesce(S.lagged(f"s{j}", 2**j), F.first(f"s{j}").over(S.BY_SYMBOL)))
+        d = d.withColumn(f"s{j + 1}", 0.5 * F.col(f"s{j}") + 0.5 * F.coalesce(S.lagged(f"s{j}", 2**j), F.first(f"s{j}").over(S.by_symbol())))
     return d.select("symbol", "ts", *[(F.col(f"s{j}") - F.col(f"s{j + 1}")).alias(f"d{j + 1}") for j in range(4)], F.col("s4").alias("smooth"))
 
 
@@ -270,7 +270,7 @@ _FD = fracdiff_weights(0.4, 0.01)
 @query(f"""{WITH_D}
 SELECT symbol, ts, {" + ".join(f"{w!r} * lag(ln(close), {k}) OVER w" for k, w in enumerate(_FD))} AS fd FROM daily WINDOW w AS (PARTITION BY symbol ORDER BY ts)""", "fd", "symbol ts")
 def fracdiff(spark: SparkSession, sf: str) -> DataFrame:
-    total = sum((w * F.lag(F.log("close"), k).over(S.BY_SYMBOL) for k, w in enumerate(_FD)), F.lit(0.0))
+    total = sum((w * F.lag(F.log("close"), k).over(S.by_symbol()) for k, w in enumerate(_FD)), F.lit(0.0))
     return P.daily(spark, sf).select("symbol", "ts", total.alias("fd"))
 
 
@@ -290,7 +290,7 @@ SELECT symbol, ts, list_sum([abs(x[1] - x[2]) FOR x IN list_zip(list_sort(a), li
 def wasserstein(spark: SparkSession, sf: str) -> DataFrame:
     """Distance between the last 20 returns and the 20 before."""
     r = _daily_returns(spark, sf).where("ret IS NOT NULL")
-    r = r.select("symbol", "ts", F.collect_list("ret").over(S.BY_SYMBOL.rowsBetween(-19, 0)).alias("a"), F.collect_list("ret").over(S.BY_SYMBOL.rowsBetween(-39, -20)).alias("b")).where("size(b) = 20")
+    r = r.select("symbol", "ts", F.collect_list("ret").over(S.by_symbol().rowsBetween(-19, 0)).alias("a"), F.collect_list("ret").over(S.by_symbol().rowsBetween(-39, -20)).alias("b")).where("size(b) = 20")
     return r.select("symbol", "ts", F.expr("aggregate(zip_with(array_sort(a), array_sort(b), (x, y) -> abs(x - y)), 0.0D, (s, x) -> s + x) / 20").alias("w1"))
 
 

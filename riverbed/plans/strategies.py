@@ -78,7 +78,7 @@ def hysteresis(spark: SparkSession, sf: str) -> DataFrame:
     lists = P.daily(spark, sf).groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("ts", "funding"))).alias("x"))
     e = lists.select("symbol", F.arrays_zip(F.col("x.ts").alias("ts"), S.ewm(F.col("x.funding"), 19).alias("v")).alias("z")).select("symbol", F.inline("z")).withColumn("e", S.lagged("v", 1, 0.0))
     decided = F.expr("CASE WHEN e > 1e-6 THEN 1 WHEN e < -1e-6 THEN -1 WHEN abs(e) < 1e-6 / 3 THEN 0 END")
-    return e.withColumn("d", decided).select("symbol", "ts", F.coalesce(F.last("d", True).over(S.BY_SYMBOL.rowsBetween(W.unboundedPreceding, 0)), F.lit(0)).alias("state"))
+    return e.withColumn("d", decided).select("symbol", "ts", F.coalesce(F.last("d", True).over(S.by_symbol().rowsBetween(W.unboundedPreceding, 0)), F.lit(0)).alias("state"))
 
 
 @query(f"""{RETS}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM r)
@@ -93,7 +93,7 @@ SELECT ts, sum(coalesce(w, 0) * coalesce(fwd, 0)) - 5 / 1e4 * sum(tn) AS net, su
 def book_net(spark: SparkSession, sf: str) -> DataFrame:
     """Long-short book of demeaned ranks: weights earn the forward return and pay for their change."""
     k = _weekly_returns(spark, sf).where("ret IS NOT NULL").withColumn("rk", S.average_rank("ret")).withColumn("dm", S.neutral("rk"))
-    k = k.withColumn("w", F.coalesce(F.try_divide("dm", F.sum(F.abs("dm")).over(S.BY_TIME)), F.lit(0.0)))
+    k = k.withColumn("w", F.coalesce(F.try_divide("dm", F.sum(F.abs("dm")).over(S.by_time())), F.lit(0.0)))
     k = k.withColumn("tn", F.abs(F.col("w") - S.lagged("w", 1, 0.0)))
     return k.groupBy("ts").agg((F.sum(F.col("w") * F.coalesce("fwd", F.lit(0.0))) - 5 / 1e4 * F.sum("tn")).alias("net"), F.sum("tn").alias("turnover"))
 
