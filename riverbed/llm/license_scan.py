@@ -163,7 +163,10 @@ def _scanner(model: Model):
 
 def licences(docs: DataFrame) -> DataFrame:
     """doc_id, line, family, probability, shared: a row for each licence notice found."""
-    sample = docs.where("text IS NOT NULL").select("text").orderBy(F.xxhash64("text"), "text").limit(SAMPLE).collect()
+    hashed = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("_h"))
+    # hashes alone are ordered first: a task hands on SAMPLE numbers, not SAMPLE texts
+    cut = hashed.select("_h").orderBy("_h").limit(SAMPLE).agg(F.max("_h")).first()[0]
+    sample = hashed.where(F.col("_h") <= F.lit(cut)).dropDuplicates(["_h"]).orderBy("_h").collect() if cut is not None else []
     lines = [x for r in sample for x in r["text"].split("\n")][: 20 * SAMPLE]
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_scanner(Model(lines)), "doc_id long, line int, family string, probability double, shared double")
 
