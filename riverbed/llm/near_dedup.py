@@ -38,7 +38,7 @@ DEEP = 3
 CLOSING = 3
 ACROSS = 12
 #: Classes in a chunk of the closing comparison, which meets another such chunk.
-WIDE = 128
+WIDE = 256
 SMALL = 48
 PIVOTS = 3
 COORDINATES = 64
@@ -110,7 +110,7 @@ def _plausible(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of each group the classes with a plausible partner under another label, in connected parts; the part's members name it, so that it is found once however many nodes show it."""
     import xxhash
 
-    names, cids = [], []
+    names, cids, labels = [], [], []
     for g in _groups(batches, "grp"):
         sig, cid, label = np.stack(g["sig"].to_numpy()), g["cid"].tolist(), g["label"].tolist()
         n = len(cid)
@@ -121,6 +121,7 @@ def _plausible(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     hit[i] = hit[j] = True
                     u.join(i, int(j))
         parts: dict[int, set] = {}
+        own = dict(zip(cid, label, strict=True))
         for i in range(n):
             if hit[i]:
                 parts.setdefault(u.root(i), set()).add(cid[i])
@@ -128,10 +129,11 @@ def _plausible(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             name = xxhash.xxh3_128_digest(b"".join(sorted(p)))
             names += [name] * len(p)
             cids += p
+            labels += [own[c] for c in p]
         if len(names) > 10_000:
-            yield pd.DataFrame({"part": names, "cid": cids})
-            names, cids = [], []
-    yield pd.DataFrame({"part": names, "cid": cids})
+            yield pd.DataFrame({"part": names, "cid": cids, "label": labels})
+            names, cids, labels = [], [], []
+    yield pd.DataFrame({"part": names, "cid": cids, "label": labels})
 
 
 def _linked(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,12 +166,11 @@ def _compared(groups: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
     """Links (a, b) within groups. groups: grp, cid, label; classes: cid, doc_id, sig."""
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = groups.join(classes.select("cid", "sig"), "cid").repartition(n, "grp").sortWithinPartitions("grp")
-    parts = written(rows.mapInPandas(_plausible, "part binary, cid binary").distinct(), f"{place}/parts")
+    parts = written(rows.mapInPandas(_plausible, "part binary, cid binary, label binary").distinct(), f"{place}/parts")
     active = parts.select("cid").distinct().join(classes.select("cid", "doc_id"), "cid").select(F.col("doc_id").alias("_id")).distinct()
     texts = docs.select("doc_id", "text").join(active, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     sets = texts.mapInPandas(_with_sets(size), "cid binary, set binary").dropDuplicates(["cid"])
-    labels = groups.select("cid", "label").distinct()
-    full = parts.join(labels, "cid").join(sets, "cid").repartition(n, "part").sortWithinPartitions("part")
+    full = parts.join(sets, "cid").repartition(n, "part").sortWithinPartitions("part")
     return written(full.mapInPandas(_linked, "a binary, b binary"), f"{place}/links")
 
 
