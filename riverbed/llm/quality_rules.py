@@ -25,8 +25,6 @@ MIN_GROUP = 200
 SLACK = {"sym": 100, "rep": 250, "dup": 250, "upp": 250, "len": 150}
 #: Rates that may also be too low.
 TWO_SIDED = ("len",)
-#: A column without meaning that a filter on verdicts also reads: it keeps the optimizer from moving the filter below the counts, which would then be worked out once per use.
-BARRIER = "_barrier"
 #: Quartile distances between a quartile and its fence.
 REACH = 3
 
@@ -55,7 +53,7 @@ def text_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
 def rates(counts: DataFrame) -> DataFrame:
     """Whole-number rates; null without words. sym, rep: per thousand words; dup: per thousand lines; upp: per thousand characters in words; len: hundredths of characters a word."""
     per = lambda a, b, k: F.expr(f"CASE WHEN n_words > 0 THEN {a} * {k} DIV greatest({b}, 1) END")
-    return counts.withColumns({"sym": per("n_symbols", "n_words", 1000), "rep": per("n_repeat_words", "n_words", 1000), "dup": per("n_dup_lines", "n_lines", 1000), "upp": per("n_upper", "word_chars", 1000), "len": per("word_chars", "n_words", 100), BARRIER: F.monotonically_increasing_id()})
+    return counts.withColumns({"sym": per("n_symbols", "n_words", 1000), "rep": per("n_repeat_words", "n_words", 1000), "dup": per("n_dup_lines", "n_lines", 1000), "upp": per("n_upper", "word_chars", 1000), "len": per("word_chars", "n_words", 100)})
 
 
 def sketches(rated: DataFrame) -> DataFrame:
@@ -97,22 +95,22 @@ def verdicts(rated: DataFrame, limits: DataFrame) -> DataFrame:
 def quality_verdicts(docs: DataFrame) -> DataFrame:
     """doc_id with its counts, base_failed and kept, for each row of docs."""
     spark = docs.sparkSession
-    rated = written(rates(text_counts(docs, ["doc_id", "lang", "source"])).drop(BARRIER), scratch(spark))
+    rated = written(rates(text_counts(docs, ["doc_id", "lang", "source"])), scratch(spark))
     return verdicts(rated, fences(sketches(rated)))
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with all their columns.
 
-    The fences come from a first scan; the second scan repeats the counts beside the text, so that no text is shuffled or stored.
+    One scan counts, and its rates are written beside the rows: the fences read the rates alone, and no text is shuffled. That costs the size of docs on disk, for half the time.
     """
     spark = docs.sparkSession
     cols = docs.columns
     # other columns travel in a struct: their names can't clash with those of the counts
     packed = docs.select(F.col("text"), F.col("lang"), F.col("source"), F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"))
-    limits = written(fences(sketches(rates(text_counts(docs, ["lang", "source"])))), scratch(spark))
-    out = verdicts(rates(text_counts(packed, ["_row", "lang", "source"])), limits)
-    return out.where(f"kept AND {BARRIER} >= 0").select(*[F.col("_row").getField(c).alias(c) for c in cols])
+    rated = written(rates(text_counts(packed, ["_row", "lang", "source"])), scratch(spark))
+    out = verdicts(rated, fences(sketches(rated)))
+    return out.where("kept").select(*[F.col("_row").getField(c).alias(c) for c in cols])
 
 
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
