@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that separates words: space, and tab to carriage return.
-SPACE = " \t\n\u000b\u000c\r"
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -49,9 +48,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """The words of a text in order; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
-
-
-def deleted(text: Column, chars: str) -> Column:
-    """How many characters of text are in chars."""
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")

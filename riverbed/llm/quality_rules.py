@@ -16,10 +16,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riverbed.llm.common import SPACE, deleted, scratch, table, words, written
+from riverbed.llm.common import scratch, table, words, written
 
-SYMBOLS = "#*$%&|<>"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SYMBOLS = "[#*$%&|<>]"
+UPPER = "[A-Z]"
+NOT_SPACE = r"[^\x20\x09-\x0D]"
 MIN_GROUP = 200
 #: Least distance of a fence from the quartile, in the rate's own unit: a uniform group still tolerates this much.
 SLACK = {"sym": 100, "rep": 250, "dup": 250, "upp": 250, "len": 150}
@@ -32,16 +33,16 @@ REACH = 3
 def text_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns in keep, then counts over the whole text."""
     t = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(*keep, t.alias("_t"), words(F.col("text")).alias("_w"), F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0).alias("_l"))
+    base = docs.select(*keep, t.alias("_t"), words(F.col("text")).alias("_w"), F.filter(F.split(t, "\n"), lambda x: x.rlike(NOT_SPACE)).alias("_l"))
     pairs = "transform(slice(_w, 1, size(_w) - 2), (w, i) -> struct(xxhash64(w, _w[i + 1], _w[i + 2]) AS h, i AS p))"
     hashed = base.select(
         *keep,
         F.size("_w").cast("long").alias("n_words"),
-        F.length(F.translate("_t", SPACE, "")).cast("long").alias("word_chars"),
-        deleted(F.col("_t"), SYMBOLS).alias("n_symbols"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("_t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.size("_l").cast("long").alias("n_lines"),
-        deleted(F.col("_t"), UPPER).alias("n_upper"),
+        F.regexp_count("_t", F.lit(UPPER)).cast("long").alias("n_upper"),
         F.expr(f"CASE WHEN size(_w) > 3 THEN sort_array({pairs}) ELSE CAST(array() AS array<struct<h:bigint,p:int>>) END").alias("_s"),
     )
     again = "sort_array(transform(filter(transform(_s, (x, j) -> IF(x.h <=> get(_s, j + 1).h OR x.h <=> get(_s, j - 1).h, x.p, -1)), p -> p >= 0), p -> p))"
