@@ -18,11 +18,14 @@ An empty table gives an empty result. Other columns are ignored by `near_duplica
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riverbed.llm import shingles
@@ -38,7 +41,7 @@ DEEP = 3
 CLOSING = 3
 ACROSS = 12
 #: Classes in a chunk of the closing comparison, which meets another such chunk.
-WIDE = 256
+WIDE = 512
 SMALL = 48
 PIVOTS = 3
 COORDINATES = 64
@@ -112,10 +115,13 @@ def _plausible(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     names, cids, labels = [], [], []
     for g in _groups(batches, "grp"):
+        # the most common label last: its rows need no comparison with each other
+        top, most = Counter(g["label"]).most_common(1)[0]
+        g = g.iloc[np.argsort((g["label"] == top).to_numpy(), kind="stable")]
         sig, cid, label = np.stack(g["sig"].to_numpy()), g["cid"].tolist(), g["label"].tolist()
         n = len(cid)
         u, hit = _Union(n), [False] * n
-        for i in range(n - 1):
+        for i in range(n - most):
             for j in np.flatnonzero((sig[i + 1 :] == sig[i]).sum(1) >= PLAUSIBLE) + i + 1:
                 if cid[i] != cid[j] and label[i] != label[j]:
                     hit[i] = hit[j] = True
@@ -145,12 +151,15 @@ def _linked(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for i, x in enumerate(label):
             u.join(i, first.setdefault(x, i))
         order = sorted(range(len(cid)), key=lambda i: len(sets[i]))
+        sizes, top = [len(sets[i]) for i in order], Counter(label).most_common(1)[0][0]
+        # rows of the most common label are in one component and need no comparison with each other
         for x, i in enumerate(order):
-            for j in order[x + 1 :]:
-                m, n = len(sets[i]), len(sets[j])
-                if 100 * m < SIMILAR * n:
-                    break
-                if u.root(i) != u.root(j):
+            if label[i] == top:
+                continue
+            m = sizes[x]
+            for y in range(bisect_left(sizes, m * SIMILAR / 100), bisect_right(sizes, m * 100 / SIMILAR)):
+                j, n = order[y], sizes[y]
+                if (y > x or label[j] == top) and u.root(i) != u.root(j):
                     both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                     if 100 * both >= SIMILAR * (m + n - both):
                         u.join(i, j)
@@ -167,7 +176,7 @@ def _compared(groups: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = groups.join(classes.select("cid", "sig"), "cid").repartition(n, "grp").sortWithinPartitions("grp")
     parts = written(rows.mapInPandas(_plausible, "part binary, cid binary, label binary").distinct(), f"{place}/parts")
-    active = parts.select("cid").distinct().join(classes.select("cid", "doc_id"), "cid").select(F.col("doc_id").alias("_id")).distinct()
+    active = classes.join(parts, "cid", "left_semi").select(F.col("doc_id").alias("_id")).distinct()
     texts = docs.select("doc_id", "text").join(active, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     sets = texts.mapInPandas(_with_sets(size), "cid binary, set binary").dropDuplicates(["cid"])
     full = parts.join(sets, "cid").repartition(n, "part").sortWithinPartitions("part")
@@ -176,7 +185,7 @@ def _compared(groups: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
 
 def _counted(rows: DataFrame) -> DataFrame:
     """node, n and the prints by which nodes with the same classes are told; nodes with one label are left out. Sums and extremes: combined on the map side."""
-    same = rows.groupBy("node").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(cid))").alias("x"), F.expr("sum(xxhash64(cid, 1) % 1000000007)").alias("y"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("up").alias("up"), *[F.min_by("cid", F.xxhash64("cid", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)])
+    same = rows.groupBy("node").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(cid))").alias("x"), F.expr("sum(xxhash64(cid, 1) % 1000000007)").alias("y"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("up").alias("up"), *[F.min_by(F.struct("cid", "label"), F.xxhash64("cid", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)])
     return same.where("lo <> hi").groupBy("n", "x", "y").agg(F.min_by(F.struct("node", "up", *[f"p{k}" for k in range(PIVOTS)]), "node").alias("s")).select("n", "s.*")
 
 
@@ -184,10 +193,15 @@ def _chunks(rows: DataFrame, counts: DataFrame, salt: int) -> DataFrame:
     """grp, cid, label: small nodes as they are, larger ones in chunks of about SMALL, each with the node's pivots."""
     kept = rows.drop("up").join(counts, "node").withColumn("_c", F.expr(f"ceil(n / {SMALL})"))
     spread = kept.select(F.expr(f"xxhash64(node, pmod(xxhash64(cid, {salt}), _c))").alias("grp"), "cid", "label")
-    pivots = counts.where(f"n > {SMALL}").select("node", "n", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("cid"))
-    at = pivots.select("cid", F.explode(F.expr(f"transform(sequence(0, CAST(ceil(n / {SMALL}) AS int) - 1), i -> xxhash64(node, i))")).alias("grp"))
-    labels = rows.select("cid", "label").distinct()
-    return spread.unionByName(at.join(labels, "cid").select("grp", "cid", "label")).distinct()
+    pivots = counts.where(f"n > {SMALL}").select("node", "n", F.inline(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))))
+    at = pivots.select("cid", "label", F.explode(F.expr(f"transform(sequence(0, CAST(ceil(n / {SMALL}) AS int) - 1), i -> xxhash64(node, i))")).alias("grp"))
+    return _mixed(spread.unionByName(at.select("grp", "cid", "label")))
+
+
+def _mixed(groups: DataFrame) -> DataFrame:
+    """The distinct rows of groups with more than one label: the others can't give a new link. A group is at most two closing chunks, so the window is bounded."""
+    every = W.partitionBy("grp")
+    return groups.distinct().select("*", (F.min("label").over(every) < F.max("label").over(every)).alias("_mixed")).where("_mixed").drop("_mixed")
 
 
 def _closing(dense: DataFrame) -> DataFrame:
@@ -231,7 +245,7 @@ def links(classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
         step = [F.expr(f"xxhash64(node, {k}, sig[CAST(pmod(xxhash64(node, {k}), {COORDINATES}) AS int)])") for k in range(BRANCH)]
         rows = written(below.select("cid", "label", F.col("n").alias("up"), F.explode(F.array(*step)).alias("node")), f"{place}/r{level}")
     small, dense = (spark.read.schema(t).parquet(*[f"{place}/{kind}{k}" for k in range(1, levels + 1)]) for kind, t in (("small", "grp long, cid binary, label binary"), ("dense", "node long, cid binary, label binary")))
-    groups = small.unionByName(_closing(dense)).distinct()
+    groups = small.unionByName(_mixed(_closing(dense)))
     more = _compared(written(groups, f"{place}/groups"), plain, docs, size, f"{place}/more")
     return components(first.unionByName(more))
 
