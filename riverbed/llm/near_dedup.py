@@ -6,10 +6,12 @@ are compared exhaustively. A pair of similarity s meets in a tree with probabili
 tree however deep, and over 0.9999 in TREES = 8 trees. Comparison uses signatures first and then the full sets, so that every link is exact.
 
 Large groups of near copies would never split. A first round therefore follows FIRST paths of DEEP coordinates at once, where hardly anything but near copies meets, and compares each chunk of a
-large node with the same few pivots and within itself; the links it finds make components, and the trees proper drop every node whose classes are all in one component by then. A node
-with over half the classes of its parent is dense: most of its pairs are similar, and further splitting would only multiply it. Dense nodes, and those still large at the last level, are compared in such chunks
-rather than split, as the method compares points of high average similarity directly. There, the classes outside a node's largest component also meet all of it: each class takes part in one of its dense nodes,
-chosen anew by each of CLOSING hashes, and chunks of outsiders are paired with chunks of all members, up to ACROSS per chunk; where there are more, trees and hashes repeat the chance. Chunks hold SMALL + PIVOTS classes, so no task's group grows with a group of copies, and no pairs are emitted but the links that join two components of a chunk.
+large node with the same few pivots and within itself; the links it finds make components, and the trees proper drop every node whose classes are all in one component by then. Its chunks hold SMALL + PIVOTS classes.
+A node with over half the classes of its parent is dense: most of its pairs share tokens, and further splitting would only multiply it. The classes of all dense nodes, and of those still large at the last level, are
+joined by an exact prefix filter instead. Shingles are ordered, those that a sample of these classes has often last; a pair that is similar enough has one in common among the first fifth of the larger set and the
+first ninth of the smaller. What a template determines is thus rarely looked at. Of each such shingle, all pairs of two components with a member of the latter kind are compared, in pairs of chunks of WIDE,
+so that no task's group grows with a group of copies. The sample sets the order alone and so the work, not what is found.
+No pairs are emitted but the links that join two components of a chunk.
 
 Edge cases: null texts and texts without words have an empty set and stay alone, with their own doc_id as component. A text shorter than a shingle is one shingle as a whole.
 Repeated rows have the same set and so one component; rows that share a doc_id but differ are judged apart. A null doc_id takes part, but never names a component unless nothing else does.
@@ -38,10 +40,11 @@ BRANCH = 2
 LEVELS = 6
 FIRST = 4
 DEEP = 3
-CLOSING = 3
-ACROSS = 12
-#: Classes in a chunk of the closing comparison, which meets another such chunk.
+#: Classes in a chunk of the comparison of dense nodes, which meets another such chunk.
 WIDE = 512
+#: Classes whose shingles are counted, about, and the most frequent shingles that are told from rare ones.
+COUNTED = 50_000
+COMMON = 100_000
 SMALL = 48
 PIVOTS = 3
 COORDINATES = 64
@@ -176,9 +179,7 @@ def _compared(groups: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = groups.join(classes.select("cid", "sig"), "cid").repartition(n, "grp").sortWithinPartitions("grp")
     parts = written(rows.mapInPandas(_plausible, "part binary, cid binary, label binary").distinct(), f"{place}/parts")
-    active = classes.join(parts, "cid", "left_semi").select(F.col("doc_id").alias("_id")).distinct()
-    texts = docs.select("doc_id", "text").join(active, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = texts.mapInPandas(_with_sets(size), "cid binary, set binary").dropDuplicates(["cid"])
+    sets = _texts(parts, classes, docs).mapInPandas(_with_sets(size), "cid binary, set binary").dropDuplicates(["cid"])
     full = parts.join(sets, "cid").repartition(n, "part").sortWithinPartitions("part")
     return written(full.mapInPandas(_linked, "a binary, b binary"), f"{place}/links")
 
@@ -204,16 +205,62 @@ def _mixed(groups: DataFrame) -> DataFrame:
     return groups.distinct().select("*", (F.min("label").over(every) < F.max("label").over(every)).alias("_mixed")).where("_mixed").drop("_mixed")
 
 
-def _closing(dense: DataFrame) -> DataFrame:
-    """grp, cid, label: in each class's chosen dense node, chunks of those outside the largest component, each with chunks of all members. Rows are at most 2 * ACROSS for each class and hash. dense: node, cid, label."""
-    picks = F.array(*[F.struct(F.lit(k).alias("k"), F.expr(f"xxhash64(node, {k})").alias("h"), F.col("node").alias("node")) for k in range(CLOSING)])
-    mine = dense.select("cid", "label", F.inline(picks)).groupBy("cid", "k").agg(F.min_by("node", "h").alias("node"), F.first("label").alias("label"))
-    by = mine.groupBy("k", "node", "label").agg(F.count("*").alias("n")).groupBy("k", "node").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.max("n").alias("m"))
-    by = by.where("n > m").selectExpr("k", "node", "most", f"ceil((n - m) / {WIDE}) AS s", f"ceil(n / {WIDE}) AS a")
-    both = mine.join(by, ["k", "node"]).selectExpr("*", "pmod(xxhash64(cid, 11), a) AS mya", "pmod(xxhash64(cid, 13), s) AS mys")
-    inside = both.select("cid", "label", "k", "node", F.col("mya").alias("x"), F.explode(F.expr(f"transform(sequence(0L, least(s, {ACROSS}) - 1), r -> pmod(mya * {ACROSS} + r, s))")).alias("y"))
-    outside = both.where("label <> most").select("cid", "label", "k", "node", F.explode(F.expr(f"filter(sequence(0L, a - 1), x -> pmod(mys - x * {ACROSS}, s) < {ACROSS})")).alias("x"), F.col("mys").alias("y"))
-    return inside.unionByName(outside).select(F.xxhash64("k", "node", "x", "y").alias("grp"), "cid", "label")
+def _texts(cids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, text of documents that have the sets of cids, and maybe of some others with the same doc_id."""
+    active = classes.join(cids.select("cid"), "cid", "left_semi").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.select("doc_id", "text").join(active, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+
+def _tokens(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for s in pdf["set"]:
+            yield pd.DataFrame({"token": np.frombuffer(s, np.int64)})
+
+
+def _prefixes(size: int, common: dict[int, int]):
+    """Of each text the shingles by which it can meet one as large or smaller, rare ones first, and how many of them suffice to meet one as large or larger."""
+    seen = np.array(sorted(common), np.int64)
+    often = np.array([common[t] for t in seen.tolist()], np.int64)
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _with_sets(size)(batches):
+            first, few = [], []
+            for s in pdf["set"]:
+                s = np.frombuffer(s, np.int64)
+                n, count = len(s), np.zeros(len(s), np.int64)
+                if len(seen):
+                    at = np.minimum(np.searchsorted(seen, s), len(seen) - 1)
+                    count = np.where(seen[at] == s, often[at], 0)
+                first.append(s[np.lexsort((s, count))][: n + 1 - -(-SIMILAR * n // 100)])
+                few.append(n + 1 - -(-2 * SIMILAR * n // (100 + SIMILAR)))
+            yield pd.DataFrame({"cid": pdf["cid"], "tokens": first, "few": few})
+
+    return run
+
+
+def _closing(dense: DataFrame, classes: DataFrame, docs: DataFrame, size: int, place: str) -> DataFrame:
+    """grp, cid, label: groups in which all pairs of two labels meet that may be similar. dense: cid, label, distinct."""
+    part = max(1, dense.count() // COUNTED)
+    some = dense.where(F.expr(f"pmod(xxhash64(cid, 17), {part}) = 0"))
+    tokens = _texts(some, classes, docs).mapInPandas(_with_sets(size), "cid binary, set binary").mapInPandas(_tokens, "token long")
+    common = {r["token"]: r["n"] for r in tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "token").limit(COMMON).collect()}
+    first = _texts(dense, classes, docs).mapInPandas(_prefixes(size, common), "cid binary, tokens array<long>, few int").dropDuplicates(["cid"])
+    rows = first.join(dense, "cid").select("cid", "label", "few", F.posexplode("tokens").alias("_k", "node")).select("node", "cid", "label", F.expr("_k < few").alias("ix"))
+    rows = written(rows, f"{place}/prefixes")
+    by = rows.groupBy("node", "label").agg(F.count("*").alias("n"), F.count_if("ix").alias("i"), F.expr("bit_xor(xxhash64(cid, ix))").alias("x"), F.expr("sum(xxhash64(cid, ix, 1) % 1000000007)").alias("y"))
+    large = F.struct("n", "label")
+    by = by.groupBy("node").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max("n").alias("m"), F.sum("i").alias("i"), F.max_by("i", large).alias("im"), F.max_by("label", large).alias("most"), F.expr("bit_xor(x)").alias("x"), F.sum("y").alias("y")).where("k > 1 AND i > 0")
+    # shingles with the same classes are one node
+    by = by.groupBy("n", "x", "y").agg(F.min_by(F.struct("node", "m", "i", "im", "most"), "node").alias("s")).select("n", "s.*")
+    both = rows.join(by, "node").withColumn("out", F.expr("label <> most"))
+    groups = []
+    # those of other labels than the most common one with all, and those of that label with the others
+    for k, (side, sides, rest, rests) in enumerate((("ix AND out", "i - im", "true", "n"), ("ix AND NOT out", "im", "out", "n - m"))):
+        cut = both.where(f"{sides} > 0").selectExpr("*", f"ceil(({sides}) / {WIDE}) AS s", f"ceil(({rests}) / {WIDE}) AS a")
+        groups.append(cut.where(side).selectExpr("node", "cid", "label", "explode(sequence(0L, a - 1)) AS x", "pmod(xxhash64(cid, 13), s) AS y").withColumn("k", F.lit(k)))
+        groups.append(cut.where(rest).selectExpr("node", "cid", "label", "pmod(xxhash64(cid, 11), a) AS x", "explode(sequence(0L, s - 1)) AS y").withColumn("k", F.lit(k)))
+    every = groups[0].unionByName(groups[1]).unionByName(groups[2]).unionByName(groups[3])
+    return _mixed(every.select(F.xxhash64("k", "node", "x", "y").alias("grp"), "cid", "label"))
 
 
 def links(classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -235,8 +282,8 @@ def links(classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
         counts = written(_counted(rows), f"{place}/n{level}")
         split = f"n > {SMALL} AND NOT coalesce(2 * n > up, false)"
         last = level == LEVELS
-        written(_chunks(rows, counts if last else counts.where(f"NOT ({split})"), level), f"{place}/small{level}")
-        written(rows.join(counts.where(f"n > {SMALL}" + f" AND NOT ({split})" * (not last)).select("node"), "node").select("node", "cid", "label"), f"{place}/dense{level}")
+        written(_chunks(rows, counts.where(f"n <= {SMALL}"), level), f"{place}/small{level}")
+        written(rows.join(counts.where(f"n > {SMALL}" + f" AND NOT ({split})" * (not last)).select("node"), "node").select("cid", "label").distinct(), f"{place}/dense{level}")
         levels = level
         large = counts.where(split).select("node", "n")
         if last or large.isEmpty():
@@ -244,8 +291,8 @@ def links(classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
         below = rows.drop("up").join(large, "node").join(classes.select("cid", "sig"), "cid")
         step = [F.expr(f"xxhash64(node, {k}, sig[CAST(pmod(xxhash64(node, {k}), {COORDINATES}) AS int)])") for k in range(BRANCH)]
         rows = written(below.select("cid", "label", F.col("n").alias("up"), F.explode(F.array(*step)).alias("node")), f"{place}/r{level}")
-    small, dense = (spark.read.schema(t).parquet(*[f"{place}/{kind}{k}" for k in range(1, levels + 1)]) for kind, t in (("small", "grp long, cid binary, label binary"), ("dense", "node long, cid binary, label binary")))
-    groups = small.unionByName(_mixed(_closing(dense)))
+    small, dense = (spark.read.schema(t).parquet(*[f"{place}/{kind}{k}" for k in range(1, levels + 1)]) for kind, t in (("small", "grp long, cid binary, label binary"), ("dense", "cid binary, label binary")))
+    groups = small.unionByName(_closing(written(dense.distinct(), f"{place}/dense"), plain, docs, size, place))
     more = _compared(written(groups, f"{place}/groups"), plain, docs, size, f"{place}/more")
     return components(first.unionByName(more))
 

@@ -224,3 +224,27 @@ def test_pipeline_keeps_the_promised_rows(spark):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert out and len({r["doc_id"] for r in out}) == len(out) and all(r["n_ids"] == r["n_tokens"] for r in out)
+
+
+def test_near_duplicates_within_a_template(spark, monkeypatch):
+    from riverbed.llm import near_dedup
+
+    # small chunks: as 6,144 documents and more are to chunks of 512
+    monkeypatch.setattr(near_dedup, "WIDE", 8)
+    template, texts = prose(0, 103, 10**6), []
+    for k in range(500):
+        own = [f"d{k}x{i}" for i in range(17)]
+        texts.append(f"{template} {' '.join(own)}")
+        if k % 2:
+            # 104 of 117 shingles are the same, a similarity of 0.8; without being one's copy, 100 are
+            texts.append(f"{template} {' '.join(own[:-13])} {' '.join(f'e{k}x{i}' for i in range(13))}")
+    sets = [{tuple(w[k : k + 4]) for k in range(len(w) - 3)} for w in map(str.split, texts)]
+    up = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = up[i], up[j]
+                up = [min(a, b) if u in (a, b) else u for u in up]
+    assert len(set(up)) == 500
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(docs(spark, texts), 4).collect()}
+    assert [got[i] for i in range(len(texts))] == up
