@@ -14,7 +14,8 @@ so that no task's group grows with a group of copies. The sample sets the order
 No pairs are emitted but the links that join two components of a chunk.
 
 Edge cases: null texts and texts without words have an empty set and stay alone, with their own doc_id as component. A text shorter than a shingle is one shingle as a whole.
-Repeated rows have the same set and so one component; rows that share a doc_id but differ are judged apart. A null doc_id takes part, but never names a component unless nothing else does.
+Rows of equal doc_id and text are one document; rows that share a doc_id but differ are judged apart. A null doc_id takes part, but never names a component unless nothing else does. One document of each component is kept:
+the one of the least doc_id, then of the least hash of its text.
 An empty table gives an empty result. Other columns are ignored by `near_duplicates` and kept by `drop_near_duplicates`.
 """
 
@@ -60,9 +61,9 @@ def _sketched(size: int):
             done = 0
             for block in shingles.blocks(pdf["text"].tolist()):
                 sets = list(shingles.shingle_sets(block, size))
-                ids = pdf["doc_id"].iloc[done : done + len(block)]
+                own = {c: pdf[c].iloc[done : done + len(block)].to_numpy() for c in ("doc_id", "h1", "h2")}
                 done += len(block)
-                yield pd.DataFrame({"doc_id": ids.to_numpy(), "n_shingles": [len(s) for s in sets], "cid": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "sig": list(shingles.signatures(sets, COORDINATES).view(np.int32))})
+                yield pd.DataFrame(own | {"n_shingles": [len(s) for s in sets], "cid": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "sig": list(shingles.signatures(sets, COORDINATES).view(np.int32))})
 
     return run
 
@@ -297,25 +298,39 @@ def links(classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     return components(first.unionByName(more))
 
 
-def near_duplicates(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with h1 and h2, 96 bits by which texts of one doc_id are told."""
+    return docs.withColumns({"h1": F.xxhash64("text"), "h2": F.hash("text")})
+
+
+def _judged(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, h1, h2, n_shingles, component_id, kept for each row of docs."""
     spark = docs.sparkSession
-    rows = written(docs.select("doc_id", "text").mapInPandas(_sketched(size), "doc_id long, n_shingles long, cid binary, sig array<int>"), scratch(spark))
+    rows = _keyed(docs.select("doc_id", "text")).mapInPandas(_sketched(size), "doc_id long, h1 long, h2 int, n_shingles long, cid binary, sig array<int>")
+    rows = written(rows, scratch(spark))
     classes = written(rows.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), scratch(spark))
     roots = written(links(classes, docs, size), scratch(spark))
-    named = classes.select("cid", "doc_id").join(roots, F.col("cid") == F.col("node"), "left").select("cid", "doc_id", F.coalesce("root", "cid").alias("root"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    owner = named.join(least, "root").select("cid", "component_id")
+    named = classes.select("cid").join(roots, F.col("cid") == F.col("node"), "left").select("cid", F.coalesce("root", "cid").alias("root"))
+    # nulls last
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
+    best = rows.where("n_shingles > 0").groupBy("cid").agg(F.min(key).alias("b")).join(named, "cid")
+    owner = named.join(best.groupBy("root").agg(F.min("b").alias("b")), "root").select("cid", "b")
     out = rows.drop("sig").join(owner, "cid", "left")
-    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    alone = F.col("n_shingles") == 0
+    kept = alone | (F.col("doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("h1") == F.col("b.h1")) & (F.col("h2") == F.col("b.h2")))
+    return out.select("doc_id", "h1", "h2", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("b.doc_id")).alias("component_id"), kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs."""
+    return _judged(docs, size).drop("h1", "h2")
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
-    """docs with one document of each component, the one of the least doc_id, with all columns. Rows that are equal in doc_id and text are one document, of which one row stays."""
-    cols = docs.columns
-    gone = written(near_duplicates(docs, size).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), scratch(docs.sparkSession))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").dropDuplicates(["doc_id", "text"]).select(*cols)
+    """docs with one document of each component, the one that is kept, with all columns. Rows that are equal in doc_id and text are one document, of which one row stays."""
+    gone = written(_judged(docs, size).where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct(), scratch(docs.sparkSession))
+    own = F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.xxhash64("text") == F.col("_h1")) & (F.hash("text") == F.col("_h2"))
+    return docs.join(gone, own, "left_anti").dropDuplicates(["doc_id", "text"])
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -248,3 +248,14 @@ def test_near_duplicates_within_a_template(spark, monkeypatch):
     assert len(set(up)) == 500
     got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(docs(spark, texts), 4).collect()}
     assert [got[i] for i in range(len(texts))] == up
+
+
+def test_near_duplicates_drop_rows_and_not_ids(spark):
+    from riverbed.llm.near_dedup import drop_near_duplicates
+
+    a, b, c, d, e = (prose(k, 60) for k in range(5))
+    # an id and a null with one text, another null, nulls with one set, a shared id with a copy of a lower one, a repeated row, texts without words
+    rows = [(1, a), (None, a), (None, b), (None, c), (None, c.upper()), (2, a), (2, d), (3, e), (3, e), (3, e + " "), (None, None), (4, "")]
+    left = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    got = sorted((x["doc_id"] or 0, (x["text"] or "").lower().strip()) for x in left)
+    assert got == sorted([(1, a), (0, b), (0, c), (2, d), (3, e), (0, ""), (4, "")])
