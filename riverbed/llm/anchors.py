@@ -8,6 +8,8 @@ from riverbed.llm.shingles import mixed, powers, prefix
 
 #: Bytes of the string whose hash is compared to choose an anchor.
 GRAM = 32
+#: Windows whose anchors are chosen at once: positions among them fit beside a hash.
+PIECE = 1 << 23
 
 
 def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
@@ -37,8 +39,13 @@ def anchors(data: np.ndarray, bounds: np.ndarray, size: int) -> dict[str, np.nda
     n = len(data) - GRAM + 1
     gram = mixed((sums[GRAM:] - sums[:-GRAM]) * down[:n])
     # 40 bits of the hash, then the position: the least is the first of the least hashes
-    packed = (gram >> np.uint64(24) << np.uint64(24)) | np.arange(n, dtype=np.uint64)
-    chosen = (_sliding_least(packed, size - GRAM + 1) & np.uint64((1 << 24) - 1)).astype(np.int64)
+    w = size - GRAM + 1
+    chosen = np.empty(n - w + 1, np.int64)
+    for a in range(0, len(chosen), PIECE):
+        part = gram[a : a + PIECE + w - 1]
+        packed = (part >> np.uint64(24) << np.uint64(24)) | np.arange(len(part), dtype=np.uint64)
+        least = _sliding_least(packed, w) & np.uint64((1 << 24) - 1)
+        chosen[a : a + len(least)] = least.astype(np.int64) + a
     text = np.repeat(np.arange(len(lengths)), np.maximum(lengths - size + 1, 0))
     first = np.concatenate([np.arange(a, b - size + 1) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) if b - a >= size])
     at = chosen[first]

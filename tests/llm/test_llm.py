@@ -259,3 +259,15 @@ def test_near_duplicates_drop_rows_and_not_ids(spark):
     left = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
     got = sorted((x["doc_id"] or 0, (x["text"] or "").lower().strip()) for x in left)
     assert got == sorted([(1, a), (0, b), (0, c), (2, d), (3, e), (0, ""), (4, "")])
+
+
+def test_anchors_behind_16_mb():
+    from riverbed.llm.anchors import anchors
+
+    rng = np.random.default_rng(3)
+    passage, front = rng.integers(97, 123, 5000, np.uint8), rng.integers(97, 123, (1 << 24) + 1000, np.uint8)
+    alone = anchors(passage, np.array([0, len(passage)]), 200)
+    far = anchors(np.concatenate((front, passage)), np.array([0, len(front) + len(passage)]), 200)
+    inside = far["lo"] > len(front)
+    assert inside.any() and set((far["at"][inside] - len(front)).tolist()) <= set(alone["at"].tolist())
+    assert (far["lo"] <= far["at"]).all() and (far["at"] <= far["hi"] + 200 - 32).all()
