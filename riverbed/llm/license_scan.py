@@ -6,7 +6,7 @@ of the corpus (SAMPLE documents, those with the least text hash), shuffled templ
 that makes its probabilities honest, then the least probability at which at most FALSE of its unknown paragraphs pass. A passing paragraph is confirmed only if it holds SHARED of the distinct word pairs of a template of
 its family, so that the closest template names the licence.
 
-A paragraph with fewer than two known bigrams has the features of an unknown one and is passed over, which changes no result.
+A paragraph without any known bigram shares no pair with a template, so it is passed over, which changes no result.
 
 Edge cases: null and empty texts have no paragraphs. Repeated rows give repeated findings. Windows of one line that find the same family give one finding, the most probable. An empty table trains without
 corpus lines and gives no findings. Other columns are ignored.
@@ -139,7 +139,7 @@ class Model:
             best: dict[str, tuple[float, float]] = {}
             for a in range(0, max(1, len(w) - WINDOW // 2), WINDOW // 2):
                 part = w[a : a + WINDOW]
-                if sum(g in self.ids for g in zip(part[:-1], part[1:], strict=True)) < 2:
+                if not any(g in self.ids for g in zip(part[:-1], part[1:], strict=True)):
                     continue
                 p = self.probabilities(part)
                 k = int(p.argmax())

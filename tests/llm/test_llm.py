@@ -271,3 +271,12 @@ def test_anchors_behind_16_mb():
     inside = far["lo"] > len(front)
     assert inside.any() and set((far["at"][inside] - len(front)).tolist()) <= set(alone["at"].tolist())
     assert (far["lo"] <= far["at"]).all() and (far["at"] <= far["hi"] + 200 - 32).all()
+
+
+def test_every_licence_template_is_found():
+    from riverbed.llm.license_scan import TEMPLATES, WINDOW, Model, _words
+
+    model = Model([prose(k, 50) for k in range(30)])
+    for family, lines in TEMPLATES.items():
+        for line in lines:
+            assert len(_words(line)) <= WINDOW and [x[1] for x in model.findings(line)] == [family], line
