@@ -26,19 +26,19 @@ from pyspark.sql import functions as F
 
 from riverbed.llm.common import table
 
-#: Short notices by which the licences are usually named.
+#: Notices by which the licences are usually named, and sentences of their bodies, of WINDOW words at most.
 TEMPLATES = {
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Distributed under the terms of the Apache License 2.0.", "SPDX-License-Identifier: Apache-2.0"],
-    "mit": ["Released under the MIT License.", "This project is licensed under the terms of the MIT license.", "SPDX-License-Identifier: MIT"],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted.", "Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "Distributed under the GNU General Public License, version 2 or later.", "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "lgpl": ["Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-or-later"],
-    "agpl": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-or-later"],
-    "mpl": ["This file is subject to the terms of the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
-    "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."],
-    "cc-by-sa": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."],
-    "cc-by-nc": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."],
-    "cc0": ["To the extent possible under law, the author has waived all rights under CC0 1.0 Universal.", "Dedicated to the public domain under CC0 1.0."],
+    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Distributed under the terms of the Apache License 2.0.", "SPDX-License-Identifier: Apache-2.0", "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0.", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, without warranties or conditions of any kind, either express or implied.", "Each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display and distribute the Work."],
+    "mit": ["Released under the MIT License.", "This project is licensed under the terms of the MIT license.", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction.", "Including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
+    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted.", "Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "Distributed under the GNU General Public License, version 2 or later.", "SPDX-License-Identifier: GPL-3.0-or-later", "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."],
+    "lgpl": ["Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-or-later", "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."],
+    "agpl": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-or-later", "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."],
+    "mpl": ["This file is subject to the terms of the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0.", "SPDX-License-Identifier: CC-BY-4.0"],
+    "cc-by-sa": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0.", "SPDX-License-Identifier: CC-BY-SA-4.0", "If you remix, transform, or build upon the material, you must distribute your contributions under the same license as the original."],
+    "cc-by-nc": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0", "You may not use the material for commercial purposes."],
+    "cc0": ["To the extent possible under law, the author has waived all rights under CC0 1.0 Universal.", "Dedicated to the public domain under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all rights to the work worldwide under copyright law."],
     "proprietary": ["Copyright. All rights reserved.", "Confidential and proprietary. Unauthorized copying is prohibited."],
 }
 NOT_GRANTS = ["The driver renewed the license of the car last week.", "A fishing licence is required under the law of the state.", "The public library has a general version of the book.", "He attended MIT and worked on the project in public.", "The court reserved the right to all further terms.", "The copying of files is permitted with modification in the office.", "An international work of creative attribution was distributed."]

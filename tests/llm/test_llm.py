@@ -280,3 +280,6 @@ def test_every_licence_template_is_found():
     for family, lines in TEMPLATES.items():
         for line in lines:
             assert len(_words(line)) <= WINDOW and [x[1] for x in model.findings(line)] == [family], line
+    body = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software."
+    assert [x[1] for x in model.findings(body)] == ["mit"]
+    assert [x[1] for x in model.findings("Licensed under CC BY-NC 4.0.")] == ["cc-by-nc"]
