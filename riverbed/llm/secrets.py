@@ -2,9 +2,10 @@
 
 Every kind of part is matched leftmost and non-overlapping over the whole text with JVM regular expressions: `split` gives the gaps between matches and
 `regexp_extract_all` the matches, and a running sum of their lengths gives positions in code points. Base parts are reported as they are.
-Weak parts (opaque tokens, short assigned values, account names) are reported only when a complementary part starts within SCOPE code points in the
-same text. The interval join behind that puts parts into cells of SCOPE code points, keeps per cell and role the first and the last start, and joins each
-weak part to its own cell and the two beside it: at most three rows a part, however many parts a text holds.
+Weak parts (opaque tokens, short assigned values, account names) are reported only when a complementary part that does not overlap them starts within SCOPE
+code points in the same text; opaque tokens that overlap an address or an account name are pieces of those and no parts. The interval join behind that
+puts parts into cells of SCOPE code points and joins each weak part to the parts of the role it asks for in its own cell and the two beside it. Parts of a kind
+don't overlap and have a least length, so that a cell holds a bounded number of them, however many a text holds.
 
 Edge cases: a null text is empty and has no spans. Repeated rows, repeated and null ids are judged row by row, because rows carry a key of their own. An empty table gives
 an empty result. A span that overlaps a base span is never reported as weak. Other columns are kept by `redact` and ignored by `secret_spans`.
@@ -71,18 +72,23 @@ def reported(rows: DataFrame) -> DataFrame:
     kind = f"CASE WHEN kind = '{ASSIGN}' AND value < 8 THEN '{SHORT}' ELSE kind END"
     placed = placed.where(f"NOT (kind = '{KEY}' AND NOT mixed) AND NOT (kind = '{ASSIGN}' AND value < 4)").select("_rid", F.expr(kind).alias("kind"), "start", "stop")
     base = f"kind IN ('{ASSIGN}', '{ACCESS}', '{HEX}')"
-    # a weak part goes if a base part that starts before its end also ends after its start: one sweep over starts of base parts and last code points of weak ones
-    ends = placed.selectExpr("_rid", "kind", "start", "stop", f"{base} AS base").selectExpr("*", "CASE WHEN base THEN start ELSE stop - 1 END AS _at")
-    swept = ends.selectExpr("*", "max(CASE WHEN base THEN stop END) OVER (PARTITION BY _rid ORDER BY _at, CASE WHEN base THEN 0 ELSE 1 END ROWS UNBOUNDED PRECEDING) AS _reach")
-    free = swept.where("base OR NOT coalesce(_reach > start, false)").select("_rid", "kind", "start", "stop", "base")
+    held = f"kind IN ('{IDENT}', '{ENDPOINT}')"
+    # one sweep tells what overlaps: spans that cover others enter at their start, every span is judged at its last code point by how far those before it reach
+    enter = f"IF({base} OR {held}, array(struct(start AS at, 0 AS ask), struct(stop - 1 AS at, 1 AS ask)), array(struct(stop - 1 AS at, 1 AS ask)))"
+    events = placed.selectExpr("_rid", "kind", "start", "stop", f"{base} AS base", f"{held} AS held", f"inline({enter})")
+    reach = "max(CASE WHEN ask = 0 AND {0} THEN stop END) OVER (PARTITION BY _rid ORDER BY at, ask ROWS UNBOUNDED PRECEDING) AS _{0}"
+    swept = events.selectExpr("*", reach.format("base"), reach.format("held")).where("ask = 1")
+    # a weak part that overlaps a base part goes, and a key that is a piece of an address or a name
+    free = swept.where(f"base OR NOT coalesce(_base > start, false) AND NOT (kind = '{KEY}' AND coalesce(_held > start, false))")
+    free = free.select("_rid", "kind", "start", "stop", "base")
     role = f"CASE WHEN kind IN ('{ACCESS}', '{IDENT}') THEN 'who' WHEN kind = '{ENDPOINT}' THEN 'where' ELSE 'what' END"
     free = free.selectExpr("*", f"{role} AS role", f"start DIV {SCOPE} AS cell")
-    cells = free.groupBy("_rid", F.col("cell").alias("_cell"), F.col("role").alias("_role")).agg(F.min("start").alias("_first"), F.max("start").alias("_last"))
+    cells = free.selectExpr("_rid", "cell AS _cell", "role AS _role", "start AS _start", "stop AS _stop").distinct()
     weak = free.where(f"NOT base AND kind <> '{ENDPOINT}'")
     # what is secret needs a name or a place beside it; a name needs something secret
     asks = F.expr(f"explode(CASE WHEN role = 'what' THEN array('who', 'where') ELSE array('what') END)")
     asked = weak.select("*", asks.alias("_role")).select("*", F.explode(F.array(*[(F.col("cell") + d).cast("bigint") for d in (-1, 0, 1)])).alias("_cell"))
-    near = f"_first <= start + {SCOPE} AND _last >= start - {SCOPE}"
+    near = f"_start BETWEEN start - {SCOPE} AND start + {SCOPE} AND (_stop <= start OR _start >= stop)"
     linked = asked.join(cells, ["_rid", "_cell", "_role"]).where(near).select("_rid", "kind", "start", "stop").distinct()
     order = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS)) + " END"
     return free.where("base").select("_rid", "kind", "start", "stop").unionByName(linked).withColumn("k", F.expr(order))
@@ -134,9 +140,10 @@ WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({found}
 p AS (SELECT doc_id, kind, value, mixed, (sum(gap + len) OVER (PARTITION BY doc_id, kind ORDER BY ord))::BIGINT AS stop, len FROM f),
 q AS (SELECT doc_id, CASE WHEN kind = 'assign' AND value < 8 THEN 'short' ELSE kind END AS kind, stop - len AS start, stop FROM p WHERE NOT (kind = 'key' AND NOT mixed) AND NOT (kind = 'assign' AND value < 4)),
 b AS (SELECT * FROM q WHERE kind IN ('assign', 'access', 'hex')),
-w AS (SELECT * FROM q WHERE kind NOT IN ('assign', 'access', 'hex') AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = q.doc_id AND b.start < q.stop AND b.stop > q.start)),
+w AS (SELECT * FROM q WHERE kind NOT IN ('assign', 'access', 'hex') AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = q.doc_id AND b.start < q.stop AND b.stop > q.start)
+  AND NOT (kind = 'key' AND EXISTS (SELECT 1 FROM q h WHERE h.doc_id = q.doc_id AND h.kind IN ('ident', 'endpoint') AND h.start < q.stop AND h.stop > q.start))),
 r AS (SELECT *, CASE WHEN kind IN ('access', 'ident') THEN 'who' WHEN kind = 'endpoint' THEN 'where' ELSE 'what' END AS role FROM (SELECT * FROM b UNION ALL SELECT * FROM w)),
-l AS (SELECT * FROM r WHERE kind IN ('assign', 'access', 'hex') OR kind <> 'endpoint' AND EXISTS (SELECT 1 FROM r o WHERE o.doc_id = r.doc_id AND abs(o.start - r.start) <= {SCOPE} AND (r.role = 'what' AND o.role <> 'what' OR r.role = 'who' AND o.role = 'what'))),
+l AS (SELECT * FROM r WHERE kind IN ('assign', 'access', 'hex') OR kind <> 'endpoint' AND EXISTS (SELECT 1 FROM r o WHERE o.doc_id = r.doc_id AND abs(o.start - r.start) <= {SCOPE} AND (o.stop <= r.start OR o.start >= r.stop) AND (r.role = 'what' AND o.role <> 'what' OR r.role = 'who' AND o.role = 'what'))),
 s AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, {order}) FILTER (kind IN ('assign', 'access', 'hex')) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, {order}) AS spans FROM l GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN s USING (doc_id)"""

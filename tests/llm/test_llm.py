@@ -98,6 +98,20 @@ def test_secrets(spark):
     assert out[2]["text"] == "é [SECRET] x" and out[2]["n_chars"] == 12 and out[0]["text"] is None and out[5]["text"] == key and out[6]["spans"] == "clash"
 
 
+def test_secret_partners_are_other_spans(spark):
+    from riverbed.llm.secrets import redact, secret_spans
+
+    key, far = "Ab3dEf6hIj9kLm2nOp5q", "w " * 120
+    whole = ["see https://example.com/articles/2024/some-long-slug for more", "login=production-team-2024-europe", key, f"login=bob {far}{key}",
+             f"https://a.example/x1 and https://example.com/articles/2024/some-long-slug-{key}"]
+    linked = {f"https://a.example/x {key}": f"key:20:40", f"token=abcd login=bob": "short:0:10,ident:11:20", f"{key} é account: mary": "key:0:20,ident:23:36"}
+    texts = whole + list(linked)
+    got = {r["doc_id"]: r["spans"] for r in secret_spans(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [""] * len(whole) + list(linked.values())
+    out = {r["doc_id"]: r["text"] for r in redact(docs(spark, texts)).collect()}
+    assert [out[i] for i in range(len(whole))] == whole and out[len(whole)] == "https://a.example/x [SECRET]"
+
+
 def test_suffix_dedup_equals_brute_force(spark, monkeypatch):
     from riverbed.llm import suffix_dedup as sd
 
