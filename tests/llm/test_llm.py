@@ -70,7 +70,9 @@ def test_bpe_rows(spark):
     assert got[6]["decoded_sha256"] == hashlib.sha256(prose(1, 99).encode()).hexdigest()
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_decontamination(spark, monkeypatch, broadcast):
+    from riverbed.llm import decontaminate
     from riverbed.llm.decontaminate import contaminated_pairs, drop_contaminated
 
     item = prose(7, 40)
@@ -78,12 +80,25 @@ def test_decontamination(spark):
     broken[3] = "other"
     items = spark.createDataFrame([(1, item), (2, "too short"), (3, None)], "item_id long, text string")
     d = docs(spark, [*EDGE, prose(1, 500) + " " + item.upper() + ", " + prose(2, 500), prose(3, 80), " ".join(broken), item], "1 AS need")
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast)
     assert {(r["doc_id"], r["item_id"]) for r in contaminated_pairs(d, items).collect()} == {(6, 1), (8, 1), (9, 1)}
     left = drop_contaminated(d, items)
     assert left.columns == d.columns and {r["doc_id"] for r in left.collect()} == {0, 1, 2, 3, 4, 5, 7}
     assert contaminated_pairs(d, items.limit(0)).count() == 0 and contaminated_pairs(d.limit(0), items).count() == 0
 
 
+def test_decontamination_of_short_items_and_null_ids(spark):
+    from riverbed.llm.decontaminate import contaminated_pairs, drop_contaminated
+
+    items = [(1, "Four word test item"), (2, "two words"), (None, "an item without any id at all"), (4, "a b c d e"), (4, "f g h i j")]
+    texts = {1: "before four word, test item after", 2: "four word item test", 3: "these two words", None: "here is an item without any id at all yes", 5: "a b c d e then f g h i j", 6: "a b c d e", 7: None, 8: ""}
+    d = spark.createDataFrame([(i, t, 0) for i, t in texts.items()] + [(3, "two words two words", 0)], "doc_id long, text string, s int")
+    i = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["n_shingles"], r["n_shared"]) for r in contaminated_pairs(d, i).collect()}
+    assert got == {(1, 1, 1, 1), (3, 2, 1, 1), (None, None, 3, 3), (5, 4, 2, 2)}
+    assert sorted(r["doc_id"] for r in drop_contaminated(d, i).collect()) == [2, 6, 7, 8]
+
+
 def test_secrets(spark):
     from riverbed.llm.secrets import redact, secret_spans
 
