@@ -3,8 +3,9 @@
 Each document gets counts over its whole text. A quantile sketch of every derived rate is kept per (lang, source): the sketch is a
 histogram whose buckets keep the six leading bits of a whole number, so a quantile is off by at most 1/32 of its value, and two
 sketches merge by adding counts. Spark therefore pre-aggregates it on the map side, and a source with a third of all rows costs a few hundred
-rows in the shuffle. Thresholds are fences around the middle half of a group's own documents; the documents are joined to them.
-Groups of fewer than MIN_GROUP documents use the merged sketch of their language, and languages that small the sketch of all.
+rows in the shuffle. Thresholds are fences around the middle half of a group's documents; the documents are joined to them.
+A group's sketch is merged with that of its language, and that with the sketch of all, as if PRIOR more documents of the larger one were in the smaller: a group's own
+documents count in proportion to their number, at every size alike. Weights are whole numbers, so that the result doesn't depend on the order of sums.
 
 Edge cases: a null or empty text, and one of white space alone, has no words, takes no part in sketches and fails the base rule. Null lang or
 source is a group of its own. Repeated rows are judged row by row, each with the same verdict. An empty table gives an empty result. Other columns of
@@ -21,7 +22,8 @@ from riverbed.llm.common import scratch, table, words, written
 SYMBOLS = "[#*$%&|<>]"
 UPPER = "[A-Z]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
-MIN_GROUP = 200
+#: Documents of the language that a group is merged with, and of all that a language is.
+PRIOR = 100
 #: Least distance of a fence from the quartile, in the rate's own unit: a uniform group still tolerates this much.
 SLACK = {"sym": 100, "rep": 250, "dup": 250, "upp": 250, "len": 150}
 #: Rates that may also be too low.
@@ -67,20 +69,29 @@ def sketches(rated: DataFrame) -> DataFrame:
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """One row per (lang, source): lower and upper fence of each rate, from the smallest level with MIN_GROUP documents. A group's rows are at most a few hundred buckets a rate."""
-    ranked = sketch.selectExpr("*", "sum(n) OVER (PARTITION BY level, lang, source, rate ORDER BY bucket) AS upto", "sum(n) OVER (PARTITION BY level, lang, source, rate) AS total")
+    """One row per (lang, source): lower and upper fence of each rate, from its sketch merged with those above it.
+
+    A group has a row for each bucket that any document is in: a few hundred a rate. Each group is worked out by itself, so they spread over tasks.
+    """
+    level = lambda k, *keys: sketch.where(f"level = {k}").select(*keys, "rate", "bucket", F.col("n").cast("decimal(38,0)").alias(f"n{k}"))
+    groups = sketch.where("level = 0").select("lang", "source", "rate").distinct()
+    # six leading bits of a 64-bit number: under 2,000 buckets a rate, whatever the input
+    grid = groups.join(F.broadcast(level(2)), "rate")
+    same = lambda *keys: F.expr(" AND ".join(f"g.{k} <=> h.{k}" for k in (*keys, "rate", "bucket")))
+    for k, keys in ((1, ("lang",)), (0, ("lang", "source"))):
+        grid = grid.alias("g").join(level(k, *keys).alias("h"), same(*keys), "left").select("g.*", F.coalesce(f"h.n{k}", F.lit(0).cast("decimal(38,0)")).alias(f"n{k}"))
+    every = "OVER (PARTITION BY lang, source, rate)"
+    sized = grid.selectExpr("*", f"sum(n1) {every} AS t1", f"sum(n2) {every} AS t2")
+    weight = f"n0 * t2 * (t1 + {PRIOR}) + {PRIOR} * (n1 * t2 + {PRIOR} * n2)"
+    weighed = sized.selectExpr("lang", "source", "rate", "bucket", f"CAST({weight} AS decimal(38,0)) AS weight")
+    ranked = weighed.selectExpr("*", "sum(weight) OVER (PARTITION BY lang, source, rate ORDER BY bucket) AS upto", f"sum(weight) {every} AS total")
     at = lambda k: f"min(CASE WHEN 4 * upto >= {k} * total THEN bucket END)"
-    q = ranked.groupBy("level", "lang", "source", "rate").agg(F.max("total").alias("total"), F.expr(at(1)).alias("q1"), F.expr(at(3)).alias("q3"))
+    q = ranked.groupBy("lang", "source", "rate").agg(F.expr(at(1)).alias("q1"), F.expr(at(3)).alias("q3"))
     slack = F.expr("CASE rate " + " ".join(f"WHEN '{m}' THEN {v}" for m, v in SLACK.items()) + " END")
     wide = F.greatest(REACH * (F.col("q3") - F.col("q1")), slack)
     f = q.withColumns({"lo": F.when(F.col("rate").isin(*TWO_SIDED), F.col("q1") - wide), "hi": F.col("q3") + wide})
-    row = f.groupBy("level", "lang", "source").agg(F.max("total").alias("total"), *[F.max(F.when(F.col("rate") == m, F.col(e))).alias(f"{m}_{e}") for m in SLACK for e in ("lo", "hi") if e == "hi" or m in TWO_SIDED])
-    ends = [c for c in row.columns if c.endswith(("_lo", "_hi"))]
-    level = lambda k: row.where(f"level = {k}" + f" AND total >= {MIN_GROUP}" * (k == 1))
-    own, by_lang, all_ = level(0).alias("a"), level(1).alias("b"), level(2).alias("c")
-    small = F.col("a.total") < MIN_GROUP
-    pick = [F.when(~small, F.col(f"a.{e}")).when(F.col("b.total").isNotNull(), F.col(f"b.{e}")).otherwise(F.col(f"c.{e}")).alias(e) for e in ends]
-    return own.join(by_lang, F.col("a.lang").eqNullSafe(F.col("b.lang")), "left").join(all_, F.col("c.level") == 2, "left").select(F.col("a.lang").alias("lang"), F.col("a.source").alias("source"), *pick)
+    ends = [(m, e) for m in SLACK for e in ("lo", "hi") if e == "hi" or m in TWO_SIDED]
+    return f.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rate") == m, F.col(e))).alias(f"{m}_{e}") for m, e in ends])
 
 
 BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
@@ -128,25 +139,29 @@ def _sql() -> str:
     inside = " AND ".join([f"d.{m} <= f.{m}_hi" for m in SLACK] + [f"d.{m} >= f.{m}_lo" for m in TWO_SIDED])
     ends = [f"{m}_{e}" for m in SLACK for e in ("lo", "hi") if e == "hi" or m in TWO_SIDED]
     return f"""
-WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+WITH txt AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
-win AS (SELECT doc_id, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS p FROM t WHERE len(w) > 3)),
+win AS (SELECT doc_id, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS p FROM txt WHERE len(w) > 3)),
 rep AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win),
 cov AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, p + unnest([0, 1, 2]) AS q FROM rep WHERE c > 1) GROUP BY doc_id),
 counts AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l)::BIGINT AS n_lines,
-  (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')))::BIGINT AS n_upper, coalesce(n, 0)::BIGINT AS n_repeat_words FROM t LEFT JOIN cov USING (doc_id)),
+  (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')))::BIGINT AS n_upper, coalesce(n, 0)::BIGINT AS n_repeat_words FROM txt LEFT JOIN cov USING (doc_id)),
 rated AS (SELECT *, {per("n_symbols", "n_words", 1000)} AS sym, {per("n_repeat_words", "n_words", 1000)} AS rep, {per("n_dup_lines", "n_lines", 1000)} AS dup,
   {per("n_upper", "word_chars", 1000)} AS upp, {per("word_chars", "n_words", 100)} AS len FROM counts),
 vals AS ({" UNION ALL ".join(f"SELECT lang, source, '{m}' AS rate, {m} AS v FROM rated WHERE n_words > 0" for m in SLACK)}),
 lev AS (SELECT 0 AS level, lang, source, rate, v FROM vals UNION ALL SELECT 1, lang, NULL, rate, v FROM vals UNION ALL SELECT 2, NULL, NULL, rate, v FROM vals),
 sk AS (SELECT level, lang, source, rate, {bucket} AS bucket, count(*) AS n FROM lev GROUP BY ALL),
-ranked AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rate ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, rate) AS total FROM sk),
-q AS (SELECT level, lang, source, rate, max(total) AS total, min(CASE WHEN 4 * upto >= total THEN bucket END) AS q1, min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) AS q3 FROM ranked GROUP BY ALL),
+g AS (SELECT a.lang, a.source, rate, c.bucket, c.n::HUGEINT AS n2 FROM (SELECT DISTINCT lang, source, rate FROM sk WHERE level = 0) a JOIN (SELECT * FROM sk WHERE level = 2) c USING (rate)),
+j AS (SELECT g.*, coalesce(o.n, 0)::HUGEINT AS n0, coalesce(l.n, 0)::HUGEINT AS n1 FROM g
+  LEFT JOIN (SELECT * FROM sk WHERE level = 0) o ON g.lang IS NOT DISTINCT FROM o.lang AND g.source IS NOT DISTINCT FROM o.source AND g.rate = o.rate AND g.bucket = o.bucket
+  LEFT JOIN (SELECT * FROM sk WHERE level = 1) l ON g.lang IS NOT DISTINCT FROM l.lang AND g.rate = l.rate AND g.bucket = l.bucket),
+t AS (SELECT *, sum(n1) OVER (PARTITION BY lang, source, rate) AS t1, sum(n2) OVER (PARTITION BY lang, source, rate) AS t2 FROM j),
+w AS (SELECT lang, source, rate, bucket, n0 * t2::HUGEINT * (t1::HUGEINT + {PRIOR}) + {PRIOR} * (n1 * t2::HUGEINT + {PRIOR} * n2) AS weight FROM t),
+ranked AS (SELECT *, sum(weight) OVER (PARTITION BY lang, source, rate ORDER BY bucket) AS upto, sum(weight) OVER (PARTITION BY lang, source, rate) AS total FROM w),
+q AS (SELECT lang, source, rate, min(CASE WHEN 4 * upto >= total THEN bucket END) AS q1, min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) AS q3 FROM ranked GROUP BY ALL),
 f AS (SELECT *, CASE WHEN rate = 'len' THEN q1 - greatest({REACH} * (q3 - q1), {slack}) END AS lo, q3 + greatest({REACH} * (q3 - q1), {slack}) AS hi FROM q),
-r AS (SELECT level, lang, source, max(total) AS total, {", ".join(f"max(CASE WHEN rate = '{e[:-3]}' THEN {e[-2:]} END) AS {e}" for e in ends)} FROM f GROUP BY ALL),
-lim AS (SELECT a.lang, a.source, {", ".join(f"CASE WHEN a.total >= {MIN_GROUP} THEN a.{e} WHEN b.total IS NOT NULL THEN b.{e} ELSE c.{e} END AS {e}" for e in ends)}
-  FROM (SELECT * FROM r WHERE level = 0) a LEFT JOIN (SELECT * FROM r WHERE level = 1 AND total >= {MIN_GROUP}) b ON a.lang IS NOT DISTINCT FROM b.lang LEFT JOIN (SELECT * FROM r WHERE level = 2) c ON TRUE)
+lim AS (SELECT lang, source, {", ".join(f"max(CASE WHEN rate = '{e[:-3]}' THEN {e[-2:]} END) AS {e}" for e in ends)} FROM f GROUP BY ALL)
 SELECT d.doc_id, d.n_words, d.word_chars, d.n_symbols, d.n_dup_lines, d.n_repeat_words, ({BASE_FAILED}) AS base_failed, NOT ({BASE_FAILED}) AND coalesce({inside}, false) AS kept
 FROM rated d LEFT JOIN lim f ON d.lang IS NOT DISTINCT FROM f.lang AND d.source IS NOT DISTINCT FROM f.source"""
 

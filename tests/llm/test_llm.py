@@ -43,6 +43,30 @@ def test_quality_counts_and_edges(spark):
     assert quality_filter(d.limit(0)).count() == 0
 
 
+def test_quality_thresholds_of_large_and_small_groups_equal_sql(spark, tmp_path):
+    import duckdb
+
+    from riverbed.llm import quality_rules
+
+    r, rows = random.Random(11), []
+    groups = [("en", "big", 400), ("en", "small", 3), ("de", "mid", 120), (None, "x", 5), ("de", None, 1), ("fr", "odd", 40)]
+    for lang, source, n in groups:
+        for _ in range(n):
+            w = prose(len(rows), r.randrange(40, 90)).split()
+            w += r.choices(["#", "LOUD", "a|b", "extraordinarily", "twice and twice and"], k=r.choice((0, 0, 2, 9, 30)))
+            rows.append((len(rows), " ".join(w) + "\nline" * r.choice((0, 0, 0, 1, 6)), lang, source, 0))
+    rows += [(len(rows), None, "en", "big", 0), (len(rows) + 1, "", "en", "none", 0)]
+    spark.createDataFrame(rows, ROWS).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(tuple(x) for x in quality_rules.op1_quality_rules(spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(f"SELECT {', '.join(quality_rules.COLUMNS)} FROM ({quality_rules.SQL})").fetchall())
+    assert 0 < sum(x[-1] for x in got) < len(got) - 2
+    # a large group follows its own documents, a small one its language
+    loud = lambda text: quality_rules.rates(quality_rules.text_counts(spark.createDataFrame([(0, text, "en", "s", 0)], ROWS), ["doc_id"]))
+    assert loud("A B " * 30).first()["upp"] == 1000
+
+
 def test_bpe_equals_reference_encoder():
     import public_tokenizers as P
     import regex
