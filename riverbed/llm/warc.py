@@ -1,6 +1,6 @@
 """WARC archives: written with revisits for equal payloads, read back by boundary-chain verification.
 
-Writing: pages with equal payloads of at least LEAST bytes are found by digest; that with the largest page_id is the response, the others are revisits without payload. Each task writes one
+Writing: pages with equal payloads of at least LEAST bytes are found by digest, an aggregate with map-side combining; that with the largest page_id is the response, the others are revisits without payload. Each task writes one
 archive of gzip members, one per record, under a name of its own, and returns its place and size, so that files of lost or repeated tasks are never read.
 
 Reading: archives are cut into splits. A task looks for the magic bytes of a record in its split, opens each candidate, and emits its offset and its successor's; magic inside payloads makes
@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 from riverbed.llm.common import scratch, table, written
 
 LEAST = 1000
+#: Repeated payloads whose winners are broadcast, at about 100 bytes each; beyond that pages are joined by shuffle, those of one digest over SALTS tasks.
+BROADCAST_ROWS = 200_000
+SALTS = 64
 #: Bytes of an archive that one task searches for records.
 SPLIT = 16 << 20
 MAGIC = b"\x1f\x8b\x08"
@@ -71,12 +74,22 @@ def _packer(folder: str):
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """path, size of the archives written below folder, a URI that all workers can open. pages: page_id, url, html."""
-    sized = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"))
-    long_ = F.octet_length(F.coalesce("html", F.lit(""))) >= LEAST
-    winners = sized.where(long_).groupBy("digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("_n")).where("_n > 1").select("digest", "winner")
-    place = pages.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-    place.getFileSystem(pages.sparkSession.sparkContext._jsc.hadoopConfiguration()).mkdirs(place)
-    return sized.join(winners, "digest", "left").mapInArrow(_packer(folder), "path string, size long")
+    spark = pages.sparkSession
+    payload = F.coalesce("html", F.lit(""))
+    sized = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(payload.cast("binary")).alias("digest"), (F.octet_length(payload) >= LEAST).alias("_long"))
+    winners = sized.where("_long").groupBy("digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("_n")).where("_n > 1").select("digest", "winner")
+    winners = written(winners, scratch(spark))
+    if winners.count() <= BROADCAST_ROWS:
+        # archives are written where pages are read, no page is moved; short ones look for a digest that is never there
+        both = sized.withColumn("_key", F.when(F.col("_long"), F.col("digest"))).join(F.broadcast(winners.withColumnRenamed("digest", "_key")), "_key", "left")
+    else:
+        # pages of one digest are dealt over SALTS tasks, and its winner goes to each of these
+        salted = winners.select("digest", "winner", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+        dealt = sized.where("_long").withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+        both = dealt.join(salted, ["digest", "_salt"], "left").unionByName(sized.where("NOT _long"), allowMissingColumns=True)
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(place)
+    return both.select("page_id", "url", "html", "digest", "winner").mapInArrow(_packer(folder), "path string, size long")
 
 
 class _Ahead:
