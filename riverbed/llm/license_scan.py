@@ -1,15 +1,17 @@
 """Licence scan: a trained paragraph classifier with templates.
 
-A paragraph is a line, or a window of WINDOW words over a longer line. Its word uni- and bigrams are sparse binary features of a multinomial logistic regression over licence families and an unknown class.
-The model is trained here, on paragraphs generated from TEMPLATES (words dropped, repeated, framed by corpus words) against three kinds of unknown: lines of a bounded sample
-of the corpus (SAMPLE documents, those with the least text hash), shuffled template words, and sentences about licences that grant nothing. One half of each kind is held back to calibrate: the temperature
-that makes its probabilities honest, then the least probability at which at most FALSE of its unknown paragraphs pass. A passing paragraph is confirmed only if it holds SHARED of the distinct word pairs of a template of
-its family, so that the closest template names the licence.
+A paragraph is a line, or a run of lines without an empty one between them, as in wrapped notices; longer ones are looked at in windows of WINDOW words, half a window apart.
+Its word uni- and bigrams are sparse binary features of a multinomial logistic regression over licence families and an unknown class. The model is trained here, on
+paragraphs generated from TEMPLATES (words dropped, repeated, framed by corpus words) against three kinds of unknown: lines of a bounded sample of the corpus (SAMPLE_LINES
+lines of at most LINE_CHARS characters from SAMPLE documents, those with the least hashes), shuffled template words, and sentences about licences that grant nothing. One half of
+each kind is held back to calibrate: the temperature that makes its probabilities honest, then the least probability at which at most FALSE of its unknown paragraphs pass.
+A passing paragraph is confirmed only if it holds SHARED of the distinct word pairs of a template of its family, so that the closest template names the licence.
 
-A paragraph without any known bigram shares no pair with a template, so it is passed over, which changes no result.
+A paragraph without any known bigram shares no pair with a template, so it is passed over, which changes no result. What single lines show is reported by line; a run of lines adds the
+families that none of its lines shows, at the line where the most probable window begins.
 
 Edge cases: null and empty texts have no paragraphs. Repeated rows give repeated findings. Windows of one line that find the same family give one finding, the most probable. An empty table trains without
-corpus lines and gives no findings. Other columns are ignored.
+corpus lines and gives no findings. Other columns are ignored. The model depends on the sample and the seed alone.
 """
 
 from __future__ import annotations
@@ -43,6 +45,10 @@ TEMPLATES = {
 }
 NOT_GRANTS = ["The driver renewed the license of the car last week.", "A fishing licence is required under the law of the state.", "The public library has a general version of the book.", "He attended MIT and worked on the project in public.", "The court reserved the right to all further terms.", "The copying of files is permitted with modification in the office.", "An international work of creative attribution was distributed."]
 SAMPLE = 300
+SAMPLE_LINES = 6000
+LINE_CHARS = 4000
+#: Sampled lines whose words frame the training paragraphs.
+FRAME_LINES = 400
 WINDOW = 40
 FALSE = 0.001
 SHARED = 0.6
@@ -65,11 +71,25 @@ class Model:
         rnd = random.Random(seed)
         self.families = [*TEMPLATES, UNKNOWN]
         self.pairs = {f: [_pairs(_words(t)) for t in ts] for f, ts in TEMPLATES.items()}
+        known = {w for ts in TEMPLATES.values() for t in ts for w in _words(t)}
+        rows = self._paragraphs(lines, rnd)
+        self.ids: dict = {}
+        for w, f in rows:
+            if f != UNKNOWN:
+                for g in (*w, *sorted(_pairs(w))):
+                    if isinstance(g, tuple) or g in known:
+                        self.ids.setdefault(g, len(self.ids))
+        half = len(rows) // 2
+        self._fit(rows[:half])
+        self._calibrate(rows[half:])
+
+    def _paragraphs(self, lines: list[str], rnd: random.Random) -> list[tuple[list[str], str]]:
+        """Noisy copies of every template, and the three kinds of unknown; shuffled."""
         known = [w for ts in TEMPLATES.values() for t in ts for w in _words(t)]
         lines = [x for x in lines if not any(self._shared(_words(x), f) >= 0.3 for f in TEMPLATES)]
-        filler = [w for x in lines[:400] for w in _words(x)] or known
+        filler = [w for x in lines[:FRAME_LINES] for w in _words(x)] or known
         framed = lambda w: rnd.choices(filler, k=rnd.choice((0, 0, 0, 3, 10))) + w + rnd.choices(filler, k=rnd.choice((0, 0, 0, 3, 10)))
-        rows: list[tuple[list[str], str]] = []
+        rows = []
         for f, ts in TEMPLATES.items():
             for t in ts:
                 for _ in range(60):
@@ -79,15 +99,20 @@ class Model:
             rows.append((framed(rnd.sample(known, min(len(known), rnd.randrange(3, 14)))), UNKNOWN))
             rows.append((framed(_words(rnd.choice(NOT_GRANTS))), UNKNOWN))
         rnd.shuffle(rows)
-        self.ids: dict = {}
-        for w, f in rows:
-            if f != UNKNOWN:
-                for g in (*w, *_pairs(w)):
-                    if isinstance(g, tuple) or g in known:
-                        self.ids.setdefault(g, len(self.ids))
-        half = len(rows) // 2
-        self._fit(rows[:half])
-        self._calibrate(rows[half:])
+        return rows
+
+    def measured(self, lines: list[str], seed: int) -> dict[str, float]:
+        """On paragraphs of another seed: the share of licences confirmed with their family, of unknowns left alone, and the expected calibration error in ten bins."""
+        rows = self._paragraphs(lines, random.Random(seed))
+        found = [self.judged(w) for w, _ in rows]
+        grants = [x is not None and x[0] == f for x, (_, f) in zip(found, rows, strict=True) if f != UNKNOWN]
+        others = [x is None for x, (_, f) in zip(found, rows, strict=True) if f == UNKNOWN]
+        p = [self.probabilities(w) for w, _ in rows]
+        top = np.array([x.max() for x in p])
+        right = np.array([self.families[int(x.argmax())] == f for x, (_, f) in zip(p, rows, strict=True)])
+        place = np.minimum((top * 10).astype(int), 9)
+        error = sum(abs(float(top[place == k].mean() - right[place == k].mean())) * float((place == k).mean()) for k in range(10) if (place == k).any())
+        return {"recall": sum(grants) / len(grants), "left_alone": sum(others) / len(others), "calibration_error": error}
 
     def _shared(self, w: list[str], family: str) -> float:
         own = _pairs(w)
@@ -131,25 +156,52 @@ class Model:
         p = np.exp(z - z.max())
         return p / p.sum()
 
+    def judged(self, w: list[str]) -> tuple[str, float, float] | None:
+        """(family, probability, share of the template) of a window that is confirmed."""
+        if not any(g in self.ids for g in zip(w[:-1], w[1:], strict=True)):
+            return None
+        p = self.probabilities(w)
+        k = int(p.argmax())
+        family = self.families[k]
+        if family == UNKNOWN or p[k] < self.cut:
+            return None
+        share = self._shared(w, family)
+        return (family, float(p[k]), share) if share >= SHARED else None
+
     def findings(self, text: str) -> list[tuple[int, str, float, float]]:
         """(line, family, probability, share of the template) in a text."""
-        out = []
+        out, block = [], []
+
+        def windows(w: list) -> Iterator[int]:
+            return iter(range(0, max(1, len(w) - WINDOW // 2), WINDOW // 2))
+
+        def close() -> None:
+            """What the lines of a block show, each alone, and then all in a row."""
+            seen = set()
+            for n, w in block:
+                best: dict[str, tuple[float, float]] = {}
+                for a in windows(w):
+                    if x := self.judged(w[a : a + WINDOW]):
+                        best[x[0]] = max(best.get(x[0], (0.0, 0.0)), x[1:])
+                seen |= best.keys()
+                out.extend((n, f, *v) for f, v in sorted(best.items()))
+            if len(block) > 1:
+                w, at = [x for _, y in block for x in y], [n for n, y in block for _ in y]
+                more: dict[str, tuple[float, float, int]] = {}
+                for a in windows(w):
+                    part = at[a : a + WINDOW]
+                    if part and part[0] != part[-1] and (x := self.judged(w[a : a + WINDOW])) and x[0] not in seen:
+                        more[x[0]] = max(more.get(x[0], (0.0, 0.0, 0)), (x[1], x[2], -part[0]))
+                out.extend((-n, f, p, share) for f, (p, share, n) in sorted(more.items()))
+            block.clear()
+
         for n, line in enumerate(text.split("\n")):
-            w = _words(line)
-            best: dict[str, tuple[float, float]] = {}
-            for a in range(0, max(1, len(w) - WINDOW // 2), WINDOW // 2):
-                part = w[a : a + WINDOW]
-                if not any(g in self.ids for g in zip(part[:-1], part[1:], strict=True)):
-                    continue
-                p = self.probabilities(part)
-                k = int(p.argmax())
-                if self.families[k] == UNKNOWN or p[k] < self.cut:
-                    continue
-                f = self.families[k]
-                if (share := self._shared(part, f)) >= SHARED:
-                    best[f] = max(best.get(f, (0.0, 0.0)), (float(p[k]), share))
-            out += [(n, f, *v) for f, v in sorted(best.items())]
-        return out
+            if line.strip():
+                block.append((n, _words(line)))
+            else:
+                close()
+        close()
+        return sorted(out)
 
 
 def _scanner(model: Model):
@@ -166,8 +218,10 @@ def licences(docs: DataFrame) -> DataFrame:
     hashed = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("_h"))
     # hashes alone are ordered first: a task hands on SAMPLE numbers, not SAMPLE texts
     cut = hashed.select("_h").orderBy("_h").limit(SAMPLE).agg(F.max("_h")).first()[0]
-    sample = hashed.where(F.col("_h") <= F.lit(cut)).dropDuplicates(["_h"]).orderBy("_h").collect() if cut is not None else []
-    lines = [x for r in sample for x in r["text"].split("\n")][: 20 * SAMPLE]
+    lines: list[str] = []
+    if cut is not None:
+        every = hashed.where(F.col("_h") <= F.lit(cut)).select(F.explode(F.split("text", "\n")).alias("line")).where(f"length(line) <= {LINE_CHARS}")
+        lines = [r["line"] for r in every.distinct().orderBy(F.xxhash64("line"), "line").limit(SAMPLE_LINES).collect()]
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_scanner(Model(lines)), "doc_id long, line int, family string, probability double, shared double")
 
 
