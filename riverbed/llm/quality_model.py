@@ -6,7 +6,7 @@ passages; the weighted mean of their codes is scored. All weights are learned to
 Training uses at most TRAIN labelled documents, those with the least hash of their id among the rows whose crc32(doc_id as text) mod 5 is not 0; only their features reach the driver. Scoring
 runs over all passages of all documents without a shuffle. Labels, lang, source and doc_id are never inputs.
 
-Edge cases: a null or empty text is a bag of one empty passage and gets that bag's score. Repeated rows get equal scores. Without labels, or with labels of one class, all scores are the share of
+Edge cases: a null or empty text is a bag of one empty passage and gets that bag's score. Of labelled rows with one doc_id, the text with the least hash is learned; of clashing labels, the larger. Repeated rows get equal scores. Without labels, or with labels of one class, all scores are the share of
 label 1 (0.5 without labels). A null label is no label. An empty table gives an empty result. Other columns are ignored.
 """
 
@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     chosen = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(f"NOT ({HELD_OUT})").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN)
     # at most TRAIN rows of two numbers: small whatever the input
-    bags = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("text", F.col("quality").cast("int").alias("quality")).mapInPandas(_described, "quality int, x array<double>").toPandas()
+    bags = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text")).orderBy("doc_id").select("text", F.col("quality").cast("int").alias("quality")).mapInPandas(_described, "quality int, x array<double>").toPandas()
     y = bags["quality"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return {"p": float(y.mean()) if len(y) else 0.5}
