@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +52,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def words(text: Column) -> Column:
     """The words of a text in order; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
+
+
+def runs(batches: Iterable[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Runs of equal key; a run may go on in the next batch. Rows arrive sorted by key."""
+    rest = None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        if rest is not None:
+            pdf = pd.concat([rest, pdf], ignore_index=True)
+        k = pdf[key].to_numpy()
+        cut = np.flatnonzero(k[1:] != k[:-1]) + 1
+        for a, b in zip(np.concatenate(([0], cut[:-1])) if len(cut) else [], cut, strict=True):
+            yield pdf.iloc[a:b]
+        rest = pdf.iloc[cut[-1] :] if len(cut) else pdf
+    if rest is not None:
+        yield rest

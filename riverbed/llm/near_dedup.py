@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riverbed.llm import shingles
-from riverbed.llm.common import scratch, table, written
+from riverbed.llm.common import runs, scratch, table, written
 from riverbed.llm.graph import components
 
 SIMILAR = 80
@@ -80,23 +80,6 @@ def _with_sets(size: int):
     return run
 
 
-def _groups(batches: Iterable[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
-    """Runs of equal key; a run may go on in the next batch. Rows arrive sorted by key."""
-    rest = None
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        if rest is not None:
-            pdf = pd.concat([rest, pdf], ignore_index=True)
-        k = pdf[key].to_numpy()
-        cut = np.flatnonzero(k[1:] != k[:-1]) + 1
-        for a, b in zip(np.concatenate(([0], cut[:-1])) if len(cut) else [], cut, strict=True):
-            yield pdf.iloc[a:b]
-        rest = pdf.iloc[cut[-1] :] if len(cut) else pdf
-    if rest is not None:
-        yield rest
-
-
 class _Union:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -118,7 +101,7 @@ def _plausible(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import xxhash
 
     names, cids, labels = [], [], []
-    for g in _groups(batches, "grp"):
+    for g in runs(batches, "grp"):
         # the most common label last: its rows need no comparison with each other
         top, most = Counter(g["label"]).most_common(1)[0]
         g = g.iloc[np.argsort((g["label"] == top).to_numpy(), kind="stable")]
@@ -149,7 +132,7 @@ def _plausible(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _linked(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The links of each part, on full sets; pairs that are already connected in the part, or have one label, are passed over."""
     a, b = [], []
-    for g in _groups(batches, "part"):
+    for g in runs(batches, "part"):
         sets, cid, label = [np.frombuffer(s, np.uint64) for s in g["set"]], g["cid"].tolist(), g["label"].tolist()
         u, first = _Union(len(cid)), {}
         for i, x in enumerate(label):

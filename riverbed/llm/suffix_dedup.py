@@ -26,8 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riverbed.llm.anchors import anchors
-from riverbed.llm.common import scratch, table, written
-from riverbed.llm.near_dedup import _groups
+from riverbed.llm.common import runs, scratch, table, written
 from riverbed.llm.shingles import BLOCK, mixed, powers, prefix
 
 SIZE = 200
@@ -126,7 +125,7 @@ def repeat_groups(left: list[bytes], right: list[bytes], size: int) -> Iterator[
 def _arrays(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Intervals to remove, for spans that occur once."""
     out: list[tuple] = []
-    for g in _groups(batches, "gram"):
+    for g in runs(batches, "gram"):
         left, right, single = g["left"].tolist(), g["right"].tolist(), g["single"].tolist()
         h1, h2, at = g["h1"].tolist(), g["h2"].tolist(), g["at"].tolist()
         for group in repeat_groups(left, right, SIZE):
