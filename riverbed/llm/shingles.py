@@ -47,9 +47,15 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     space = _SPACE[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).astype(np.int8)))
     start, stop = edge[::2], edge[1::2]
-    sums = prefix(data)
-    _, down = powers(len(data))
-    h = mixed((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    # arrays of eight bytes per byte are alive for BLOCK bytes, or one word, at a time, however long a text is; a word's hash does not depend on where it stands
+    h, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(stop, start[i] + BLOCK, side="right")))
+        first, last = start[i:j] - start[i], stop[i:j] - start[i]
+        sums = prefix(data[start[i] : stop[j - 1]])
+        _, down = powers(len(sums))
+        h[i:j] = mixed((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        i = j
     begin = np.cumsum([0] + [len(t) + 1 for t in texts])
     return h, np.searchsorted(start, begin)
 
