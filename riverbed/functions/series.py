@@ -84,10 +84,3 @@ def row_zscore(c: str, clip: float = 4.0) -> Column:
 
 def neutral(c: str) -> Column:
     return F.col(c) - F.avg(c).over(by_time())
-
-
-def ewm(values: Column, span: int) -> Column:
-    """Exponential mean of an ordered array, seeded with its first value: an array of the same length."""
-    a = 2.0 / (span + 1)
-    step = lambda acc, x: F.array_append(acc, F.when(F.size(acc) == 0, x).otherwise(a * x + (1 - a) * F.element_at(acc, -1)))
-    return F.aggregate(values, F.array().cast("array<double>"), step)

@@ -31,7 +31,7 @@ def split(df: DataFrame, keys: list[str], share: float = 0.6) -> DataFrame:
     return df.withColumn("split", F.when(F.row_number().over(_time(keys)) <= F.floor(n * share), "is").otherwise("oos"))
 
 
-def metrics(df: DataFrame, keys: list[str], per_year: int, position: str | None = None) -> DataFrame:
+def metrics(df: DataFrame, keys: list[str], per_year: int | Column, position: str | None = None) -> DataFrame:
     """One row per key: n, sharpe_ann, sr_pp, ret_ann, vol_ann, maxdd, hit, turnover, skew, kurt. Null but n below ten finite rows or without variance."""
     time = _time(keys)
     finite = df.where(F.col("net").isNotNull() & ~F.isnan("net") & (F.abs("net") < float("inf")))
@@ -56,3 +56,11 @@ def psr(benchmark: Column | float = 0.0) -> Column:
     s = F.col("sr_pp")
     spread = F.sqrt(F.greatest(F.lit(1e-12), 1 - F.col("skew") * s + (F.col("kurt") - 1) / 4 * s * s))
     return F.when(F.col("n") >= 10, normal_cdf((s - b) * F.sqrt(F.col("n") - 1) / spread))
+
+
+def psr_strict(benchmark: Column | float = 0.0) -> Column:
+    """The same without a floor below the spread: null where that is not positive, or below three rows."""
+    b = F.lit(benchmark) if isinstance(benchmark, float) else benchmark
+    s = F.col("sr_pp")
+    square = 1 - F.col("skew") * s + (F.col("kurt") - 1) / 4 * s * s
+    return F.when((F.col("n") > 2) & (square > 0), normal_cdf((s - b) * F.sqrt(F.col("n") - 1) / F.sqrt(F.when(square > 0, square).otherwise(1.0))))

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riverbed.functions import series as S
+from riverbed.operators.joins import asof
+from riverbed.operators.stateful import ewm
 from riverbed.plans.registry import query
 from riverbed.sources import panels as P
 
@@ -48,7 +50,7 @@ def mm_bars(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""{WITH_D}
-SELECT * FROM daily""", "close high low qvol spot funding", "symbol ts")
+SELECT * FROM daily""", "close high low qvol spot funding:9", "symbol ts")
 def daily_bars(spark: SparkSession, sf: str) -> DataFrame:
     return P.daily(spark, sf)
 
@@ -101,11 +103,9 @@ def trailing_beta(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""{WITH_D}, l AS (SELECT symbol, list(funding ORDER BY ts) AS v, list(ts ORDER BY ts) AS t FROM daily GROUP BY symbol),
 u AS (SELECT symbol, t[i] AS ts, list_reduce(v[:i], lambda a, x: 0.1 * x + 0.9 * a) AS e FROM l, unnest(generate_series(1, len(v))) AS g(i))
-SELECT symbol, ts, e * 1e6 AS ema, coalesce(lag(e) OVER (PARTITION BY symbol ORDER BY ts), 0) * 1e6 AS ema_lag FROM u""", "ema ema_lag", "symbol ts")
+SELECT symbol, ts, e AS ema, coalesce(lag(e) OVER (PARTITION BY symbol ORDER BY ts), 0) AS ema_lag FROM u""", "ema:12 ema_lag:12", "symbol ts")
 def ewm_funding(spark: SparkSession, sf: str) -> DataFrame:
-    lists = P.daily(spark, sf).groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("ts", "funding"))).alias("x"))
-    e = lists.select("symbol", F.arrays_zip(F.col("x.ts").alias("ts"), S.ewm(F.col("x.funding"), 19).alias("e")).alias("z")).select("symbol", F.inline("z"))
-    return e.select("symbol", "ts", (F.col("e") * 1e6).alias("ema"), (S.lagged("e", 1, 0.0) * 1e6).alias("ema_lag"))
+    return ewm(P.daily(spark, sf), ["symbol"], "funding", 19).withColumn("ema_lag", S.lagged("ema", 1, 0.0))
 
 
 @query(f"""{RETS}, k AS (SELECT *, rank() OVER (PARTITION BY ts ORDER BY ret) + (count(*) OVER (PARTITION BY ts, ret) - 1) / 2.0 AS rk, avg(ret) OVER t AS m, stddev_pop(ret) OVER t AS sd FROM r WHERE ret IS NOT NULL WINDOW t AS (PARTITION BY ts)),
@@ -201,12 +201,12 @@ def variance_ratio(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""{WITH_D}, o AS (SELECT CAST(o_orderdate AS DATE) AS ts, count(*) AS oi FROM orders GROUP BY 1)
 SELECT symbol, d.ts, oi FROM daily d ASOF LEFT JOIN o ON d.ts >= o.ts""", "", "symbol ts oi")
 def asof_orders(spark: SparkSession, sf: str) -> DataFrame:
-    """The last known order count at each bar: union, then carry forward. The right side has one row a day, so the one-key window holds days, not rows."""
+    """The last known order count at each bar."""
     bars = P.daily(spark, sf).select("ts", "symbol")
     counts = P.table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("ts")).agg(F.count("*").alias("oi"))
-    days = bars.select("ts").distinct().withColumn("oi", F.lit(None).cast("long")).withColumn("side", F.lit(1)).unionByName(counts.withColumn("side", F.lit(0)))
-    known = days.withColumn("oi", F.last("oi", True).over(W.partitionBy(F.lit(0)).orderBy("ts", "side").rowsBetween(W.unboundedPreceding, 0))).where("side = 1").drop("side")
-    return bars.join(known, "ts")
+    # every symbol gets its own copy of the counts: small days by few symbols, and no window over all rows
+    each = counts.join(F.broadcast(bars.select("symbol").distinct()), F.lit(True))
+    return asof(bars, each, ["symbol"], ["oi"])
 
 
 @query(f"""{WITH_D}, c AS (SELECT *, last_value(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS fin FROM daily), t AS (SELECT *, min(CAST(close = fin AS INTEGER)) OVER (PARTITION BY symbol ORDER BY ts DESC) AS tail FROM c)

@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riverbed.functions import series as S
-from riverbed.functions.probability import deflated_benchmark, normal_cdf_sql
+from riverbed.functions.probability import benchmark, benchmark_sql, normal_cdf_sql
 from riverbed.operators import backtest as B
 from riverbed.operators import formulas
+from riverbed.operators.stateful import ewm, latest
 from riverbed.plans.registry import query
 from riverbed.plans.research import DRETS, RETS, WITH_D, _daily_returns, _weekly_returns
 from riverbed.sources import panels as P
@@ -61,13 +62,13 @@ def select_in_sample(spark: SparkSession, sf: str) -> DataFrame:
     return m.where("split = 'oos'").join(best, ["symbol", "h"])
 
 
-@query(None)
+@query(f"""{_MET}, o AS (SELECT * FROM m WHERE split = 'oos'), s AS (SELECT {benchmark_sql("coalesce(stddev_samp(sr_pp), 0)", "count(*)")} AS star FROM o)
+SELECT symbol, h, n, sr_pp, star AS sr_star_pp, {normal_cdf_sql("((sr_pp - star) * sqrt(n - 1) / sqrt(greatest(1e-12, 1 - skew * sr_pp + (kurt - 1) / 4 * sr_pp * sr_pp)))")} AS dsr_prob FROM o, s""", "sr_pp sr_star_pp dsr_prob:9", "symbol h n")
 def deflated_sharpe(spark: SparkSession, sf: str) -> DataFrame:
-    """The battery out of sample against the Sharpe ratio that its best variant would show by luck."""
+    """The battery out of sample against the Sharpe ratio that its best variant would show by luck: a one-row aggregate joined back."""
     m = _evaluated(spark, sf).where("split = 'oos'")
-    row = m.agg(F.stddev_samp("sr_pp"), F.count("*")).first()
-    star = deflated_benchmark(row[0] or 0.0, row[1])
-    return m.select("symbol", "h", "n", "sr_pp", F.lit(star).alias("sr_star_pp"), B.psr(star).alias("dsr_prob"))
+    star = m.agg(benchmark(F.coalesce(F.stddev_samp("sr_pp"), F.lit(0.0)), F.count("*")).alias("sr_star_pp"))
+    return m.join(F.broadcast(star), F.lit(True)).withColumn("dsr_prob", B.psr(F.col("sr_star_pp")))
 
 
 @query(f"""{DRETS}, l AS (SELECT symbol, list(funding ORDER BY ts) AS v, list(ts ORDER BY ts) AS t FROM daily GROUP BY symbol),
@@ -75,10 +76,8 @@ u AS (SELECT symbol, t[i] AS ts, list_reduce(v[:i], lambda a, x: 0.1 * x + 0.9 *
 SELECT symbol, ts, CAST(coalesce(last_value(CASE WHEN e > 1e-6 THEN 1 WHEN e < -1e-6 THEN -1 WHEN abs(e) < 1e-6 / 3 THEN 0 END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts), 0) AS INTEGER) AS state FROM k""", "", "symbol ts state")
 def hysteresis(spark: SparkSession, sf: str) -> DataFrame:
     """Enter beyond a threshold, leave inside a third of it, else hold: the state is that of the last decisive bar."""
-    lists = P.daily(spark, sf).groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("ts", "funding"))).alias("x"))
-    e = lists.select("symbol", F.arrays_zip(F.col("x.ts").alias("ts"), S.ewm(F.col("x.funding"), 19).alias("v")).alias("z")).select("symbol", F.inline("z")).withColumn("e", S.lagged("v", 1, 0.0))
-    decided = F.expr("CASE WHEN e > 1e-6 THEN 1 WHEN e < -1e-6 THEN -1 WHEN abs(e) < 1e-6 / 3 THEN 0 END")
-    return e.withColumn("d", decided).select("symbol", "ts", F.coalesce(F.last("d", True).over(S.by_symbol().rowsBetween(W.unboundedPreceding, 0)), F.lit(0)).alias("state"))
+    e = ewm(P.daily(spark, sf), ["symbol"], "funding", 19, "v").withColumn("e", S.lagged("v", 1, 0.0))
+    return e.select("symbol", "ts", latest(F.expr("CASE WHEN e > 1e-6 THEN 1 WHEN e < -1e-6 THEN -1 WHEN abs(e) < 1e-6 / 3 THEN 0 END")).alias("state"))
 
 
 @query(f"""{RETS}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM r)
@@ -118,9 +117,9 @@ def select_and_size(spark: SparkSession, sf: str) -> DataFrame:
     b = P.daily(spark, sf).withColumn("expiry", F.expr("date_sub(add_months(trunc(ts, 'quarter'), 3), 1)")).withColumn("dte", F.datediff("expiry", "ts"))
     b = b.withColumn("ann", (F.col("close") / F.col("spot") - 1) * 365 / F.greatest("dte", F.lit(1))).where("dte BETWEEN 20 AND 85 AND ann > 0.1")
     e = b.withColumn("rn", F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("ann"), "ts"))).where("rn = 1")
-    every = W.partitionBy(F.lit(0))
-    c = e.withColumn("w", F.least(F.col("ann") / F.sum("ann").over(every), F.lit(0.4)))
-    return c.withColumn("weight", F.col("w") / F.sum("w").over(every)).withColumn("gross", F.col("weight") * 3)
+    whole = lambda df, c: df.join(F.broadcast(df.agg(F.sum(c).alias("_all"))), F.lit(True))
+    c = whole(e, "ann").withColumn("w", F.least(F.col("ann") / F.col("_all"), F.lit(0.4))).drop("_all")
+    return whole(c, "w").withColumn("weight", F.col("w") / F.col("_all")).withColumn("gross", F.col("weight") * 3)
 
 
 FORMULAS = (("sub", ("rank", ("feat", "ret")), ("feat", "qvol_z")), ("div", ("tsmean3", ("feat", "ret")), ("tsstd10", ("feat", "ret"))), ("neut", ("tsdelta5", ("feat", "close"))), ("sign", ("delay1", ("feat", "ret"))))
@@ -134,13 +133,3 @@ def formula_trees(spark: SparkSession, sf: str) -> DataFrame:
     """Formula trees compiled to columns; all formulas share one job."""
     d = _weekly_returns(spark, sf).where("ret IS NOT NULL").withColumn("qvol_z", S.row_zscore("qvol"))
     return formulas.evaluate(d, {f"f{k}": t for k, t in enumerate(FORMULAS)})
-
-
-@query(None)
-def pair_state(spark: SparkSession, sf: str) -> DataFrame:
-    """Flat above 2 to short, below -2 to long, out at half a deviation: a fold over each symbol's ordered scores."""
-    z = _daily_returns(spark, sf).select("symbol", "ts", S.zscore("close", 20, 10).alias("z"))
-    lists = z.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("ts", "z"))).alias("x"))
-    fold = "aggregate(x, CAST(array() AS array<int>), (a, v) -> array_append(a, CASE WHEN v.z IS NULL THEN coalesce(element_at(slice(a, -1, 1), 1), 0) WHEN size(a) = 0 OR a[size(a) - 1] = 0 THEN CASE WHEN v.z > 2 THEN -1 WHEN v.z < -2 THEN 1 ELSE 0 END WHEN a[size(a) - 1] = -1 AND v.z < 0.5 THEN 0 WHEN a[size(a) - 1] = 1 AND v.z > -0.5 THEN 0 ELSE a[size(a) - 1] END))"
-    fold = fold.replace("coalesce(element_at(slice(a, -1, 1), 1), 0)", "CASE WHEN size(a) = 0 THEN 0 ELSE a[size(a) - 1] END")
-    return lists.select("symbol", F.arrays_zip(F.col("x.ts").alias("ts"), F.expr(fold).alias("state")).alias("z")).select("symbol", F.inline("z"))
