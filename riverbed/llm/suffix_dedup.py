@@ -4,8 +4,8 @@
    A row is an anchor with the windows that choose it, known by the hash of the bytes at the anchor (gram) and of all bytes of its windows (span).
 2. Counts. Grams are counted with map-side combining. Rows whose span occurs twice are repeated as a whole. Left over are rows that share a gram but not their span: ends of copied passages.
 3. Suffix arrays. The distinct spans of such a gram are sorted by what follows the anchor; with the common prefixes of neighbours that is an enhanced suffix array. A stack scan gives
-   its common-prefix intervals; in each, members are told apart by what stands to the left of the anchor. Members with a common left part that makes up SIZE bytes with the common prefix are a repeat
-   group, with all its occurrences. Grams with more than HOT spans, such as the ends of a passage that a third of all documents share, are resolved window by window with counts
+   its common-prefix intervals; in each, a second scan over the reversed left contexts gives the groups with a common left part, and those that go on differently on either side and make up SIZE bytes are maximal
+   repeat groups with all their occurrences (`maximal_repeats` lists them). Grams with more than HOT spans, such as the ends of a passage that a third of all documents share, are resolved window by window with counts
    that combine on the map side, so that no task holds such a group.
 4. Removal. Intervals are made distinct, listed per text and joined to the texts.
 
@@ -99,27 +99,28 @@ def prefix_intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((d, first))
 
 
-def repeat_groups(left: list[bytes], right: list[bytes], size: int) -> Iterator[list[tuple[int, int, int]]]:
-    """Maximal repeat groups among occurrences of one anchor: lists of (occurrence, bytes before the anchor, bytes after it), the two of which make up `size` at least.
+def repeat_groups(left: list[bytes], right: list[bytes], size: int) -> Iterator[tuple[int, int, list[int]]]:
+    """Maximal repeat groups among occurrences of one anchor: (bytes before the anchor, bytes after it, all occurrences that have these in common), `size` bytes at least.
 
-    left and right: the bytes on either side of each occurrence. A member repeats, with those bytes around its anchor, in another member of its group.
+    left and right: the bytes on either side of each occurrence. Within an interval of the suffix array, members that share their left bytes are an interval of the array of reversed left
+    contexts. It is a group of its own if its members go on differently on both sides: their common left part ends where they differ, or at a context's begin, and they lie in several
+    children of the right interval. Others are the same occurrences as a longer group, which another pair of intervals gives.
     """
     order = sorted(range(len(right)), key=right.__getitem__)
     lcp = [common_prefix(right[i], right[j]) for i, j in zip(order[:-1], order[1:], strict=True)]
+    edge = np.array([*lcp, -1], np.int64)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
     back = [x[::-1] for x in left]
     for depth, first, last in prefix_intervals(lcp):
         need = max(0, size - depth)
         members = sorted(order[first : last + 1], key=back.__getitem__)
         near = [common_prefix(back[i], back[j]) for i, j in zip(members[:-1], members[1:], strict=True)]
-        group = []
-        for k, i in enumerate(members):
-            same = max(near[k - 1] if k else 0, near[k] if k < len(near) else 0)
-            if same >= need:
-                group.append((i, same, depth))
-            # members whose left parts differ too early fall into other groups
-            if group and (k == len(near) or near[k] < need):
-                yield group
-                group = []
+        # the child of the right interval that each member lies in: children end where neighbours have just `depth` bytes in common
+        child = np.concatenate(([0], np.cumsum(edge[first:last] == depth)))[place[members] - first]
+        for before, a, b in prefix_intervals(near):
+            if before >= need and child[a : b + 1].min() != child[a : b + 1].max():
+                yield before, depth, members[a : b + 1]
 
 
 def _arrays(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,14 +129,34 @@ def _arrays(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for g in runs(batches, "gram"):
         left, right, single = g["left"].tolist(), g["right"].tolist(), g["single"].tolist()
         h1, h2, at = g["h1"].tolist(), g["h2"].tolist(), g["at"].tolist()
-        for group in repeat_groups(left, right, SIZE):
-            out += [(h1[i], h2[i], at[i] - before, at[i] + after) for i, before, after in group if single[i]]
+        furthest: dict[tuple[int, int], int] = {}
+        for before, after, group in repeat_groups(left, right, SIZE):
+            for i in group:
+                if single[i]:
+                    furthest[i, after] = max(before, furthest.get((i, after), 0))
+        out += [(h1[i], h2[i], at[i] - before, at[i] + after) for (i, after), before in furthest.items()]
         if len(out) > 20_000:
             yield pd.DataFrame(out, columns=["h1", "h2", "start", "stop"])
             out = []
     yield pd.DataFrame(out, columns=["h1", "h2", "start", "stop"])
 
 
+def _grouped(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """group, span, before, length of every maximal repeat group, a row for each distinct context in it; a context that occurs several times is a group by itself."""
+    out: list[tuple] = []
+    for g in runs(batches, "gram"):
+        gram, left, right, spans = int(g["gram"].iloc[0]), g["left"].tolist(), g["right"].tolist(), g["span"].tolist()
+        groups = list(repeat_groups(left, right, SIZE))
+        groups += [(len(left[i]), len(right[i]), [i]) for i, single in enumerate(g["single"].tolist()) if not single]
+        for before, after, group in groups:
+            name = hashlib.blake2b(left[group[0]][len(left[group[0]]) - before :] + b"|" + right[group[0]][:after], digest_size=16).digest()
+            out += [(gram, name, spans[i], before, before + after) for i in group]
+        if len(out) > 20_000:
+            yield pd.DataFrame(out, columns=["gram", "group", "span", "before", "length"])
+            out = []
+    yield pd.DataFrame(out, columns=["gram", "group", "span", "before", "length"])
+
+
 def _windows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Every window of every span: a hash of its bytes and of where the anchor lies."""
     for pdf in batches:
@@ -186,28 +207,55 @@ def _blobs(docs: DataFrame, keep: str) -> DataFrame:
     return docs.select(*([keep] if keep else []), "h1", "h2", "text").mapInArrow(_packed, f"{keep} long, " * bool(keep) + "h1 long, h2 int, blob binary")
 
 
-def repeated_intervals(docs: DataFrame) -> DataFrame:
-    """h1, h2, start, stop: intervals of each text that cover all its repeated bytes and no others; they may overlap. docs: h1, h2, text."""
-    spark = docs.sparkSession
-    place = scratch(spark)
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def _found(docs: DataFrame, place: str) -> tuple[DataFrame, DataFrame]:
+    """(anchors whose gram occurs again, with `several` where its spans differ; the spans of such grams with their count c and one occurrence)."""
     # the anchors are computed twice, which costs less than to store them
     rows = docs.select("h1", "h2", "text").mapInArrow(_anchored, "gram long, span long, h1 long, h2 int, lo int, hi int, at int")
     grams = rows.groupBy("gram").agg(F.count("*").alias("_n"), F.min("span").alias("_lo"), F.max("span").alias("_hi")).where("_n > 1").select("gram", F.expr("_lo <> _hi").alias("several"))
     found = written(rows.join(grams, "gram"), f"{place}/found")
-    whole = found.where("NOT several").select("h1", "h2", F.col("lo").alias("start"), (F.col("hi") + SIZE).alias("stop"))
     spans = found.where("several").groupBy("gram", "span").agg(F.count("*").alias("c"), F.min(F.struct("h1", "h2", "lo", "hi", "at")).alias("one"))
-    spans = written(spans, f"{place}/spans")
-    often = spans.where("c > 1").select("gram", "span")
-    whole = whole.unionByName(found.where("several").join(often, ["gram", "span"], "left_semi").select("h1", "h2", F.col("lo").alias("start"), (F.col("hi") + SIZE).alias("stop")))
+    return found, written(spans, f"{place}/spans")
+
+
+def _around(docs: DataFrame, spans: DataFrame, place: str) -> DataFrame:
+    """gram, span, h1, h2, at, single, left, right of one occurrence of each span."""
     ask = spans.select(F.struct("gram", "span", "one.h1", "one.h2", "one.lo", "one.hi", "one.at", F.expr("c = 1").alias("single")).alias("x"))
     asked = ask.groupBy("x.h1", "x.h2").agg(F.collect_list("x").alias("asked"))
     texts = _blobs(docs, "").dropDuplicates(["h1", "h2"])
-    around = texts.join(asked, ["h1", "h2"]).select("blob", "asked").mapInArrow(_contexts, "gram long, span long, h1 long, h2 int, at int, single boolean, left binary, right binary")
-    around = written(around, f"{place}/around")
+    made = texts.join(asked, ["h1", "h2"]).select("blob", "asked").mapInArrow(_contexts, "gram long, span long, h1 long, h2 int, at int, single boolean, left binary, right binary")
+    return written(made, f"{place}/around")
+
+
+def _by_gram(around: DataFrame) -> DataFrame:
+    n = max(1, int(around.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return around.repartition(n, "gram").sortWithinPartitions("gram")
+
+
+def maximal_repeats(docs: DataFrame) -> DataFrame:
+    """group, h1, h2, start, length: every occurrence of each maximal repeat group that an anchor lies in, by the hashes of its text. docs: h1, h2, text.
+
+    A group is a string of SIZE bytes or more that occurs twice at least and would lose an occurrence if it were longer on either side, as far as the windows of its anchor reach. One
+    gram's distinct contexts are one task's work, about a kilobyte each.
+    """
+    place = scratch(docs.sparkSession)
+    found, spans = _found(docs, place)
+    groups = _by_gram(_around(docs, spans, place)).mapInPandas(_grouped, "gram long, group binary, span long, before int, length int")
+    many = found.where("several").join(groups, ["gram", "span"]).select("group", "h1", "h2", (F.col("at") - F.col("before")).alias("start"), "length")
+    whole = found.where("NOT several").select(F.expr("CAST(concat(hex(gram), hex(span)) AS binary)").alias("group"), "h1", "h2", F.col("lo").alias("start"), (F.col("hi") + SIZE - F.col("lo")).alias("length"))
+    return many.unionByName(whole).distinct()
+
+
+def repeated_intervals(docs: DataFrame) -> DataFrame:
+    """h1, h2, start, stop: intervals of each text that cover all its repeated bytes and no others; they may overlap. docs: h1, h2, text."""
+    place = scratch(docs.sparkSession)
+    found, spans = _found(docs, place)
+    interval = ["h1", "h2", F.col("lo").alias("start"), (F.col("hi") + SIZE).alias("stop")]
+    often = spans.where("c > 1").select("gram", "span")
+    whole = found.where("NOT several").select(*interval).unionByName(found.where("several").join(often, ["gram", "span"], "left_semi").select(*interval))
+    around = _around(docs, spans, place)
     big = spans.groupBy("gram").agg(F.count("*").alias("_v")).where(f"_v > {HOT}").select("gram")
     ends = "h1 long, h2 int, start int, stop int"
-    few = around.join(big, "gram", "left_anti").select("gram", "h1", "h2", "at", "single", "left", "right").repartition(n, "gram").sortWithinPartitions("gram").mapInPandas(_arrays, ends)
+    few = _by_gram(around.join(big, "gram", "left_anti").select("gram", "h1", "h2", "at", "single", "left", "right")).mapInPandas(_arrays, ends)
     every = around.join(big, "gram", "left_semi").mapInPandas(_windows, "gram long, w long, h1 long, h2 int, start int, single boolean")
     twice = every.groupBy("gram", "w").agg(F.count("*").alias("_c")).where("_c > 1").select("gram", "w")
     many = every.where("single").join(twice, ["gram", "w"], "left_semi").select("h1", "h2", "start", (F.col("start") + SIZE).alias("stop"))

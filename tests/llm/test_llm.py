@@ -173,12 +173,51 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch):
             assert (got[i]["n_removed"], got[i]["kept_sha256"]) == (int(gone.sum()), hashlib.sha256(kept).hexdigest())
 
 
-def test_repeat_groups_list_all_occurrences():
+def test_repeat_groups_are_maximal_and_list_all_occurrences():
     from riverbed.llm.suffix_dedup import prefix_intervals, repeat_groups
 
     assert list(prefix_intervals([2, 3, 1])) == [(3, 1, 2), (2, 0, 2), (1, 0, 3)]
-    groups = list(repeat_groups([b"xxA", b"yyA", b"zzB", b"qqB"], [b"common1", b"common2", b"common3", b"comet"], 7))
-    assert sorted(i for i, _, _ in groups[0]) == [0, 1]
+    r = random.Random(4)
+    for _ in range(60):
+        n, size = r.randrange(2, 12), r.randrange(3, 8)
+        left, right = ([bytes(r.choices(b"ab", k=5)) for _ in range(n)] for _ in range(2))
+        left, right = zip(*{(a, b) for a, b in zip(left, right, strict=True)}, strict=True)
+        ends = lambda i, x, y: (left[i][5 - x :], right[i][:y])  # noqa: E731, B023
+        want = set()
+        for x in range(6):
+            for y in range(max(0, size - x), 6):
+                by = {}
+                for i in range(len(left)):
+                    by.setdefault(ends(i, x, y), []).append(i)
+                for group in by.values():
+                    wider = [(x + 1, y)] * (x < 5) + [(x, y + 1)] * (y < 5)
+                    if len(group) > 1 and all(len({ends(i, *w) for i in group}) > 1 for w in wider):
+                        want.add((x, y, tuple(group)))
+        got = [(x, y, tuple(sorted(g))) for x, y, g in repeat_groups(list(left), list(right), size)]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_maximal_repeats_are_equal_strings_and_cover_what_is_removed(spark):
+    from pyspark.sql import functions as F
+
+    from riverbed.llm import suffix_dedup as sd
+
+    a = prose(1, 200)
+    texts = [a, a, prose(3, 50) + a[100:700] + prose(4, 60), a[300:650] + prose(5, 30), prose(6, 90)]
+    d = docs(spark, texts).select("text", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"))
+    at = {r["h1"]: r["text"].encode() for r in d.collect()}
+    groups, cover = {}, {}
+    for r in sd.maximal_repeats(d).collect():
+        groups.setdefault(bytes(r["group"]), set()).add((r["h1"], r["start"]))
+        string = at[r["h1"]][r["start"] : r["start"] + r["length"]]
+        assert len(string) == r["length"] >= sd.SIZE
+        groups.setdefault(b"s" + bytes(r["group"]), set()).add(string)
+        cover.setdefault(r["h1"], set()).update(range(r["start"], r["start"] + r["length"]))
+    assert all(len(v) == 1 for k, v in groups.items() if k[:1] == b"s" and k[1:] in groups) and len(groups) > 4
+    gone = {}
+    for r in sd.repeated_intervals(d).collect():
+        gone.setdefault(r["h1"], set()).update(range(r["start"], r["stop"]))
+    assert cover == gone
 
 
 def test_url_rules(spark):
