@@ -32,15 +32,15 @@ class Panel:
     symbols: tuple
 
 
-def gathered(df: DataFrame, features: list[str], forward: str) -> Panel:
-    """The panel of df (symbol, ts, features, forward) on the times that all symbols share."""
+def gathered(df: DataFrame, features: list[str], forward: str, ragged: bool = False) -> Panel:
+    """The panel of df (symbol, ts, features, forward) on the times that all symbols share, or with holes on all times."""
     n = df.count() * (len(features) + 1)
     if n > CELLS:
         raise ValueError(f"a panel of {n} values is too large to send to every task")
     rows = df.select("symbol", "ts", *features, forward).toPandas()
     wide = {c: rows.pivot(index="ts", columns="symbol", values=c).sort_index() for c in (*features, forward)}
     whole = rows.groupby("ts")["symbol"].nunique()
-    keep = whole.index[whole == rows["symbol"].nunique()].sort_values()
+    keep = whole.index[whole >= (1 if ragged else rows["symbol"].nunique())].sort_values()
     cut = {c: w.loc[keep].to_numpy(float) for c, w in wide.items()}
     return Panel({c: cut[c] for c in features}, cut[forward], tuple(keep), tuple(wide[forward].columns))
 

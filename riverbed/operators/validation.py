@@ -10,11 +10,14 @@ from riverbed.functions import series as S
 EDGE, MARGINAL, DEAD = "EDGE", "MARGINAL", "DEAD"
 
 
-def gate(df: DataFrame, gauge: str, quantile: float, name: str, above: bool = True) -> DataFrame:
-    """df (symbol, ts, split, gauge) with `name`: 0 a row after the gauge lay beyond its quantile over the rows in sample, else 1. The threshold is a row for each symbol."""
-    cuts = df.where("split = 'is'").groupBy("symbol").agg(F.percentile(gauge, F.lit(quantile)).alias("_cut"))
-    beyond = F.col(gauge) > F.col("_cut") if above else F.col(gauge) < F.col("_cut")
-    return df.join(cuts, "symbol").withColumn(name, F.when(beyond, 0.0).otherwise(1.0)).withColumn(name, S.lagged(name, 1, 1.0)).drop("_cut")
+def gates(df: DataFrame, gauges: list[str], quantile: float, above: bool = True) -> DataFrame:
+    """df (symbol, ts, split, gauges) with by_<gauge>: 0 a row after the gauge lay beyond its quantile over the rows in sample, else 1. The thresholds are one row for each symbol, from one pass."""
+    cuts = df.where("split = 'is'").groupBy("symbol").agg(*[F.percentile(g, F.lit(quantile)).alias(f"_cut_{g}") for g in gauges])
+    j = df.join(cuts, "symbol")
+    for g in gauges:
+        beyond = F.col(g) > F.col(f"_cut_{g}") if above else F.col(g) < F.col(f"_cut_{g}")
+        j = j.withColumn(f"by_{g}", F.when(beyond, 0.0).otherwise(1.0))
+    return j.withColumns({f"by_{g}": S.lagged(f"by_{g}", 1, 1.0) for g in gauges}).drop(*[f"_cut_{g}" for g in gauges])
 
 
 def robustness(m: DataFrame, keys: list[str]) -> DataFrame:

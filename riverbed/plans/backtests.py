@@ -206,7 +206,7 @@ SELECT symbol, overlay_sharpe_ann - base_sharpe_ann AS gain, overlay_maxdd - bas
 def overlay_test(spark: SparkSession, sf: str) -> DataFrame:
     """A gate on activity against no gate and against the plain gate on volatility; thresholds come from the first part alone and act a day later."""
     g = gentle(spark, sf).select("symbol", "ts", "ret", F.stddev_samp("ret").over(S.trailing(10)).alias("vol"), F.avg(F.abs("ret")).over(S.trailing(5)).alias("act"))
-    gates = validation.gate(validation.gate(B.split(g, ["symbol"]), "vol", 0.7, "by_vol"), "act", 0.7, "by_act")
+    gates = validation.gates(B.split(g, ["symbol"]), ["vol", "act"], 0.7)
     arms = F.array(*[F.struct(F.lit(a).alias("arm"), c.alias("pos")) for a, c in (("base", F.lit(1.0)), ("overlay", F.col("by_act")), ("trivial", F.col("by_vol")))])
     rows = gates.select("symbol", "ts", "ret", F.inline(arms))
     turn = F.abs(F.col("pos") - F.lag("pos", 1, 0.0).over(W.partitionBy("symbol", "arm").orderBy("ts")))

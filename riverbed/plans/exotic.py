@@ -17,6 +17,8 @@ from riverbed.plans.backtests import evaluated, gentle
 from riverbed.plans.panel_ops import features
 from riverbed.plans.registry import query
 from riverbed.plans.research import DRETS, RETS, _daily_returns, _weekly_returns
+from riverbed.sources import panels as P
+from riverbed.sources.cache import kept
 
 
 def _returns(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,7 +121,7 @@ def signature_models(spark: SparkSession, sf: str) -> DataFrame:
     sig = T.rolling_apply(_returns(spark, sf), ["symbol"], ["ret"], 16, 1, lambda x: tuple(K.signature(K.path_channels(x), 2)), ", ".join(f"s{k} double" for k in range(6)))
     g = gentle(spark, sf).select("symbol", "ts", "ret").withColumn("fwd", F.coalesce(F.lead("ret").over(S.by_symbol()), F.lit(0.0)))
     cols = [f"s{k}" for k in range(6)]
-    j = B.split(sig.join(g, ["symbol", "ts"]).dropna(subset=cols), ["symbol"])
+    j = kept(B.split(sig.join(g, ["symbol", "ts"]).dropna(subset=cols), ["symbol"]))
     train = j.where("split = 'is'").withColumn("up", (F.col("fwd") > 0).cast("double"))
     line, odds = fits.ridge(train, cols, "fwd", 10.0), fits.logistic(train, cols, "up", 1.0)
     p = j.withColumns({"ridge": F.signum(fits.linear(cols, line)), "logit": 1 / (1 + F.exp(-fits.linear(cols, odds))) - 0.5})
@@ -153,8 +155,14 @@ def embedded_shapes(spark: SparkSession, sf: str) -> DataFrame:
 # ---- whole panels
 
 
+def _filled(panel: DataFrame) -> DataFrame:
+    """symbol, ts, ret on all dates and symbols from the first date on which all have a price; nothing moved where nothing was traded."""
+    d = P.dense(panel.select("symbol", "ts", "close"), ["close"]).withColumn("ret", S.simple_return("close")).where("ret IS NOT NULL")
+    return d.select("symbol", "ts", "ret")
+
+
 def _wide(spark: SparkSession, sf: str) -> DataFrame:
-    return _weekly_returns(spark, sf).where("ret IS NOT NULL").select("symbol", "ts", "ret")
+    return _filled(P.weekly_universe(spark, sf))
 
 
 @query(None)
@@ -223,13 +231,14 @@ def _network(names: list, x: np.ndarray, times: list) -> list[tuple]:
 
 def flow_network(spark: SparkSession, sf: str) -> DataFrame:
     """win, src, dst, te, z: edges of the network over 200 days, refitted every 100: one group a refit, over a handful of symbols."""
-    return per_panel(windows(_returns(spark, sf), [], 200, 100), ["win"], "symbol", "ret", _network, "src string, dst string, te double, z double")
+    made = per_panel(windows(_filled(P.daily(spark, sf)), [], 200, 100), ["win"], "symbol", "ret", _network, "src string, dst string, te double, z double")
+    return kept(made)
 
 
 @query(None)
-def flow_centrality(spark: SparkSession, sf: str) -> DataFrame:
+def flow_centrality(spark: SparkSession, sf: str, edges: DataFrame | None = None) -> DataFrame:
     """Of each refit: what flows out of a symbol and into it over edges that stand out, the difference, and the network's density."""
-    e = flow_network(spark, sf).withColumn("sig", F.expr("CASE WHEN z >= 1 THEN te ELSE 0.0D END"))
+    e = (edges or flow_network(spark, sf)).withColumn("sig", F.expr("CASE WHEN z >= 1 THEN te ELSE 0.0D END"))
     ends = e.select("win", "sig", F.inline(F.array(F.struct(F.col("src").alias("symbol"), F.lit(1).alias("side")), F.struct(F.col("dst").alias("symbol"), F.lit(-1).alias("side")))))
     c = ends.groupBy("win", "symbol").agg(F.sum(F.expr("CASE WHEN side = 1 THEN sig ELSE 0.0D END")).alias("outflow"), F.sum(F.expr("CASE WHEN side = -1 THEN sig ELSE 0.0D END")).alias("inflow"))
     density = e.groupBy("win").agg(F.avg(F.expr("CASE WHEN sig > 0 THEN 1.0D ELSE 0.0D END")).alias("density"), F.sum("sig").alias("coupling"))
@@ -238,10 +247,10 @@ def flow_centrality(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(None)
 def page_rank(spark: SparkSession, sf: str) -> DataFrame:
-    """Rank of each symbol in each refit's network by twenty rounds of its edges' shares: joins of edges, no matrix."""
-    e = flow_network(spark, sf).where("z >= 1 AND te > 0")
-    out = e.withColumn("share", F.col("te") / F.sum("te").over(W.partitionBy("win", "src")))
-    nodes = flow_network(spark, sf).select("win", F.col("src").alias("symbol")).distinct()
+    """Rank of each symbol in each refit's network by eight rounds of its edges' shares: joins of edges, no matrix."""
+    e = flow_network(spark, sf)
+    out = e.where("z >= 1 AND te > 0").withColumn("share", F.col("te") / F.sum("te").over(W.partitionBy("win", "src")))
+    nodes = e.select("win", F.col("src").alias("symbol")).distinct()
     n = F.count("*").over(W.partitionBy("win"))
     rank = nodes.withColumn("n", n).withColumn("rank", 1 / F.col("n"))
     for _ in range(8):
@@ -253,8 +262,9 @@ def page_rank(spark: SparkSession, sf: str) -> DataFrame:
 @query(None)
 def sink_follow(spark: SparkSession, sf: str) -> DataFrame:
     """Symbols into which most flows, followed by what those that lead them did the day before: demeaned to gross one, metrics."""
-    e = flow_network(spark, sf).withColumn("sig", F.expr("CASE WHEN z >= 1 THEN te ELSE 0.0D END"))
-    c = flow_centrality(spark, sf).withColumn("place", F.row_number().over(W.partitionBy("win").orderBy("net_out", "symbol"))).where("place <= 3").select("win", F.col("symbol").alias("dst"))
+    network = flow_network(spark, sf)
+    e = network.withColumn("sig", F.expr("CASE WHEN z >= 1 THEN te ELSE 0.0D END"))
+    c = flow_centrality(spark, sf, network).withColumn("place", F.row_number().over(W.partitionBy("win").orderBy("net_out", "symbol"))).where("place <= 3").select("win", F.col("symbol").alias("dst"))
     led = e.join(c, ["win", "dst"])
     spans = e.select("win").distinct().withColumn("until", F.lead("win").over(W.orderBy("win")))
     g = gentle(spark, sf).select("symbol", "ts", "ret")
@@ -276,13 +286,11 @@ def functional_gates(spark: SparkSession, sf: str) -> DataFrame:
     """Every rolling functional as a gate on a plain position, its threshold from the first part, against no gate and against a gate on volatility: verdicts by symbol and functional."""
     f = rolling_functionals(spark, sf)
     g = gentle(spark, sf).select("symbol", "ts", "ret").withColumn("vol", F.stddev_samp("ret").over(S.trailing(10)))
-    j = B.split(g.join(f, ["symbol", "ts"]), ["symbol"])
-    for c in (*_GATES, "vol"):
-        j = validation.gate(j, c, 0.7, f"by_{c}")
+    j = validation.gates(kept(B.split(g.join(f, ["symbol", "ts"]), ["symbol"])), [*_GATES, "vol"], 0.7)
     arms = F.array(F.struct(F.lit("base").alias("arm"), F.lit(1.0).alias("pos")), *[F.struct(F.lit(c).alias("arm"), F.col(f"by_{c}").alias("pos")) for c in (*_GATES, "vol")])
     rows = j.select("symbol", "ts", "ret", F.inline(arms))
     turn = F.abs(F.col("pos") - F.lag("pos", 1, 0.0).over(W.partitionBy("symbol", "arm").orderBy("ts")))
-    m = evaluated(rows.withColumn("net", F.col("pos") * F.col("ret") - turn * 5 / 1e4), ["symbol", "arm"], 365).where("split = 'oos'")
+    m = kept(evaluated(rows.withColumn("net", F.col("pos") * F.col("ret") - turn * 5 / 1e4), ["symbol", "arm"], 365).where("split = 'oos'"))
     out = [validation.overlay_verdict(m, ["symbol"], "arm", "base", c, "vol", 0.1).withColumn("gauge", F.lit(c)) for c in _GATES]
     for o in out[1:]:
         out[0] = out[0].unionByName(o)

@@ -22,7 +22,7 @@ FEATURES = ["ret_z", "mom_z", "vol_z", "qvol_z"]
 def _panel(spark: SparkSession, sf: str) -> G.Panel:
     r = _weekly_returns(spark, sf).withColumns({"mom": S.simple_return("close", 5), "vol": S.rolling(F.stddev_samp, 10, "ret"), "lq": F.log("qvol")})
     z = r.select("symbol", "ts", (F.col("fwd") / 10).alias("fwd"), *[S.row_zscore(c).alias(n) for c, n in zip(("ret", "mom", "vol", "lq"), FEATURES, strict=True)])
-    return G.gathered(z, FEATURES, "fwd")
+    return G.gathered(z, FEATURES, "fwd", ragged=True)
 
 
 def _cut(p: G.Panel, share: float = 0.6) -> int:

@@ -14,6 +14,7 @@ from riverbed.plans.panel_ops import FEATURES, features
 from riverbed.plans.registry import query
 from riverbed.plans.research import DRETS, RETS, WITH_D, _daily_returns, _weekly_returns
 from riverbed.sources import panels as P
+from riverbed.sources.cache import kept
 
 Q = 4
 _E2 = ", ".join(f"sum(e2 * lag{j}) AS c{j}" for j in range(1, Q))
@@ -120,7 +121,8 @@ def ridge_fit(spark: SparkSession, sf: str) -> DataFrame:
 @query(None)
 def logistic_fit(spark: SparkSession, sf: str) -> DataFrame:
     """Coefficients of the sign of tomorrow's return on the nine features, by Newton steps of one aggregate each."""
-    f = features(spark, sf).withColumn("up", (F.col("fwd") > 0).cast("double"))
+    # each step reads the table again, so it is made once
+    f = kept(features(spark, sf).withColumn("up", (F.col("fwd") > 0).cast("double")).select(*FEATURES, "up"))
     w = fits.logistic(f, list(FEATURES), "up", 1.0)
     return spark.createDataFrame([(c, float(v)) for c, v in zip([*FEATURES, "intercept"], w, strict=True)], "feature string, coefficient double")
 

@@ -27,6 +27,13 @@ def place(spark: SparkSession) -> str:
     return path
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df written to a new folder and read again: for what an iteration reads many times, since a lost executor then costs one scan."""
+    path = place(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def name(tag: str) -> str:
     """Sixteen hexadecimal digits of a tag."""
     return hashlib.md5(tag.encode()).hexdigest()[:16]
