@@ -233,7 +233,9 @@ def signature(steps: np.ndarray, level: int) -> np.ndarray:
     if level >= 3:
         area = np.cumsum(step2, 0) - step2
         pair = steps[:, :, None] * steps[:, None, :]
-        third = area[:, :, :, None] * steps[:, None, None, :] + before[:, :, None, None] * pair[:, None] / 2 + steps[:, :, None, None] * pair[:, None] / 6
+        third = area[:, :, :, None] * steps[
+            :, None, None, :
+        ] + before[:, :, None, None] * pair[:, None] / 2 + steps[:, :, None, None] * pair[:, None] / 6
         out.append(third.sum(0).ravel())
     return np.concatenate(out) if d else np.zeros(0)
 
@@ -282,7 +284,9 @@ def shape_features(points: np.ndarray, grid: int = 256) -> tuple[float, float, f
     d = distances(points)
     np.fill_diagonal(d, np.inf)
     l1, l2 = float(np.trapezoid(tents.sum(0), at)), math.sqrt(float(np.trapezoid((tents**2).sum(0), at)))
-    return float(deaths.sum()), math.sqrt(float(deaths @ deaths)), float(deaths[-1]), l1, l2, float(deaths[-1] - np.median(deaths)), float(d.min(1).mean())
+    return float(deaths.sum()), math.sqrt(float(deaths @ deaths)), float(deaths[-1]), l1, l2, float(
+        deaths[-1] - np.median(deaths)
+    ), float(d.min(1).mean())
 
 
 def standardized(x: np.ndarray) -> np.ndarray:

@@ -37,12 +37,18 @@ def legs(snapshot: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     at = lambda kind: F.concat(F.lit(f"{kind}:"), F.col("coin"))
     no = F.lit(False)
     way = F.when(F.col("funding") > 0, 1.0).otherwise(-1.0)
-    carry = snapshot.where(F.abs("funding") >= limits.funding_threshold).select(F.lit("carry").alias("sleeve"), F.inline(F.array(leg(at("PERP"), -way, no), leg(at("SPOT"), way, way < 0))))
+    carry = snapshot.where(F.abs("funding") >= limits.funding_threshold).select(
+        F.lit("carry").alias("sleeve"), F.inline(F.array(leg(at("PERP"), -way, no), leg(at("SPOT"), way, way < 0)))
+    )
     future = F.concat(F.lit("FUT:"), "coin", F.lit("_"), "code")
-    calendar = snapshot.where(F.col("ann") > limits.least_basis).select(F.lit("calendar").alias("sleeve"), F.inline(F.array(leg(at("SPOT"), F.lit(1.0), no), leg(future, F.lit(-1.0), no))))
+    calendar = snapshot.where(F.col("ann") > limits.least_basis).select(
+        F.lit("calendar").alias("sleeve"), F.inline(F.array(leg(at("SPOT"), F.lit(1.0), no), leg(future, F.lit(-1.0), no)))
+    )
     gap = F.col("funding") - F.col("other_funding")
     side = F.when(gap > 0, 1.0).otherwise(-1.0)
-    venue = snapshot.where(F.abs(gap) >= limits.funding_threshold).select(F.lit("venue").alias("sleeve"), F.inline(F.array(leg(at("PERP"), -side, no), leg(at("OTHER"), side, no))))
+    venue = snapshot.where(F.abs(gap) >= limits.funding_threshold).select(
+        F.lit("venue").alias("sleeve"), F.inline(F.array(leg(at("PERP"), -side, no), leg(at("OTHER"), side, no)))
+    )
     return carry.unionByName(calendar).unionByName(venue)
 
 
@@ -80,7 +86,9 @@ def orders(state: DataFrame, target: DataFrame, prices: DataFrame, limits: Limit
     side = F.when(closed, "CLOSE").when(traded & (change > 0), "BUY").when(traded, "SELL")
     qty = F.when(closed, -old).when(traded, change).otherwise(0.0)
     cost = F.when(traded, F.abs(change * F.col("px")) * limits.cost_bps / 1e4).otherwise(0.0)
-    return j.select("instrument", side.alias("side"), qty.alias("qty"), "px", cost.alias("cost"), F.when(closed, 0.0).otherwise(old + qty).alias("held"))
+    return j.select(
+        "instrument", side.alias("side"), qty.alias("qty"), "px", cost.alias("cost"), F.when(closed, 0.0).otherwise(old + qty).alias("held")
+    )
 
 
 def checkpointed(done: DataFrame) -> DataFrame:
@@ -93,7 +101,9 @@ def place_live_order(*_args, **_kwargs) -> None:
     raise NotImplementedError("live orders are not wired: this book is paper only")
 
 
-def cycle(snapshot: DataFrame, prices: DataFrame, volatility: DataFrame, state: DataFrame, limits: Limits = LIMITS, live: bool = False) -> dict[str, DataFrame]:
+def cycle(
+    snapshot: DataFrame, prices: DataFrame, volatility: DataFrame, state: DataFrame, limits: Limits = LIMITS, live: bool = False
+) -> dict[str, DataFrame]:
     """One round: pnl of what is held, the target book, orders, and the state to keep. live raises before anything is read."""
     if live:
         place_live_order()

@@ -43,9 +43,16 @@ def metrics(df: DataFrame, keys: list[str], per_year: int | Column, position: st
     curve = finite.withColumn("_eq", F.when(F.max((factor == 0).cast("int")).over(past) == 1, 0.0).otherwise(size * sign))
     curve = curve.withColumn("_top", F.max("_eq").over(past))
     turn = F.abs(F.col(position) - F.lag(position, 1, 0.0).over(time)) if position else F.lit(None).cast("double")
-    m = curve.withColumn("_turn", turn).groupBy(*keys).agg(F.count("*").alias("n"), F.avg("net").alias("mu"), F.stddev_samp("net").alias("sd"), F.min(F.col("_eq") / F.col("_top") - 1).alias("maxdd"), F.avg((F.col("net") > 0).cast("double")).alias("hit"), F.avg("_turn").alias("turnover"), F.skewness("net").alias("skew"), (F.kurtosis("net") + 3).alias("kurt"))
+    m = curve.withColumn("_turn", turn).groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg("net").alias("mu"), F.stddev_samp("net").alias("sd"), F.min(F.col("_eq") / F.col("_top") - 1).alias("maxdd"),
+        F.avg((F.col("net") > 0).cast("double")).alias("hit"), F.avg("_turn").alias("turnover"), F.skewness("net").alias("skew"),
+        (F.kurtosis("net") + 3).alias("kurt")
+    )
     ok = (F.col("n") >= 10) & (F.col("sd") > 0)
-    out = {"sr_pp": F.col("mu") / F.col("sd"), "sharpe_ann": F.col("mu") / F.col("sd") * per_year**0.5, "ret_ann": F.col("mu") * per_year, "vol_ann": F.col("sd") * per_year**0.5}
+    out = {
+        "sr_pp": F.col("mu") / F.col("sd"), "sharpe_ann": F.col("mu") / F.col("sd") * per_year**0.5, "ret_ann": F.col("mu") * per_year,
+        "vol_ann": F.col("sd") * per_year**0.5
+    }
     out |= {c: F.col(c) for c in ("maxdd", "hit", "turnover", "skew", "kurt")}
     return m.select(*keys, "n", *[F.when(ok, v).alias(k) for k, v in out.items()])
 

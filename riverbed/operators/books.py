@@ -26,7 +26,9 @@ def book(df: DataFrame, ret: str, bps: float, lag: int = 0, first_free: bool = F
     turn = F.abs(F.col("_w") - F.lag("_w", 1, 0.0).over(S.by_symbol()))
     held = held.withColumn("_turn", F.when(_first(), 0.0).otherwise(turn) if first_free else turn)
     earned = F.sum(F.col("_w") * F.coalesce(ret, F.lit(0.0)))
-    return held.groupBy("ts").agg((earned - bps / 1e4 * F.sum("_turn")).alias("net"), F.sum("_turn").alias("turnover"), F.sum(F.abs("_w")).alias("gross"))
+    return held.groupBy("ts").agg(
+        (earned - bps / 1e4 * F.sum("_turn")).alias("net"), F.sum("_turn").alias("turnover"), F.sum(F.abs("_w")).alias("gross")
+    )
 
 
 def uneven_book(df: DataFrame, ret: str, long_bps: float, short_bps: float) -> DataFrame:
@@ -47,14 +49,21 @@ def borrowing_book(df: DataFrame, ret: str, taker_bps: float, borrow_year: float
 def legs(df: DataFrame, ret: str) -> DataFrame:
     """ts, long_leg, short_leg: what either side earns before costs."""
     earned = _weight() * F.coalesce(ret, F.lit(0.0))
-    return df.groupBy("ts").agg(F.sum(F.when(_weight() > 0, earned).otherwise(0.0)).alias("long_leg"), F.sum(F.when(_weight() < 0, earned).otherwise(0.0)).alias("short_leg"))
+    return df.groupBy("ts").agg(
+        F.sum(F.when(_weight() > 0, earned).otherwise(0.0)).alias("long_leg"), F.sum(F.when(_weight() < 0, earned).otherwise(0.0)).alias("short_leg")
+    )
 
 
 def turnover_stats(df: DataFrame, bps: float, per_year: int) -> DataFrame:
     """One row: mean turnover a bar, its cost a year, bars with a trade, mean gross and mean number of names held."""
     turn = F.abs(_weight() - F.lag(_weight(), 1, 0.0).over(S.by_symbol()))
-    bar = df.withColumn("_t", turn).groupBy("ts").agg(F.sum("_t").alias("t"), F.sum(F.abs(_weight())).alias("g"), F.count_if(_weight() != 0).alias("k"))
-    return bar.agg(F.avg("t").alias("per_bar"), (F.avg("t") * per_year * bps / 1e4).alias("cost_year"), F.count_if(F.expr("t > 1e-12")).alias("trade_bars"), F.avg("g").alias("gross"), F.avg("k").alias("names"))
+    bar = df.withColumn("_t", turn).groupBy("ts").agg(
+        F.sum("_t").alias("t"), F.sum(F.abs(_weight())).alias("g"), F.count_if(_weight() != 0).alias("k")
+    )
+    return bar.agg(
+        F.avg("t").alias("per_bar"), (F.avg("t") * per_year * bps / 1e4).alias("cost_year"), F.count_if(F.expr("t > 1e-12")).alias("trade_bars"),
+        F.avg("g").alias("gross"), F.avg("k").alias("names")
+    )
 
 
 def rank_weights(df: DataFrame, signal: str, least: int = 2) -> DataFrame:

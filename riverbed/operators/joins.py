@@ -19,7 +19,10 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], values: list[str])
     cols = left.columns
     kind = {c: right.schema[c].dataType for c in values}
     seen = F.struct(*[F.col(c) for c in values])
-    a = left.select(F.struct(*cols).alias("_row"), *keys, "ts", F.lit(1).alias("_side"), F.lit(None).cast(right.select(seen.alias("s")).schema["s"].dataType).alias("_seen"))
+    a = left.select(
+        F.struct(*cols).alias("_row"), *keys, "ts", F.lit(1).alias("_side"),
+        F.lit(None).cast(right.select(seen.alias("s")).schema["s"].dataType).alias("_seen")
+    )
     b = right.select(F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), *keys, "ts", F.lit(0).alias("_side"), seen.alias("_seen"))
     order = W.partitionBy(*keys).orderBy("ts", "_side").rowsBetween(W.unboundedPreceding, 0)
     known = a.unionByName(b).withColumn("_seen", F.last("_seen", True).over(order)).where("_side = 1")

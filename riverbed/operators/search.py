@@ -207,7 +207,9 @@ def best(spark: SparkSession, trees: list[tuple], panel: Panel, train: slice, mo
     return [(r["fit"], r["icir_is"], r["formula"]) for r in top.collect()]
 
 
-def evolved(spark: SparkSession, panel: Panel, train: slice, seed: int, size: int, elite: int = 40, rounds: int = 3) -> list[tuple[float, float, str]]:
+def evolved(
+    spark: SparkSession, panel: Panel, train: slice, seed: int, size: int, elite: int = 40, rounds: int = 3
+) -> list[tuple[float, float, str]]:
     """The elite of a random population after rounds of mutation, judged in sample alone; each round is one job."""
     features = list(panel.features)
     top = best(spark, population(seed, size, features), panel, train, elite)

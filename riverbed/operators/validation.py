@@ -25,7 +25,10 @@ def robustness(m: DataFrame, keys: list[str]) -> DataFrame:
     ratio = lambda s: F.max(F.when(F.col("split") == s, F.col("sr_pp"))).alias(f"_{s}")
     p = m.groupBy(*keys).agg(ratio("is"), ratio("oos")).where("_is IS NOT NULL AND _oos IS NOT NULL")
     change = F.col("_oos") - F.col("_is")
-    return p.agg(F.count("*").alias("variants"), F.corr("_is", "_oos").alias("kept"), F.avg((change > 0).cast("double")).alias("improving"), F.percentile(change, F.lit(0.5)).alias("median_change"))
+    return p.agg(
+        F.count("*").alias("variants"), F.corr("_is", "_oos").alias("kept"), F.avg((change > 0).cast("double")).alias("improving"),
+        F.percentile(change, F.lit(0.5)).alias("median_change")
+    )
 
 
 def overlay_verdict(m: DataFrame, keys: list[str], arm: str, base: str, overlay: str, trivial: str, least: float) -> DataFrame:
@@ -33,7 +36,10 @@ def overlay_verdict(m: DataFrame, keys: list[str], arm: str, base: str, overlay:
     at = lambda a, c: F.max(F.when(F.col(arm) == a, F.col(c)))
     w = m.groupBy(*keys).agg(*[at(a, c).alias(f"_{k}{c}") for k, a in (("b", base), ("o", overlay), ("t", trivial)) for c in ("sharpe_ann", "maxdd")])
     gain, shallower = F.col("_osharpe_ann") - F.col("_bsharpe_ann"), F.col("_omaxdd") - F.col("_bmaxdd")
-    return w.select(*keys, gain.alias("gain"), shallower.alias("shallower"), ((gain > least) & (F.col("_omaxdd") >= F.col("_bmaxdd"))).alias("improves"), (F.col("_osharpe_ann") > F.col("_tsharpe_ann")).alias("beats_trivial"))
+    return w.select(
+        *keys, gain.alias("gain"), shallower.alias("shallower"), ((gain > least) & (F.col("_omaxdd") >= F.col("_bmaxdd"))).alias("improves"),
+        (F.col("_osharpe_ann") > F.col("_tsharpe_ann")).alias("beats_trivial")
+    )
 
 
 def verdict(edge: Column, marginal: Column) -> Column:

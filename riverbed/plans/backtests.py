@@ -93,12 +93,17 @@ def battery_nets(spark: SparkSession, sf: str) -> DataFrame:
     g = gentle(spark, sf)
     by = S.by_symbol()
     cost = lambda c: F.abs(F.col(c) - F.lag(c, 1, 0.0).over(by)) * 5 / 1e4
-    carry = g.select("symbol", "ts", (F.col("funding") + F.col("sret") - F.col("ret")).alias("unit"), F.coalesce(F.signum(S.lagged("funding")), F.lit(0.0)).alias("pos"))
+    carry = g.select(
+        "symbol", "ts", (F.col("funding") + F.col("sret") - F.col("ret")).alias("unit"),
+        F.coalesce(F.signum(S.lagged("funding")), F.lit(0.0)).alias("pos")
+    )
     carry = carry.withColumn("net", F.col("pos") * F.col("unit") - 2 * cost("pos"))
     row = lambda df, name, ppy: df.select(name.alias("name"), F.lit(ppy).alias("ppy"), "ts", F.col("pos").cast("double").alias("pos"), "net")
     h1 = row(carry, F.concat(F.lit("H1_carry/"), "symbol"), 1095)
     count = g.agg(F.count_distinct("symbol").alias("k"))
-    port = carry.groupBy("ts").agg(F.sum("net").alias("s")).join(F.broadcast(count), F.lit(True)).select("ts", F.lit(None).cast("double").alias("pos"), F.expr("s / k").alias("net"))
+    port = carry.groupBy("ts").agg(F.sum("net").alias("s")).join(F.broadcast(count), F.lit(True)).select(
+        "ts", F.lit(None).cast("double").alias("pos"), F.expr("s / k").alias("net")
+    )
     naive = carry.where("symbol = 'AF'").select("symbol", "ts", F.lit(1.0).alias("pos"), F.col("unit").alias("net"))
     looks = (7, 14, 30)
     looked = g.withColumns({f"t{h}": F.lag("px").over(by) / F.lag("px", h + 1).over(by) - 1 for h in looks})
@@ -107,15 +112,27 @@ def battery_nets(spark: SparkSession, sf: str) -> DataFrame:
     per = W.partitionBy("symbol", "h").orderBy("ts")
     h2 = mom.withColumn("net", F.col("pos") * F.col("ret") - F.abs(F.col("pos") - F.lag("pos", 1, 0.0).over(per)) * 5 / 1e4)
     day = W.partitionBy("h", "ts", F.isnull("trail"))
-    k = mom.drop("pos").withColumns({"n": F.count("trail").over(W.partitionBy("h", "ts")), "up": F.row_number().over(day.orderBy("trail", "symbol")), "dn": F.row_number().over(day.orderBy(F.desc("trail"), "symbol"))})
+    k = mom.drop("pos").withColumns(
+        {
+            "n": F.count("trail").over(W.partitionBy("h", "ts")), "up": F.row_number().over(day.orderBy("trail", "symbol")),
+            "dn": F.row_number().over(day.orderBy(F.desc("trail"), "symbol"))
+        }
+    )
     third = "greatest(1, n DIV 3)"
-    x = k.withColumn("pos", F.expr(f"CASE WHEN trail IS NULL OR n < 6 THEN 0.0D WHEN up <= {third} THEN -1.0D / {third} WHEN dn <= {third} THEN 1.0D / {third} ELSE 0.0D END"))
+    x = k.withColumn(
+        "pos",
+        F.expr(
+            f"CASE WHEN trail IS NULL OR n < 6 THEN 0.0D WHEN up <= {third} THEN -1.0D / {third} WHEN dn <= {third} THEN 1.0D / {third} ELSE 0.0D END"
+        )
+    )
     x = x.withColumn("tn", F.coalesce(F.abs(F.col("pos") - F.lag("pos").over(per)), F.lit(0.0)))
     h3 = x.groupBy("h", "ts").agg(F.sum(F.abs("pos")).alias("pos"), (F.sum(F.col("pos") * F.col("ret")) - F.sum("tn") * 5 / 1e4).alias("net"))
     rev = g.select("symbol", "ts", "ret", F.coalesce(-F.signum(S.lagged("ret")), F.lit(0.0)).alias("pos"))
     rev = rev.withColumn("net", F.col("pos") * F.col("ret") - cost("pos"))
     every = h1.unionByName(row(port, F.lit("H1_carry/PORTFOLIO"), 1095)).unionByName(row(naive, F.concat(F.lit("H1_carry_naive/"), "symbol"), 1095))
-    every = every.unionByName(row(h2, F.concat(F.lit("H2_tsmom"), "h", F.lit("/"), "symbol"), 365)).unionByName(row(h3, F.concat(F.lit("H3_xsmom"), "h"), 365))
+    every = every.unionByName(
+        row(h2, F.concat(F.lit("H2_tsmom"), "h", F.lit("/"), "symbol"), 365)
+    ).unionByName(row(h3, F.concat(F.lit("H3_xsmom"), "h"), 365))
     return every.unionByName(row(rev, F.concat(F.lit("H4_reversal/"), "symbol"), 1095))
 
 
@@ -134,7 +151,9 @@ SELECT name, ppy, n, trials, sharpe_ann, ret_ann, vol_ann, maxdd, hit, turnover,
 def battery_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     """All variants out of sample, deflated among those of their own frequency: one job, whose benchmark is a row for each frequency."""
     m = evaluated(battery_nets(spark, sf), ["name", "ppy"], F.col("ppy")).where("split = 'oos'")
-    stars = m.groupBy("ppy").agg(F.stddev_samp("sr_pp").alias("v"), F.count("*").alias("trials")).select("ppy", "trials", benchmark(F.coalesce("v", F.lit(0.0)), F.col("trials")).alias("sr_star_pp"))
+    stars = m.groupBy("ppy").agg(F.stddev_samp("sr_pp").alias("v"), F.count("*").alias("trials")).select(
+        "ppy", "trials", benchmark(F.coalesce("v", F.lit(0.0)), F.col("trials")).alias("sr_star_pp")
+    )
     o = m.join(F.broadcast(stars), "ppy")
     return o.withColumns({"psr": B.psr(), "dsr_prob": B.psr(F.col("sr_star_pp"))})
 
@@ -144,7 +163,9 @@ SELECT best.symbol, met.name, n, sr_pp, row_number() OVER (ORDER BY sr_pp DESC,
 def top_in_sample(spark: SparkSession, sf: str) -> DataFrame:
     """The variant of each symbol that did best in sample, ordered by what it did after."""
     m = evaluated(battery_nets(spark, sf).where("name LIKE 'H2%'"), ["name", "ppy"], F.col("ppy"))
-    best = m.where("split = 'is'").groupBy(F.split_part("name", F.lit("/"), F.lit(2)).alias("symbol")).agg(F.max_by("name", F.struct("sr_pp", "name")).alias("name"))
+    best = m.where("split = 'is'").groupBy(
+        F.split_part("name", F.lit("/"), F.lit(2)).alias("symbol")
+    ).agg(F.max_by("name", F.struct("sr_pp", "name")).alias("name"))
     return m.where("split = 'oos'").join(best, "name").withColumn("place", F.row_number().over(W.orderBy(F.desc("sr_pp"), "name")))
 
 
@@ -189,7 +210,10 @@ def fragility(spark: SparkSession, sf: str) -> DataFrame:
     """Over the grid of lags and fees: is the base result a lone peak, and does it survive its fee?"""
     o = _lag_grid(spark, sf).where("split = 'oos'")
     at = lambda e: F.max(F.when(F.expr(e), F.col("sr_pp")))
-    w = o.groupBy("symbol").agg(at("k = 1 AND bps = 0").alias("base"), at("k = 2 AND bps = 0").alias("later"), at("k = 1 AND bps > 4").alias("taker"), F.avg("sr_pp").alias("mean"), F.avg(F.expr("CASE WHEN sr_pp > 0 THEN 1.0D ELSE 0.0D END")).alias("share"))
+    w = o.groupBy("symbol").agg(
+        at("k = 1 AND bps = 0").alias("base"), at("k = 2 AND bps = 0").alias("later"), at("k = 1 AND bps > 4").alias("taker"),
+        F.avg("sr_pp").alias("mean"), F.avg(F.expr("CASE WHEN sr_pp > 0 THEN 1.0D ELSE 0.0D END")).alias("share")
+    )
     return w.withColumns({"leak": F.expr("later < base - 0.1 AND base > 0.1"), "survives": F.expr("taker > 0")})
 
 
@@ -205,9 +229,16 @@ nets AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY name ORDER BY ts) <
 SELECT symbol, overlay_sharpe_ann - base_sharpe_ann AS gain, overlay_maxdd - base_maxdd AS shallower, overlay_sharpe_ann - base_sharpe_ann > 0.1 AND overlay_maxdd >= base_maxdd AS improves, overlay_sharpe_ann > trivial_sharpe_ann AS beats_trivial FROM w""", "gain shallower", "symbol improves beats_trivial")
 def overlay_test(spark: SparkSession, sf: str) -> DataFrame:
     """A gate on activity against no gate and against the plain gate on volatility; thresholds come from the first part alone and act a day later."""
-    g = gentle(spark, sf).select("symbol", "ts", "ret", F.stddev_samp("ret").over(S.trailing(10)).alias("vol"), F.avg(F.abs("ret")).over(S.trailing(5)).alias("act"))
+    g = gentle(spark, sf).select(
+        "symbol", "ts", "ret", F.stddev_samp("ret").over(S.trailing(10)).alias("vol"), F.avg(F.abs("ret")).over(S.trailing(5)).alias("act")
+    )
     gates = validation.gates(B.split(g, ["symbol"]), ["vol", "act"], 0.7)
-    arms = F.array(*[F.struct(F.lit(a).alias("arm"), c.alias("pos")) for a, c in (("base", F.lit(1.0)), ("overlay", F.col("by_act")), ("trivial", F.col("by_vol")))])
+    arms = F.array(
+        *[
+            F.struct(F.lit(a).alias("arm"), c.alias("pos")) for a,
+            c in (("base", F.lit(1.0)), ("overlay", F.col("by_act")), ("trivial", F.col("by_vol")))
+        ]
+    )
     rows = gates.select("symbol", "ts", "ret", F.inline(arms))
     turn = F.abs(F.col("pos") - F.lag("pos", 1, 0.0).over(W.partitionBy("symbol", "arm").orderBy("ts")))
     m = evaluated(rows.withColumn("net", F.col("pos") * F.col("ret") - turn * 5 / 1e4), ["symbol", "arm"], 365).where("split = 'oos'")

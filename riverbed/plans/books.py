@@ -47,7 +47,9 @@ SELECT symbol, kk.span, kk.thr, n, sr_pp, ret_ann, turnover FROM b JOIN met USIN
 def carry_tuned(spark: SparkSession, sf: str) -> DataFrame:
     """Carry of each symbol with the span and threshold that did best in sample; the first of equals."""
     m = evaluated(carry_grid(spark, sf), ["symbol", "span", "thr"], 365)
-    best = m.where("split = 'is'").groupBy("symbol").agg(F.max_by(F.struct("span", "thr"), F.struct(F.round("sr_pp", 9), -F.col("span"), -F.col("thr"))).alias("b")).select("symbol", "b.*")
+    best = m.where("split = 'is'").groupBy("symbol").agg(
+        F.max_by(F.struct("span", "thr"), F.struct(F.round("sr_pp", 9), -F.col("span"), -F.col("thr"))).alias("b")
+    ).select("symbol", "b.*")
     return m.where("split = 'oos'").join(best, ["symbol", "span", "thr"])
 
 
@@ -75,16 +77,22 @@ def basis_sleeve(spark: SparkSession, sf: str, round_trip_bp: float = 30.0) -> D
     c = P.contracts(spark, sf).where("dte BETWEEN 5 AND 85")
     prior = lambda x: F.lag(x).over(by.orderBy("ts"))
     unit = F.coalesce(F.col("spot") / prior("spot") - F.col("fut") / prior("fut"), F.lit(0.0)) / 100
-    return c.withColumns({"unit": unit, "held": F.count("*").over(by)}).groupBy("ts").agg(F.avg(F.col("unit") - round_trip_bp / 1e4 / F.col("held")).alias("net"))
+    return c.withColumns({"unit": unit, "held": F.count("*").over(by)}).groupBy("ts").agg(
+        F.avg(F.col("unit") - round_trip_bp / 1e4 / F.col("held")).alias("net")
+    )
 
 
 def venue_sleeve(spark: SparkSession, sf: str) -> DataFrame:
     """ts, net: hysteresis on the funding of one venue less the other's, two legs."""
 
-    v = P.daily(spark, sf).groupBy(F.substring("symbol", 1, 1).alias("symbol"), "ts").agg(*[F.sum(F.when(F.col("symbol").endswith(x), F.col("funding"))).alias(x) for x in "FO"]).where("F IS NOT NULL AND O IS NOT NULL").withColumn("d", F.expr("F - O"))
+    v = P.daily(spark, sf).groupBy(F.substring("symbol", 1, 1).alias("symbol"), "ts").agg(
+        *[F.sum(F.when(F.col("symbol").endswith(x), F.col("funding"))).alias(x) for x in "FO"]
+    ).where("F IS NOT NULL AND O IS NOT NULL").withColumn("d", F.expr("F - O"))
     e = T.ewm(v, ["symbol"], "d", 5, "v").withColumn("e", S.lagged("v", 1, 0.0)).join(v.select("symbol", "ts", "d"), ["symbol", "ts"])
     p = e.withColumn("pos", T.latest(F.expr("CASE WHEN e > 1e-4D THEN 1.0D WHEN e < -1e-4D THEN -1.0D WHEN abs(e) < 1e-4D / 3 THEN 0.0D END"), 0.0))
-    return p.withColumn("net", F.col("pos") * F.col("d") - 2 * F.abs(F.col("pos") - S.lagged("pos", 1, 0.0)) * 5 / 1e4).groupBy("ts").agg(F.avg("net").alias("net"))
+    return p.withColumn(
+        "net", F.col("pos") * F.col("d") - 2 * F.abs(F.col("pos") - S.lagged("pos", 1, 0.0)) * 5 / 1e4
+    ).groupBy("ts").agg(F.avg("net").alias("net"))
 
 
 def vrp_sleeve(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,7 +114,9 @@ def _named(streams: dict[str, DataFrame]) -> DataFrame:
 SELECT * FROM funding_sleeve UNION ALL SELECT * FROM basis_sleeve UNION ALL SELECT * FROM venue_sleeve UNION ALL SELECT * FROM vrp_sleeve WHERE net IS NOT NULL""", "net:9", "sleeve ts")
 def sleeves(spark: SparkSession, sf: str) -> DataFrame:
     """Four sources of return by day."""
-    return _named({"funding": funding_sleeve(spark, sf), "basis": basis_sleeve(spark, sf), "venue": venue_sleeve(spark, sf), "vrp": vrp_sleeve(spark, sf)})
+    return _named(
+        {"funding": funding_sleeve(spark, sf), "basis": basis_sleeve(spark, sf), "venue": venue_sleeve(spark, sf), "vrp": vrp_sleeve(spark, sf)}
+    )
 
 
 def _combined(scale: str) -> str:
@@ -116,10 +126,15 @@ vl2 AS (SELECT stddev_samp(mix) * sqrt(365) AS vol FROM mx WHERE ins)
 SELECT ts, mix * {scale} AS net FROM mx, vl2"""
 
 
-@query(f"""{SLEEVES}, every AS (SELECT * FROM funding_sleeve UNION ALL SELECT * FROM basis_sleeve UNION ALL SELECT * FROM venue_sleeve), {_combined("CASE WHEN vol > 1e-4 THEN least(0.1 / vol, 4.0) ELSE 1.0 END")}""", "net:9", "ts")
+@query(
+    f"""{SLEEVES}, every AS (SELECT * FROM funding_sleeve UNION ALL SELECT * FROM basis_sleeve UNION ALL SELECT * FROM venue_sleeve), {_combined("CASE WHEN vol > 1e-4 THEN least(0.1 / vol, 4.0) ELSE 1.0 END")}""",
+    "net:9", "ts"
+)
 def carry_book(spark: SparkSession, sf: str) -> DataFrame:
     """Three sleeves by inverse volatility, brought to ten per cent a year, four times at most."""
-    return books.inverse_vol(_named({"funding": funding_sleeve(spark, sf), "basis": basis_sleeve(spark, sf), "venue": venue_sleeve(spark, sf)}), "sleeve", 0.1, 365, 4.0)
+    return books.inverse_vol(
+        _named({"funding": funding_sleeve(spark, sf), "basis": basis_sleeve(spark, sf), "venue": venue_sleeve(spark, sf)}), "sleeve", 0.1, 365, 4.0
+    )
 
 
 _DEPLOY = f"{SLEEVES}, every0 AS (SELECT * FROM funding_sleeve UNION ALL SELECT * FROM basis_free UNION ALL SELECT * FROM vrp_sleeve WHERE net IS NOT NULL), lv AS (SELECT max(a) AS a, min(b) AS b FROM (SELECT sleeve, min(ts) AS a, max(ts) AS b FROM every0 GROUP BY sleeve)), every AS (SELECT sleeve, ts, net FROM every0, lv WHERE ts BETWEEN a AND b)"
@@ -143,7 +158,9 @@ SELECT name, split, n, sharpe_ann, ret_ann, vol_ann, maxdd, hit FROM met""", "sh
 def playbook(spark: SparkSession, sf: str) -> DataFrame:
     """Contracts where one qualifies, funding elsewhere, all coins alike, once and three times."""
     pb = basis_or_funding(spark, sf).groupBy("ts").agg((F.avg("stream") / 400).alias("b"))
-    lev = pb.select("ts", F.inline(F.array(*[F.struct(F.lit(f"x{k}").alias("name"), (F.col("b") * k).alias("net")) for k in (1, 3)]))).withColumn("pos", F.lit(None).cast("double"))
+    lev = pb.select(
+        "ts", F.inline(F.array(*[F.struct(F.lit(f"x{k}").alias("name"), (F.col("b") * k).alias("net")) for k in (1, 3)]))
+    ).withColumn("pos", F.lit(None).cast("double"))
     return evaluated(lev, ["name"], 365)
 
 
@@ -162,8 +179,16 @@ SELECT symbol, code, n, entry, mean, earned, earned - 0.003 AS net, contango, en
 def basis_spec(spark: SparkSession, sf: str) -> DataFrame:
     """Each contract between 85 and 5 days: entry and mean basis, what the spread earned before and after thirty basis points, and whether the entry passes the hurdle."""
     by = W.partitionBy("symbol", "code").orderBy("ts")
-    q = P.contracts(spark, sf).where("dte BETWEEN 5 AND 85").withColumns({"ann": F.expr("(fut / spot - 1) * 365 / greatest(dte, 1)"), "rs": F.log(F.col("spot") / F.lag("spot").over(by)) / 100, "rf": F.log(F.col("fut") / F.lag("fut").over(by)) / 100})
-    t = q.groupBy("symbol", "code").agg(F.count("*").alias("n"), F.min_by("ann", "ts").alias("entry"), F.avg("ann").alias("mean"), F.sum(F.coalesce(F.col("rs") - F.col("rf"), F.lit(0.0))).alias("earned"), F.avg((F.col("ann") > 0).cast("double")).alias("contango")).where("n >= 10")
+    q = P.contracts(spark, sf).where("dte BETWEEN 5 AND 85").withColumns(
+        {
+            "ann": F.expr("(fut / spot - 1) * 365 / greatest(dte, 1)"), "rs": F.log(F.col("spot") / F.lag("spot").over(by)) / 100,
+            "rf": F.log(F.col("fut") / F.lag("fut").over(by)) / 100
+        }
+    )
+    t = q.groupBy("symbol", "code").agg(
+        F.count("*").alias("n"), F.min_by("ann", "ts").alias("entry"), F.avg("ann").alias("mean"),
+        F.sum(F.coalesce(F.col("rs") - F.col("rf"), F.lit(0.0))).alias("earned"), F.avg((F.col("ann") > 0).cast("double")).alias("contango")
+    ).where("n >= 10")
     return t.withColumns({"net": F.col("earned") - 0.003, "taken": F.col("entry") > 0.003 * 365 / 80})
 
 
@@ -172,7 +197,9 @@ SELECT symbol, code, n, entry, final, entry - final - 0.003 AS net, (entry - fin
 def calendar_basis(spark: SparkSession, sf: str) -> DataFrame:
     """Each contract from its first day within 210 to its last: what the basis pays, and whether entry alone covers the costs."""
     c = P.contracts(spark, sf).where("dte <= 210").withColumn("basis", F.expr("fut / spot - 1"))
-    t = c.groupBy("symbol", "code").agg(F.count("*").alias("n"), F.min_by("basis", "ts").alias("entry"), F.max_by("basis", "ts").alias("final"), F.max("dte").alias("days")).where("n >= 20")
+    t = c.groupBy("symbol", "code").agg(
+        F.count("*").alias("n"), F.min_by("basis", "ts").alias("entry"), F.max_by("basis", "ts").alias("final"), F.max("dte").alias("days")
+    ).where("n >= 20")
     net = F.col("entry") - F.col("final") - 0.003
     return t.withColumns({"net": net, "annual": net * 365 / F.greatest("days", F.lit(1)), "conditional": F.col("entry") > 0.003})
 
@@ -190,10 +217,23 @@ SELECT scheme, ts, sum(w * unit) - 15 / 1e4 * sum(tn) AS net, sum(abs(w)) AS gro
 def weekly_carry(spark: SparkSession, sf: str) -> DataFrame:
     """Carry weights of two schemes, set on the last day of each week, held from the next, at fifteen basis points a turn."""
     t = W.partitionBy("ts")
-    q = P.contracts(spark, sf).where("dte BETWEEN 5 AND 85").groupBy("ts", "symbol").agg(F.avg(F.expr("(fut / spot - 1) * 365 / greatest(dte, 1)")).alias("ann"), F.avg("spot").alias("spot"), F.avg("fut").alias("fut"))
-    k = q.withColumns({"dn": F.row_number().over(t.orderBy(F.desc("ann"), "symbol")), "up": F.row_number().over(t.orderBy("ann", F.desc("symbol"))), "n": F.count("*").over(t), "pos": F.count_if(F.expr("ann > 0")).over(t)})
+    q = P.contracts(spark, sf).where("dte BETWEEN 5 AND 85").groupBy("ts", "symbol").agg(
+        F.avg(F.expr("(fut / spot - 1) * 365 / greatest(dte, 1)")).alias("ann"), F.avg("spot").alias("spot"), F.avg("fut").alias("fut")
+    )
+    k = q.withColumns(
+        {
+            "dn": F.row_number().over(t.orderBy(F.desc("ann"), "symbol")), "up": F.row_number().over(t.orderBy("ann", F.desc("symbol"))),
+            "n": F.count("*").over(t), "pos": F.count_if(F.expr("ann > 0")).over(t)
+        }
+    )
     h = "least(2, n DIV 2)"
-    k = k.withColumns({"neutral": F.expr(f"CASE WHEN {h} = 0 THEN 0.0D WHEN dn <= {h} THEN 0.5D / {h} WHEN up <= {h} THEN -0.5D / {h} ELSE 0.0D END"), "contango": F.expr("CASE WHEN ann > 0 THEN 1.0D / pos ELSE 0.0D END"), "unit": F.coalesce(F.col("spot") / S.lagged("spot") - F.col("fut") / S.lagged("fut"), F.lit(0.0)) / 100})
+    k = k.withColumns(
+        {
+            "neutral": F.expr(f"CASE WHEN {h} = 0 THEN 0.0D WHEN dn <= {h} THEN 0.5D / {h} WHEN up <= {h} THEN -0.5D / {h} ELSE 0.0D END"),
+            "contango": F.expr("CASE WHEN ann > 0 THEN 1.0D / pos ELSE 0.0D END"),
+            "unit": F.coalesce(F.col("spot") / S.lagged("spot") - F.col("fut") / S.lagged("fut"), F.lit(0.0)) / 100
+        }
+    )
     out = [books.book(books.weekly_hold(k, s), "unit", 15).withColumn("scheme", F.lit(s)) for s in ("neutral", "contango")]
     return out[0].unionByName(out[1])
 
@@ -207,9 +247,13 @@ bk AS (SELECT ts, (sum(w1 * ret) - 5 / 1e4 * sum(CASE WHEN rn = 1 THEN 0 ELSE ab
 
 def low_vol_book(spark: SparkSession, sf: str) -> DataFrame:
     """ts, net, gross: calm symbols long, wild ones short by rank, renewed every four weeks, a week later; a tenth, so that it compounds."""
-    v = betas(spark, sf).withColumn("vol", S.rolling(F.stddev_samp, 20, "ret")).withColumn("i", F.row_number().over(S.by_symbol()) - 1).where("vol IS NOT NULL").withColumn("calm", -F.col("vol"))
+    v = betas(spark, sf).withColumn("vol", S.rolling(F.stddev_samp, 20, "ret")).withColumn(
+        "i", F.row_number().over(S.by_symbol()) - 1
+    ).where("vol IS NOT NULL").withColumn("calm", -F.col("vol"))
     w = books.rank_weights(v, "calm")
-    held = w.withColumn("m", F.expr("CASE WHEN i % 4 = 0 THEN w END")).withColumn("w", F.last("m", True).over(S.by_symbol().rowsBetween(W.unboundedPreceding, 0)))
+    held = w.withColumn("m", F.expr("CASE WHEN i % 4 = 0 THEN w END")).withColumn(
+        "w", F.last("m", True).over(S.by_symbol().rowsBetween(W.unboundedPreceding, 0))
+    )
     return books.book(held, "ret", 5, lag=1, first_free=True).select("ts", (F.col("net") / 10).alias("net"), F.col("gross").alias("pos"))
 
 
@@ -244,8 +288,13 @@ SELECT band, ts, fc * fc - r * r AS gamma, CASE WHEN abs(r) > band * fc THEN -5
 def short_gamma(spark: SparkSession, sf: str) -> DataFrame:
     """Forecast variance less the squared move, with a hedge that is paid for whenever the move leaves a band."""
     w = W.orderBy("ts")
-    v = gentle(spark, sf).groupBy("ts").agg(F.avg("ret").alias("r")).withColumns({"fc": F.sqrt(F.avg(F.col("r") * F.col("r")).over(w.rowsBetween(-24, -1))), "rn": F.row_number().over(w)}).where("rn > 24")
-    return v.withColumn("band", F.explode(F.array(F.lit(1.0), F.lit(2.0)))).select("band", "ts", F.expr("fc * fc - r * r").alias("gamma"), F.expr("CASE WHEN abs(r) > band * fc THEN -5 / 1e4D ELSE 0.0D END").alias("hedge_cost"))
+    v = gentle(spark, sf).groupBy("ts").agg(F.avg("ret").alias("r")).withColumns(
+        {"fc": F.sqrt(F.avg(F.col("r") * F.col("r")).over(w.rowsBetween(-24, -1))), "rn": F.row_number().over(w)}
+    ).where("rn > 24")
+    return v.withColumn("band", F.explode(F.array(F.lit(1.0), F.lit(2.0)))).select(
+        "band", "ts", F.expr("fc * fc - r * r").alias("gamma"),
+        F.expr("CASE WHEN abs(r) > band * fc THEN -5 / 1e4D ELSE 0.0D END").alias("hedge_cost")
+    )
 
 
 _PREMIUM = f"""{WITH_D}, pv AS (SELECT substring(symbol, 1, 1) AS coin, ts, max(CASE WHEN symbol LIKE '%F' THEN close END) AS f, max(CASE WHEN symbol LIKE '%O' THEN close END) AS o FROM daily GROUP BY 1, 2),
@@ -258,11 +307,18 @@ SELECT coin, k, ts, pos, pos * coalesce(ret, 0) - 2 * t * 5 / 1e4 - abs(pos) * 0
 def venue_premium(spark: SparkSession, sf: str) -> DataFrame:
     """The premium of one venue's price over the other's, scored, clipped and followed a day or two later; legs and borrowing are charged."""
     side = lambda x: F.max(F.when(F.col("symbol").endswith(x), F.col("close")))
-    pv = P.daily(spark, sf).groupBy(F.substring("symbol", 1, 1).alias("coin"), "ts").agg(side("F").alias("f"), side("O").alias("o")).where("f IS NOT NULL AND o IS NOT NULL")
+    pv = P.daily(spark, sf).groupBy(
+        F.substring("symbol", 1, 1).alias("coin"), "ts"
+    ).agg(side("F").alias("f"), side("O").alias("o")).where("f IS NOT NULL AND o IS NOT NULL")
     by = W.partitionBy("coin").orderBy("ts")
     t = by.rowsBetween(-29, 0)
     pm = pv.withColumns({"p": F.log(F.col("f") / F.col("o")), "lo": F.log("o") / 100})
-    z = pm.withColumns({"z": F.when(F.count("p").over(t) >= 15, F.try_divide(F.col("p") - F.avg("p").over(t), F.stddev_samp("p").over(t))), "ret": F.col("lo") - F.lag("lo").over(by)})
+    z = pm.withColumns(
+        {
+            "z": F.when(F.count("p").over(t) >= 15, F.try_divide(F.col("p") - F.avg("p").over(t), F.stddev_samp("p").over(t))),
+            "ret": F.col("lo") - F.lag("lo").over(by)
+        }
+    )
     z = z.withColumns({f"z{k}": F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.lag("z", k).over(by))), F.lit(0.0)) for k in (1, 2)})
     ps = z.select("coin", "ts", "ret", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"z{k}").alias("pos")) for k in (1, 2)])))
     t2 = F.abs(F.col("pos") - F.lag("pos", 1, 0.0).over(W.partitionBy("coin", "k").orderBy("ts")))
@@ -282,13 +338,19 @@ def term_structure(spark: SparkSession, sf: str) -> DataFrame:
     """Basis against funding under every span and threshold; metrics in and out of sample."""
     g = gentle(spark, sf)
     ann = P.contracts(spark, sf).groupBy("symbol", "ts").agg(F.avg(F.expr("(fut / spot - 1) * 365 / greatest(dte, 1)")).alias("ann"))
-    sp = ann.join(g, ["symbol", "ts"]).select("symbol", "ts", F.expr("ann - funding * 1095").alias("spread"), F.expr("funding + sret - ret").alias("unit"))
+    sp = ann.join(g, ["symbol", "ts"]).select(
+        "symbol", "ts", F.expr("ann - funding * 1095").alias("spread"), F.expr("funding + sret - ret").alias("unit")
+    )
     spans, enters = (9, 21, 42), (0.2, 0.4, 0.8)
     e = T.ewm_grid(sp, ["symbol"], "spread", spans).withColumns({f"e{s}": S.lagged(f"e{s}") for s in spans})
     cells = F.array(*[F.struct(F.lit(s).alias("span"), F.lit(b).alias("enter"), F.col(f"e{s}").alias("e")) for s in spans for b in enters])
     by = W.partitionBy("symbol", "span", "enter").orderBy("ts")
-    rows = e.join(sp, ["symbol", "ts"]).select("symbol", "ts", "unit", F.inline(cells)).withColumn("d", F.expr("CASE WHEN e > enter THEN 1.0D WHEN e < -enter THEN -1.0D WHEN abs(e) < enter / 2 THEN 0.0D END"))
-    rows = rows.withColumn("s", F.coalesce(F.last("d", True).over(by.rowsBetween(W.unboundedPreceding, 0)), F.lit(0.0))).withColumn("pos", F.expr("CASE WHEN e IS NULL THEN 0.0D ELSE s END"))
+    rows = e.join(sp, ["symbol", "ts"]).select("symbol", "ts", "unit", F.inline(cells)).withColumn(
+        "d", F.expr("CASE WHEN e > enter THEN 1.0D WHEN e < -enter THEN -1.0D WHEN abs(e) < enter / 2 THEN 0.0D END")
+    )
+    rows = rows.withColumn(
+        "s", F.coalesce(F.last("d", True).over(by.rowsBetween(W.unboundedPreceding, 0)), F.lit(0.0))
+    ).withColumn("pos", F.expr("CASE WHEN e IS NULL THEN 0.0D ELSE s END"))
     net = rows.withColumn("net", F.col("pos") * F.col("unit") - 2 * F.abs(F.col("pos") - F.lag("pos", 1, 0.0).over(by)) * 10 / 1e4)
     return evaluated(net, ["symbol", "span", "enter"], 365)
 
@@ -298,9 +360,14 @@ b AS (SELECT symbol, ts, coalesce(fwd, 0) AS fwd, n, sign(m) AS s, CASE WHEN n >
 SELECT ts, max(CASE WHEN symbol = 'Brand#1' THEN fwd END) AS lone, avg(fwd) AS basket, sum(s * fwd) / any_value(n) AS momentum, sum(w * fwd) AS predictive FROM b GROUP BY ts""", "lone basket momentum predictive", "ts")
 def base_books(spark: SparkSession, sf: str) -> DataFrame:
     """The books that overlays start from: one symbol, all alike, momentum by 1/N, and predictions less their mean."""
-    x = _weekly_returns(spark, sf).where("ret IS NOT NULL").withColumns({"m": F.sum("ret").over(S.trailing(4)), "n": F.count("*").over(S.by_time()), "f": F.coalesce("fwd", F.lit(0.0))})
+    x = _weekly_returns(spark, sf).where("ret IS NOT NULL").withColumns(
+        {"m": F.sum("ret").over(S.trailing(4)), "n": F.count("*").over(S.by_time()), "f": F.coalesce("fwd", F.lit(0.0))}
+    )
     b = books.demeaned(x, "m")
-    return b.groupBy("ts").agg(F.max(F.expr("CASE WHEN symbol = 'Brand#1' THEN f END")).alias("lone"), F.avg("f").alias("basket"), F.expr("sum(signum(m) * f) / first(n)").alias("momentum"), F.sum(F.col("w") * F.col("f")).alias("predictive"))
+    return b.groupBy("ts").agg(
+        F.max(F.expr("CASE WHEN symbol = 'Brand#1' THEN f END")).alias("lone"), F.avg("f").alias("basket"),
+        F.expr("sum(signum(m) * f) / first(n)").alias("momentum"), F.sum(F.col("w") * F.col("f")).alias("predictive")
+    )
 
 
 @query(None)
@@ -325,8 +392,12 @@ def pairs_by_test(spark: SparkSession, sf: str) -> DataFrame:
     by = W.partitionBy("pair").orderBy("ts")
     unit = h.select("pair", "ts", ((F.col("ya") - F.lag("ya").over(by) - F.col("beta") * (F.col("yb") - F.lag("yb").over(by))) / 100).alias("unit"))
     st = pair_state(spark, sf).select("pair", F.to_date("ts").alias("ts"), F.lag("state", 1, 0).over(by).alias("pos"))
-    net = st.join(unit, ["pair", "ts"]).withColumn("turn", F.abs(F.col("pos") - F.lag("pos", 1, 0).over(by))).withColumn("net", F.expr("pos * coalesce(unit, 0.0D) - 2 * turn * 7 / 1e4D"))
-    ranked = cointegration(spark, sf).where("a < b").select(F.concat_ws("/", "a", "b").alias("pair"), F.row_number().over(W.orderBy("t", "a", "b")).alias("place"))
+    net = st.join(unit, ["pair", "ts"]).withColumn("turn", F.abs(F.col("pos") - F.lag("pos", 1, 0).over(by))).withColumn(
+        "net", F.expr("pos * coalesce(unit, 0.0D) - 2 * turn * 7 / 1e4D")
+    )
+    ranked = cointegration(spark, sf).where("a < b").select(
+        F.concat_ws("/", "a", "b").alias("pair"), F.row_number().over(W.orderBy("t", "a", "b")).alias("place")
+    )
     grid = net.join(F.broadcast(ranked), "pair").withColumn("k", F.explode(F.array(*map(F.lit, (3, 5, 10))))).where("place <= k")
     pooled = grid.groupBy("k", "ts").agg(F.avg("net").alias("net"), F.sum(F.abs("pos")).cast("double").alias("pos"))
     return evaluated(pooled, ["k"], 365)
@@ -337,4 +408,6 @@ SELECT dow IN (0, 3) AS settles, count(ret) AS n, avg(ret) AS mean, stddev_samp(
 def settlement_test(spark: SparkSession, sf: str) -> DataFrame:
     """Returns on settlement days against those on others."""
     h = P.bars(spark, sf).select((F.dayofweek("ts") - 1).alias("dow"), F.log(F.col("close") / S.lagged("close")).alias("ret"))
-    return h.groupBy(F.col("dow").isin(0, 3).alias("settles")).agg(F.count("ret").alias("n"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd")).withColumn("t", F.expr("mean / (sd / sqrt(n))"))
+    return h.groupBy(F.col("dow").isin(0, 3).alias("settles")).agg(
+        F.count("ret").alias("n"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd")
+    ).withColumn("t", F.expr("mean / (sd / sqrt(n))"))

@@ -91,7 +91,9 @@ def tail_shape(spark: SparkSession, sf: str) -> DataFrame:
     q = x.groupBy("symbol").agg(F.percentile("loss", F.lit(0.9)).alias("u"), F.count("*").alias("n")).where("n >= 30")
     y = x.join(q, "symbol").where("loss > u").withColumn("y", F.expr("loss - u"))
     k = y.withColumns({"i": F.row_number().over(W.partitionBy("symbol").orderBy("y")), "m": F.count("*").over(W.partitionBy("symbol"))})
-    a = k.groupBy("symbol").agg(F.first("m").alias("m"), F.avg("y").alias("a0"), F.avg(F.expr("(1 - (i - 0.35D) / m) * y")).alias("a1")).where("m >= 10")
+    a = k.groupBy("symbol").agg(
+        F.first("m").alias("m"), F.avg("y").alias("a0"), F.avg(F.expr("(1 - (i - 0.35D) / m) * y")).alias("a1")
+    ).where("m >= 10")
     return a.withColumn("shape", F.expr("2 - a0 / (a0 - 2 * a1)"))
 
 
@@ -103,7 +105,10 @@ def signature_sums(spark: SparkSession, sf: str) -> DataFrame:
     c = S.by_symbol().rowsBetween(W.unboundedPreceding, 0)
     x = _returns(spark, sf).withColumns({"level": F.sum("ret").over(c), "n": F.row_number().over(S.by_symbol())})
     t = S.trailing(16)
-    w = x.select("symbol", "ts", "n", F.sum("ret").over(t).alias("s1"), F.sum(F.col("ret") * F.col("level")).over(t).alias("rl"), F.first(F.col("level") - F.col("ret")).over(t).alias("base"), F.sum(F.col("ret") * F.col("ret")).over(t).alias("r2"))
+    w = x.select(
+        "symbol", "ts", "n", F.sum("ret").over(t).alias("s1"), F.sum(F.col("ret") * F.col("level")).over(t).alias("rl"),
+        F.first(F.col("level") - F.col("ret")).over(t).alias("base"), F.sum(F.col("ret") * F.col("ret")).over(t).alias("r2")
+    )
     return w.where("n >= 16").select("symbol", "ts", F.col("s1").alias("first_level"), F.expr("rl - base * s1 - r2 / 2").alias("second_level"))
 
 
@@ -118,7 +123,10 @@ def path_signatures(spark: SparkSession, sf: str) -> DataFrame:
 @query(None)
 def signature_models(spark: SparkSession, sf: str) -> DataFrame:
     """Tomorrow's return and its sign from two levels of the signature, fitted on the first part: coefficients by sums, metrics of both books afterwards."""
-    sig = T.rolling_apply(_returns(spark, sf), ["symbol"], ["ret"], 16, 1, lambda x: tuple(K.signature(K.path_channels(x), 2)), ", ".join(f"s{k} double" for k in range(6)))
+    sig = T.rolling_apply(
+        _returns(spark, sf), ["symbol"], ["ret"], 16, 1, lambda x: tuple(K.signature(K.path_channels(x), 2)),
+        ", ".join(f"s{k} double" for k in range(6))
+    )
     g = gentle(spark, sf).select("symbol", "ts", "ret").withColumn("fwd", F.coalesce(F.lead("ret").over(S.by_symbol()), F.lit(0.0)))
     cols = [f"s{k}" for k in range(6)]
     j = kept(B.split(sig.join(g, ["symbol", "ts"]).dropna(subset=cols), ["symbol"]))
@@ -135,7 +143,9 @@ def signature_models(spark: SparkSession, sf: str) -> DataFrame:
 def self_excitation(spark: SparkSession, sf: str) -> DataFrame:
     """Events are days that move more than 1.5 deviations of the 90 before; of those in the last 120 days, renewed every thirty, a self-exciting process: branching ratio and rate over base rate."""
     before = S.by_symbol().rowsBetween(-90, -1)
-    e = _returns(spark, sf).withColumn("event", F.when(F.count("ret").over(before) >= 45, (F.abs("ret") > 1.5 * F.stddev_samp("ret").over(before)).cast("double")).otherwise(0.0))
+    e = _returns(spark, sf).withColumn(
+        "event", F.when(F.count("ret").over(before) >= 45, (F.abs("ret") > 1.5 * F.stddev_samp("ret").over(before)).cast("double")).otherwise(0.0)
+    )
 
     def fit(x: np.ndarray) -> tuple:
         n, ratio, base = K.hawkes(np.flatnonzero(x).astype(float), float(len(x)))
@@ -182,7 +192,9 @@ def residual_scores(spark: SparkSession, sf: str) -> DataFrame:
         scores, k = K.residual_scores(x)
         return [(n, *s, k) for n, s in zip(names, scores, strict=True)]
 
-    return per_panel(windows(_wide(spark, sf), [], 60, 10), ["win"], "symbol", "ret", each, "symbol string, s double, kappa double, half_life double, factors int")
+    return per_panel(
+        windows(_wide(spark, sf), [], 60, 10), ["win"], "symbol", "ret", each, "symbol string, s double, kappa double, half_life double, factors int"
+    )
 
 
 @query(None)
@@ -190,11 +202,15 @@ def residual_book(spark: SparkSession, sf: str) -> DataFrame:
     """Positions of residual scores from one window to the next, those that revert too slowly flat, demeaned to gross one, and what they earn over the next weeks: metrics."""
     s = residual_scores(spark, sf).withColumnRenamed("win", "ts").withColumn("ok", F.col("kappa") > 8)
     st = T.score_book(s, ["symbol"])
-    dm = st.withColumn("d", F.col("state") - F.avg("state").over(S.by_time())).withColumn("w", F.coalesce(F.try_divide("d", F.sum(F.abs("d")).over(S.by_time())), F.lit(0.0)))
+    dm = st.withColumn("d", F.col("state") - F.avg("state").over(S.by_time())).withColumn(
+        "w", F.coalesce(F.try_divide("d", F.sum(F.abs("d")).over(S.by_time())), F.lit(0.0))
+    )
     # the weight set at a window's end is held until the next
     ends = dm.select("symbol", F.col("ts").alias("from_"), F.lead("ts").over(S.by_symbol()).alias("to_"), "w")
     r = _wide(spark, sf)
-    held = r.join(F.broadcast(ends), "symbol").where("ts > from_ AND (to_ IS NULL OR ts <= to_)").select("symbol", "ts", (F.col("ret") / 10).alias("ret"), "w")
+    held = r.join(F.broadcast(ends), "symbol").where("ts > from_ AND (to_ IS NULL OR ts <= to_)").select(
+        "symbol", "ts", (F.col("ret") / 10).alias("ret"), "w"
+    )
     return evaluated(books.book(held, "ret", 5).select(F.lit("residual").alias("name"), "ts", F.col("gross").alias("pos"), "net"), ["name"], 52)
 
 
@@ -205,7 +221,9 @@ BINS, SHUFFLES = 3, 20
 def information_flow(spark: SparkSession, sf: str) -> DataFrame:
     """For each ordered pair of daily symbols and lags of one to three days: transfer entropy in three bins, and its distance from circular shifts. A pair is one group."""
     r = _returns(spark, sf)
-    pairs = r.withColumnsRenamed({"symbol": "lead", "ret": "x"}).join(r.withColumnsRenamed({"symbol": "follow", "ret": "y"}), "ts").where("lead <> follow")
+    pairs = r.withColumnsRenamed({"symbol": "lead", "ret": "x"}).join(
+        r.withColumnsRenamed({"symbol": "follow", "ret": "y"}), "ts"
+    ).where("lead <> follow")
 
     def all_(x: np.ndarray, y: np.ndarray) -> tuple:
         if len(x) < 40:
@@ -231,7 +249,9 @@ def _network(names: list, x: np.ndarray, times: list) -> list[tuple]:
 
 def flow_network(spark: SparkSession, sf: str) -> DataFrame:
     """win, src, dst, te, z: edges of the network over 200 days, refitted every 100: one group a refit, over a handful of symbols."""
-    made = per_panel(windows(_filled(P.daily(spark, sf)), [], 200, 100), ["win"], "symbol", "ret", _network, "src string, dst string, te double, z double")
+    made = per_panel(
+        windows(_filled(P.daily(spark, sf)), [], 200, 100), ["win"], "symbol", "ret", _network, "src string, dst string, te double, z double"
+    )
     return kept(made)
 
 
@@ -239,8 +259,16 @@ def flow_network(spark: SparkSession, sf: str) -> DataFrame:
 def flow_centrality(spark: SparkSession, sf: str, edges: DataFrame | None = None) -> DataFrame:
     """Of each refit: what flows out of a symbol and into it over edges that stand out, the difference, and the network's density."""
     e = (edges or flow_network(spark, sf)).withColumn("sig", F.expr("CASE WHEN z >= 1 THEN te ELSE 0.0D END"))
-    ends = e.select("win", "sig", F.inline(F.array(F.struct(F.col("src").alias("symbol"), F.lit(1).alias("side")), F.struct(F.col("dst").alias("symbol"), F.lit(-1).alias("side")))))
-    c = ends.groupBy("win", "symbol").agg(F.sum(F.expr("CASE WHEN side = 1 THEN sig ELSE 0.0D END")).alias("outflow"), F.sum(F.expr("CASE WHEN side = -1 THEN sig ELSE 0.0D END")).alias("inflow"))
+    ends = e.select(
+        "win", "sig",
+        F.inline(
+            F.array(F.struct(F.col("src").alias("symbol"), F.lit(1).alias("side")), F.struct(F.col("dst").alias("symbol"), F.lit(-1).alias("side")))
+        )
+    )
+    c = ends.groupBy("win", "symbol").agg(
+        F.sum(F.expr("CASE WHEN side = 1 THEN sig ELSE 0.0D END")).alias("outflow"),
+        F.sum(F.expr("CASE WHEN side = -1 THEN sig ELSE 0.0D END")).alias("inflow")
+    )
     density = e.groupBy("win").agg(F.avg(F.expr("CASE WHEN sig > 0 THEN 1.0D ELSE 0.0D END")).alias("density"), F.sum("sig").alias("coupling"))
     return c.join(F.broadcast(density), "win").withColumn("net_out", F.expr("outflow - inflow"))
 
@@ -254,8 +282,12 @@ def page_rank(spark: SparkSession, sf: str) -> DataFrame:
     n = F.count("*").over(W.partitionBy("win"))
     rank = nodes.withColumn("n", n).withColumn("rank", 1 / F.col("n"))
     for _ in range(8):
-        flow = out.join(rank.select("win", F.col("symbol").alias("src"), "rank"), ["win", "src"]).groupBy("win", F.col("dst").alias("symbol")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
-        rank = rank.drop("rank").join(flow, ["win", "symbol"], "left").withColumn("rank", 0.15 / F.col("n") + 0.85 * F.coalesce("got", F.lit(0.0))).drop("got")
+        flow = out.join(
+            rank.select("win", F.col("symbol").alias("src"), "rank"), ["win", "src"]
+        ).groupBy("win", F.col("dst").alias("symbol")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
+        rank = rank.drop("rank").join(flow, ["win", "symbol"], "left").withColumn(
+            "rank", 0.15 / F.col("n") + 0.85 * F.coalesce("got", F.lit(0.0))
+        ).drop("got")
     return rank.select("win", "symbol", "rank")
 
 
@@ -264,12 +296,16 @@ def sink_follow(spark: SparkSession, sf: str) -> DataFrame:
     """Symbols into which most flows, followed by what those that lead them did the day before: demeaned to gross one, metrics."""
     network = flow_network(spark, sf)
     e = network.withColumn("sig", F.expr("CASE WHEN z >= 1 THEN te ELSE 0.0D END"))
-    c = flow_centrality(spark, sf, network).withColumn("place", F.row_number().over(W.partitionBy("win").orderBy("net_out", "symbol"))).where("place <= 3").select("win", F.col("symbol").alias("dst"))
+    c = flow_centrality(spark, sf, network).withColumn(
+        "place", F.row_number().over(W.partitionBy("win").orderBy("net_out", "symbol"))
+    ).where("place <= 3").select("win", F.col("symbol").alias("dst"))
     led = e.join(c, ["win", "dst"])
     spans = e.select("win").distinct().withColumn("until", F.lead("win").over(W.orderBy("win")))
     g = gentle(spark, sf).select("symbol", "ts", "ret")
     day = g.join(F.broadcast(spans), F.expr("ts > win AND (until IS NULL OR ts <= until)"))
-    signal = led.join(day.select("win", F.col("symbol").alias("src"), "ts", "ret"), ["win", "src"]).groupBy("win", F.col("dst").alias("symbol"), "ts").agg(F.sum(F.col("sig") * F.col("ret")).alias("pull"))
+    signal = led.join(
+        day.select("win", F.col("symbol").alias("src"), "ts", "ret"), ["win", "src"]
+    ).groupBy("win", F.col("dst").alias("symbol"), "ts").agg(F.sum(F.col("sig") * F.col("ret")).alias("pull"))
     j = day.join(signal, ["win", "symbol", "ts"], "left").withColumn("s", F.lag(F.coalesce(F.signum("pull"), F.lit(0.0)), 1, 0.0).over(S.by_symbol()))
     b = books.book(books.demeaned(j, "s", 2), "ret", 5)
     return evaluated(b.select(F.lit("sink").alias("name"), "ts", F.col("gross").alias("pos"), "net"), ["name"], 365)
@@ -287,7 +323,10 @@ def functional_gates(spark: SparkSession, sf: str) -> DataFrame:
     f = rolling_functionals(spark, sf)
     g = gentle(spark, sf).select("symbol", "ts", "ret").withColumn("vol", F.stddev_samp("ret").over(S.trailing(10)))
     j = validation.gates(kept(B.split(g.join(f, ["symbol", "ts"]), ["symbol"])), [*_GATES, "vol"], 0.7)
-    arms = F.array(F.struct(F.lit("base").alias("arm"), F.lit(1.0).alias("pos")), *[F.struct(F.lit(c).alias("arm"), F.col(f"by_{c}").alias("pos")) for c in (*_GATES, "vol")])
+    arms = F.array(
+        F.struct(F.lit("base").alias("arm"), F.lit(1.0).alias("pos")),
+        *[F.struct(F.lit(c).alias("arm"), F.col(f"by_{c}").alias("pos")) for c in (*_GATES, "vol")]
+    )
     rows = j.select("symbol", "ts", "ret", F.inline(arms))
     turn = F.abs(F.col("pos") - F.lag("pos", 1, 0.0).over(W.partitionBy("symbol", "arm").orderBy("ts")))
     m = kept(evaluated(rows.withColumn("net", F.col("pos") * F.col("ret") - turn * 5 / 1e4), ["symbol", "arm"], 365).where("split = 'oos'"))
@@ -311,7 +350,9 @@ def differenced_models(spark: SparkSession, sf: str) -> DataFrame:
     w = K.frac_weights(0.4, 0.01)
     level = F.log(F.col("px"))
     g = gentle(spark, sf).withColumn("fd", sum((F.lit(float(x)) * F.lag(level, k).over(S.by_symbol()) for k, x in enumerate(w)), F.lit(0.0)))
-    g = g.withColumns({f"z{n}": S.zscore("fd", n, n // 2) for n in (12, 30, 60)}).withColumn("fwd", F.coalesce(F.lead("ret").over(S.by_symbol()), F.lit(0.0)))
+    g = g.withColumns({f"z{n}": S.zscore("fd", n, n // 2) for n in (12, 30, 60)}).withColumn(
+        "fwd", F.coalesce(F.lead("ret").over(S.by_symbol()), F.lit(0.0))
+    )
     cols = ["z12", "z30", "z60"]
     j = B.split(g.dropna(subset=cols), ["symbol"])
     line = fits.ridge(j.where("split = 'is'"), cols, "fwd", 10.0)
@@ -330,7 +371,11 @@ def transport_gate(spark: SparkSession, sf: str) -> DataFrame:
     """Distance of the market's last twenty weeks from the twenty before, a week late, and a gate on its own past. One row a week."""
     w = W.orderBy("ts")
     m = _wide(spark, sf).groupBy("ts").agg(F.avg("ret").alias("ret"))
-    e = m.select("ts", "ret", F.collect_list("ret").over(w.rowsBetween(-19, 0)).alias("a"), F.collect_list("ret").over(w.rowsBetween(-39, -20)).alias("b")).where("size(b) = 20")
-    d = e.select("ts", "ret", F.expr("aggregate(zip_with(array_sort(a), array_sort(b), (x, y) -> abs(x - y)), 0.0D, (s, x) -> s + x) / 20").alias("w1"))
+    e = m.select(
+        "ts", "ret", F.collect_list("ret").over(w.rowsBetween(-19, 0)).alias("a"), F.collect_list("ret").over(w.rowsBetween(-39, -20)).alias("b")
+    ).where("size(b) = 20")
+    d = e.select(
+        "ts", "ret", F.expr("aggregate(zip_with(array_sort(a), array_sort(b), (x, y) -> abs(x - y)), 0.0D, (s, x) -> s + x) / 20").alias("w1")
+    )
     d = d.withColumns({"late": F.lag("w1").over(w), "q": F.percentile("w1", F.lit(0.7)).over(w.rowsBetween(-60, -1))})
     return d.select("ts", F.col("late").alias("w1"), "ret", F.expr("CASE WHEN late > q THEN 0.0D ELSE 1.0D END").alias("gate"))

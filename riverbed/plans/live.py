@@ -27,14 +27,19 @@ def quotes(spark: SparkSession, sf: str) -> DataFrame:
     q = c.groupBy("symbol", "code").agg(F.max("ts").alias("ts"), last("fut"), last("spot"), last("dte"))
     day = c.agg(F.max("ts").alias("_d"))
     live = q.join(F.broadcast(day), F.lit(True)).where(f"dte > 1 AND datediff(_d, ts) <= {LAG}")
-    return live.select("symbol", F.substring("symbol", 1, 1).alias("coin"), F.substring("symbol", 2, 1).alias("venue"), "code", "ts", "fut", "spot", "dte", F.expr("(fut / spot - 1) * 365 / dte").alias("ann"))
+    return live.select(
+        "symbol", F.substring("symbol", 1, 1).alias("coin"), F.substring("symbol", 2, 1).alias("venue"), "code", "ts", "fut", "spot", "dte",
+        F.expr("(fut / spot - 1) * 365 / dte").alias("ann")
+    )
 
 
 @query(f"""{QUOTES}
 SELECT symbol, code, dte, ann, ann > 0.05 AND dte BETWEEN 20 AND 200 AS tradable, ann > 0.003 * 365 / 60 AND ann < 0.05 AS watched FROM quotes""", "ann", "symbol code dte tradable watched")
 def basis_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Contracts by basis: those to trade, and those that cover their costs without reaching the least basis."""
-    return quotes(spark, sf).withColumns({"tradable": F.expr("ann > 0.05 AND dte BETWEEN 20 AND 200"), "watched": F.expr("ann > 0.003D * 365 / 60 AND ann < 0.05")})
+    return quotes(spark, sf).withColumns(
+        {"tradable": F.expr("ann > 0.05 AND dte BETWEEN 20 AND 200"), "watched": F.expr("ann > 0.003D * 365 / 60 AND ann < 0.05")}
+    )
 
 
 @query(f"""{QUOTES}, b AS (SELECT coin, venue, code, dte, ann, row_number() OVER (PARTITION BY coin ORDER BY ann DESC, code, venue) AS place FROM quotes WHERE dte BETWEEN 20 AND 200 AND ann > 0.015),
@@ -43,10 +48,17 @@ SELECT s.coin, b.venue, b.code, b.ann, hi - lo AS spread, dear, cheap, hi - lo >
 def venue_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Each coin's best contract over all venues, and how far the venues lie apart."""
     q = quotes(spark, sf)
-    best = q.where("dte BETWEEN 20 AND 200 AND ann > 0.015").withColumn("place", F.row_number().over(W.partitionBy("coin").orderBy(F.desc("ann"), "code", "venue"))).where("place = 1").select("coin", "venue", "code", "ann")
+    best = q.where("dte BETWEEN 20 AND 200 AND ann > 0.015").withColumn(
+        "place", F.row_number().over(W.partitionBy("coin").orderBy(F.desc("ann"), "code", "venue"))
+    ).where("place = 1").select("coin", "venue", "code", "ann")
     by = F.struct("ann", "venue")
-    s = q.where("dte BETWEEN 2 AND 130").groupBy("coin").agg(F.max("ann").alias("hi"), F.min("ann").alias("lo"), F.max_by("venue", by).alias("dear"), F.min_by("venue", by).alias("cheap"), F.count_distinct("venue").alias("venues"))
-    return s.join(best, "coin", "left").select("coin", "venue", "code", "ann", F.expr("hi - lo").alias("spread"), "dear", "cheap", F.expr("hi - lo > 0.005 AND venues > 1").alias("apart"))
+    s = q.where("dte BETWEEN 2 AND 130").groupBy("coin").agg(
+        F.max("ann").alias("hi"), F.min("ann").alias("lo"), F.max_by("venue", by).alias("dear"), F.min_by("venue", by).alias("cheap"),
+        F.count_distinct("venue").alias("venues")
+    )
+    return s.join(best, "coin", "left").select(
+        "coin", "venue", "code", "ann", F.expr("hi - lo").alias("spread"), "dear", "cheap", F.expr("hi - lo > 0.005 AND venues > 1").alias("apart")
+    )
 
 
 @query(f"""{WITH_D}, l AS (SELECT symbol, arg_max(funding, ts) AS funding, arg_max(qvol, ts) AS qvol FROM daily GROUP BY symbol), v AS (SELECT sum(qvol) / 7 AS least FROM l)
@@ -56,16 +68,24 @@ def funding_scan(spark: SparkSession, sf: str) -> DataFrame:
     l = P.daily(spark, sf).groupBy("symbol").agg(F.max_by("funding", "ts").alias("funding"), F.max_by("qvol", "ts").alias("qvol"))  # noqa: E741
     least = l.agg((F.sum("qvol") / 7).alias("least"))
     live = l.join(F.broadcast(least), F.expr("qvol >= least"))
-    return live.select("symbol", F.substring("symbol", 1, 1).alias("coin"), (F.col("funding") * 1e4).alias("bp"), (F.col("funding") * 3 * 365 * 100).alias("annual"), (F.col("qvol") / 1e6).alias("volume"), F.col("symbol").rlike("N").alias("tokenised"))
+    return live.select(
+        "symbol", F.substring("symbol", 1, 1).alias("coin"), (F.col("funding") * 1e4).alias("bp"), (F.col("funding") * 3 * 365 * 100).alias("annual"),
+        (F.col("qvol") / 1e6).alias("volume"), F.col("symbol").rlike("N").alias("tokenised")
+    )
 
 
 @query(f"""{WITH_D}, l AS (SELECT substring(symbol, 1, 1) AS coin, substring(symbol, 2, 1) AS venue, arg_max(funding, ts) AS f, count(*) AS bars FROM daily GROUP BY 1, 2)
 SELECT coin, max(CASE WHEN venue = 'F' THEN f END) * 1e4 AS f_bp, max(CASE WHEN venue = 'O' THEN f END) * 1e4 AS o_bp, CAST(sum(bars) AS BIGINT) AS bars, CASE WHEN min(bars) >= 1500 AND count(*) = 2 THEN 'FULL' WHEN max(bars) > 0 THEN 'PARTIAL' ELSE 'FAILED' END AS coverage FROM l GROUP BY coin""", "f_bp o_bp", "coin bars coverage")
 def venue_monitor(spark: SparkSession, sf: str) -> DataFrame:
     """Funding by venue side by side, and how complete each coin's history is."""
-    l = P.daily(spark, sf).groupBy(F.substring("symbol", 1, 1).alias("coin"), F.substring("symbol", 2, 1).alias("venue")).agg(F.max_by("funding", "ts").alias("f"), F.count("*").alias("bars"))  # noqa: E741
+    l = P.daily(spark, sf).groupBy(  # noqa: E741
+        F.substring("symbol", 1, 1).alias("coin"), F.substring("symbol", 2, 1).alias("venue")
+    ).agg(F.max_by("funding", "ts").alias("f"), F.count("*").alias("bars"))
     side = l.groupBy("coin").pivot("venue", ["F", "O"]).agg(F.max("f"))
-    n = l.groupBy("coin").agg(F.sum("bars").alias("bars"), F.expr("CASE WHEN min(bars) >= 1500 AND count(*) = 2 THEN 'FULL' WHEN max(bars) > 0 THEN 'PARTIAL' ELSE 'FAILED' END").alias("coverage"))
+    n = l.groupBy("coin").agg(
+        F.sum("bars").alias("bars"),
+        F.expr("CASE WHEN min(bars) >= 1500 AND count(*) = 2 THEN 'FULL' WHEN max(bars) > 0 THEN 'PARTIAL' ELSE 'FAILED' END").alias("coverage")
+    )
     return side.join(n, "coin").select("coin", (F.col("F") * 1e4).alias("f_bp"), (F.col("O") * 1e4).alias("o_bp"), "bars", "coverage")
 
 
@@ -91,10 +111,17 @@ def snapshot(spark: SparkSession, sf: str, before: int) -> tuple[DataFrame, Data
     d = P.daily(spark, sf)
     day = d.agg(F.date_sub(F.max("ts"), before).alias("_d"))
     d = d.join(F.broadcast(day), F.expr("ts <= _d")).drop("_d")
-    last = d.groupBy("symbol").agg(*[F.max_by(a, "ts").alias(b) for a, b in (("close", "px"), ("spot", "spot"), ("high", "fut"), ("funding", "last_funding"))], F.max("ts").alias("ts"))
+    last = d.groupBy("symbol").agg(
+        *[F.max_by(a, "ts").alias(b) for a, b in (("close", "px"), ("spot", "spot"), ("high", "fut"), ("funding", "last_funding"))],
+        F.max("ts").alias("ts")
+    )
     e = ewm(d, ["symbol"], "funding", 21).groupBy("symbol").agg(F.max_by("ema", "ts").alias("ema"))
-    f = last.join(e, "symbol").where("symbol LIKE '%F'").select(F.substring("symbol", 1, 1).alias("coin"), F.col("px").alias("perp"), "spot", "fut", F.round("ema", 12).alias("funding"), "ts")
-    o = last.where("symbol LIKE '%O'").select(F.substring("symbol", 1, 1).alias("coin"), F.col("px").alias("other"), F.col("last_funding").alias("other_funding"))
+    f = last.join(e, "symbol").where("symbol LIKE '%F'").select(
+        F.substring("symbol", 1, 1).alias("coin"), F.col("px").alias("perp"), "spot", "fut", F.round("ema", 12).alias("funding"), "ts"
+    )
+    o = last.where("symbol LIKE '%O'").select(
+        F.substring("symbol", 1, 1).alias("coin"), F.col("px").alias("other"), F.col("last_funding").alias("other_funding")
+    )
     s = f.join(o, "coin", "left").withColumn("expiry", F.expr("date_sub(add_months(trunc(ts, 'quarter'), 6), 1)"))
     s = s.withColumns({"code": F.date_format("expiry", "yyMMdd"), "ann": F.expr("(fut / spot - 1) * 365 / datediff(expiry, ts)")})
     place = lambda kind, px: F.struct(F.concat(F.lit(f"{kind}:"), "coin").alias("instrument"), F.col(px).alias("px"))
@@ -148,4 +175,7 @@ def mark_to_market(spark: SparkSession, sf: str) -> DataFrame:
 SELECT count(*) AS legs, sum(abs(notional)) / 100000 AS gross, sum(notional) AS net, 80.0 / 95 AS breaker FROM s0t""", "gross net:3 breaker", "legs")
 def book_dashboard(spark: SparkSession, sf: str) -> DataFrame:
     """The book in one row: gross within its limit, net near nothing."""
-    return target_book(spark, sf).agg(F.count("*").alias("legs"), (F.sum(F.abs("notional")) / LIMITS.capital).alias("gross"), F.sum("notional").alias("net"), F.lit(LIMITS.calm_vol / 95).alias("breaker"))
+    return target_book(spark, sf).agg(
+        F.count("*").alias("legs"), (F.sum(F.abs("notional")) / LIMITS.capital).alias("gross"), F.sum("notional").alias("net"),
+        F.lit(LIMITS.calm_vol / 95).alias("breaker")
+    )

@@ -32,8 +32,12 @@ SELECT symbol, ts, CASE WHEN e IS NULL THEN 0 ELSE CAST(coalesce(last_value(CASE
 def term_hysteresis(spark: SparkSession, sf: str) -> DataFrame:
     """Basis less funding, both a year, smoothed and known a bar before: in beyond a threshold, out inside half of it; a bar without a value is flat and keeps the state."""
     d = P.daily(spark, sf).select("symbol", "ts", "funding")
-    ann = P.contracts(spark, sf).where("dte BETWEEN 5 AND 85").groupBy("symbol", "ts").agg(F.avg(F.expr("(fut / spot - 1) * 365 / greatest(dte, 1)")).alias("ann"))
-    e = T.ewm(ann.join(d, ["symbol", "ts"]).withColumn("spread", F.expr("ann - funding * 1095")), ["symbol"], "spread", 19, "v").withColumn("e", S.lagged("v"))
+    ann = P.contracts(spark, sf).where("dte BETWEEN 5 AND 85").groupBy("symbol", "ts").agg(
+        F.avg(F.expr("(fut / spot - 1) * 365 / greatest(dte, 1)")).alias("ann")
+    )
+    e = T.ewm(
+        ann.join(d, ["symbol", "ts"]).withColumn("spread", F.expr("ann - funding * 1095")), ["symbol"], "spread", 19, "v"
+    ).withColumn("e", S.lagged("v"))
     state = T.latest(F.expr("CASE WHEN e > 0.4 THEN 1 WHEN e < -0.4 THEN -1 WHEN abs(e) < 0.2 THEN 0 END"))
     return e.withColumn("state", state).withColumn("state", F.expr("CASE WHEN e IS NULL THEN 0 ELSE state END"))
 
@@ -47,7 +51,9 @@ sd AS (SELECT pair, avg(e) AS m, stddev_samp(e) AS d FROM rs WHERE ins GROUP BY
 def hedged_scores(spark: SparkSession, sf: str) -> DataFrame:
     """pair, ts, z: the residual of one log price on another, hedge, mean and deviation from the first part alone."""
     lp = P.daily(spark, sf).select("symbol", "ts", F.log("close").alias("y"))
-    pr = lp.withColumnsRenamed({"symbol": "a", "y": "ya"}).join(lp.withColumnsRenamed({"symbol": "b", "y": "yb"}), "ts").where("a < b").withColumn("pair", F.concat_ws("/", "a", "b"))
+    pr = lp.withColumnsRenamed({"symbol": "a", "y": "ya"}).join(
+        lp.withColumnsRenamed({"symbol": "b", "y": "yb"}), "ts"
+    ).where("a < b").withColumn("pair", F.concat_ws("/", "a", "b"))
     cut = B.split(pr, ["pair"])
     fit = cut.where("split = 'is'").groupBy("pair").agg(F.regr_slope("ya", "yb").alias("beta"), F.regr_intercept("ya", "yb").alias("alpha"))
     e = cut.join(fit, "pair").withColumn("e", F.expr("ya - beta * yb - alpha"))
@@ -71,11 +77,17 @@ cs AS (SELECT symbol, ts, CASE WHEN k >= 24 AND doi <= lowest AND abs(ret) >= 0.
 
 def cascades(spark: SparkSession, sf: str) -> DataFrame:
     """symbol, ts, x: -1 or 1 against a sharp move on an hour in which open interest falls among its lowest fifth of 72 hours."""
-    hb = P.ticks(spark, sf).groupBy("symbol", F.date_trunc("hour", "ts").alias("bar")).agg(F.max_by("price", F.struct("ts", "seq")).alias("close"), F.sum("qty").alias("oi"), (F.sum(F.when(F.col("maker"), -F.col("qty")).otherwise(F.col("qty"))) / F.sum("qty")).alias("taker"))
+    hb = P.ticks(spark, sf).groupBy("symbol", F.date_trunc("hour", "ts").alias("bar")).agg(
+        F.max_by("price", F.struct("ts", "seq")).alias("close"), F.sum("qty").alias("oi"),
+        (F.sum(F.when(F.col("maker"), -F.col("qty")).otherwise(F.col("qty"))) / F.sum("qty")).alias("taker")
+    )
     hr = hb.withColumnRenamed("bar", "ts").withColumns({"ret": F.col("close") / S.lagged("close") - 1, "doi": F.col("oi") - S.lagged("oi")})
     hq = hr.withColumn("lowest", S.rolling(lambda c: F.percentile(c, F.lit(0.2)), 72, "doi", least=24))
     hit = "doi <= lowest AND abs(ret) >= 0.2"
-    return hq.select("symbol", "ts", "ret", F.expr(f"CASE WHEN {hit} AND ret < 0 AND taker < 0.5 THEN 1.0D WHEN {hit} AND ret > 0 AND taker > -0.5 THEN -1.0D ELSE 0.0D END").alias("x"))
+    return hq.select(
+        "symbol", "ts", "ret",
+        F.expr(f"CASE WHEN {hit} AND ret < 0 AND taker < 0.5 THEN 1.0D WHEN {hit} AND ret > 0 AND taker > -0.5 THEN -1.0D ELSE 0.0D END").alias("x")
+    )
 
 
 @query(f"""{_CASCADE}, {fold("symbol", "cs", "x", _TIMED.format("abs(s) <= 1 AND", 6, "0.0"))}
@@ -99,7 +111,9 @@ def cascade_pool(spark: SparkSession, sf: str) -> DataFrame:
     c = cascades(spark, sf)
     j = T.timed_position(c, ["symbol"], "x", 6, False).join(c.select("symbol", "ts", "ret"), ["symbol", "ts"])
     j = j.withColumn("p", S.lagged("state", 1, 0)).withColumn("p0", S.lagged("state", 2, 0))
-    return j.groupBy("ts").agg(F.avg(F.expr("p * coalesce(ret, 0.0D) - abs(p - p0) * 5 / 1e4D")).alias("net"), F.count_if(F.expr("p <> 0 AND p0 = 0")).alias("events"))
+    return j.groupBy("ts").agg(
+        F.avg(F.expr("p * coalesce(ret, 0.0D) - abs(p - p0) * 5 / 1e4D")).alias("net"), F.count_if(F.expr("p <> 0 AND p0 = 0")).alias("events")
+    )
 
 
 @query(None)
@@ -107,7 +121,13 @@ def kalman_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Hedges that follow a random walk, and the machine on the standardised surprise."""
     k = T.kalman_hedge(hedged_scores(spark, sf), ["pair"], "yb", "ya")
     w = W.partitionBy("pair").orderBy("ts").rowsBetween(-29, 0)
-    z = k.withColumn("z", F.when((F.count("resid").over(w) >= 30) & (F.stddev_samp("resid").over(w) > 0), (F.col("resid") - F.avg("resid").over(w)) / F.stddev_samp("resid").over(w)))
+    z = k.withColumn(
+        "z",
+        F.when(
+            (F.count("resid").over(w) >= 30) & (F.stddev_samp("resid").over(w) > 0),
+            (F.col("resid") - F.avg("resid").over(w)) / F.stddev_samp("resid").over(w)
+        )
+    )
     return T.pair_position(z, ["pair"], "z").join(k, ["pair", "ts"])
 
 
@@ -120,7 +140,10 @@ SELECT symbol, ts, CAST(s AS INTEGER) AS state, coalesce(d / nullif(sum(abs(d))
 def score_states(spark: SparkSession, sf: str) -> DataFrame:
     """Positions of reverting scores, ineligible names flat, then demeaned over names to gross one."""
     w = S.trailing(30)
-    z = _daily_returns(spark, sf).select("symbol", "ts", F.round(F.try_divide(F.col("close") - F.avg("close").over(w), F.stddev_samp("close").over(w)), 9).alias("s"), (F.count("close").over(w) >= 20).alias("ok"))
+    z = _daily_returns(spark, sf).select(
+        "symbol", "ts", F.round(F.try_divide(F.col("close") - F.avg("close").over(w), F.stddev_samp("close").over(w)), 9).alias("s"),
+        (F.count("close").over(w) >= 20).alias("ok")
+    )
     st = T.score_book(z, ["symbol"])
     dm = st.withColumn("d", F.col("state") - F.avg("state").over(S.by_time()))
     return dm.withColumn("weight", F.coalesce(F.try_divide("d", F.sum(F.abs("d")).over(S.by_time())), F.lit(0.0)))
@@ -130,9 +153,19 @@ def score_states(spark: SparkSession, sf: str) -> DataFrame:
 def band_baskets(spark: SparkSession, sf: str) -> DataFrame:
     """Baskets of the two best and two worst by weekly funding; members stay while they rank within one place more. A side's names are the universe, one row a week."""
     weekly = P.daily(spark, sf).groupBy("symbol", F.next_day(F.date_sub("ts", 1), "FRI").alias("ts")).agg(F.sum("funding").alias("f"))
-    listed = lambda order, cond: F.transform(F.array_sort(F.collect_list(F.when(F.expr(cond), F.struct(order.alias("o"), "symbol")))), lambda x: x["symbol"])
+    listed = lambda order, cond: F.transform(
+        F.array_sort(F.collect_list(F.when(F.expr(cond), F.struct(order.alias("o"), "symbol")))), lambda x: x["symbol"]
+    )
     sides = weekly.groupBy("ts").agg(listed(F.col("f"), "f > 0").alias("high"), listed(-F.col("f"), "f < 0").alias("low"))
-    ranks = sides.select("ts", F.inline(F.array(F.struct(F.lit("long").alias("side"), F.col("low").alias("names")), F.struct(F.lit("short").alias("side"), F.col("high").alias("names")))))
+    ranks = sides.select(
+        "ts",
+        F.inline(
+            F.array(
+                F.struct(F.lit("long").alias("side"), F.col("low").alias("names")),
+                F.struct(F.lit("short").alias("side"), F.col("high").alias("names"))
+            )
+        )
+    )
     members = T.band_basket(ranks, ["side"], 2, 1)
     sign = F.when(F.col("side") == "long", 1.0).otherwise(-1.0)
     return members.select("ts", "side", F.explode("members").alias("symbol"), (sign / F.size("members")).alias("weight"))
@@ -144,12 +177,16 @@ def band_baskets(spark: SparkSession, sf: str) -> DataFrame:
 @query(None)
 def volume_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     """The mean imbalance of the last fifty of volume buckets, each a fiftieth of all volume; null where there are fewer. Per symbol and bucket, not per tick."""
-    b = P.ticks(spark, sf).groupBy("symbol", F.window("ts", "1 minute").start.alias("bar")).agg(F.max_by("price", F.struct("ts", "seq")).alias("close"), F.sum("qty").alias("volume")).withColumnRenamed("bar", "ts")
+    b = P.ticks(spark, sf).groupBy("symbol", F.window("ts", "1 minute").start.alias("bar")).agg(
+        F.max_by("price", F.struct("ts", "seq")).alias("close"), F.sum("qty").alias("volume")
+    ).withColumnRenamed("bar", "ts")
     d = b.withColumn("d", F.coalesce(F.col("close") - S.lagged("close"), F.lit(0.0)))
     s = d.groupBy("symbol").agg((F.sum("volume") / 50).alias("limit"), (F.stddev_pop("d") + 1e-9).alias("sd"))
     closed = T.volume_buckets(d.join(s, "symbol").withColumn("z", F.col("d") / F.col("sd")), ["symbol"]).where("bucket IS NOT NULL")
     n = F.count("*").over(W.partitionBy("symbol"))
-    last = closed.withColumn("n", n).groupBy("symbol").agg(F.first("n").alias("buckets"), F.avg(F.expr("CASE WHEN bucket >= n - 50 THEN imbalance END")).alias("vpin"))
+    last = closed.withColumn("n", n).groupBy("symbol").agg(
+        F.first("n").alias("buckets"), F.avg(F.expr("CASE WHEN bucket >= n - 50 THEN imbalance END")).alias("vpin")
+    )
     return last.select("symbol", "buckets", F.expr("CASE WHEN buckets >= 50 THEN vpin END").alias("vpin"))
 
 
@@ -157,14 +194,21 @@ def volume_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 def maker_simulation(spark: SparkSession, sf: str) -> DataFrame:
     """A passive quoter with and without a skew against order flow: what it earns by spread, rebate and inventory."""
     side = lambda m: F.sum(F.when(F.col("maker") == m, F.col("qty")).otherwise(0.0))
-    b = P.ticks(spark, sf).groupBy("symbol", F.window("ts", "5 seconds").start.alias("bar")).agg(F.max_by("price", F.struct("ts", "seq")).alias("mid"), side(True).alias("sell_agg"), side(False).alias("buy_agg")).withColumnRenamed("bar", "ts")
-    flow = b.withColumn("f", F.when(F.row_number().over(S.by_symbol()) >= 12, F.avg(F.col("buy_agg") - F.col("sell_agg")).over(S.trailing(12)))).withColumns({"ofi": F.coalesce(S.lagged("f"), F.lit(0.0)), "next_mid": F.lead("mid").over(S.by_symbol())})
+    b = P.ticks(spark, sf).groupBy("symbol", F.window("ts", "5 seconds").start.alias("bar")).agg(
+        F.max_by("price", F.struct("ts", "seq")).alias("mid"), side(True).alias("sell_agg"), side(False).alias("buy_agg")
+    ).withColumnRenamed("bar", "ts")
+    flow = b.withColumn(
+        "f", F.when(F.row_number().over(S.by_symbol()) >= 12, F.avg(F.col("buy_agg") - F.col("sell_agg")).over(S.trailing(12)))
+    ).withColumns({"ofi": F.coalesce(S.lagged("f"), F.lit(0.0)), "next_mid": F.lead("mid").over(S.by_symbol())})
     sd = flow.where("ofi <> 0").groupBy("symbol").agg((F.stddev_pop("ofi") + 1e-9).alias("sd"))
     z = flow.join(sd, "symbol").withColumn("z", F.col("ofi") / F.col("sd"))
     arms = [T.market_maker(z, ["symbol"], skew, 0.5, -0.5, 0.1, 50.0).withColumn("skew", F.lit(skew)) for skew in (0.0, 1.0)]
     both = arms[0].unionByName(arms[1])
     total = F.sum(F.expr("spread + fee + adverse"))
-    return both.groupBy("symbol", "skew").agg(F.count("*").alias("bars"), *[F.sum(c).alias(c) for c in ("spread", "fee", "adverse")], total.alias("total"), F.max(F.abs("inventory")).alias("most_inventory"))
+    return both.groupBy("symbol", "skew").agg(
+        F.count("*").alias("bars"), *[F.sum(c).alias(c) for c in ("spread", "fee", "adverse")], total.alias("total"),
+        F.max(F.abs("inventory")).alias("most_inventory")
+    )
 
 
 OFI = f"""{WITH_T}, ob AS (SELECT symbol, date_trunc('minute', ts) AS ts, arg_max(price, (ts, seq)) AS close, sum(CASE WHEN maker THEN -qty ELSE qty END) / sum(qty) AS ofi FROM ticks GROUP BY 1, 2),
@@ -176,9 +220,16 @@ os AS (SELECT *, lag(CASE WHEN rn >= h THEN m END) OVER (PARTITION BY symbol, h
 def flow_signals(spark: SparkSession, sf: str) -> DataFrame:
     """symbol, h, ts, rn, r1, fwd, sig: mean order flow of h minutes as known a minute before, and returns over one and h minutes."""
     signed = F.when(F.col("maker"), -F.col("qty")).otherwise(F.col("qty"))
-    b = P.ticks(spark, sf).groupBy("symbol", F.window("ts", "1 minute").start.alias("bar")).agg(F.max_by("price", F.struct("ts", "seq")).alias("close"), (F.sum(signed) / F.sum("qty")).alias("ofi")).withColumnRenamed("bar", "ts")
+    b = P.ticks(spark, sf).groupBy("symbol", F.window("ts", "1 minute").start.alias("bar")).agg(
+        F.max_by("price", F.struct("ts", "seq")).alias("close"), (F.sum(signed) / F.sum("qty")).alias("ofi")
+    ).withColumnRenamed("bar", "ts")
     by, ahead = S.by_symbol(), lambda k: F.log(F.lead("close", k).over(S.by_symbol()) / F.col("close"))
-    b = b.withColumns({"rn": F.row_number().over(by), "r1": ahead(1), **{f"f{h}": ahead(h) for h in (1, 5, 15)}, **{f"m{h}": F.avg("ofi").over(S.trailing(h)) for h in (1, 5, 15)}})
+    b = b.withColumns(
+        {
+            "rn": F.row_number().over(by), "r1": ahead(1), **{f"f{h}": ahead(h) for h in (1, 5, 15)},
+            **{f"m{h}": F.avg("ofi").over(S.trailing(h)) for h in (1, 5, 15)}
+        }
+    )
     b = b.withColumns({f"s{h}": F.lag(F.when(F.col("rn") >= h, F.col(f"m{h}"))).over(by) for h in (1, 5, 15)})
     grid = F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"f{h}").alias("fwd"), F.col(f"s{h}").alias("sig")) for h in (1, 5, 15)])
     return b.select("symbol", "ts", "rn", "r1", F.inline(grid))
@@ -190,7 +241,9 @@ def flow_ic(spark: SparkSession, sf: str) -> DataFrame:
     """How order flow foretells the return over h minutes, after a cut that counts rows with both."""
     s = flow_signals(spark, sf)
     total = s.where("h = 1").groupBy("symbol").agg(F.count("*").alias("bars"))
-    ok = s.where("sig IS NOT NULL AND fwd IS NOT NULL").withColumn("k", F.row_number().over(W.partitionBy("symbol", "h").orderBy("ts"))).join(total, "symbol").where("k > floor(bars * 0.6)")
+    ok = s.where("sig IS NOT NULL AND fwd IS NOT NULL").withColumn(
+        "k", F.row_number().over(W.partitionBy("symbol", "h").orderBy("ts"))
+    ).join(total, "symbol").where("k > floor(bars * 0.6)")
     return ok.groupBy("symbol", "h").agg(F.count("*").alias("n"), F.corr("sig", "fwd").alias("ic")).where("n > 50")
 
 
@@ -203,7 +256,9 @@ def flow_strategy(spark: SparkSession, sf: str) -> DataFrame:
     per = W.partitionBy("symbol", "h").orderBy("ts")
     held = F.last(F.expr("CASE WHEN (rn - 1) % h = 0 THEN coalesce(signum(sig), 0.0D) END"), True).over(per.rowsBetween(W.unboundedPreceding, 0))
     hp = flow_signals(spark, sf).withColumn("pos", held).withColumn("turn", F.abs(F.col("pos") - F.lag(F.col("pos"), 1, 0.0).over(per)))
-    fe = hp.withColumn("fee", F.explode(F.array(*[F.lit(x) for x in (0.0, 1.8, 4.5)]))).withColumn("net", F.expr("pos * r1 / 100 - turn * fee / 1e4D")).where("net IS NOT NULL")
+    fe = hp.withColumn(
+        "fee", F.explode(F.array(*[F.lit(x) for x in (0.0, 1.8, 4.5)]))
+    ).withColumn("net", F.expr("pos * r1 / 100 - turn * fee / 1e4D")).where("net IS NOT NULL")
     return evaluated(fe.select("symbol", "h", "fee", "ts", "pos", "net"), ["symbol", "h", "fee"], 525600).where("split = 'oos'")
 
 
@@ -215,10 +270,16 @@ md AS (SELECT symbol, quantile_cont(vol, 0.5) AS target FROM v WHERE vol > 0 GRO
 SELECT symbol, ts, coalesce(sign(lag(trail) OVER w), 0) AS raw, coalesce(greatest(-3, least(3, lag(sign(trail) * target / nullif(vol, 0)) OVER w)), 0) AS scaled FROM v JOIN md USING (symbol) WINDOW w AS (PARTITION BY symbol ORDER BY ts)""", "raw scaled", "symbol ts")
 def scaled_momentum(spark: SparkSession, sf: str) -> DataFrame:
     """Sign of the past month, plain and brought to the median volatility, within three times."""
-    v = gentle(spark, sf).select("symbol", "ts", "ret", (F.col("px") / F.lag("px", 30).over(S.by_symbol()) - 1).alias("trail"), F.when(F.count("*").over(S.trailing(30)) >= 20, F.stddev_samp("ret").over(S.trailing(30))).alias("vol"))
+    v = gentle(spark, sf).select(
+        "symbol", "ts", "ret", (F.col("px") / F.lag("px", 30).over(S.by_symbol()) - 1).alias("trail"),
+        F.when(F.count("*").over(S.trailing(30)) >= 20, F.stddev_samp("ret").over(S.trailing(30))).alias("vol")
+    )
     md = v.where("vol > 0").groupBy("symbol").agg(F.percentile("vol", F.lit(0.5)).alias("target"))
     j = v.join(md, "symbol").withColumns({"a": F.signum("trail"), "b": F.expr("signum(trail) * target / nullif(vol, 0)")})
-    return j.select("symbol", "ts", F.coalesce(S.lagged("a"), F.lit(0.0)).alias("raw"), F.coalesce(F.greatest(F.lit(-3.0), F.least(F.lit(3.0), S.lagged("b"))), F.lit(0.0)).alias("scaled"))
+    return j.select(
+        "symbol", "ts", F.coalesce(S.lagged("a"), F.lit(0.0)).alias("raw"),
+        F.coalesce(F.greatest(F.lit(-3.0), F.least(F.lit(3.0), S.lagged("b"))), F.lit(0.0)).alias("scaled")
+    )
 
 
 @query(None)
@@ -242,11 +303,15 @@ z AS (SELECT *, ln(rv) AS lr, (ln(rv) - avg(ln(rv)) OVER t) / nullif(stddev_samp
 SELECT symbol, ts, lag(greatest(0.2, least(3, mid / rv)), 1, 1) OVER w AS inverse, lag(CASE WHEN z > 1 THEN 0.3 WHEN z < -1 THEN 1.5 ELSE 1.0 END, 1, 1) OVER w AS stepped FROM z WINDOW w AS (PARTITION BY symbol ORDER BY ts)""", "inverse stepped", "symbol ts")
 def volatility_timed(spark: SparkSession, sf: str) -> DataFrame:
     """Exposure by the inverse of realised volatility, and in steps of its score, both known a day before."""
-    v = gentle(spark, sf).select("symbol", "ts", F.when(F.count("*").over(S.trailing(24)) >= 24, F.stddev_samp("ret").over(S.trailing(24))).alias("rv"))
+    v = gentle(spark, sf).select(
+        "symbol", "ts", F.when(F.count("*").over(S.trailing(24)) >= 24, F.stddev_samp("ret").over(S.trailing(24))).alias("rv")
+    )
     md = v.where("rv > 0").groupBy("symbol").agg(F.percentile("rv", F.lit(0.5)).alias("mid"))
     f = v.join(md, "symbol").withColumn("rv", F.coalesce("rv", "mid")).where("rv > 0").withColumn("lr", F.log("rv"))
     z = f.withColumn("z", F.try_divide(F.col("lr") - F.avg("lr").over(S.trailing(72)), F.stddev_samp("lr").over(S.trailing(72))))
-    z = z.withColumns({"a": F.expr("greatest(0.2D, least(3.0D, mid / rv))"), "b": F.expr("CASE WHEN z > 1 THEN 0.3D WHEN z < -1 THEN 1.5D ELSE 1.0D END")})
+    z = z.withColumns(
+        {"a": F.expr("greatest(0.2D, least(3.0D, mid / rv))"), "b": F.expr("CASE WHEN z > 1 THEN 0.3D WHEN z < -1 THEN 1.5D ELSE 1.0D END")}
+    )
     return z.select("symbol", "ts", S.lagged("a", 1, 1.0).alias("inverse"), S.lagged("b", 1, 1.0).alias("stepped"))
 
 
@@ -261,7 +326,9 @@ def hour_schedule(spark: SparkSession, sf: str) -> DataFrame:
     cu = B.split(hourly(spark, sf).where("ret IS NOT NULL"), ["symbol"])
     tb = cu.where("split = 'is'").groupBy("h").agg(F.avg("ret").alias("m"), F.count("*").alias("n")).where("n > 30")
     tk = tb.select("h", F.signum("m").alias("s"), F.row_number().over(W.orderBy(F.abs(F.round("m", 12)).desc(), "h")).alias("place"))
-    po = cu.where("split = 'oos'").join(F.broadcast(tk), "h", "left").withColumn("k", F.explode(F.array(*map(F.lit, (1, 2, 3, 6))))).withColumn("pos", F.expr("CASE WHEN place <= k THEN s ELSE 0.0D END"))
+    po = cu.where("split = 'oos'").join(F.broadcast(tk), "h", "left").withColumn("k", F.explode(F.array(*map(F.lit, (1, 2, 3, 6))))).withColumn(
+        "pos", F.expr("CASE WHEN place <= k THEN s ELSE 0.0D END")
+    )
     return po.groupBy("k").agg(F.count_if(F.expr("pos <> 0")).alias("active"), F.sum(F.col("pos") * F.col("ret")).alias("gross"))
 
 
@@ -273,7 +340,9 @@ def wavelet_band(spark: SparkSession, sf: str) -> DataFrame:
     for j in range(3):
         d = d.withColumn(f"s{j + 1}", 0.5 * F.col(f"s{j}") + 0.5 * F.coalesce(S.lagged(f"s{j}", 2**j), F.first(f"s{j}").over(S.by_symbol())))
     d = d.withColumn("d", F.col("s2") - F.col("s3"))
-    z = d.withColumn("z", F.try_divide("d", S.rolling(F.stddev_samp, 60, "d", least=20))).withColumn("p", F.expr("CASE WHEN abs(z) < 0.5 THEN 0.0D ELSE signum(z) END"))
+    z = d.withColumn(
+        "z", F.try_divide("d", S.rolling(F.stddev_samp, 60, "d", least=20))
+    ).withColumn("p", F.expr("CASE WHEN abs(z) < 0.5 THEN 0.0D ELSE signum(z) END"))
     return z.select("symbol", "ts", F.coalesce(S.lagged("p"), F.lit(0.0)).alias("pos"))
 
 

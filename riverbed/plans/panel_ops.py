@@ -36,7 +36,10 @@ def standard_index(spark: SparkSession, sf: str) -> DataFrame:
     text = F.concat(F.col("price").cast("string"), F.when(F.col("seq") % 7 == 0, "x").otherwise(""))
     g = P.ticks(spark, sf).withColumns({"bar": F.window("ts", "8 hours").start, "px": text.try_cast("double")})
     order = F.struct("ts", "seq")
-    out = g.groupBy("symbol", "bar").agg(F.max_by("price", order).alias("last_px"), F.min_by("price", order).alias("first_px"), F.count("px").alias("numbers"), (F.count("*") - 1).alias("dropped"))
+    out = g.groupBy("symbol", "bar").agg(
+        F.max_by("price", order).alias("last_px"), F.min_by("price", order).alias("first_px"), F.count("px").alias("numbers"),
+        (F.count("*") - 1).alias("dropped")
+    )
     return out.withColumnRenamed("bar", "ts")
 
 
@@ -46,7 +49,11 @@ def symbol_names(spark: SparkSession, sf: str) -> DataFrame:
     """Names brought to one form, their parts, a flag for classes of them, and the key of a cached file."""
     symbol = N.normalized(F.col("p_name"))
     p = P.table(spark, sf, "part").withColumn("symbol", symbol)
-    return p.select("p_partkey", "symbol", N.coin(F.col("symbol")).alias("coin"), N.flagged(F.col("symbol"), ("RING", "BOLT", "GEAR")).alias("tokenised"), F.split_part("p_brand", F.lit("#"), F.lit(2)).alias("code"), F.startswith("p_brand", F.lit("Brand#")).alias("branded"), N.tag(F.col("symbol"), F.lit("8h")).alias("tag"))
+    return p.select(
+        "p_partkey", "symbol", N.coin(F.col("symbol")).alias("coin"), N.flagged(F.col("symbol"), ("RING", "BOLT", "GEAR")).alias("tokenised"),
+        F.split_part("p_brand", F.lit("#"), F.lit(2)).alias("code"), F.startswith("p_brand", F.lit("Brand#")).alias("branded"),
+        N.tag(F.col("symbol"), F.lit("8h")).alias("tag")
+    )
 
 
 @query(f"""{WITH_C}
@@ -55,7 +62,9 @@ def expiry_codes(spark: SparkSession, sf: str) -> DataFrame:
     """Contract codes read back to dates and milliseconds; days to expiry whole and in fractions."""
     c = P.contracts(spark, sf).withColumn("expiry", N.expiry(F.col("code")))
     left = F.unix_timestamp(F.col("expiry").cast("timestamp")) + 8 * 3600 - F.unix_timestamp(F.col("ts").cast("timestamp"))
-    out = c.groupBy("symbol", "code", "expiry").agg(F.count("*").alias("days"), F.min("dte").alias("least_dte"), (F.min(left) / 86400.0).alias("part_days"))
+    out = c.groupBy("symbol", "code", "expiry").agg(
+        F.count("*").alias("days"), F.min("dte").alias("least_dte"), (F.min(left) / 86400.0).alias("part_days")
+    )
     return out.withColumns({"expiry_ms": F.unix_millis(F.col("expiry").cast("timestamp")), "whole_days": F.floor("part_days")})
 
 
@@ -68,7 +77,9 @@ def frozen_bars(spark: SparkSession, sf: str) -> DataFrame:
     b = P.bars(spark, sf).select("symbol", "ts", "close", "volume")
     f = P.dense(b.select("symbol", "ts", "close"), ["close"]).join(b.drop("close"), ["symbol", "ts"], "left").fillna(0.0, ["volume"])
     x = f.withColumn("d", F.col("close") - S.lagged("close"))
-    return x.groupBy("symbol").agg(F.count("*").alias("bars"), F.count_if(F.expr("d = 0 AND volume = 0")).alias("frozen"), F.count_if(F.expr("volume = 0")).alias("silent"))
+    return x.groupBy("symbol").agg(
+        F.count("*").alias("bars"), F.count_if(F.expr("d = 0 AND volume = 0")).alias("frozen"), F.count_if(F.expr("volume = 0")).alias("silent")
+    )
 
 
 @query(f"""{WITH_D}
@@ -77,7 +88,9 @@ def annual_funding(spark: SparkSession, sf: str) -> DataFrame:
     """Funding a year: of three payments a day, in per cent, and by each venue's own interval."""
     hours = F.when(F.col("symbol").endswith("O"), 4).otherwise(8)
     f = F.col("funding")
-    return P.daily(spark, sf).select("symbol", "ts", (f * 1095).alias("per_8h"), (f * 3 * 365 * 100).alias("percent"), (f * 24.0 / hours * 365).alias("by_interval"))
+    return P.daily(spark, sf).select(
+        "symbol", "ts", (f * 1095).alias("per_8h"), (f * 3 * 365 * 100).alias("percent"), (f * 24.0 / hours * 365).alias("by_interval")
+    )
 
 
 FEATURES = ("ret", "ret5", "hl", "co", "vol", "ofi", "vwapdev", "fund", "rng")
@@ -134,11 +147,16 @@ SELECT symbol, d.ts, oi, oi_value FROM d ASOF LEFT JOIN o ON d.side = o.side AND
 def asof_by_side(spark: SparkSession, sf: str) -> DataFrame:
     """The last known open interest of a symbol's own side at each of its bars."""
     bars = P.daily(spark, sf).select("symbol", F.substring("symbol", 2, 1).alias("side"), "ts")
-    counts = P.table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("side"), F.to_date("o_orderdate").alias("ts")).agg(F.count("*").alias("oi"), F.sum("o_totalprice").alias("oi_value"))
+    counts = P.table(spark, sf, "orders").groupBy(
+        F.col("o_orderstatus").alias("side"), F.to_date("o_orderdate").alias("ts")
+    ).agg(F.count("*").alias("oi"), F.sum("o_totalprice").alias("oi_value"))
     return J.asof(bars, counts, ["side"], ["oi", "oi_value"])
 
 
-@query("""SELECT n_name, r_name, count(*) AS orders, sum(o_totalprice) AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2""", "value:2", "n_name r_name orders")
+@query(
+    """SELECT n_name, r_name, count(*) AS orders, sum(o_totalprice) AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2""",
+    "value:2", "n_name r_name orders"
+)
 def lookups(spark: SparkSession, sf: str) -> DataFrame:
     """Orders counted by their customers' nation: aggregated before the names are looked up."""
     c = P.table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
@@ -156,10 +174,16 @@ spreads AS (SELECT symbol, near, far, count(*) AS n, arg_min(spread, ts) AS entr
 def consecutive_spreads(spark: SparkSession, sf: str) -> DataFrame:
     """symbol, near, far, n, entry, leave, mean of each contract and the next to expire, over the days on which both trade."""
     c = P.contracts(spark, sf)
-    pairs = c.select("symbol", "code", "expiry").distinct().select("symbol", F.col("code").alias("near"), F.lead("code").over(W.partitionBy("symbol").orderBy("expiry")).alias("far"))
+    pairs = c.select("symbol", "code", "expiry").distinct().select(
+        "symbol", F.col("code").alias("near"), F.lead("code").over(W.partitionBy("symbol").orderBy("expiry")).alias("far")
+    )
     near = c.select("symbol", "ts", F.col("code").alias("near"), F.col("fut").alias("a")).join(pairs, ["symbol", "near"])
-    both = near.join(c.select("symbol", "ts", F.col("code").alias("far"), F.col("fut").alias("b")), ["symbol", "ts", "far"]).withColumn("spread", F.expr("b / a - 1"))
-    out = both.groupBy("symbol", "near", "far").agg(F.count("*").alias("n"), F.min_by("spread", "ts").alias("entry"), F.max_by("spread", "ts").alias("leave"), F.avg("spread").alias("mean"))
+    both = near.join(
+        c.select("symbol", "ts", F.col("code").alias("far"), F.col("fut").alias("b")), ["symbol", "ts", "far"]
+    ).withColumn("spread", F.expr("b / a - 1"))
+    out = both.groupBy("symbol", "near", "far").agg(
+        F.count("*").alias("n"), F.min_by("spread", "ts").alias("entry"), F.max_by("spread", "ts").alias("leave"), F.avg("spread").alias("mean")
+    )
     return out.where("n >= 20")
 
 
@@ -174,14 +198,18 @@ def calendar_pairs(spark: SparkSession, sf: str) -> DataFrame:
 SELECT symbol, count(*) AS pairs, avg(CASE WHEN entry - leave - 28 / 1e4 > 0 THEN 1.0 ELSE 0 END) AS win_rate, avg(entry - leave - 28 / 1e4) AS mean_net FROM spreads GROUP BY symbol""", "win_rate mean_net", "symbol pairs")
 def calendar_summary(spark: SparkSession, sf: str) -> DataFrame:
     net = F.expr("entry - leave - 28 / 1e4D")
-    return consecutive_spreads(spark, sf).groupBy("symbol").agg(F.count("*").alias("pairs"), F.avg((net > 0).cast("double")).alias("win_rate"), F.avg(net).alias("mean_net"))
+    return consecutive_spreads(spark, sf).groupBy("symbol").agg(
+        F.count("*").alias("pairs"), F.avg((net > 0).cast("double")).alias("win_rate"), F.avg(net).alias("mean_net")
+    )
 
 
 @query(f"""{WITH_D}, v AS (SELECT substring(symbol, 1, 1) AS coin, substring(symbol, 2, 1) AS venue, ts, sum(funding) AS f FROM daily GROUP BY 1, 2, 3)
 SELECT a.coin, a.ts, a.f - b.f AS diff FROM v a JOIN v b ON a.coin = b.coin AND a.ts = b.ts AND a.venue = 'F' AND b.venue = 'O'""", "diff:9", "coin ts")
 def venue_spread(spark: SparkSession, sf: str) -> DataFrame:
     """Funding of one venue less that of the other, summed by day, where both paid."""
-    v = P.daily(spark, sf).groupBy(F.substring("symbol", 1, 1).alias("coin"), "ts").agg(*[F.sum(F.when(F.col("symbol").endswith(x), F.col("funding"))).alias(x) for x in "FO"])
+    v = P.daily(spark, sf).groupBy(F.substring("symbol", 1, 1).alias("coin"), "ts").agg(
+        *[F.sum(F.when(F.col("symbol").endswith(x), F.col("funding"))).alias(x) for x in "FO"]
+    )
     return v.where("F IS NOT NULL AND O IS NOT NULL").withColumn("diff", F.expr("F - O"))
 
 
@@ -197,7 +225,9 @@ def basis_or_funding(spark: SparkSession, sf: str) -> DataFrame:
     """symbol, ts, code, stream: the first qualifying contract's spread where one is held, else funding."""
     by = W.partitionBy("symbol", "code")
     q = P.contracts(spark, sf).where("dte BETWEEN 5 AND 85").withColumn("ann", F.expr("(fut / spot - 1) * 365 / greatest(dte, 1)"))
-    q = q.withColumns({"entry": F.min_by("ann", "ts").over(by), "n": F.count("*").over(by), "rn": F.row_number().over(by.orderBy("ts"))}).where("entry > 0.02")
+    q = q.withColumns(
+        {"entry": F.min_by("ann", "ts").over(by), "n": F.count("*").over(by), "rn": F.row_number().over(by.orderBy("ts"))}
+    ).where("entry > 0.02")
     prior = lambda c: F.lag(c).over(by.orderBy("ts"))
     unit = F.coalesce(F.col("spot") / prior("spot") - F.col("fut") / prior("fut"), F.lit(0.0))
     held = q.withColumn("spread", unit - F.expr("CASE WHEN rn = 1 OR rn = n THEN 0.0015D ELSE 0.0D END"))
@@ -212,7 +242,10 @@ def contract_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return basis_or_funding(spark, sf)
 
 
-@query("""SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)""", "", "c_custkey c_mktsegment")
+@query(
+    """SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)""", "",
+    "c_custkey c_mktsegment"
+)
 def anti_members(spark: SparkSession, sf: str) -> DataFrame:
     """Members of one set that the other lacks."""
     orders = P.table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
@@ -234,7 +267,10 @@ def set_operations(spark: SparkSession, sf: str) -> DataFrame:
     d = P.daily(spark, sf)
     side = lambda s: F.count_if(F.col("symbol") == s).alias(s)
     c = d.where("symbol IN ('AF', 'NO')").groupBy("ts").agg(side("AF"), side("NO"))
-    n = c.agg(F.sum(F.expr("AF + NO")).alias("all"), F.count("*").alias("distinct"), F.count_if(F.expr("AF > 0 AND NO > 0")).alias("intersect"), F.count_if(F.expr("AF > 0 AND NO = 0")).alias("except"))
+    n = c.agg(
+        F.sum(F.expr("AF + NO")).alias("all"), F.count("*").alias("distinct"), F.count_if(F.expr("AF > 0 AND NO > 0")).alias("intersect"),
+        F.count_if(F.expr("AF > 0 AND NO = 0")).alias("except")
+    )
     return n.select(F.expr("stack(4, 'all', coalesce(`all`, 0), 'distinct', `distinct`, 'intersect', `intersect`, 'except', `except`) AS (op, n)"))
 
 
@@ -244,7 +280,9 @@ def set_operations(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""{WITH_C}
 SELECT ts, count(*) AS contracts, avg((fut / spot - 1) * 365 / greatest(dte, 1)) AS ann FROM contracts WHERE dte BETWEEN 5 AND 85 GROUP BY ts""", "ann", "ts contracts")
 def pooled_basis(spark: SparkSession, sf: str) -> DataFrame:
-    return P.contracts(spark, sf).where("dte BETWEEN 5 AND 85").groupBy("ts").agg(F.count("*").alias("contracts"), F.avg(F.expr("(fut / spot - 1) * 365 / greatest(dte, 1)")).alias("ann"))
+    return P.contracts(spark, sf).where("dte BETWEEN 5 AND 85").groupBy("ts").agg(
+        F.count("*").alias("contracts"), F.avg(F.expr("(fut / spot - 1) * 365 / greatest(dte, 1)")).alias("ann")
+    )
 
 
 @query(f"""{DRETS}, n AS (SELECT count(DISTINCT symbol) AS n FROM daily)
@@ -253,8 +291,12 @@ def portfolio_means(spark: SparkSession, sf: str) -> DataFrame:
     """Equal weights over all symbols, over those with a value, and over those that moved."""
     d = _daily_returns(spark, sf)
     n = d.agg(F.count_distinct("symbol").alias("n"))
-    sums = d.groupBy("ts").agg(F.sum(F.coalesce("ret", F.lit(0.0))).alias("s"), F.avg("ret").alias("over_known"), F.count_if(F.expr("ret <> 0")).alias("k"))
-    return sums.join(F.broadcast(n), F.lit(True)).select("ts", F.expr("s / n").alias("over_all"), "over_known", F.expr("s / nullif(k, 0)").alias("over_active"))
+    sums = d.groupBy("ts").agg(
+        F.sum(F.coalesce("ret", F.lit(0.0))).alias("s"), F.avg("ret").alias("over_known"), F.count_if(F.expr("ret <> 0")).alias("k")
+    )
+    return sums.join(F.broadcast(n), F.lit(True)).select(
+        "ts", F.expr("s / n").alias("over_all"), "over_known", F.expr("s / nullif(k, 0)").alias("over_active")
+    )
 
 
 @query(f"""{DRETS}
@@ -262,7 +304,10 @@ SELECT symbol, year(ts) AS y, count(ret) AS n, exp(sum(ln(1 + ret))) - 1 AS comp
 def compounded(spark: SparkSession, sf: str) -> DataFrame:
     """Compounded return of each year, and what three parts in a hundred of it make of one."""
     r = _daily_returns(spark, sf).where("ret > -1")
-    return r.groupBy("symbol", F.year("ts").alias("y")).agg(F.count("ret").alias("n"), (F.exp(F.sum(F.log1p("ret"))) - 1).alias("compounded"), F.exp(F.sum(F.log1p(3 * F.col("ret") / 100))).alias("multiple"))
+    return r.groupBy("symbol", F.year("ts").alias("y")).agg(
+        F.count("ret").alias("n"), (F.exp(F.sum(F.log1p("ret"))) - 1).alias("compounded"),
+        F.exp(F.sum(F.log1p(3 * F.col("ret") / 100))).alias("multiple")
+    )
 
 
 @query(f"""{DRETS}, x AS (SELECT ts, symbol, ret FROM r WHERE ret IS NOT NULL), m AS (SELECT a.symbol AS a, b.symbol AS b, corr(a.ret, b.ret) AS rho, count(*) AS n FROM x a JOIN x b USING (ts) GROUP BY 1, 2)
@@ -270,7 +315,9 @@ SELECT a, b, n, rho, (SELECT avg(rho) FROM m WHERE a <> b) AS mean_off FROM m"""
 def corr_matrix(spark: SparkSession, sf: str) -> DataFrame:
     """The whole matrix, and the mean beside its diagonal. Pairs of symbols are the feature; each day's symbols are joined, aggregated on the map side."""
     x = _daily_returns(spark, sf).where("ret IS NOT NULL").select("ts", "symbol", "ret")
-    m = x.withColumnsRenamed({"symbol": "a", "ret": "p"}).join(x.withColumnsRenamed({"symbol": "b", "ret": "q"}), "ts").groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("p", "q").alias("rho"))
+    m = x.withColumnsRenamed({"symbol": "a", "ret": "p"}).join(
+        x.withColumnsRenamed({"symbol": "b", "ret": "q"}), "ts"
+    ).groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("p", "q").alias("rho"))
     return m.join(F.broadcast(m.where("a <> b").agg(F.avg("rho").alias("mean_off"))), F.lit(True))
 
 
@@ -280,7 +327,9 @@ hr AS (SELECT symbol, ts, hour(ts) AS h, ln(close / lag(close) OVER (PARTITION B
 
 def hourly(spark: SparkSession, sf: str) -> DataFrame:
     """symbol, ts, h, ret: logarithmic returns of hourly closes."""
-    hb = P.ticks(spark, sf).groupBy("symbol", F.date_trunc("hour", "ts").alias("bar")).agg(F.max_by("price", F.struct("ts", "seq")).alias("close")).withColumnRenamed("bar", "ts")
+    hb = P.ticks(spark, sf).groupBy("symbol", F.date_trunc("hour", "ts").alias("bar")).agg(
+        F.max_by("price", F.struct("ts", "seq")).alias("close")
+    ).withColumnRenamed("bar", "ts")
     return hb.select("symbol", "ts", F.hour("ts").alias("h"), F.log(F.col("close") / S.lagged("close")).alias("ret"))
 
 
@@ -305,8 +354,13 @@ SELECT symbol, min(ret) AS worst, sum(CASE WHEN lo <= 5 THEN ret END) AS worst5,
 def extremes(spark: SparkSession, sf: str) -> DataFrame:
     """The worst bar, and the sums of the five worst and best."""
     by = W.partitionBy("symbol")
-    k = _daily_returns(spark, sf).where("ret IS NOT NULL").select("symbol", "ret", F.row_number().over(by.orderBy("ret")).alias("lo"), F.row_number().over(by.orderBy(F.desc("ret"))).alias("hi"))
-    return k.groupBy("symbol").agg(F.min("ret").alias("worst"), F.sum(F.when(F.col("lo") <= 5, F.col("ret"))).alias("worst5"), F.sum(F.when(F.col("hi") <= 5, F.col("ret"))).alias("best5"))
+    k = _daily_returns(spark, sf).where("ret IS NOT NULL").select(
+        "symbol", "ret", F.row_number().over(by.orderBy("ret")).alias("lo"), F.row_number().over(by.orderBy(F.desc("ret"))).alias("hi")
+    )
+    return k.groupBy("symbol").agg(
+        F.min("ret").alias("worst"), F.sum(F.when(F.col("lo") <= 5, F.col("ret"))).alias("worst5"),
+        F.sum(F.when(F.col("hi") <= 5, F.col("ret"))).alias("best5")
+    )
 
 
 @query(f"""{WITH_T}, d AS (SELECT symbol, CAST(ts AS DATE) AS day, count(*) AS n, min(ts) AS a, max(ts) AS b FROM ticks GROUP BY 1, 2)
@@ -315,14 +369,19 @@ def coverage_profile(spark: SparkSession, sf: str) -> DataFrame:
     """Days by how many events they have, and the span of each series."""
     d = P.ticks(spark, sf).groupBy("symbol", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
     n = lambda e: F.count_if(F.expr(e))
-    return d.groupBy("symbol").agg(F.count("*").alias("days"), n("n < 2").alias("sparse"), n("n = 3").alias("threes"), n("n > 3").alias("dense"), F.datediff(F.max("day"), F.min("day")).alias("span"))
+    return d.groupBy("symbol").agg(
+        F.count("*").alias("days"), n("n < 2").alias("sparse"), n("n = 3").alias("threes"), n("n > 3").alias("dense"),
+        F.datediff(F.max("day"), F.min("day")).alias("span")
+    )
 
 
 @query(f"""{DRETS}, p AS (SELECT symbol, ts, CASE WHEN abs(ret) > 0.2 THEN sign(ret) ELSE 0 END AS pos FROM r), e AS (SELECT *, lag(pos, 1, 0) OVER (PARTITION BY symbol ORDER BY ts) AS was FROM p)
 SELECT symbol, count(*) FILTER (pos <> 0) AS active, count(*) FILTER (pos <> 0 AND was = 0) AS episodes, count(*) FILTER (pos <> was) AS changes FROM e GROUP BY symbol""", "", "symbol active episodes changes")
 def episodes(spark: SparkSession, sf: str) -> DataFrame:
     """Active bars, runs of them, and changes of the position."""
-    p = _daily_returns(spark, sf).withColumn("pos", F.expr("CASE WHEN abs(ret) > 0.2 THEN signum(ret) ELSE 0.0D END")).withColumn("was", S.lagged("pos", 1, 0.0))
+    p = _daily_returns(spark, sf).withColumn(
+        "pos", F.expr("CASE WHEN abs(ret) > 0.2 THEN signum(ret) ELSE 0.0D END")
+    ).withColumn("was", S.lagged("pos", 1, 0.0))
     n = lambda e: F.count_if(F.expr(e))
     return p.groupBy("symbol").agg(n("pos <> 0").alias("active"), n("pos <> 0 AND was = 0").alias("episodes"), n("pos <> was").alias("changes"))
 
@@ -335,7 +394,10 @@ SELECT symbol, ts, sum(coalesce(ret, 0)) OVER w AS cumsum, max(close) OVER w AS
 def running(spark: SparkSession, sf: str) -> DataFrame:
     """Running sum and maximum, and what lies ahead: the least value to come and the next known one."""
     past, ahead = S.by_symbol().rowsBetween(W.unboundedPreceding, 0), S.by_symbol().rowsBetween(0, W.unboundedFollowing)
-    return _daily_returns(spark, sf).select("symbol", "ts", F.sum(F.coalesce("ret", F.lit(0.0))).over(past).alias("cumsum"), F.max("close").over(past).alias("cummax"), F.min("close").over(ahead).alias("min_ahead"), F.first("close", True).over(ahead).alias("bfill"))
+    return _daily_returns(spark, sf).select(
+        "symbol", "ts", F.sum(F.coalesce("ret", F.lit(0.0))).over(past).alias("cumsum"), F.max("close").over(past).alias("cummax"),
+        F.min("close").over(ahead).alias("min_ahead"), F.first("close", True).over(ahead).alias("bfill")
+    )
 
 
 @query(f"""{DRETS}, l AS (SELECT symbol, ts, ret, list(ret) OVER w AS v, count(ret) OVER w AS n FROM r WHERE ret IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 119 PRECEDING))
@@ -355,10 +417,18 @@ SELECT ts, avg(CASE WHEN dn <= greatest(1, n // 5) THEN fwd END) AS top, avg(fwd
 def quintile_books(spark: SparkSession, sf: str) -> DataFrame:
     """The top fifth alone, all alike, and weights that follow a shape over the fifths."""
     t = W.partitionBy("ts")
-    x = _weekly_returns(spark, sf).where("ret IS NOT NULL AND fwd IS NOT NULL").withColumns({"dn": F.row_number().over(t.orderBy(F.desc("ret"), F.desc("symbol"))), "up": F.row_number().over(t.orderBy("ret", "symbol")), "n": F.count("*").over(t)})
+    x = _weekly_returns(spark, sf).where("ret IS NOT NULL AND fwd IS NOT NULL").withColumns(
+        {
+            "dn": F.row_number().over(t.orderBy(F.desc("ret"), F.desc("symbol"))), "up": F.row_number().over(t.orderBy("ret", "symbol")),
+            "n": F.count("*").over(t)
+        }
+    )
     s = x.where("n >= 10").withColumn("q", F.expr("CAST(ceil(up * 5.0D / n) - 1 AS int)"))
     w = s.withColumn("raw", F.expr("element_at(array(-1.0D, 0.5D, 0.0D, -0.5D, 1.0D), q + 1)") / F.count("*").over(W.partitionBy("ts", "q")))
-    return w.groupBy("ts").agg(F.avg(F.expr("CASE WHEN dn <= greatest(1, n DIV 5) THEN fwd END")).alias("top"), F.avg("fwd").alias("market"), F.expr("sum(raw * fwd) / sum(abs(raw))").alias("shaped"))
+    return w.groupBy("ts").agg(
+        F.avg(F.expr("CASE WHEN dn <= greatest(1, n DIV 5) THEN fwd END")).alias("top"), F.avg("fwd").alias("market"),
+        F.expr("sum(raw * fwd) / sum(abs(raw))").alias("shaped")
+    )
 
 
 @query(f"""{RETS}, x AS (SELECT *, ret - avg(ret) OVER (PARTITION BY ts) AS a, stddev_pop(ret) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS vol, count(ret) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS k FROM r WHERE ret IS NOT NULL),
@@ -367,8 +437,12 @@ SELECT symbol, ts, w AS proportional, s / (sum(abs(s)) OVER (PARTITION BY ts) +
 def proportional_weights(spark: SparkSession, sf: str) -> DataFrame:
     """Weights in proportion to the signal, and those divided by the volatility of the twenty bars before."""
     before = S.by_symbol().rowsBetween(-20, -1)
-    x = _weekly_returns(spark, sf).where("ret IS NOT NULL").withColumns({"a": S.neutral("ret"), "vol": F.stddev_pop("ret").over(before), "k": F.count("ret").over(before)})
-    p = x.withColumn("w", F.col("a") / (F.sum(F.abs("a")).over(S.by_time()) + 1e-9)).withColumn("s", F.expr("CASE WHEN k >= 20 THEN w / (vol + 1e-9D) END"))
+    x = _weekly_returns(spark, sf).where("ret IS NOT NULL").withColumns(
+        {"a": S.neutral("ret"), "vol": F.stddev_pop("ret").over(before), "k": F.count("ret").over(before)}
+    )
+    p = x.withColumn(
+        "w", F.col("a") / (F.sum(F.abs("a")).over(S.by_time()) + 1e-9)
+    ).withColumn("s", F.expr("CASE WHEN k >= 20 THEN w / (vol + 1e-9D) END"))
     return p.select("symbol", "ts", F.col("w").alias("proportional"), (F.col("s") / (F.sum(F.abs("s")).over(S.by_time()) + 1e-9)).alias("scaled"))
 
 
@@ -393,8 +467,12 @@ def betting_against_beta(spark: SparkSession, sf: str) -> DataFrame:
     """Low betas long, high ones short, each side scaled to the same beta, gross one."""
     t, leg = W.partitionBy("ts"), W.partitionBy("ts", "side")
     k = betas(spark, sf).where("beta IS NOT NULL").withColumns({"rk": S.average_rank("beta"), "n": F.count("*").over(t)}).where("n >= 6")
-    d = k.withColumn("mid", F.percentile("rk", F.lit(0.5)).over(t)).withColumns({"side": F.expr("CASE WHEN rk <= mid THEN 1 ELSE -1 END"), "pull": F.expr("abs(rk - mid) + CASE WHEN rk = mid THEN 0.5D ELSE 0.0D END")})
-    b = d.withColumn("w0", F.col("pull") / F.sum("pull").over(leg)).withColumn("leg", F.sum(F.col("w0") * F.col("beta")).over(leg)).withColumn("w1", F.expr("side * w0 / greatest(leg, 0.1D)"))
+    d = k.withColumn("mid", F.percentile("rk", F.lit(0.5)).over(t)).withColumns(
+        {"side": F.expr("CASE WHEN rk <= mid THEN 1 ELSE -1 END"), "pull": F.expr("abs(rk - mid) + CASE WHEN rk = mid THEN 0.5D ELSE 0.0D END")}
+    )
+    b = d.withColumn("w0", F.col("pull") / F.sum("pull").over(leg)).withColumn(
+        "leg", F.sum(F.col("w0") * F.col("beta")).over(leg)
+    ).withColumn("w1", F.expr("side * w0 / greatest(leg, 0.1D)"))
     return b.select("symbol", "ts", (F.col("w1") / F.sum(F.abs("w1")).over(t)).alias("weight"))
 
 
@@ -405,17 +483,33 @@ SELECT symbol, ts, CASE WHEN h = 0 THEN 0 WHEN dn <= h THEN 0.5 / h WHEN up <= h
 def carry_schemes(spark: SparkSession, sf: str) -> DataFrame:
     """Four ways to weigh coins by their basis: best against worst, extremes of either sign, all in contango, all by sign."""
     t = W.partitionBy("ts")
-    q = P.contracts(spark, sf).where("dte BETWEEN 5 AND 85").groupBy("ts", "symbol").agg(F.avg(F.expr("(fut / spot - 1) * 365 / greatest(dte, 1)")).alias("ann"))
-    k = q.withColumns({"dn": F.row_number().over(t.orderBy(F.desc("ann"), "symbol")), "up": F.row_number().over(t.orderBy("ann", F.desc("symbol"))), "n": F.count("*").over(t), "pos": F.count_if(F.expr("ann > 0")).over(t), "neg": F.count_if(F.expr("ann < 0")).over(t)})
-    e = k.withColumns({"h": F.expr("least(2, n DIV 2)"), "x": F.expr("CASE WHEN dn <= 2 AND ann > 0 THEN 1 WHEN up <= 2 AND ann < 0 THEN -1 ELSE 0 END")})
-    return e.select("symbol", "ts", F.expr("CASE WHEN h = 0 THEN 0.0D WHEN dn <= h THEN 0.5D / h WHEN up <= h THEN -0.5D / h ELSE 0.0D END").alias("neutral"), F.coalesce(F.try_divide("x", F.sum(F.abs("x")).over(t)), F.lit(0.0)).alias("extremes"), F.expr("CASE WHEN ann > 0 THEN 1.0D / pos ELSE 0.0D END").alias("contango"), F.expr("CASE WHEN ann <> 0 THEN signum(ann) / (pos + neg) ELSE 0.0D END").alias("signed"))
+    q = P.contracts(spark, sf).where("dte BETWEEN 5 AND 85").groupBy("ts", "symbol").agg(
+        F.avg(F.expr("(fut / spot - 1) * 365 / greatest(dte, 1)")).alias("ann")
+    )
+    k = q.withColumns(
+        {
+            "dn": F.row_number().over(t.orderBy(F.desc("ann"), "symbol")), "up": F.row_number().over(t.orderBy("ann", F.desc("symbol"))),
+            "n": F.count("*").over(t), "pos": F.count_if(F.expr("ann > 0")).over(t), "neg": F.count_if(F.expr("ann < 0")).over(t)
+        }
+    )
+    e = k.withColumns(
+        {"h": F.expr("least(2, n DIV 2)"), "x": F.expr("CASE WHEN dn <= 2 AND ann > 0 THEN 1 WHEN up <= 2 AND ann < 0 THEN -1 ELSE 0 END")}
+    )
+    return e.select(
+        "symbol", "ts", F.expr("CASE WHEN h = 0 THEN 0.0D WHEN dn <= h THEN 0.5D / h WHEN up <= h THEN -0.5D / h ELSE 0.0D END").alias("neutral"),
+        F.coalesce(F.try_divide("x", F.sum(F.abs("x")).over(t)), F.lit(0.0)).alias("extremes"),
+        F.expr("CASE WHEN ann > 0 THEN 1.0D / pos ELSE 0.0D END").alias("contango"),
+        F.expr("CASE WHEN ann <> 0 THEN signum(ann) / (pos + neg) ELSE 0.0D END").alias("signed")
+    )
 
 
 @query(f"""{DRETS}, v AS (SELECT symbol, ts, CASE WHEN count(ret) OVER w >= 10 THEN stddev_samp(ret) OVER w END AS vol FROM r WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 9 PRECEDING))
 SELECT ts, avg(vol) AS gauge, count(vol) AS n FROM v GROUP BY ts""", "gauge", "ts n")
 def coin_gauge(spark: SparkSession, sf: str) -> DataFrame:
     """The mean over symbols of a measure of each."""
-    return _daily_returns(spark, sf).select("ts", S.rolling(F.stddev_samp, 10, "ret").alias("vol")).groupBy("ts").agg(F.avg("vol").alias("gauge"), F.count("vol").alias("n"))
+    return _daily_returns(spark, sf).select(
+        "ts", S.rolling(F.stddev_samp, 10, "ret").alias("vol")
+    ).groupBy("ts").agg(F.avg("vol").alias("gauge"), F.count("vol").alias("n"))
 
 
 @query(f"""{DRETS}, l AS (SELECT symbol, count(ret) AS n, avg(ret) / stddev_samp(ret) AS sr FROM r GROUP BY symbol)
@@ -432,4 +526,7 @@ def price_maps(spark: SparkSession, sf: str) -> DataFrame:
     """A document of all prices of a day, written as JSON, read back and looked up."""
     m = P.daily(spark, sf).groupBy("ts").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("symbol", "close")))).alias("prices"))
     back = m.select("ts", F.from_json(F.to_json("prices"), "map<string,double>").alias("prices"))
-    return back.select("ts", F.size("prices").cast("long").alias("n"), F.coalesce(F.try_element_at("prices", F.lit("AF")), F.lit(0.0)).alias("af"), F.aggregate(F.map_values("prices"), F.lit(0.0), lambda a, x: a + x).alias("total"))
+    return back.select(
+        "ts", F.size("prices").cast("long").alias("n"), F.coalesce(F.try_element_at("prices", F.lit("AF")), F.lit(0.0)).alias("af"),
+        F.aggregate(F.map_values("prices"), F.lit(0.0), lambda a, x: a + x).alias("total")
+    )

@@ -31,14 +31,19 @@ SELECT symbol, time_bucket(INTERVAL '8 hours', ts) AS ts, arg_min(price, (ts, se
 def klines_8h(spark: SparkSession, sf: str) -> DataFrame:
     order = F.struct("ts", "seq")
     bars = P.ticks(spark, sf).groupBy("symbol", F.window("ts", "8 hours").start.alias("bar"))
-    return bars.agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("qty").alias("volume"), F.count("*").alias("trades")).withColumnRenamed("bar", "ts")
+    return bars.agg(
+        F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"),
+        F.sum("qty").alias("volume"), F.count("*").alias("trades")
+    ).withColumnRenamed("bar", "ts")
 
 
 @query(f"""{WITH_T}
 SELECT symbol, date_trunc('minute', ts) AS ts, arg_max(price, (ts, seq)) AS close, sum(qty) AS vol, sum(CASE WHEN maker THEN -qty ELSE qty END) AS ofi, count(*) AS ntr, CASE WHEN sum(qty) <> 0 THEN sum(CASE WHEN maker THEN -qty ELSE qty END) / sum(qty) END AS ofi_norm FROM ticks GROUP BY 1, 2""", "close vol ofi ofi_norm", "symbol ts ntr")
 def ofi_bars(spark: SparkSession, sf: str) -> DataFrame:
     signed = F.when(F.col("maker"), -F.col("qty")).otherwise(F.col("qty"))
-    bars = P.ticks(spark, sf).groupBy("symbol", F.window("ts", "1 minute").start.alias("bar")).agg(F.max_by("price", F.struct("ts", "seq")).alias("close"), F.sum("qty").alias("vol"), F.sum(signed).alias("ofi"), F.count("*").alias("ntr"))
+    bars = P.ticks(spark, sf).groupBy("symbol", F.window("ts", "1 minute").start.alias("bar")).agg(
+        F.max_by("price", F.struct("ts", "seq")).alias("close"), F.sum("qty").alias("vol"), F.sum(signed).alias("ofi"), F.count("*").alias("ntr")
+    )
     return bars.withColumn("ofi_norm", F.try_divide("ofi", "vol")).withColumnRenamed("bar", "ts")
 
 
@@ -46,7 +51,9 @@ def ofi_bars(spark: SparkSession, sf: str) -> DataFrame:
 SELECT symbol, time_bucket(INTERVAL '5 seconds', ts) AS ts, arg_max(price, (ts, seq)) AS mid, sum(CASE WHEN maker THEN qty ELSE 0 END) AS sell_agg, sum(CASE WHEN maker THEN 0 ELSE qty END) AS buy_agg FROM ticks GROUP BY 1, 2""", "mid sell_agg buy_agg", "symbol ts")
 def mm_bars(spark: SparkSession, sf: str) -> DataFrame:
     side = lambda m: F.sum(F.when(F.col("maker") == m, F.col("qty")).otherwise(0.0))
-    return P.ticks(spark, sf).groupBy("symbol", F.window("ts", "5 seconds").start.alias("bar")).agg(F.max_by("price", F.struct("ts", "seq")).alias("mid"), side(True).alias("sell_agg"), side(False).alias("buy_agg")).withColumnRenamed("bar", "ts")
+    return P.ticks(spark, sf).groupBy("symbol", F.window("ts", "5 seconds").start.alias("bar")).agg(
+        F.max_by("price", F.struct("ts", "seq")).alias("mid"), side(True).alias("sell_agg"), side(False).alias("buy_agg")
+    ).withColumnRenamed("bar", "ts")
 
 
 @query(f"""{WITH_D}
@@ -74,14 +81,22 @@ def intersect_panel(spark: SparkSession, sf: str) -> DataFrame:
 SELECT symbol, ts, close / p - 1 AS ret, close / p5 - 1 AS ret5, ln(close) - ln(p) AS logret, nx / close - 1 AS fwd, close - p AS diff, funding + spot / lag(spot) OVER (PARTITION BY symbol ORDER BY ts) - close / p AS carry FROM w""", "ret ret5 logret fwd diff carry", "symbol ts")
 def returns(spark: SparkSession, sf: str) -> DataFrame:
     d = P.daily(spark, sf)
-    return d.select("symbol", "ts", S.simple_return("close").alias("ret"), S.simple_return("close", 5).alias("ret5"), S.log_return("close").alias("logret"), S.forward_return("close").alias("fwd"), (F.col("close") - S.lagged("close")).alias("diff"), (F.col("funding") + S.simple_return("spot") - S.simple_return("close")).alias("carry"))
+    return d.select(
+        "symbol", "ts", S.simple_return("close").alias("ret"), S.simple_return("close", 5).alias("ret5"), S.log_return("close").alias("logret"),
+        S.forward_return("close").alias("fwd"), (F.col("close") - S.lagged("close")).alias("diff"),
+        (F.col("funding") + S.simple_return("spot") - S.simple_return("close")).alias("carry")
+    )
 
 
 @query(f"""{DRETS}, w AS (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn, count(ret) OVER t AS c, sum(coalesce(ret, 0)) OVER t / 10 AS m0, avg(ret) OVER t AS m, stddev_samp(ret) OVER t AS sd, avg(close) OVER t AS a, avg(close * close) OVER t AS a2, sum(ret) OVER t AS s, ret FROM r WINDOW t AS (PARTITION BY symbol ORDER BY ts ROWS 9 PRECEDING))
 SELECT symbol, ts, CASE WHEN rn >= 10 THEN m0 END AS mean0, CASE WHEN c >= 10 THEN m END AS mean, CASE WHEN c >= 10 THEN sd END AS sd, CASE WHEN rn >= 10 THEN sqrt(greatest(a2 - a * a, 0)) END AS sd_pop, CASE WHEN c >= 10 THEN s END AS total, CASE WHEN c >= 5 AND sd > 0 THEN (ret - m) / sd END AS z FROM w""", "mean0 mean sd sd_pop total z", "symbol ts")
 def rolling_stats(spark: SparkSession, sf: str) -> DataFrame:
     d = _daily_returns(spark, sf)
-    return d.select("symbol", "ts", S.rolling_mean("ret", 10).alias("mean0"), S.rolling(F.avg, 10, "ret").alias("mean"), S.rolling(F.stddev_samp, 10, "ret").alias("sd"), S.rolling_std_pop("close", 10).alias("sd_pop"), S.rolling(F.sum, 10, "ret").alias("total"), S.zscore("ret", 10, 5).alias("z"))
+    return d.select(
+        "symbol", "ts", S.rolling_mean("ret", 10).alias("mean0"), S.rolling(F.avg, 10, "ret").alias("mean"),
+        S.rolling(F.stddev_samp, 10, "ret").alias("sd"), S.rolling_std_pop("close", 10).alias("sd_pop"), S.rolling(F.sum, 10, "ret").alias("total"),
+        S.zscore("ret", 10, 5).alias("z")
+    )
 
 
 @query(f"""{DRETS}
@@ -97,7 +112,10 @@ SELECT symbol, ts, lag(b) OVER (PARTITION BY symbol ORDER BY ts) AS beta FROM b"
 def trailing_beta(spark: SparkSession, sf: str) -> DataFrame:
     r = _weekly_returns(spark, sf).select("symbol", "ts", "ret")
     j = r.join(r.groupBy("ts").agg(F.avg("ret").alias("mkt")), "ts")
-    b = F.when(F.count("ret").over(S.trailing(20)) >= 20, F.try_divide(F.covar_samp("ret", "mkt").over(S.trailing(20)), F.var_samp("mkt").over(S.trailing(20))))
+    b = F.when(
+        F.count("ret").over(S.trailing(20)) >= 20,
+        F.try_divide(F.covar_samp("ret", "mkt").over(S.trailing(20)), F.var_samp("mkt").over(S.trailing(20)))
+    )
     return j.withColumn("b", b).select("symbol", "ts", S.lagged("b").alias("beta"))
 
 
@@ -112,7 +130,9 @@ def ewm_funding(spark: SparkSession, sf: str) -> DataFrame:
 d AS (SELECT *, rk - avg(rk) OVER (PARTITION BY ts) AS dm FROM k)
 SELECT symbol, ts, rk AS rank, greatest(-4, least(4, (ret - m) / (sd + 1e-9))) AS z, ret - m AS neut, CASE WHEN sum(abs(dm)) OVER (PARTITION BY ts) > 0 THEN dm / sum(abs(dm)) OVER (PARTITION BY ts) END AS weight FROM d""", "rank z neut weight", "symbol ts")
 def cross_section(spark: SparkSession, sf: str) -> DataFrame:
-    r = _weekly_returns(spark, sf).where("ret IS NOT NULL").withColumns({"rank": S.average_rank("ret"), "z": S.row_zscore("ret"), "neut": S.neutral("ret")})
+    r = _weekly_returns(spark, sf).where("ret IS NOT NULL").withColumns(
+        {"rank": S.average_rank("ret"), "z": S.row_zscore("ret"), "neut": S.neutral("ret")}
+    )
     r = r.withColumn("dm", S.neutral("rank"))
     return r.withColumn("weight", F.try_divide("dm", F.sum(F.abs("dm")).over(S.by_time())))
 
@@ -123,20 +143,27 @@ CASE WHEN n < 10 THEN 0 WHEN dn <= greatest(1, n // 10) THEN 0.5 / greatest(1, n
 def bucket_weights(spark: SparkSession, sf: str) -> DataFrame:
     """Thirds, deciles and quintiles of last week's return; ties by symbol."""
     r = _weekly_returns(spark, sf).where("ret IS NOT NULL")
-    up, dn, n = F.row_number().over(W.partitionBy("ts").orderBy("ret", "symbol")), F.row_number().over(W.partitionBy("ts").orderBy(F.desc("ret"), F.desc("symbol"))), F.count("*").over(S.by_time())
+    up, dn, n = F.row_number().over(W.partitionBy("ts").orderBy("ret", "symbol")), F.row_number().over(
+        W.partitionBy("ts").orderBy(F.desc("ret"), F.desc("symbol"))
+    ), F.count("*").over(S.by_time())
     r = r.withColumns({"up": up, "dn": dn, "n": n})
 
     def ends(k: str, each: float, least: int):
         return F.expr(f"CASE WHEN n < {least} THEN 0.0D WHEN dn <= {k} THEN {each}D / {k} WHEN up <= {k} THEN -{each}D / {k} ELSE 0.0D END")
 
-    return r.select("symbol", "ts", ends("greatest(1, n DIV 3)", 1.0, 6).alias("third"), ends("greatest(1, n DIV 10)", 0.5, 10).alias("decile"), F.expr("CASE WHEN n >= 10 THEN CAST(ceil(up * 5.0D / n) - 1 AS int) END").alias("quintile"))
+    return r.select(
+        "symbol", "ts", ends("greatest(1, n DIV 3)", 1.0, 6).alias("third"), ends("greatest(1, n DIV 10)", 0.5, 10).alias("decile"),
+        F.expr("CASE WHEN n >= 10 THEN CAST(ceil(up * 5.0D / n) - 1 AS int) END").alias("quintile")
+    )
 
 
 @query(f"""{RETS}, k AS (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY ret, symbol) AS up, count(*) OVER (PARTITION BY ts) AS n FROM r WHERE ret IS NOT NULL AND fwd IS NOT NULL),
 q AS (SELECT ts, CAST(ceil(up * 5.0 / n) - 1 AS INTEGER) AS quintile, avg(fwd) AS m FROM k WHERE n >= 10 GROUP BY 1, 2)
 SELECT quintile, avg(m) AS mean_fwd, count(*) AS days FROM q GROUP BY quintile""", "mean_fwd", "quintile days")
 def quintile_profile(spark: SparkSession, sf: str) -> DataFrame:
-    r = _weekly_returns(spark, sf).where("ret IS NOT NULL AND fwd IS NOT NULL").withColumns({"up": F.row_number().over(W.partitionBy("ts").orderBy("ret", "symbol")), "n": F.count("*").over(S.by_time())})
+    r = _weekly_returns(spark, sf).where("ret IS NOT NULL AND fwd IS NOT NULL").withColumns(
+        {"up": F.row_number().over(W.partitionBy("ts").orderBy("ret", "symbol")), "n": F.count("*").over(S.by_time())}
+    )
     q = r.where("n >= 10").groupBy("ts", F.expr("CAST(ceil(up * 5.0D / n) - 1 AS int)").alias("quintile")).agg(F.avg("fwd").alias("m"))
     return q.groupBy("quintile").agg(F.avg("m").alias("mean_fwd"), F.count("*").alias("days"))
 
@@ -145,17 +172,26 @@ def quintile_profile(spark: SparkSession, sf: str) -> DataFrame:
 i AS (SELECT ts, corr(a, b) AS ic FROM k GROUP BY ts HAVING count(*) > 4 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0)
 SELECT CASE WHEN count(*) > 20 THEN avg(ic) ELSE 0 END AS ic, CASE WHEN count(*) > 20 THEN avg(ic) / (stddev_pop(ic) + 1e-9) ELSE 0 END AS icir, count(*) AS days FROM i""", "ic icir", "days")
 def rank_ic(spark: SparkSession, sf: str) -> DataFrame:
-    r = _weekly_returns(spark, sf).where("ret IS NOT NULL AND fwd IS NOT NULL").select("ts", S.average_rank("ret").alias("a"), S.average_rank("fwd").alias("b"))
-    ic = r.groupBy("ts").agg(F.count("*").alias("n"), F.corr("a", "b").alias("ic"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb")).where("n > 4 AND sa > 0 AND sb > 0")
+    r = _weekly_returns(spark, sf).where("ret IS NOT NULL AND fwd IS NOT NULL").select(
+        "ts", S.average_rank("ret").alias("a"), S.average_rank("fwd").alias("b")
+    )
+    ic = r.groupBy("ts").agg(
+        F.count("*").alias("n"), F.corr("a", "b").alias("ic"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb")
+    ).where("n > 4 AND sa > 0 AND sb > 0")
     enough = F.count("*") > 20
-    return ic.agg(F.when(enough, F.avg("ic")).otherwise(0.0).alias("ic"), F.when(enough, F.avg("ic") / (F.stddev_pop("ic") + 1e-9)).otherwise(0.0).alias("icir"), F.count("*").alias("days"))
+    return ic.agg(
+        F.when(enough, F.avg("ic")).otherwise(0.0).alias("ic"),
+        F.when(enough, F.avg("ic") / (F.stddev_pop("ic") + 1e-9)).otherwise(0.0).alias("icir"), F.count("*").alias("days")
+    )
 
 
 @query(f"""{WITH_D}
 SELECT symbol, CAST(ts + CAST((12 - dayofweek(ts)) % 7 AS INTEGER) AS DATE) AS week, CASE WHEN count(funding) >= 5 THEN sum(funding) * 1e4 END AS funding_bp, arg_max(close, ts) AS close FROM daily GROUP BY 1, 2""", "funding_bp close", "symbol week")
 def weekly_friday(spark: SparkSession, sf: str) -> DataFrame:
     """Weeks that end on Friday; a sum needs five values."""
-    return P.daily(spark, sf).groupBy("symbol", F.next_day(F.date_sub("ts", 1), "FRI").alias("week")).agg(F.when(F.count("funding") >= 5, F.sum("funding") * 1e4).alias("funding_bp"), F.max_by("close", "ts").alias("close"))
+    return P.daily(spark, sf).groupBy("symbol", F.next_day(F.date_sub("ts", 1), "FRI").alias("week")).agg(
+        F.when(F.count("funding") >= 5, F.sum("funding") * 1e4).alias("funding_bp"), F.max_by("close", "ts").alias("close")
+    )
 
 
 @query(f"""{RETS}, p AS (SELECT a.symbol AS a, b.symbol AS b, a.ret AS x, b.ret AS y FROM r a JOIN r b ON a.ts = b.ts AND a.symbol < b.symbol WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL)
@@ -163,8 +199,13 @@ SELECT a, b, count(*) AS n, corr(x, y) AS rho, covar_samp(x, y) / nullif(var_pop
 def pair_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Unordered pairs of symbols, joined on time: rows grow with the universe, never with time alone."""
     r = _weekly_returns(spark, sf).where("ret IS NOT NULL")
-    p = r.select("ts", F.col("symbol").alias("a"), F.col("ret").alias("x")).join(r.select("ts", F.col("symbol").alias("b"), F.col("ret").alias("y")), "ts").where("a < b")
-    return p.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("rho"), F.try_divide(F.covar_samp("x", "y"), F.var_pop("y")).alias("beta"), F.regr_slope("x", "y").alias("slope"), F.regr_intercept("x", "y").alias("intercept"))
+    p = r.select("ts", F.col("symbol").alias("a"), F.col("ret").alias("x")).join(
+        r.select("ts", F.col("symbol").alias("b"), F.col("ret").alias("y")), "ts"
+    ).where("a < b")
+    return p.groupBy("a", "b").agg(
+        F.count("*").alias("n"), F.corr("x", "y").alias("rho"), F.try_divide(F.covar_samp("x", "y"), F.var_pop("y")).alias("beta"),
+        F.regr_slope("x", "y").alias("slope"), F.regr_intercept("x", "y").alias("intercept")
+    )
 
 
 @query(f"""{DRETS}, x AS (SELECT symbol, ts, ret, ret - avg(ret) OVER (PARTITION BY symbol) AS e, lag(close) OVER w AS lc, close - lag(close) OVER w AS dc, lag(ret) OVER w AS lr FROM r WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
@@ -173,8 +214,14 @@ SELECT symbol, n, acf1, CASE WHEN b < 0 THEN ln(2) / -b END AS half_life, b / sq
 def mean_reversion(spark: SparkSession, sf: str) -> DataFrame:
     """First autocorrelation, half-life and Dickey-Fuller t from regression sums."""
     x = _daily_returns(spark, sf).withColumns({"lc": S.lagged("close"), "lr": S.lagged("ret")}).withColumn("dc", F.col("close") - F.col("lc"))
-    y = x.groupBy("symbol").agg(F.regr_slope("dc", "lc").alias("b"), F.regr_count("dc", "lc").alias("n"), F.regr_sxx("dc", "lc").alias("sxx"), F.regr_syy("dc", "lc").alias("syy"), F.regr_sxy("dc", "lc").alias("sxy"), F.corr("ret", "lr").alias("acf1"))
-    return y.select("symbol", "n", "acf1", F.expr("CASE WHEN b < 0 THEN ln(2) / -b END").alias("half_life"), F.expr("b / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx)").alias("df_t"), F.expr("greatest(0.0D, least(0.999D, acf1))").alias("branching"))
+    y = x.groupBy("symbol").agg(
+        F.regr_slope("dc", "lc").alias("b"), F.regr_count("dc", "lc").alias("n"), F.regr_sxx("dc", "lc").alias("sxx"),
+        F.regr_syy("dc", "lc").alias("syy"), F.regr_sxy("dc", "lc").alias("sxy"), F.corr("ret", "lr").alias("acf1")
+    )
+    return y.select(
+        "symbol", "n", "acf1", F.expr("CASE WHEN b < 0 THEN ln(2) / -b END").alias("half_life"),
+        F.expr("b / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx)").alias("df_t"), F.expr("greatest(0.0D, least(0.999D, acf1))").alias("branching")
+    )
 
 
 @query(f"""{DRETS}, x AS (SELECT symbol, ts, ret, ret - avg(ret) OVER (PARTITION BY symbol) AS e FROM r WHERE ret IS NOT NULL), l AS (SELECT symbol, k, e * lag(e, CAST(k AS INTEGER)) OVER (PARTITION BY symbol, k ORDER BY ts) AS p, e FROM x, unnest(generate_series(1, 10)) AS g(k)),
@@ -184,7 +231,9 @@ def ljung_box(spark: SparkSession, sf: str) -> DataFrame:
     """Ten lags; the p-value is closed for an even number of degrees of freedom."""
     x = _daily_returns(spark, sf).where("ret IS NOT NULL").withColumn("e", F.col("ret") - F.avg("ret").over(W.partitionBy("symbol")))
     lags = [(F.col("e") * F.lag("e", k).over(S.by_symbol())).alias(f"p{k}") for k in range(1, 11)]
-    a = x.select("symbol", "e", *lags).groupBy("symbol").agg(F.count("e").alias("n"), *[(F.sum(f"p{k}") / F.sum(F.col("e") * F.col("e"))).alias(f"r{k}") for k in range(1, 11)])
+    a = x.select("symbol", "e", *lags).groupBy("symbol").agg(
+        F.count("e").alias("n"), *[(F.sum(f"p{k}") / F.sum(F.col("e") * F.col("e"))).alias(f"r{k}") for k in range(1, 11)]
+    )
     h = "q / 2"
     q = a.selectExpr("symbol", "n", "n * (n + 2) * (" + " + ".join(f"r{k} * r{k} / (n - {k})" for k in range(1, 11)) + ") AS q")
     return q.selectExpr("symbol", "n", "q", f"exp(-{h}) * (1 + {h} + pow({h}, 2) / 2 + pow({h}, 3) / 6 + pow({h}, 4) / 24) AS p")
@@ -194,8 +243,18 @@ def ljung_box(spark: SparkSession, sf: str) -> DataFrame:
 SELECT symbol, any_value(n) AS n, (sum(CASE WHEN rn >= 4 THEN (s4 - 4 * mu) ** 2 END) / (4 * (any_value(n) - 3) * (1 - 4.0 / any_value(n)))) / (sum((ret - mu) ** 2) / (any_value(n) - 1)) AS vr4 FROM x GROUP BY symbol""", "vr4", "symbol n")
 def variance_ratio(spark: SparkSession, sf: str) -> DataFrame:
     every = W.partitionBy("symbol")
-    x = _daily_returns(spark, sf).where("ret IS NOT NULL").withColumns({"rn": F.row_number().over(S.by_symbol()), "mu": F.avg("ret").over(every), "n": F.count("*").over(every), "s4": F.sum("ret").over(S.trailing(4))})
-    return x.groupBy("symbol").agg(F.first("n").alias("n"), F.expr("(sum(CASE WHEN rn >= 4 THEN pow(s4 - 4 * mu, 2) END) / (4 * (first(n) - 3) * (1 - 4.0D / first(n)))) / (sum(pow(ret - mu, 2)) / (first(n) - 1))").alias("vr4"))
+    x = _daily_returns(spark, sf).where("ret IS NOT NULL").withColumns(
+        {
+            "rn": F.row_number().over(S.by_symbol()), "mu": F.avg("ret").over(every), "n": F.count("*").over(every),
+            "s4": F.sum("ret").over(S.trailing(4))
+        }
+    )
+    return x.groupBy("symbol").agg(
+        F.first("n").alias("n"),
+        F.expr(
+            "(sum(CASE WHEN rn >= 4 THEN pow(s4 - 4 * mu, 2) END) / (4 * (first(n) - 3) * (1 - 4.0D / first(n)))) / (sum(pow(ret - mu, 2)) / (first(n) - 1))"
+        ).alias("vr4")
+    )
 
 
 @query(f"""{WITH_D}, o AS (SELECT CAST(o_orderdate AS DATE) AS ts, count(*) AS oi FROM orders GROUP BY 1)
@@ -214,8 +273,13 @@ SELECT symbol, count(*) AS n, CAST(sum(tail) AS BIGINT) AS run, CAST(count(*) -
 def frozen_tail(spark: SparkSession, sf: str) -> DataFrame:
     """Rows left after a trailing run of the last price is cut to its first bar."""
     d = P.daily(spark, sf).withColumn("fin", F.last("close").over(S.by_symbol().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    d = d.withColumn("tail", F.min((F.col("close") == F.col("fin")).cast("int")).over(W.partitionBy("symbol").orderBy(F.desc("ts")).rowsBetween(W.unboundedPreceding, 0)))
-    return d.groupBy("symbol").agg(F.count("*").alias("n"), F.sum("tail").alias("run")).withColumn("kept", F.expr("n - CASE WHEN run > 1 THEN run - 1 ELSE 0 END"))
+    d = d.withColumn(
+        "tail",
+        F.min((F.col("close") == F.col("fin")).cast("int")).over(W.partitionBy("symbol").orderBy(F.desc("ts")).rowsBetween(W.unboundedPreceding, 0))
+    )
+    return d.groupBy("symbol").agg(F.count("*").alias("n"), F.sum("tail").alias("run")).withColumn(
+        "kept", F.expr("n - CASE WHEN run > 1 THEN run - 1 ELSE 0 END")
+    )
 
 
 _CONTRACTS = "ct AS (SELECT symbol, ts, close, spot, CAST(date_trunc('quarter', ts) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS expiry FROM daily), b AS (SELECT *, date_diff('day', ts, expiry) AS dte FROM ct)"
@@ -225,23 +289,31 @@ _CONTRACTS = "ct AS (SELECT symbol, ts, close, spot, CAST(date_trunc('quarter',
 SELECT symbol, strftime(expiry, '%y%m%d') AS code, count(*) AS bars, avg((close / spot - 1) * 365 / greatest(dte, 1)) AS ann_basis, arg_min((close / spot - 1) * 365 / greatest(dte, 1), ts) AS entry_basis FROM b WHERE dte BETWEEN 5 AND 85 GROUP BY 1, 2""", "ann_basis entry_basis", "symbol code bars")
 def contract_basis(spark: SparkSession, sf: str) -> DataFrame:
     """Annualised basis of dated contracts between 85 and 5 days to expiry."""
-    b = P.daily(spark, sf).withColumn("expiry", F.expr("date_sub(add_months(trunc(ts, 'quarter'), 3), 1)")).withColumn("dte", F.datediff("expiry", "ts"))
+    b = P.daily(spark, sf).withColumn(
+        "expiry", F.expr("date_sub(add_months(trunc(ts, 'quarter'), 3), 1)")
+    ).withColumn("dte", F.datediff("expiry", "ts"))
     ann = (F.col("close") / F.col("spot") - 1) * 365 / F.greatest("dte", F.lit(1))
-    return b.where("dte BETWEEN 5 AND 85").groupBy("symbol", F.date_format("expiry", "yyMMdd").alias("code")).agg(F.count("*").alias("bars"), F.avg(ann).alias("ann_basis"), F.min_by(ann, "ts").alias("entry_basis"))
+    return b.where("dte BETWEEN 5 AND 85").groupBy("symbol", F.date_format("expiry", "yyMMdd").alias("code")).agg(
+        F.count("*").alias("bars"), F.avg(ann).alias("ann_basis"), F.min_by(ann, "ts").alias("entry_basis")
+    )
 
 
 @query(f"""{WITH_W}, v AS (SELECT symbol, sum(qvol) AS vol FROM weekly GROUP BY symbol)
 SELECT symbol, vol FROM v WHERE vol >= 1000 AND symbol LIKE 'Brand#%' ORDER BY vol DESC, symbol LIMIT 10""", "vol", "symbol")
 def liquidity_universe(spark: SparkSession, sf: str) -> DataFrame:
     """The ten most traded symbols: the limit is the feature."""
-    return P.weekly_universe(spark, sf).groupBy("symbol").agg(F.sum("qvol").alias("vol")).where("vol >= 1000 AND symbol LIKE 'Brand#%'").orderBy(F.desc("vol"), "symbol").limit(10)
+    return P.weekly_universe(spark, sf).groupBy("symbol").agg(F.sum("qvol").alias("vol")).where(
+        "vol >= 1000 AND symbol LIKE 'Brand#%'"
+    ).orderBy(F.desc("vol"), "symbol").limit(10)
 
 
 def _levels(n: int) -> str:
     """The chain of causal smoothings in SQL."""
     out, prev = [], "s0"
     for j in range(n):
-        out.append(f"l{j + 1} AS (SELECT *, 0.5 * {prev} + 0.5 * coalesce(lag({prev}, {2**j}) OVER (PARTITION BY symbol ORDER BY ts), first_value({prev}) OVER (PARTITION BY symbol ORDER BY ts)) AS s{j + 1} FROM {'l' + str(j) if j else 'l0'})")
+        out.append(
+            f"l{j + 1} AS (SELECT *, 0.5 * {prev} + 0.5 * coalesce(lag({prev}, {2**j}) OVER (PARTITION BY symbol ORDER BY ts), first_value({prev}) OVER (PARTITION BY symbol ORDER BY ts)) AS s{j + 1} FROM {'l' + str(j) if j else 'l0'})"
+        )
         prev = f"s{j + 1}"
     return ", ".join(out)
 
@@ -290,16 +362,25 @@ SELECT symbol, ts, list_sum([abs(x[1] - x[2]) FOR x IN list_zip(list_sort(a), li
 def wasserstein(spark: SparkSession, sf: str) -> DataFrame:
     """Distance between the last 20 returns and the 20 before."""
     r = _daily_returns(spark, sf).where("ret IS NOT NULL")
-    r = r.select("symbol", "ts", F.collect_list("ret").over(S.by_symbol().rowsBetween(-19, 0)).alias("a"), F.collect_list("ret").over(S.by_symbol().rowsBetween(-39, -20)).alias("b")).where("size(b) = 20")
-    return r.select("symbol", "ts", F.expr("aggregate(zip_with(array_sort(a), array_sort(b), (x, y) -> abs(x - y)), 0.0D, (s, x) -> s + x) / 20").alias("w1"))
+    r = r.select(
+        "symbol", "ts", F.collect_list("ret").over(S.by_symbol().rowsBetween(-19, 0)).alias("a"),
+        F.collect_list("ret").over(S.by_symbol().rowsBetween(-39, -20)).alias("b")
+    ).where("size(b) = 20")
+    return r.select(
+        "symbol", "ts", F.expr("aggregate(zip_with(array_sort(a), array_sort(b), (x, y) -> abs(x - y)), 0.0D, (s, x) -> s + x) / 20").alias("w1")
+    )
 
 
 @query(f"""{DRETS}, l AS (SELECT symbol, -ret AS loss, row_number() OVER (PARTITION BY symbol ORDER BY ret) AS rn FROM r WHERE ret < 0)
 SELECT symbol, 1 / (avg(ln(loss)) FILTER (rn <= 20) - max(CASE WHEN rn = 21 THEN ln(loss) END)) AS alpha FROM l GROUP BY symbol HAVING count(*) > 20""", "alpha", "symbol")
 def hill_tail(spark: SparkSession, sf: str) -> DataFrame:
     """Hill index of the 20 largest losses."""
-    x = _daily_returns(spark, sf).where("ret < 0").select("symbol", F.log(-F.col("ret")).alias("l"), F.row_number().over(W.partitionBy("symbol").orderBy("ret")).alias("rn")).where("rn <= 21")
-    return x.groupBy("symbol").agg((1 / (F.avg(F.when(F.col("rn") <= 20, F.col("l"))) - F.max(F.when(F.col("rn") == 21, F.col("l"))))).alias("alpha"), F.count("*").alias("n")).where("n > 20")
+    x = _daily_returns(spark, sf).where("ret < 0").select(
+        "symbol", F.log(-F.col("ret")).alias("l"), F.row_number().over(W.partitionBy("symbol").orderBy("ret")).alias("rn")
+    ).where("rn <= 21")
+    return x.groupBy("symbol").agg(
+        (1 / (F.avg(F.when(F.col("rn") <= 20, F.col("l"))) - F.max(F.when(F.col("rn") == 21, F.col("l"))))).alias("alpha"), F.count("*").alias("n")
+    ).where("n > 20")
 
 
 @query(f"""{RETS}, m AS (SELECT ts, avg(ret) AS mkt FROM r GROUP BY ts), s AS (SELECT symbol, ts, CAST(ret > 0 AS INTEGER) AS y, lag(CAST(ret > 0 AS INTEGER)) OVER w AS y1, lag(CAST(mkt > 0 AS INTEGER)) OVER w AS x1 FROM r JOIN m USING (ts) WHERE ret IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
@@ -309,8 +390,12 @@ SELECT symbol, sum(n / t * ln(n * n_y / (n_yx * n_yy))) AS te FROM p GROUP BY sy
 def transfer_entropy(spark: SparkSession, sf: str) -> DataFrame:
     """Information that the sign of last week's market return adds about the sign of a symbol's."""
     r = _weekly_returns(spark, sf).select("symbol", "ts", "ret")
-    j = r.join(r.groupBy("ts").agg(F.avg("ret").alias("mkt")), "ts").where("ret IS NOT NULL").withColumns({"y": (F.col("ret") > 0).cast("int"), "x": (F.col("mkt") > 0).cast("int")})
+    j = r.join(r.groupBy("ts").agg(F.avg("ret").alias("mkt")), "ts").where("ret IS NOT NULL").withColumns(
+        {"y": (F.col("ret") > 0).cast("int"), "x": (F.col("mkt") > 0).cast("int")}
+    )
     s = j.select("symbol", "y", S.lagged("y").alias("y1"), S.lagged("x").alias("x1")).where("y1 IS NOT NULL")
     c = s.groupBy("symbol", "y", "y1", "x1").agg(F.count("*").alias("n"))
     over = lambda *k: F.sum("n").over(W.partitionBy("symbol", *k))
-    return c.withColumn("t", F.col("n") / over() * F.log(F.col("n") * over("y1") / (over("y1", "x1") * over("y", "y1")))).groupBy("symbol").agg(F.sum("t").alias("te"))
+    return c.withColumn(
+        "t", F.col("n") / over() * F.log(F.col("n") * over("y1") / (over("y1", "x1") * over("y", "y1")))
+    ).groupBy("symbol").agg(F.sum("t").alias("te"))

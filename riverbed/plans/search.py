@@ -21,7 +21,10 @@ FEATURES = ["ret_z", "mom_z", "vol_z", "qvol_z"]
 
 def _panel(spark: SparkSession, sf: str) -> G.Panel:
     r = _weekly_returns(spark, sf).withColumns({"mom": S.simple_return("close", 5), "vol": S.rolling(F.stddev_samp, 10, "ret"), "lq": F.log("qvol")})
-    z = r.select("symbol", "ts", (F.col("fwd") / 10).alias("fwd"), *[S.row_zscore(c).alias(n) for c, n in zip(("ret", "mom", "vol", "lq"), FEATURES, strict=True)])
+    z = r.select(
+        "symbol", "ts", (F.col("fwd") / 10).alias("fwd"),
+        *[S.row_zscore(c).alias(n) for c, n in zip(("ret", "mom", "vol", "lq"), FEATURES, strict=True)]
+    )
     return G.gathered(z, FEATURES, "fwd", ragged=True)
 
 
@@ -41,10 +44,14 @@ def alpha_search(spark: SparkSession, sf: str) -> DataFrame:
     p = _panel(spark, sf)
     train = slice(0, _cut(p))
     top = G.evolved(spark, p, train, SEED, SIZE)
-    m = evaluated(_nets(spark, p, {t: G.long_short(G.value(G.parsed(t), p) * np.sign(i), p.forward) for _, i, t in top}), ["name"], 52).where("split = 'oos'")
+    m = evaluated(
+        _nets(spark, p, {t: G.long_short(G.value(G.parsed(t), p) * np.sign(i), p.forward) for _, i, t in top}), ["name"], 52
+    ).where("split = 'oos'")
     star = m.agg(benchmark(F.coalesce(F.stddev_samp("sr_pp"), F.lit(0.0)), F.count("*")).alias("sr_star_pp"))
     fit = spark.createDataFrame([(t, f, i) for f, i, t in top], "name string, fitness double, icir double")
-    return m.join(F.broadcast(star), F.lit(True)).withColumn("dsr_prob", B.psr(F.col("sr_star_pp"))).join(fit, "name").orderBy(F.desc("fitness"), "name").limit(10)
+    return m.join(F.broadcast(star), F.lit(True)).withColumn(
+        "dsr_prob", B.psr(F.col("sr_star_pp"))
+    ).join(fit, "name").orderBy(F.desc("fitness"), "name").limit(10)
 
 
 def _found(spark: SparkSession, p: G.Panel, most: int = 40) -> list[tuple[float, float, str]]:
@@ -59,7 +66,10 @@ def alpha_ensembles(spark: SparkSession, sf: str) -> DataFrame:
     if len(found) < 3:
         found = G.best(spark, G.population(SEED, SIZE, FEATURES), p, slice(0, cut), 5)
     made = G.combinations(G.aligned(found, p), np.array([x[1] for x in found]), p, slice(0, cut))
-    ic = spark.createDataFrame([(n, *G.information(a[:cut], p.forward[:cut]), *G.information(a[cut:], p.forward[cut:])) for n, a in made.items()], "name string, ic_is double, icir_is double, ic_oos double, icir_oos double")
+    ic = spark.createDataFrame(
+        [(n, *G.information(a[:cut], p.forward[:cut]), *G.information(a[cut:], p.forward[cut:])) for n, a in made.items()],
+        "name string, ic_is double, icir_is double, ic_oos double, icir_oos double"
+    )
     return evaluated(_nets(spark, p, {n: G.long_short(a, p.forward) for n, a in made.items()}), ["name"], 52).join(ic, "name")
 
 
@@ -71,7 +81,11 @@ def alpha_stability(spark: SparkSession, sf: str) -> DataFrame:
     halves = {"a": slice(0, cut // 2), "b": slice(cut // 2, cut), "oos": slice(cut, None)}
     s = G.scored(spark, G.population(7, SIZE, FEATURES), p, halves)
     stable = F.expr("ic_a * ic_b > 0 AND abs(icir_a) > 0.08 AND abs(icir_b) > 0.08")
-    return s.agg(F.count("*").alias("formulas"), F.corr("ic_a", "ic_b").alias("across"), F.count_if(stable).alias("stable"), F.avg(F.when(stable, F.signum("ic_a") * F.col("ic_oos"))).alias("stable_ic_oos"), F.avg(F.signum("ic_a") * F.col("ic_oos")).alias("any_ic_oos"))
+    return s.agg(
+        F.count("*").alias("formulas"), F.corr("ic_a", "ic_b").alias("across"), F.count_if(stable).alias("stable"),
+        F.avg(F.when(stable, F.signum("ic_a") * F.col("ic_oos"))).alias("stable_ic_oos"),
+        F.avg(F.signum("ic_a") * F.col("ic_oos")).alias("any_ic_oos")
+    )
 
 
 @query(None)
@@ -83,7 +97,9 @@ def alpha_shape(spark: SparkSession, sf: str) -> DataFrame:
     ins, oos = G.fifths(a[:cut], p.forward[:cut]), G.fifths(a[cut:], p.forward[cut:])
     rho = float(np.corrcoef(ins, oos)[0, 1]) if np.isfinite(ins).all() and np.isfinite(oos).all() else None
     num = lambda v: None if v != v else float(v)
-    return spark.createDataFrame([(q, num(x), num(y), rho) for q, (x, y) in enumerate(zip(ins, oos, strict=True))], "fifth int, mean_is double, mean_oos double, kept double")
+    return spark.createDataFrame(
+        [(q, num(x), num(y), rho) for q, (x, y) in enumerate(zip(ins, oos, strict=True))], "fifth int, mean_is double, mean_oos double, kept double"
+    )
 
 
 @query(None)
@@ -115,7 +131,10 @@ def monetisation(spark: SparkSession, sf: str) -> DataFrame:
     vol = np.sqrt(np.nan_to_num(G._mean(np.nan_to_num(p.forward) ** 2, 20))) + 1e-9
     gross = lambda w: w / (np.abs(w).sum(1, keepdims=True) + 1e-9)
     held = np.repeat(G.weights(a)[::4], 4, 0)[: len(a)]
-    schemes = {"rank": G.weights(a), "decile": np.where(r > n - k, 0.5 / k, 0) - np.where(r <= k, 0.5 / k, 0), "proportional": gross(G._neutral(a)), "inverse_vol": gross(G.weights(a) / np.vstack((np.ones((1, n)), vol[:-1]))), "monthly": held}
+    schemes = {
+        "rank": G.weights(a), "decile": np.where(r > n - k, 0.5 / k, 0) - np.where(r <= k, 0.5 / k, 0), "proportional": gross(G._neutral(a)),
+        "inverse_vol": gross(G.weights(a) / np.vstack((np.ones((1, n)), vol[:-1]))), "monthly": held
+    }
     nets = {}
     for s, w in schemes.items():
         for lag in (0, 1):
@@ -132,7 +151,14 @@ def signal_diagnosis(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window as W
 
     t = W.partitionBy("ts")
-    x = _weekly_returns(spark, sf).where("ret IS NOT NULL AND fwd IS NOT NULL").withColumn("fwd", F.col("fwd") / 10).withColumns({"dn": F.row_number().over(t.orderBy(F.desc("ret"), F.desc("symbol"))), "n": F.count("*").over(t), "rk": S.average_rank("ret")})
-    w = x.withColumn("d", S.neutral("rk")).withColumn("w", F.coalesce(F.try_divide("d", F.sum(F.abs("d")).over(t)), F.lit(0.0))).withColumn("tn", F.abs(F.col("w") - S.lagged("w", 1, 0.0)))
-    g = w.groupBy("ts").agg(F.sum(F.col("w") * F.col("fwd")).alias("gross"), F.sum("tn").alias("turn"), (F.avg(F.expr("CASE WHEN dn <= greatest(1, n DIV 5) THEN fwd END")) - F.avg("fwd")).alias("long_only"))
+    x = _weekly_returns(spark, sf).where("ret IS NOT NULL AND fwd IS NOT NULL").withColumn("fwd", F.col("fwd") / 10).withColumns(
+        {"dn": F.row_number().over(t.orderBy(F.desc("ret"), F.desc("symbol"))), "n": F.count("*").over(t), "rk": S.average_rank("ret")}
+    )
+    w = x.withColumn("d", S.neutral("rk")).withColumn(
+        "w", F.coalesce(F.try_divide("d", F.sum(F.abs("d")).over(t)), F.lit(0.0))
+    ).withColumn("tn", F.abs(F.col("w") - S.lagged("w", 1, 0.0)))
+    g = w.groupBy("ts").agg(
+        F.sum(F.col("w") * F.col("fwd")).alias("gross"), F.sum("tn").alias("turn"),
+        (F.avg(F.expr("CASE WHEN dn <= greatest(1, n DIV 5) THEN fwd END")) - F.avg("fwd")).alias("long_only")
+    )
     return g.withColumn("bps", F.explode(F.array(*map(F.lit, (0, 1, 5))))).withColumn("long_short", F.expr("gross - turn * bps / 1e4D"))

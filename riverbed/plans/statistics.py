@@ -29,10 +29,20 @@ SELECT symbol, n, vr, (vr - 1) / sqrt(theta / n) AS z FROM z WHERE theta > 0""",
 def variance_ratio_robust(spark: SparkSession, sf: str) -> DataFrame:
     """Variance ratio of four bars, and its distance from one in deviations that allow for changing variance."""
     every = W.partitionBy("symbol")
-    x = _daily_returns(spark, sf).where("ret IS NOT NULL").withColumns({"rn": F.row_number().over(S.by_symbol()), "mu": F.avg("ret").over(every), "n": F.count("*").over(every), "sq": F.sum("ret").over(S.trailing(Q))})
+    x = _daily_returns(spark, sf).where("ret IS NOT NULL").withColumns(
+        {
+            "rn": F.row_number().over(S.by_symbol()), "mu": F.avg("ret").over(every), "n": F.count("*").over(every),
+            "sq": F.sum("ret").over(S.trailing(Q))
+        }
+    )
     e = x.withColumn("e2", F.expr("pow(ret - mu, 2)")).withColumns({f"lag{j}": F.lag("e2", j).over(S.by_symbol()) for j in range(1, Q)})
-    a = e.groupBy("symbol").agg(F.first("n").alias("n"), F.sum("e2").alias("s2"), F.expr(f"sum(CASE WHEN rn >= {Q} THEN pow(sq - {Q} * mu, 2) END)").alias("v"), *[F.sum(F.col("e2") * F.col(f"lag{j}")).alias(f"c{j}") for j in range(1, Q)])
-    z = a.where(f"n >= {2 * Q + 2}").select("symbol", "n", F.expr(f"v / ({Q} * (n - {Q} + 1) * (1 - {Q}.0D / n)) / (s2 / (n - 1))").alias("vr"), F.expr(_THETA).alias("theta"))
+    a = e.groupBy("symbol").agg(
+        F.first("n").alias("n"), F.sum("e2").alias("s2"), F.expr(f"sum(CASE WHEN rn >= {Q} THEN pow(sq - {Q} * mu, 2) END)").alias("v"),
+        *[F.sum(F.col("e2") * F.col(f"lag{j}")).alias(f"c{j}") for j in range(1, Q)]
+    )
+    z = a.where(f"n >= {2 * Q + 2}").select(
+        "symbol", "n", F.expr(f"v / ({Q} * (n - {Q} + 1) * (1 - {Q}.0D / n)) / (s2 / (n - 1))").alias("vr"), F.expr(_THETA).alias("theta")
+    )
     return z.where("theta > 0").withColumn("z", F.expr("(vr - 1) / sqrt(theta / n)"))
 
 
@@ -52,8 +62,12 @@ def lead_lag(spark: SparkSession, sf: str) -> DataFrame:
     k = r.agg(F.count_distinct("symbol").alias("k"))
     days = r.groupBy("ts").agg(F.count("*").alias("c")).join(F.broadcast(k), F.expr("c = k"), "left_semi")
     x = r.join(days, "ts", "left_semi").select("symbol", F.row_number().over(S.by_symbol()).alias("i"), "ret")
-    led = x.select(F.col("symbol").alias("lead"), F.col("ret").alias("a"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("lag"), "i").withColumn("i", F.col("i") + F.col("lag"))
-    c = led.join(x.select(F.col("symbol").alias("follow"), F.col("ret").alias("b"), "i"), "i").where("lead <> follow").groupBy("lead", "follow", "lag").agg(F.corr("a", "b").alias("rho"), F.count("*").alias("n")).where("n >= 20")
+    led = x.select(
+        F.col("symbol").alias("lead"), F.col("ret").alias("a"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("lag"), "i"
+    ).withColumn("i", F.col("i") + F.col("lag"))
+    c = led.join(
+        x.select(F.col("symbol").alias("follow"), F.col("ret").alias("b"), "i"), "i"
+    ).where("lead <> follow").groupBy("lead", "follow", "lag").agg(F.corr("a", "b").alias("rho"), F.count("*").alias("n")).where("n >= 20")
     best = F.max_by(F.struct("lag", "rho"), F.struct(F.abs(F.round("rho", 9)), -F.col("lag"))).alias("b")
     return c.groupBy("lead", "follow").agg(best).select("lead", "follow", F.col("b.lag").cast("long").alias("lag"), "b.rho")
 
@@ -83,12 +97,24 @@ dft AS (SELECT a, b, n, slope / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx) AS
 def cointegration(spark: SparkSession, sf: str) -> DataFrame:
     """a, b, n, t, hl of the residual of a on b for every ordered pair: regressions are aggregates, the residual is a join with one row a pair."""
     lp = P.daily(spark, sf).select("symbol", "ts", F.log("close").alias("y"))
-    pr = lp.select("ts", F.col("symbol").alias("a"), F.col("y").alias("ya")).join(lp.select("ts", F.col("symbol").alias("b"), F.col("y").alias("yb")), "ts").where("a <> b")
+    pr = lp.select("ts", F.col("symbol").alias("a"), F.col("y").alias("ya")).join(
+        lp.select("ts", F.col("symbol").alias("b"), F.col("y").alias("yb")), "ts"
+    ).where("a <> b")
     fit = pr.groupBy("a", "b").agg(F.regr_slope("ya", "yb").alias("beta"), F.regr_intercept("ya", "yb").alias("alpha"))
     w = W.partitionBy("a", "b").orderBy("ts")
-    e = pr.join(fit, ["a", "b"]).withColumn("e", F.expr("ya - beta * yb - alpha")).withColumn("lc", F.lag("e").over(w)).withColumn("dc", F.col("e") - F.col("lc"))
-    g = e.groupBy("a", "b").agg(*[f("dc", "lc").alias(n) for n, f in (("s", F.regr_slope), ("n", F.regr_count), ("sxx", F.regr_sxx), ("syy", F.regr_syy), ("sxy", F.regr_sxy))])
-    return g.select("a", "b", "n", F.expr("s / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx)").alias("t"), F.expr("CASE WHEN s < 0 THEN ln(2) / -s END").alias("hl"))
+    e = pr.join(fit, ["a", "b"]).withColumn(
+        "e", F.expr("ya - beta * yb - alpha")
+    ).withColumn("lc", F.lag("e").over(w)).withColumn("dc", F.col("e") - F.col("lc"))
+    g = e.groupBy("a", "b").agg(
+        *[
+            f("dc", "lc").alias(n) for n,
+            f in (("s", F.regr_slope), ("n", F.regr_count), ("sxx", F.regr_sxx), ("syy", F.regr_syy), ("sxy", F.regr_sxy))
+        ]
+    )
+    return g.select(
+        "a", "b", "n", F.expr("s / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx)").alias("t"),
+        F.expr("CASE WHEN s < 0 THEN ln(2) / -s END").alias("hl")
+    )
 
 
 @query(f"""{COINT}
@@ -98,7 +124,9 @@ def engle_granger(spark: SparkSession, sf: str) -> DataFrame:
     d = cointegration(spark, sf)
     back = d.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("t").alias("t_ba"), F.col("hl").alias("hl_ba"))
     both = d.where("a < b").withColumnsRenamed({"t": "t_ab", "hl": "hl_ab"}).join(back, ["a", "b"])
-    return both.withColumn("passes", F.coalesce(F.expr("t_ab < -3 AND t_ba < -3 AND hl_ab > 2 AND hl_ab < 90 AND hl_ba > 2 AND hl_ba < 90"), F.lit(False)))
+    return both.withColumn(
+        "passes", F.coalesce(F.expr("t_ab < -3 AND t_ba < -3 AND hl_ab > 2 AND hl_ab < 90 AND hl_ba > 2 AND hl_ba < 90"), F.lit(False))
+    )
 
 
 @query(f"""{DRETS}, v AS (SELECT symbol, ts, ln(sqrt(avg(ret * ret) OVER (PARTITION BY symbol ORDER BY ts ROWS 23 PRECEDING))) AS lv, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM r WHERE ret IS NOT NULL),
@@ -106,8 +134,13 @@ l AS (SELECT symbol, lv, lag(lv) OVER (PARTITION BY symbol ORDER BY ts) AS l1 FR
 SELECT symbol, n, acf1, CASE WHEN b < 0 THEN ln(2) / -b END AS half_life FROM g""", "acf1 half_life", "symbol n")
 def volatility_reversion(spark: SparkSession, sf: str) -> DataFrame:
     """How the logarithm of realised volatility over 24 bars returns to its mean."""
-    v = _daily_returns(spark, sf).where("ret IS NOT NULL").select("symbol", "ts", F.row_number().over(S.by_symbol()).alias("rn"), F.log(F.sqrt(F.avg(F.col("ret") * F.col("ret")).over(S.trailing(24)))).alias("lv")).where("rn >= 24")
-    g = v.withColumn("l1", S.lagged("lv")).groupBy("symbol").agg(F.count("lv").alias("n"), F.corr("lv", "l1").alias("acf1"), F.regr_slope(F.col("lv") - F.col("l1"), F.col("l1")).alias("b"))
+    v = _daily_returns(spark, sf).where("ret IS NOT NULL").select(
+        "symbol", "ts", F.row_number().over(S.by_symbol()).alias("rn"),
+        F.log(F.sqrt(F.avg(F.col("ret") * F.col("ret")).over(S.trailing(24)))).alias("lv")
+    ).where("rn >= 24")
+    g = v.withColumn("l1", S.lagged("lv")).groupBy("symbol").agg(
+        F.count("lv").alias("n"), F.corr("lv", "l1").alias("acf1"), F.regr_slope(F.col("lv") - F.col("l1"), F.col("l1")).alias("b")
+    )
     return g.select("symbol", "n", "acf1", F.expr("CASE WHEN b < 0 THEN ln(2) / -b END").alias("half_life"))
 
 

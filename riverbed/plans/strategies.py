@@ -77,7 +77,9 @@ SELECT symbol, ts, CAST(coalesce(last_value(CASE WHEN e > 1e-6 THEN 1 WHEN e < -
 def hysteresis(spark: SparkSession, sf: str) -> DataFrame:
     """Enter beyond a threshold, leave inside a third of it, else hold: the state is that of the last decisive bar."""
     e = ewm(P.daily(spark, sf), ["symbol"], "funding", 19, "v").withColumn("e", S.lagged("v", 1, 0.0))
-    return e.select("symbol", "ts", latest(F.expr("CASE WHEN e > 1e-6 THEN 1 WHEN e < -1e-6 THEN -1 WHEN abs(e) < 1e-6 / 3 THEN 0 END")).alias("state"))
+    return e.select(
+        "symbol", "ts", latest(F.expr("CASE WHEN e > 1e-6 THEN 1 WHEN e < -1e-6 THEN -1 WHEN abs(e) < 1e-6 / 3 THEN 0 END")).alias("state")
+    )
 
 
 @query(f"""{RETS}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM r)
@@ -94,7 +96,9 @@ def book_net(spark: SparkSession, sf: str) -> DataFrame:
     k = _weekly_returns(spark, sf).where("ret IS NOT NULL").withColumn("rk", S.average_rank("ret")).withColumn("dm", S.neutral("rk"))
     k = k.withColumn("w", F.coalesce(F.try_divide("dm", F.sum(F.abs("dm")).over(S.by_time())), F.lit(0.0)))
     k = k.withColumn("tn", F.abs(F.col("w") - S.lagged("w", 1, 0.0)))
-    return k.groupBy("ts").agg((F.sum(F.col("w") * F.coalesce("fwd", F.lit(0.0))) - 5 / 1e4 * F.sum("tn")).alias("net"), F.sum("tn").alias("turnover"))
+    return k.groupBy("ts").agg(
+        (F.sum(F.col("w") * F.coalesce("fwd", F.lit(0.0))) - 5 / 1e4 * F.sum("tn")).alias("net"), F.sum("tn").alias("turnover")
+    )
 
 
 @query(f"""{DRETS}, x AS (SELECT symbol, ts, ret, row_number() OVER (PARTITION BY symbol ORDER BY ts) <= floor(count(*) OVER (PARTITION BY symbol) * 0.6) AS ins FROM r WHERE ret IS NOT NULL),
@@ -114,7 +118,9 @@ e AS (SELECT * FROM b WHERE dte BETWEEN 20 AND 85 AND ann > 0.1 QUALIFY row_numb
 SELECT symbol, ts, ann, w / sum(w) OVER () AS weight, w / sum(w) OVER () * 3 AS gross FROM c""", "ann weight gross", "symbol ts")
 def select_and_size(spark: SparkSession, sf: str) -> DataFrame:
     """Best qualifying contract of each coin, sized by basis, clipped at 40 % and renormalised. The single-row totals are over symbols."""
-    b = P.daily(spark, sf).withColumn("expiry", F.expr("date_sub(add_months(trunc(ts, 'quarter'), 3), 1)")).withColumn("dte", F.datediff("expiry", "ts"))
+    b = P.daily(spark, sf).withColumn(
+        "expiry", F.expr("date_sub(add_months(trunc(ts, 'quarter'), 3), 1)")
+    ).withColumn("dte", F.datediff("expiry", "ts"))
     b = b.withColumn("ann", (F.col("close") / F.col("spot") - 1) * 365 / F.greatest("dte", F.lit(1))).where("dte BETWEEN 20 AND 85 AND ann > 0.1")
     e = b.withColumn("rn", F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("ann"), "ts"))).where("rn = 1")
     whole = lambda df, c: df.join(F.broadcast(df.agg(F.sum(c).alias("_all"))), F.lit(True))
@@ -122,7 +128,10 @@ def select_and_size(spark: SparkSession, sf: str) -> DataFrame:
     return whole(c, "w").withColumn("weight", F.col("w") / F.col("_all")).withColumn("gross", F.col("weight") * 3)
 
 
-FORMULAS = (("sub", ("rank", ("feat", "ret")), ("feat", "qvol_z")), ("div", ("tsmean3", ("feat", "ret")), ("tsstd10", ("feat", "ret"))), ("neut", ("tsdelta5", ("feat", "close"))), ("sign", ("delay1", ("feat", "ret"))))
+FORMULAS = (
+    ("sub", ("rank", ("feat", "ret")), ("feat", "qvol_z")), ("div", ("tsmean3", ("feat", "ret")), ("tsstd10", ("feat", "ret"))),
+    ("neut", ("tsdelta5", ("feat", "close"))), ("sign", ("delay1", ("feat", "ret")))
+)
 
 
 @query(f"""{RETS}, f AS (SELECT symbol, ts, close, ret, greatest(-4, least(4, (qvol - avg(qvol) OVER (PARTITION BY ts)) / (stddev_pop(qvol) OVER (PARTITION BY ts) + 1e-9))) AS qz FROM r WHERE ret IS NOT NULL),

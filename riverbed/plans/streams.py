@@ -41,7 +41,9 @@ def json_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """A report written as strict JSON and read again: what is no number is null."""
     from riverbed.sources import panels as P
 
-    b = P.ticks(spark, sf).groupBy("symbol", F.date_trunc("day", "ts").alias("day")).agg(F.avg("price").alias("mean"), F.stddev_samp("price").alias("sd")).withColumnRenamed("day", "ts")
+    b = P.ticks(spark, sf).groupBy("symbol", F.date_trunc("day", "ts").alias("day")).agg(
+        F.avg("price").alias("mean"), F.stddev_samp("price").alias("sd")
+    ).withColumnRenamed("day", "ts")
     where = place(spark)
     files.json_report(b, where)
     return files.read_report(spark, where, b.schema)

@@ -20,7 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, ts, price, qty, maker, seq from events."""
     e = table(spark, sf_dir, "events")
-    return e.select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), (1 + F.coalesce(F.get_json_object("props", "$.k").cast("double"), F.lit(0.0))).alias("qty"), (F.col("event_id") % 2 == 0).alias("maker"), F.col("event_id").alias("seq"))
+    return e.select(
+        F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"),
+        (1 + F.coalesce(F.get_json_object("props", "$.k").cast("double"), F.lit(0.0))).alias("qty"), (F.col("event_id") % 2 == 0).alias("maker"),
+        F.col("event_id").alias("seq")
+    )
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +49,9 @@ def weekly_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = F.col("l_extendedprice") / F.col("l_quantity")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     joined = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
-    return joined.groupBy(F.col("p_brand").alias("symbol"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("ts")).agg(F.round(F.avg(px) + NUDGE, 6).alias("close"), F.round(F.sum("l_extendedprice") + NUDGE, 4).alias("qvol"))
+    return joined.groupBy(F.col("p_brand").alias("symbol"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("ts")).agg(
+        F.round(F.avg(px) + NUDGE, 6).alias("close"), F.round(F.sum("l_extendedprice") + NUDGE, 4).alias("qvol")
+    )
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:

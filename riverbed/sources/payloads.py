@@ -34,7 +34,9 @@ def first_of(df: DataFrame, keys: list[str]) -> DataFrame:
 def _documents(spark: SparkSession, path: str) -> DataFrame:
     """_file, symbol (the file's name up to its first dot), text."""
     named = F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1)
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("_file"), named.alias("symbol"), F.col("value").alias("text"))
+    return spark.read.option("wholetext", True).text(path).select(
+        F.col("_metadata.file_path").alias("_file"), named.alias("symbol"), F.col("value").alias("text")
+    )
 
 
 def bars(spark: SparkSession, path: str, layout: str, at: str = "$") -> DataFrame:
@@ -46,7 +48,10 @@ def bars(spark: SparkSession, path: str, layout: str, at: str = "$") -> DataFram
     made = r.select("_file", "_pos", "symbol", *[c.alias(n) for n, c in at_.items()])
     number = lambda n, kind="double": (F.col(n).try_cast(kind) if n in names else F.lit(None).cast(kind)).alias(n)
     ts = F.timestamp_millis((F.col("ts").try_cast("double") * (1000 // unit)).cast("bigint")).alias("ts")
-    typed = made.select("_file", "_pos", "symbol", ts, *[number(c) for c in ("open", "high", "low", "close", "volume", "qvol")], number("trades", "bigint"), number("taker"))
+    typed = made.select(
+        "_file", "_pos", "symbol", ts, *[number(c) for c in ("open", "high", "low", "close", "volume", "qvol")], number("trades", "bigint"),
+        number("taker")
+    )
     return first_of(typed.where("ts IS NOT NULL"), ["symbol", "ts"])
 
 
@@ -82,7 +87,9 @@ def implied(spark: SparkSession, path: str) -> DataFrame:
 
 def span(df: DataFrame) -> DataFrame:
     """symbol, first_ts, last_ts, n, days."""
-    return df.groupBy("symbol").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"), F.datediff(F.max("ts"), F.min("ts")).alias("days"))
+    return df.groupBy("symbol").agg(
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"), F.datediff(F.max("ts"), F.min("ts")).alias("days")
+    )
 
 
 def coverage(sets: dict[str, DataFrame], least: int) -> DataFrame:
@@ -97,7 +104,9 @@ def coverage(sets: dict[str, DataFrame], least: int) -> DataFrame:
     return wide.withColumn("state", F.expr(f"CASE WHEN {full} THEN 'FULL' WHEN {some} THEN 'PARTIAL' ELSE 'FAILED' END"))
 
 
-def patient(get: Callable[[str, dict], tuple[int, object]], url: str, params: dict, tries: int = 5, wait: Callable[[float], None] = time.sleep) -> object:
+def patient(
+    get: Callable[[str, dict], tuple[int, object]], url: str, params: dict, tries: int = 5, wait: Callable[[float], None] = time.sleep
+) -> object:
     """The body of an answer; a service that is busy (418, 429) or failing is asked again after 1, 2, 4 ... seconds."""
     for k in range(tries):
         status, body = get(url, params)
@@ -110,7 +119,9 @@ def patient(get: Callable[[str, dict], tuple[int, object]], url: str, params: di
     raise TimeoutError(f"{url} stayed busy for {tries} tries")
 
 
-def paged(ask: Callable[[int, int], list], start: int, end: int, size: int, time_of: Callable[[object], int], backward: bool = False, most: int = 400) -> Iterator[object]:
+def paged(
+    ask: Callable[[int, int], list], start: int, end: int, size: int, time_of: Callable[[object], int], backward: bool = False, most: int = 400
+) -> Iterator[object]:
     """Rows between two times. Forward: from the last row's time on until a page is short. Backward: newest first, until the start or an empty page. `most` pages at most, as services allow."""
     for _ in range(most):
         rows = ask(start, end)
@@ -132,19 +143,29 @@ def tick_archives(spark: SparkSession, path: str) -> DataFrame:
         import io
         import zipfile
 
-        names = {"price": ("price", "p"), "qty": ("quantity", "qty", "q"), "time": ("transact_time", "time", "t"), "maker": ("is_buyer_maker", "maker", "m")}
+        names = {
+            "price": ("price", "p"), "qty": ("quantity", "qty", "q"), "time": ("transact_time", "time", "t"),
+            "maker": ("is_buyer_maker", "maker", "m")
+        }
         for pdf in batches:
             for file, content in zip(pdf["path"], pdf["content"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(z.namelist()[0]) as f:
                     head = f.readline().decode().strip().lower().split(",")
                     titled = not head[0].replace(".", "").isdigit()
-                    place = {k: next(i for i, h in enumerate(head) if h in v) for k, v in names.items()} if titled else {"price": 1, "qty": 2, "time": 5, "maker": 6}
+                    place = {
+                        k: next(i for i, h in enumerate(head) if h in v) for k, v in names.items()
+                    } if titled else {"price": 1, "qty": 2, "time": 5, "maker": 6}
                     first = [] if titled else [",".join(head)]
                     seq, rows = 0, []
                     for line in itertools.chain(first, map(bytes.decode, f)):
                         cell = line.strip().split(",")
                         if len(cell) > max(place.values()):
-                            rows.append((file.rsplit("/", 1)[-1].split("-")[0], int(cell[place["time"]]), float(cell[place["price"]]), float(cell[place["qty"]]), cell[place["maker"]].lower() in ("true", "1"), seq))
+                            rows.append(
+                                (
+                                    file.rsplit("/", 1)[-1].split("-")[0], int(cell[place["time"]]), float(cell[place["price"]]),
+                                    float(cell[place["qty"]]), cell[place["maker"]].lower() in ("true", "1"), seq
+                                )
+                            )
                             seq += 1
                         if len(rows) == 50_000:
                             yield pd.DataFrame(rows, columns=["symbol", "ms", "price", "qty", "maker", "seq"])

@@ -24,7 +24,10 @@ def ticks(spark: SparkSession, path: str, files_at_once: int = 1) -> DataFrame:
     else:
         e = reader.parquet(path)
     qty = 1 + F.coalesce(F.get_json_object("props", "$.k").cast("double"), F.lit(0.0))
-    return e.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), qty.alias("qty"), (F.col("event_id") % 2 == 0).alias("maker"), F.col("event_id").alias("seq"))
+    return e.select(
+        F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), qty.alias("qty"),
+        (F.col("event_id") % 2 == 0).alias("maker"), F.col("event_id").alias("seq")
+    )
 
 
 def distinct(stream: DataFrame, keys: list[str], delay: str = DELAY) -> DataFrame:
@@ -36,7 +39,9 @@ def flow_bars(stream: DataFrame, width: str = "1 minute", delay: str = DELAY) ->
     """symbol, ts, close, vol, ofi, ntr, ofi_norm of closed windows."""
     signed = F.when(F.col("maker"), -F.col("qty")).otherwise(F.col("qty"))
     marked = stream if stream.isStreaming is False else stream.withWatermark("ts", delay)
-    bars = marked.groupBy(F.window("ts", width).alias("w"), "symbol").agg(F.max_by("price", F.struct("ts", "seq")).alias("close"), F.sum("qty").alias("vol"), F.sum(signed).alias("ofi"), F.count("*").alias("ntr"))
+    bars = marked.groupBy(F.window("ts", width).alias("w"), "symbol").agg(
+        F.max_by("price", F.struct("ts", "seq")).alias("close"), F.sum("qty").alias("vol"), F.sum(signed).alias("ofi"), F.count("*").alias("ntr")
+    )
     return bars.select("symbol", F.col("w.start").alias("ts"), "close", "vol", "ofi", "ntr", F.try_divide("ofi", "vol").alias("ofi_norm"))
 
 
@@ -54,12 +59,16 @@ def hysteresis(stream: DataFrame, value: str, enter: float, leave: float) -> Dat
         state.update((now,))
         yield pd.DataFrame({"symbol": key[0], "ts": rows["ts"].to_numpy(), "state": out})
 
-    return stream.select("symbol", "ts", value).groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp, state int", "state int", "append", GroupStateTimeout.NoTimeout)
+    return stream.select("symbol", "ts", value).groupBy("symbol").applyInPandasWithState(
+        step, "symbol string, ts timestamp, state int", "state int", "append", GroupStateTimeout.NoTimeout
+    )
 
 
 def drained(stream: DataFrame, place: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there, into Parquet below place, and reads it: files already taken are not taken again when it is called with the same place."""
-    run = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start()
+    run = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{place}/rows").option(
+        "checkpointLocation", f"{place}/log"
+    ).trigger(availableNow=True).start()
     run.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{place}/rows")
 

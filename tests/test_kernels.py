@@ -83,7 +83,9 @@ def test_tails():
     rng = np.random.default_rng(0)
     gauss, heavy = np.abs(rng.normal(size=4000)), np.abs(rng.standard_t(3, size=4000))
     assert K.hill(heavy, 100) < K.hill(gauss, 100) and K.pareto_shape(heavy) > K.pareto_shape(gauss)
-    assert K.hill(rng.pareto(2.5, 50_000) + 1, 500) == pytest.approx(2.5, rel=0.15) and math.isnan(K.hill(gauss, 4)) and math.isnan(K.pareto_shape(gauss[:20]))
+    assert K.hill(
+        rng.pareto(2.5, 50_000) + 1, 500
+    ) == pytest.approx(2.5, rel=0.15) and math.isnan(K.hill(gauss, 4)) and math.isnan(K.pareto_shape(gauss[:20]))
 
 
 def test_signature_identities():

@@ -41,7 +41,9 @@ def column(df, name, symbol="a"):
 
 def test_scan_goes_on_across_batches_and_keys(spark):
     n = 25_000  # more than one Arrow batch
-    df = spark.range(n).select(F.expr("IF(id % 3 = 0, 'a', IF(id % 3 = 1, 'b', NULL))").alias("symbol"), F.col("id").alias("ts"), F.lit(1.0).alias("x"))
+    df = spark.range(n).select(
+        F.expr("IF(id % 3 = 0, 'a', IF(id % 3 = 1, 'b', NULL))").alias("symbol"), F.col("id").alias("ts"), F.lit(1.0).alias("x")
+    )
     got = T.scan(df, ["symbol"], ["ts"], ["x"], lambda: 0.0, lambda s, r: (s + r[0], (s + r[0],)), "total double")
     ends = {r["symbol"]: (r["m"], r["n"]) for r in got.groupBy("symbol").agg(F.max("total").alias("m"), F.count("*").alias("n")).collect()}
     assert all(m == k for m, k in ends.values()) and sum(k for _, k in ends.values()) == n and set(ends) == {"a", "b", None}
@@ -67,7 +69,10 @@ def test_machines_on_hand_made_rows(spark):
     assert column(T.timed_position(s, ["symbol"], "x", 3, True), "state") == [0, 1, 1, -1, -1, -1, 0, -1, -1]
     score = series(spark, [(-2, 1), (-1, 1), (-0.4, 1), (2, 1), (1, 0), (None, 1)], cols="s double, k double").withColumn("ok", F.col("k") > 0)
     assert column(T.score_book(score, ["symbol"]), "state") == [1, 1, 0, -1, 0, 0]
-    lists = spark.createDataFrame([("l", 1, ["a", "b", "c"]), ("l", 2, ["c", "b", "a"]), ("l", 3, ["c", "d", "b", "a"]), ("l", 4, ["d"])], "side string, ts int, names array<string>")
+    lists = spark.createDataFrame(
+        [("l", 1, ["a", "b", "c"]), ("l", 2, ["c", "b", "a"]), ("l", 3, ["c", "d", "b", "a"]), ("l", 4, ["d"])],
+        "side string, ts int, names array<string>"
+    )
     got = [r["members"] for r in T.band_basket(lists, ["side"], 2, 1).orderBy("ts").collect()]
     assert got == [["a", "b"], ["a", "b"], ["b", "c"], ["d"]]
 
@@ -102,7 +107,9 @@ def test_market_maker_equals_loop(spark):
         bid = sell * 0.1 * (1 - max(0, -z) / 2 if max(0, -z) < 2 else 0) * (inv <= 1)
         ask = buy * 0.1 * (1 - max(0, z) / 2 if max(0, z) < 2 else 0) * (inv >= -1)
         inv += bid - ask
-        assert (r["spread"], r["fee"], r["adverse"], r["inventory"]) == pytest.approx(((bid + ask) * 5e-5 * m, (bid + ask) * 5e-5 * m, inv * (nxt - m), inv))
+        assert (r["spread"], r["fee"], r["adverse"], r["inventory"]) == pytest.approx(
+            ((bid + ask) * 5e-5 * m, (bid + ask) * 5e-5 * m, inv * (nxt - m), inv)
+        )
 
 
 def test_volume_buckets_drop_what_goes_beyond(spark):
@@ -121,7 +128,13 @@ def test_rolling_functionals_are_causal(spark):
     assert holes == [None, None, None, 2]
 
 
-@pytest.mark.parametrize("name", ["returns", "rolling_stats", "wavelet", "fracdiff", "rolling_entropy", "rolling_hill", "causal_scores", "wavelet_band", "scaled_momentum", "rolling_functionals", "signature_sums"])
+@pytest.mark.parametrize(
+    "name",
+    [
+        "returns", "rolling_stats", "wavelet", "fracdiff", "rolling_entropy", "rolling_hill", "causal_scores", "wavelet_band", "scaled_momentum",
+        "rolling_functionals", "signature_sums"
+    ]
+)
 def test_features_know_the_past_alone(spark, name, tmp_path):
     """A feature on a prefix of the table equals that on the whole, but for targets and full-sample scales, which say so."""
     from riverbed.plans import registry
@@ -141,7 +154,11 @@ def test_features_know_the_past_alone(spark, name, tmp_path):
 def test_windows_and_panels(spark):
     x = np.random.default_rng(0).normal(size=10)
     df = Fn.windows(series(spark, x, ("a", "b")), [], 4, 3)
-    got = sorted((r["win"], round(r["s"], 9), r["n"]) for r in Fn.per_panel(df, ["win"], "symbol", "x", lambda n, m, t: [(float(m[:, 0].sum()), len(n))], "s double, n int").collect())
+    got = sorted(
+        (r["win"], round(r["s"], 9), r["n"]) for r in Fn.per_panel(
+            df, ["win"], "symbol", "x", lambda n, m, t: [(float(m[:, 0].sum()), len(n))], "s double, n int"
+        ).collect()
+    )
     assert got == [(DAY + dt.timedelta(days=e - 1), round(x[e - 4 : e].sum(), 9), 2) for e in (4, 7, 10)]
     one = Fn.per_series(series(spark, x, ("a", "b")), ["symbol"], ["x"], lambda v: (float(v[0]), K.NAN), "first double, nothing double").collect()
     assert {r["symbol"]: r["first"] for r in one} == pytest.approx({"a": x[0], "b": -x[0]}) and all(r["nothing"] is None for r in one)
@@ -152,7 +169,10 @@ def test_fits_by_sums_equal_numpy(spark):
     x = rng.normal(size=(200, 2))
     y = x @ [1.0, -1.0] + 0.5 + rng.normal(size=200)
     up = (y > 0).astype(float)
-    df = spark.createDataFrame([(*map(float, r), float(a), float(b)) for r, a, b in zip(x, y, up, strict=True)] + [(None, 1.0, 1.0, 1.0)], "u double, v double, y double, up double")
+    df = spark.createDataFrame(
+        [(*map(float, r), float(a), float(b)) for r, a, b in zip(x, y, up, strict=True)] + [(None, 1.0, 1.0, 1.0)],
+        "u double, v double, y double, up double"
+    )
     assert fits.ridge(df, ["u", "v"], "y", 5.0) == pytest.approx(K.ridge(x, y, 5.0))
     assert fits.logistic(df, ["u", "v"], "up", 1.0) == pytest.approx(K.logistic(x, up, 1.0), abs=1e-6)
 
@@ -162,7 +182,14 @@ def test_matrix_formulas_equal_columns(spark):
     rows = [(f"s{k}", DAY + dt.timedelta(days=t), *map(float, rng.normal(size=2).round(1)), float(rng.normal())) for t in range(30) for k in range(7)]
     df = spark.createDataFrame(rows, "symbol string, ts date, a double, b double, fwd double")
     p = search.gathered(df, ["a", "b"], "fwd")
-    trees = {f"f{i}": t for i, t in enumerate([(o, ("feat", "a")) for o in search.SINGLE] + [(o, ("feat", "a"), ("delay1", ("feat", "b"))) for o in search.PAIRED] + [("neut", ("tsmean3", ("rank", ("delay1", ("feat", "b")))))])}
+    trees = {
+        f"f{i}": t for i,
+        t in enumerate(
+            [(o, ("feat", "a")) for o in search.SINGLE] + [
+                (o, ("feat", "a"), ("delay1", ("feat", "b"))) for o in search.PAIRED
+            ] + [("neut", ("tsmean3", ("rank", ("delay1", ("feat", "b")))))]
+        )
+    }
     got = formulas.evaluate(df, trees).toPandas()
     for name, tree in trees.items():
         have = got.pivot(index="ts", columns="symbol", values=name).sort_index().to_numpy(float)
@@ -177,7 +204,10 @@ def test_matrix_formulas_equal_columns(spark):
 
 
 def test_books_by_hand(spark):
-    df = spark.createDataFrame([("a", 1, 0.5, 0.1), ("b", 1, -0.5, 0.2), ("a", 2, -0.5, 0.0), ("b", 2, 0.0, 0.1), ("a", 3, None, 0.3), ("b", 3, 0.5, -0.1)], "symbol string, ts int, w double, r double")
+    df = spark.createDataFrame(
+        [("a", 1, 0.5, 0.1), ("b", 1, -0.5, 0.2), ("a", 2, -0.5, 0.0), ("b", 2, 0.0, 0.1), ("a", 3, None, 0.3), ("b", 3, 0.5, -0.1)],
+        "symbol string, ts int, w double, r double"
+    )
     nets = lambda d: [round(x["net"], 9) for x in d.orderBy("ts").collect()]
     assert nets(books.book(df, "r", 100)) == [round(-0.05 - 0.01, 9), round(-0.015, 9), round(-0.05 - 0.01, 9)]
     assert nets(books.book(df, "r", 100, first_free=True))[0] == -0.05
@@ -191,8 +221,15 @@ def test_books_by_hand(spark):
 def test_invariants_of_the_core(spark):
     rng = np.random.default_rng(1)
     good, noise = rng.normal(0.0006, 0.01, 5000), rng.normal(0, 0.01, 5000)
-    df = spark.createDataFrame([(n, t, float(v), float(np.sign(v))) for n, x in (("good", good), ("noise", noise)) for t, v in enumerate(x)], "name string, ts int, net double, pos double")
-    m = {r["name"]: r for r in backtest.metrics(df, ["name"], 365).withColumn("psr", backtest.psr()).withColumn("deflated", backtest.psr(F.lit(0.05))).collect()}
+    df = spark.createDataFrame(
+        [(n, t, float(v), float(np.sign(v))) for n, x in (("good", good), ("noise", noise)) for t, v in enumerate(x)],
+        "name string, ts int, net double, pos double"
+    )
+    m = {
+        r["name"]: r for r in backtest.metrics(df, ["name"], 365).withColumn("psr", backtest.psr()).withColumn(
+            "deflated", backtest.psr(F.lit(0.05))
+        ).collect()
+    }
     assert m["good"]["sharpe_ann"] > 0.8 and m["good"]["psr"] > 0.95 > m["noise"]["psr"]
     # deflation lowers the probability, moments enter it, costs lower the net, the future does not enter the first part
     assert m["good"]["deflated"] < m["good"]["psr"]
@@ -228,11 +265,18 @@ def test_mutants_of_the_core_are_noticed(spark, name):
     broken = types.ModuleType("broken")
     exec(compile(source.replace(old, new), "broken", "exec"), broken.__dict__)
     rng = np.random.default_rng(2)
-    df = spark.createDataFrame([("a", t, float(rng.exponential(0.01) - 0.008), float(rng.integers(-1, 2) or 1)) for t in range(60)], "symbol string, ts int, ret double, pos double")
+    df = spark.createDataFrame(
+        [("a", t, float(rng.exponential(0.01) - 0.008), float(rng.integers(-1, 2) or 1)) for t in range(60)],
+        "symbol string, ts int, ret double, pos double"
+    )
 
     def run(m):
         net = m.split(m.net_return(df, "ret", "pos", 5, ["symbol"]), ["symbol"])
-        return [round(x, 12) if x is not None else None for r in m.metrics(net, ["symbol", "split"], 365, "pos").withColumn("p", m.psr(F.lit(0.05))).orderBy("split").collect() for x in (r["sr_pp"], r["n"], r["p"])]
+        return [
+            round(x, 12) if x is not None else None for r in m.metrics(
+                net, ["symbol", "split"], 365, "pos"
+            ).withColumn("p", m.psr(F.lit(0.05))).orderBy("split").collect() for x in (r["sr_pp"], r["n"], r["p"])
+        ]
 
     assert run(broken) != run(backtest)
 
@@ -257,7 +301,9 @@ def test_paper_book_keeps_its_limits(spark):
     rows = [("B", 2e-4, 1e-5, 0.09, "240927"), ("E", -3e-4, None, 0.01, "240927"), ("S", 1e-5, 5e-4, None, None)]
     snap = spark.createDataFrame(rows, "coin string, funding double, other_funding double, ann double, code string")
     legs = {(r["sleeve"], r["instrument"]): (r["weight"], r["borrow"]) for r in L.legs(snap).collect()}
-    assert legs[("carry", "PERP:B")] == (-1, False) and legs[("carry", "SPOT:E")] == (-1, True) and legs[("venue", "PERP:S")] == (1, False) and ("carry", "PERP:S") not in legs
+    assert legs[
+        ("carry", "PERP:B")
+    ] == (-1, False) and legs[("carry", "SPOT:E")] == (-1, True) and legs[("venue", "PERP:S")] == (1, False) and ("carry", "PERP:S") not in legs
     assert legs[("calendar", "FUT:B_240927")] == (-1, False) and legs[("venue", "PERP:B")] == (-1, False) and len(legs) == 10
     vol = lambda v: spark.createDataFrame([(v,)], "vol double")
     for v in (None, 40.0, 160.0):
@@ -297,10 +343,17 @@ def test_payloads(spark, tmp_path):
     assert payloads.bars(spark, f"{tmp_path}/b", "venue_kline", "$.result.list").first()["close"] == 1.1
     put("v/BTC.json", {"result": {"data": [[0, 50, 60, 40, 55]]}})
     assert payloads.implied(spark, f"{tmp_path}/v").first()["iv"] == 0.55
-    put("f/BTC.json", {"result": {"list": [{"fundingRate": "0.0001", "fundingRateTimestamp": "1000"}, {"fundingRate": "bad", "fundingRateTimestamp": "2000"}]}})
+    put(
+        "f/BTC.json",
+        {"result": {"list": [{"fundingRate": "0.0001", "fundingRateTimestamp": "1000"}, {"fundingRate": "bad", "fundingRateTimestamp": "2000"}]}}
+    )
     f = payloads.funding(spark, f"{tmp_path}/f", "listed").orderBy("ts").collect()
     assert [r["funding_rate"] for r in f] == [0.0001, None] and payloads.funding(spark, f"{tmp_path}/f", "plain").count() == 0
-    c = {r["symbol"]: r["state"] for r in payloads.coverage({"k": payloads.bars(spark, f"{tmp_path}/k", "kline"), "f": payloads.funding(spark, f"{tmp_path}/f", "listed")}, 1).collect()}
+    c = {
+        r["symbol"]: r["state"] for r in payloads.coverage(
+            {"k": payloads.bars(spark, f"{tmp_path}/k", "kline"), "f": payloads.funding(spark, f"{tmp_path}/f", "listed")}, 1
+        ).collect()
+    }
     assert c == {"BTCUSDT": "PARTIAL", "BTC": "PARTIAL"} and payloads.span(payloads.bars(spark, f"{tmp_path}/k", "kline")).first()["n"] == 2
 
 
@@ -328,7 +381,9 @@ def test_tick_archives(spark, tmp_path):
     pack("BTC-1.zip", "agg_id,price,quantity,first,last,transact_time,is_buyer_maker\n1,10.5,2,1,1,1000,true\n2,11,3,1,1,61000,False\n")
     pack("ETH-1.zip", "1,20,2,1,1,1000,True,True\n")
     got = payloads.tick_archives(spark, str(tmp_path)).orderBy("symbol", "seq").collect()
-    assert [(r["symbol"], r["price"], r["qty"], r["maker"], r["seq"]) for r in got] == [("BTC", 10.5, 2, True, 0), ("BTC", 11, 3, False, 1), ("ETH", 20, 2, True, 0)]
+    assert [(r["symbol"], r["price"], r["qty"], r["maker"], r["seq"]) for r in got] == [
+        ("BTC", 10.5, 2, True, 0), ("BTC", 11, 3, False, 1), ("ETH", 20, 2, True, 0)
+    ]
     b = bars.flow_bars(payloads.tick_archives(spark, str(tmp_path))).orderBy("symbol", "ts").collect()
     assert [(r["symbol"], r["ofi"], r["ntr"]) for r in b] == [("BTC", -2, 1), ("BTC", 3, 1), ("ETH", -2, 1)]
 
@@ -345,7 +400,10 @@ def test_cache_builds_once_and_not_for_nothing(spark, tmp_path):
 
 
 def test_sinks(spark, tmp_path):
-    df = spark.createDataFrame([(1.0, float("nan"), {"a": float("inf")}, [1.0, float("nan")], dt.datetime(2024, 1, 1))], "a double, b double, m map<string,double>, l array<double>, t timestamp")
+    df = spark.createDataFrame(
+        [(1.0, float("nan"), {"a": float("inf")}, [1.0, float("nan")], dt.datetime(2024, 1, 1))],
+        "a double, b double, m map<string,double>, l array<double>, t timestamp"
+    )
     files.json_report(df, f"{tmp_path}/j")
     doc = json.loads(next(p for p in (tmp_path / "j").glob("part-*") if p.stat().st_size).read_text())
     assert doc["a"] == 1.0 and doc["b"] is None and doc["m"]["a"] is None and doc["l"] == [1.0, None] and doc["t"].startswith("2024-01-01T00:00:00")
@@ -361,7 +419,9 @@ def test_sinks(spark, tmp_path):
 def test_streams_close_windows_and_keep_states(spark, tmp_path):
     def put(k, rows):
         made = [(i, dt.datetime(2024, 1, 1, 0, m, s), 1, "a", v, '{"k": 1}') for i, m, s, v in rows]
-        spark.createDataFrame(made, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        spark.createDataFrame(
+            made, "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+        ).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
 
     put(0, [(1, 0, 10, 1.0), (2, 0, 50, 2.0), (2, 0, 50, 2.0), (3, 1, 5, 9.0)])
     t = bars.ticks(spark, f"{tmp_path}/in")
@@ -391,11 +451,27 @@ def test_streams_close_windows_and_keep_states(spark, tmp_path):
 def test_joins(spark):
     left = spark.createDataFrame([("a", 1), ("a", 3), ("a", 3), ("b", 2), (None, 2)], "k string, ts int")
     right = spark.createDataFrame([("a", 2, 5.0), ("a", 3, None), ("b", 3, 1.0), (None, 1, 7.0)], "k string, ts int, v double")
-    assert sorted(map(str, joins.asof(left, right, ["k"], ["v"]).collect())) == sorted(map(str, [*(spark.createDataFrame([("a", 1, None), ("a", 3, None), ("a", 3, None), ("b", 2, None), (None, 2, 7.0)], "k string, ts int, v double").collect())]))
+    assert sorted(map(str, joins.asof(left, right, ["k"], ["v"]).collect())) == sorted(
+        map(
+            str,
+            [
+                *(
+                    spark.createDataFrame(
+                        [("a", 1, None), ("a", 3, None), ("a", 3, None), ("b", 2, None), (None, 2, 7.0)], "k string, ts int, v double"
+                    ).collect()
+                )
+            ]
+        )
+    )
     assert joins.asof(left.limit(0), right, ["k"], ["v"]).count() == 0
     assert joins.lookup(left, spark.createDataFrame([("a", 1.0)], "k string, w double"), "k").count() == 3
 
 
 def test_names(spark):
-    row = spark.createDataFrame([("btc/usd-t", "250627", "Z25", "7, 14,x,30")], "s string, c string, m string, l string").select(N.normalized(F.col("s")).alias("s"), N.expiry(F.col("c")).alias("c"), N.month_code(F.col("m")).alias("m"), N.month_code(F.lit("A25")).alias("none"), N.numbers(F.col("l"), "int").alias("l"), N.utc(F.lit(0)).alias("u")).first()
-    assert (row["s"], row["c"], row["m"], row["none"], row["l"], row["u"]) == ("BTCUSDT", dt.date(2025, 6, 27), dt.date(2025, 12, 1), None, [7, 14, 30], dt.datetime(1970, 1, 1))
+    row = spark.createDataFrame([("btc/usd-t", "250627", "Z25", "7, 14,x,30")], "s string, c string, m string, l string").select(
+        N.normalized(F.col("s")).alias("s"), N.expiry(F.col("c")).alias("c"), N.month_code(F.col("m")).alias("m"),
+        N.month_code(F.lit("A25")).alias("none"), N.numbers(F.col("l"), "int").alias("l"), N.utc(F.lit(0)).alias("u")
+    ).first()
+    assert (row["s"], row["c"], row["m"], row["none"], row["l"], row["u"]) == (
+        "BTCUSDT", dt.date(2025, 6, 27), dt.date(2025, 12, 1), None, [7, 14, 30], dt.datetime(1970, 1, 1)
+    )
