@@ -52,6 +52,10 @@ def anchors(data: np.ndarray, bounds: np.ndarray, size: int) -> dict[str, np.nda
     new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (text[1:] != text[:-1]))))
     last = np.concatenate((new[1:], [len(at)])) - 1
     lo, hi, at, text = first[new], first[last], at[new], text[new]
-    span = mixed((sums[hi + size] - sums[lo]) * down[lo] + (at - lo).astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + (hi - lo).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))
+    span = mixed(
+        (
+            sums[hi + size] - sums[lo]
+        ) * down[lo] + (at - lo).astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + (hi - lo).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)
+    )
     base = bounds[text]
     return {"text": text, "lo": lo - base, "hi": hi - base, "at": at - base, "gram": gram[at].view(np.int64), "span": span.view(np.int64)}

@@ -38,7 +38,10 @@ class Vocabulary:
         for t, i in self.ids.items():
             self.bytes[i] = t
         self.one = np.array([self.ids.get(bytes([b]), -1) for b in range(256)], np.int32)
-        pairs = [(self.ids[t[:k]] << 20 | self.ids[t[k:]], i) for t, i in self.ids.items() for k in range(1, len(t)) if t[:k] in self.ids and t[k:] in self.ids]
+        pairs = [
+            (self.ids[t[:k]] << 20 | self.ids[t[k:]], i) for t,
+            i in self.ids.items() for k in range(1, len(t)) if t[:k] in self.ids and t[k:] in self.ids
+        ]
         pairs.sort()
         self.keys = np.array([p[0] for p in pairs] + [1 << 62], np.int64)
         self.merged = np.array([p[1] for p in pairs] + [-1], np.int32)
@@ -115,7 +118,10 @@ class Vocabulary:
             before[nxt[has]] = at[has]
             prev = before[at]
             left = prev[prev >= 0]
-            note(np.concatenate((left, at[has])), self.rank(np.concatenate((sym[left], sym[at[has]])), np.concatenate((sym[at[prev >= 0]], sym[nxt[has]]))))
+            note(
+                np.concatenate((left, at[has])),
+                self.rank(np.concatenate((sym[left], sym[at[has]])), np.concatenate((sym[at[prev >= 0]], sym[nxt[has]])))
+            )
         out = sym[live].astype("<u4").tobytes()
         ends = (np.cumsum(np.add.reduceat(live, start)) * 4).tolist()
         return [out[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
@@ -161,7 +167,10 @@ def _coded(path: str, pattern: str, with_ids: bool):
 
         def flush() -> pa.RecordBatch:
             rows = list(voc.encode(texts))
-            cols = [pa.array(ids, pa.int64()), pa.array([len(x) // 4 for x in rows], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in rows]), pa.array([hashlib.sha256(voc.decode(x)).hexdigest() for x in rows])]
+            cols = [
+                pa.array(ids, pa.int64()), pa.array([len(x) // 4 for x in rows], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in rows]),
+                pa.array([hashlib.sha256(voc.decode(x)).hexdigest() for x in rows])
+            ]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
                 names.append("ids")

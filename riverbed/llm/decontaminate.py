@@ -43,7 +43,9 @@ def _shingles(docs: DataFrame, keep: list[str], text: bool, sizes: list[int] | N
 
     none = f"CAST(array() AS array<{'string' if text else 'bigint'}>)"
     if sizes is None:
-        lists = "CASE " + " ".join(f"WHEN size(_w) {'>=' if k == WORDS else '='} {k} THEN {made(k)}" for k in range(WORDS, 0, -1)) + f" ELSE {none} END"
+        lists = "CASE " + " ".join(
+            f"WHEN size(_w) {'>=' if k == WORDS else '='} {k} THEN {made(k)}" for k in range(WORDS, 0, -1)
+        ) + f" ELSE {none} END"
     else:
         lists = "concat(" + ", ".join(f"CASE WHEN size(_w) >= {k} THEN {made(k)} ELSE {none} END" for k in sizes) + ")"
     return w.select(*keep, F.explode(F.expr(lists)).alias("s"))
@@ -57,7 +59,9 @@ def shingle_sizes(items: DataFrame) -> list[int]:
 
 def item_sketches(items: DataFrame) -> DataFrame:
     """item_id, s, need: the sketch of every item and how many of its hashes a document must hold."""
-    ranked = _shingles(items, ["item_id"], False).distinct().selectExpr("item_id", "s", "count(*) OVER (PARTITION BY item_id) AS n", "row_number() OVER (PARTITION BY item_id ORDER BY xxhash64(s), s) AS place")
+    ranked = _shingles(items, ["item_id"], False).distinct().selectExpr(
+        "item_id", "s", "count(*) OVER (PARTITION BY item_id) AS n", "row_number() OVER (PARTITION BY item_id ORDER BY xxhash64(s), s) AS place"
+    )
     sized = ranked.withColumn("upper", F.expr("shiftleft(1L, CAST(ceil(log2(n)) AS int))"))
     lost = f"upper * {100 - CONTAINED} DIV 100"
     sized = sized.withColumn("k", F.expr(f"least(n, {lost} + 1 + {SPARE})"))
@@ -75,13 +79,17 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
     hashed = _shingles(docs, ["doc_id"], False, sizes or [WORDS])
     small = sketch.count() <= BROADCAST_ROWS
     hits = hashed.join(F.broadcast(sketch) if small else sketch, "s").select("doc_id", "item_id", "s", "need").distinct()
-    found = hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select(F.col("doc_id").alias("_d"), F.col("item_id").alias("_i"))
+    found = hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select(
+        F.col("doc_id").alias("_d"), F.col("item_id").alias("_i")
+    )
     pairs = written(found, f"{place}/pairs")
     texts = docs.select("doc_id", "text").join(pairs.select("_d").distinct(), F.expr("doc_id <=> _d"), "left_semi")
     held = _shingles(texts, ["doc_id"], True, sizes or [WORDS]).distinct()
     own = _shingles(items, ["item_id"], True).distinct().withColumn("n_shingles", F.expr("count(*) OVER (PARTITION BY item_id)"))
     asked = pairs.join(own, F.expr("item_id <=> _i")).withColumnRenamed("s", "_s")
-    shared = asked.join(held, F.expr("doc_id <=> _d AND s = _s"), "left_semi").groupBy(F.col("_d").alias("doc_id"), "item_id").agg(F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n_shared"))
+    shared = asked.join(held, F.expr("doc_id <=> _d AND s = _s"), "left_semi").groupBy(F.col("_d").alias("doc_id"), "item_id").agg(
+        F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n_shared")
+    )
     return shared.where(f"100 * n_shared >= {CONTAINED} * n_shingles")
 
 

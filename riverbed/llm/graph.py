@@ -22,12 +22,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         state = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(xxhash64(v, u) % 1000003)")).first()
         if state == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+                now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+            )
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        small = large.join(low, "u").where("v <> m").select(
+            F.col("v").alias("u"), F.col("m").alias("v")
+        ).unionByName(low.select("u", F.col("m").alias("v")))
         seen, old, place = state, place, scratch(spark)
         now = written(small.distinct(), place)
         discard(spark, old)

@@ -43,7 +43,12 @@ TEMPLATES = {
     "cc0": ["To the extent possible under law, the author has waived all rights under CC0 1.0 Universal.", "Dedicated to the public domain under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all rights to the work worldwide under copyright law."],
     "proprietary": ["Copyright. All rights reserved.", "Confidential and proprietary. Unauthorized copying is prohibited."],
 }
-NOT_GRANTS = ["The driver renewed the license of the car last week.", "A fishing licence is required under the law of the state.", "The public library has a general version of the book.", "He attended MIT and worked on the project in public.", "The court reserved the right to all further terms.", "The copying of files is permitted with modification in the office.", "An international work of creative attribution was distributed."]
+NOT_GRANTS = [
+    "The driver renewed the license of the car last week.", "A fishing licence is required under the law of the state.",
+    "The public library has a general version of the book.", "He attended MIT and worked on the project in public.",
+    "The court reserved the right to all further terms.", "The copying of files is permitted with modification in the office.",
+    "An international work of creative attribution was distributed."
+]
 SAMPLE = 300
 SAMPLE_LINES = 6000
 LINE_CHARS = 4000
@@ -111,7 +116,9 @@ class Model:
         top = np.array([x.max() for x in p])
         right = np.array([self.families[int(x.argmax())] == f for x, (_, f) in zip(p, rows, strict=True)])
         place = np.minimum((top * 10).astype(int), 9)
-        error = sum(abs(float(top[place == k].mean() - right[place == k].mean())) * float((place == k).mean()) for k in range(10) if (place == k).any())
+        error = sum(
+            abs(float(top[place == k].mean() - right[place == k].mean())) * float((place == k).mean()) for k in range(10) if (place == k).any()
+        )
         return {"recall": sum(grants) / len(grants), "left_alone": sum(others) / len(others), "calibration_error": error}
 
     def _shared(self, w: list[str], family: str) -> float:
@@ -222,7 +229,9 @@ def licences(docs: DataFrame) -> DataFrame:
     if cut is not None:
         every = hashed.where(F.col("_h") <= F.lit(cut)).select(F.explode(F.split("text", "\n")).alias("line")).where(f"length(line) <= {LINE_CHARS}")
         lines = [r["line"] for r in every.distinct().orderBy(F.xxhash64("line"), "line").limit(SAMPLE_LINES).collect()]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_scanner(Model(lines)), "doc_id long, line int, family string, probability double, shared double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
+        _scanner(Model(lines)), "doc_id long, line int, family string, probability double, shared double"
+    )
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

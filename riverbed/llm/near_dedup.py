@@ -63,7 +63,12 @@ def _sketched(size: int):
                 sets = list(shingles.shingle_sets(block, size))
                 own = {c: pdf[c].iloc[done : done + len(block)].to_numpy() for c in ("doc_id", "h1", "h2")}
                 done += len(block)
-                yield pd.DataFrame(own | {"n_shingles": [len(s) for s in sets], "cid": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "sig": list(shingles.signatures(sets, COORDINATES).view(np.int32))})
+                yield pd.DataFrame(
+                    own | {
+                        "n_shingles": [len(s) for s in sets], "cid": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
+                        "sig": list(shingles.signatures(sets, COORDINATES).view(np.int32))
+                    }
+                )
 
     return run
 
@@ -170,8 +175,14 @@ def _compared(groups: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
 
 def _counted(rows: DataFrame) -> DataFrame:
     """node, n and the prints by which nodes with the same classes are told; nodes with one label are left out. Sums and extremes: combined on the map side."""
-    same = rows.groupBy("node").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(cid))").alias("x"), F.expr("sum(xxhash64(cid, 1) % 1000000007)").alias("y"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("up").alias("up"), *[F.min_by(F.struct("cid", "label"), F.xxhash64("cid", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)])
-    return same.where("lo <> hi").groupBy("n", "x", "y").agg(F.min_by(F.struct("node", "up", *[f"p{k}" for k in range(PIVOTS)]), "node").alias("s")).select("n", "s.*")
+    same = rows.groupBy("node").agg(
+        F.count("*").alias("n"), F.expr("bit_xor(xxhash64(cid))").alias("x"), F.expr("sum(xxhash64(cid, 1) % 1000000007)").alias("y"),
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("up").alias("up"),
+        *[F.min_by(F.struct("cid", "label"), F.xxhash64("cid", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)]
+    )
+    return same.where("lo <> hi").groupBy("n", "x", "y").agg(
+        F.min_by(F.struct("node", "up", *[f"p{k}" for k in range(PIVOTS)]), "node").alias("s")
+    ).select("n", "s.*")
 
 
 def _chunks(rows: DataFrame, counts: DataFrame, salt: int) -> DataFrame:
@@ -179,7 +190,9 @@ def _chunks(rows: DataFrame, counts: DataFrame, salt: int) -> DataFrame:
     kept = rows.drop("up").join(counts, "node").withColumn("_c", F.expr(f"ceil(n / {SMALL})"))
     spread = kept.select(F.expr(f"xxhash64(node, pmod(xxhash64(cid, {salt}), _c))").alias("grp"), "cid", "label")
     pivots = counts.where(f"n > {SMALL}").select("node", "n", F.inline(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))))
-    at = pivots.select("cid", "label", F.explode(F.expr(f"transform(sequence(0, CAST(ceil(n / {SMALL}) AS int) - 1), i -> xxhash64(node, i))")).alias("grp"))
+    at = pivots.select(
+        "cid", "label", F.explode(F.expr(f"transform(sequence(0, CAST(ceil(n / {SMALL}) AS int) - 1), i -> xxhash64(node, i))")).alias("grp")
+    )
     return _mixed(spread.unionByName(at.select("grp", "cid", "label")))
 
 
@@ -227,13 +240,25 @@ def _closing(dense: DataFrame, classes: DataFrame, docs: DataFrame, size: int, p
     part = max(1, dense.count() // COUNTED)
     some = dense.where(F.expr(f"pmod(xxhash64(cid, 17), {part}) = 0"))
     tokens = _texts(some, classes, docs).mapInPandas(_with_sets(size), "cid binary, set binary").mapInPandas(_tokens, "token long")
-    common = {r["token"]: r["n"] for r in tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "token").limit(COMMON).collect()}
+    common = {
+        r["token"]: r["n"] for r in tokens.groupBy("token").agg(
+            F.count("*").alias("n")
+        ).where("n > 1").orderBy(F.desc("n"), "token").limit(COMMON).collect()
+    }
     first = _texts(dense, classes, docs).mapInPandas(_prefixes(size, common), "cid binary, tokens array<long>, few int").dropDuplicates(["cid"])
-    rows = first.join(dense, "cid").select("cid", "label", "few", F.posexplode("tokens").alias("_k", "node")).select("node", "cid", "label", F.expr("_k < few").alias("ix"))
+    rows = first.join(dense, "cid").select(
+        "cid", "label", "few", F.posexplode("tokens").alias("_k", "node")
+    ).select("node", "cid", "label", F.expr("_k < few").alias("ix"))
     rows = written(rows, f"{place}/prefixes")
-    by = rows.groupBy("node", "label").agg(F.count("*").alias("n"), F.count_if("ix").alias("i"), F.expr("bit_xor(xxhash64(cid, ix))").alias("x"), F.expr("sum(xxhash64(cid, ix, 1) % 1000000007)").alias("y"))
+    by = rows.groupBy("node", "label").agg(
+        F.count("*").alias("n"), F.count_if("ix").alias("i"), F.expr("bit_xor(xxhash64(cid, ix))").alias("x"),
+        F.expr("sum(xxhash64(cid, ix, 1) % 1000000007)").alias("y")
+    )
     large = F.struct("n", "label")
-    by = by.groupBy("node").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max("n").alias("m"), F.sum("i").alias("i"), F.max_by("i", large).alias("im"), F.max_by("label", large).alias("most"), F.expr("bit_xor(x)").alias("x"), F.sum("y").alias("y")).where("k > 1 AND i > 0")
+    by = by.groupBy("node").agg(
+        F.count("*").alias("k"), F.sum("n").alias("n"), F.max("n").alias("m"), F.sum("i").alias("i"), F.max_by("i", large).alias("im"),
+        F.max_by("label", large).alias("most"), F.expr("bit_xor(x)").alias("x"), F.sum("y").alias("y")
+    ).where("k > 1 AND i > 0")
     # shingles with the same classes are one node
     by = by.groupBy("n", "x", "y").agg(F.min_by(F.struct("node", "m", "i", "im", "most"), "node").alias("s")).select("n", "s.*")
     both = rows.join(by, "node").withColumn("out", F.expr("label <> most"))
@@ -241,8 +266,16 @@ def _closing(dense: DataFrame, classes: DataFrame, docs: DataFrame, size: int, p
     # those of other labels than the most common one with all, and those of that label with the others
     for k, (side, sides, rest, rests) in enumerate((("ix AND out", "i - im", "true", "n"), ("ix AND NOT out", "im", "out", "n - m"))):
         cut = both.where(f"{sides} > 0").selectExpr("*", f"ceil(({sides}) / {WIDE}) AS s", f"ceil(({rests}) / {WIDE}) AS a")
-        groups.append(cut.where(side).selectExpr("node", "cid", "label", "explode(sequence(0L, a - 1)) AS x", "pmod(xxhash64(cid, 13), s) AS y").withColumn("k", F.lit(k)))
-        groups.append(cut.where(rest).selectExpr("node", "cid", "label", "pmod(xxhash64(cid, 11), a) AS x", "explode(sequence(0L, s - 1)) AS y").withColumn("k", F.lit(k)))
+        groups.append(
+            cut.where(side).selectExpr(
+                "node", "cid", "label", "explode(sequence(0L, a - 1)) AS x", "pmod(xxhash64(cid, 13), s) AS y"
+            ).withColumn("k", F.lit(k))
+        )
+        groups.append(
+            cut.where(rest).selectExpr(
+                "node", "cid", "label", "pmod(xxhash64(cid, 11), a) AS x", "explode(sequence(0L, s - 1)) AS y"
+            ).withColumn("k", F.lit(k))
+        )
     every = groups[0].unionByName(groups[1]).unionByName(groups[2]).unionByName(groups[3])
     return _mixed(every.select(F.xxhash64("k", "node", "x", "y").alias("grp"), "cid", "label"))
 
@@ -252,14 +285,19 @@ def links(classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     spark = docs.sparkSession
     place = scratch(spark)
     path = lambda t, deep: "xxhash64(" + ", ".join([str(t), *[f"sig[{t * (COORDINATES // TREES) + k}]" for k in range(deep)]]) + ")"
-    rooted = lambda trees, deep: classes.select("cid", "label", F.lit(None).cast("long").alias("up"), F.explode(F.array(*[F.expr(path(t, deep)) for t in range(trees)])).alias("node"))
+    rooted = lambda trees, deep: classes.select(
+        "cid", "label", F.lit(None).cast("long").alias("up"), F.explode(F.array(*[F.expr(path(t, deep)) for t in range(trees)])).alias("node")
+    )
     # first round: every class is its own label
     plain = classes
     classes = plain.withColumn("label", F.col("cid"))
     rows = rooted(FIRST, DEEP)
     first = _compared(written(_chunks(rows, written(_counted(rows), f"{place}/c"), 0), f"{place}/g"), plain, docs, size, f"{place}/first")
     roots = written(components(first), f"{place}/roots")
-    classes = written(plain.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "doc_id", "sig", F.coalesce("root", "cid").alias("label")), f"{place}/classes")
+    classes = written(
+        plain.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "doc_id", "sig", F.coalesce("root", "cid").alias("label")),
+        f"{place}/classes"
+    )
     # each level's groups are written at once: one plan for all levels would be planned again after each of its many stages
     rows, levels = rooted(TREES, 1), 0
     for level in range(1, LEVELS + 1):
@@ -267,7 +305,10 @@ def links(classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
         split = f"n > {SMALL} AND NOT coalesce(2 * n > up, false)"
         last = level == LEVELS
         written(_chunks(rows, counts.where(f"n <= {SMALL}"), level), f"{place}/small{level}")
-        written(rows.join(counts.where(f"n > {SMALL}" + f" AND NOT ({split})" * (not last)).select("node"), "node").select("cid", "label").distinct(), f"{place}/dense{level}")
+        written(
+            rows.join(counts.where(f"n > {SMALL}" + f" AND NOT ({split})" * (not last)).select("node"), "node").select("cid", "label").distinct(),
+            f"{place}/dense{level}"
+        )
         levels = level
         large = counts.where(split).select("node", "n")
         if last or large.isEmpty():
@@ -275,7 +316,10 @@ def links(classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
         below = rows.drop("up").join(large, "node").join(classes.select("cid", "sig"), "cid")
         step = [F.expr(f"xxhash64(node, {k}, sig[CAST(pmod(xxhash64(node, {k}), {COORDINATES}) AS int)])") for k in range(BRANCH)]
         rows = written(below.select("cid", "label", F.col("n").alias("up"), F.explode(F.array(*step)).alias("node")), f"{place}/r{level}")
-    small, dense = (spark.read.schema(t).parquet(*[f"{place}/{kind}{k}" for k in range(1, levels + 1)]) for kind, t in (("small", "grp long, cid binary, label binary"), ("dense", "cid binary, label binary")))
+    small, dense = (
+        spark.read.schema(t).parquet(*[f"{place}/{kind}{k}" for k in range(1, levels + 1)]) for kind,
+        t in (("small", "grp long, cid binary, label binary"), ("dense", "cid binary, label binary"))
+    )
     groups = small.unionByName(_closing(written(dense.distinct(), f"{place}/dense"), plain, docs, size, place))
     more = _compared(written(groups, f"{place}/groups"), plain, docs, size, f"{place}/more")
     return components(first.unionByName(more))
@@ -289,7 +333,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _judged(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, h1, h2, n_shingles, component_id, kept for each row of docs."""
     spark = docs.sparkSession
-    rows = _keyed(docs.select("doc_id", "text")).mapInPandas(_sketched(size), "doc_id long, h1 long, h2 int, n_shingles long, cid binary, sig array<int>")
+    rows = _keyed(docs.select("doc_id", "text")).mapInPandas(
+        _sketched(size), "doc_id long, h1 long, h2 int, n_shingles long, cid binary, sig array<int>"
+    )
     rows = written(rows, scratch(spark))
     classes = written(rows.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), scratch(spark))
     roots = written(links(classes, docs, size), scratch(spark))
@@ -301,7 +347,9 @@ def _judged(docs: DataFrame, size: int) -> DataFrame:
     out = rows.drop("sig").join(owner, "cid", "left")
     alone = F.col("n_shingles") == 0
     kept = alone | (F.col("doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("h1") == F.col("b.h1")) & (F.col("h2") == F.col("b.h2")))
-    return out.select("doc_id", "h1", "h2", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("b.doc_id")).alias("component_id"), kept.alias("kept"))
+    return out.select(
+        "doc_id", "h1", "h2", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("b.doc_id")).alias("component_id"), kept.alias("kept")
+    )
 
 
 def near_duplicates(docs: DataFrame, size: int) -> DataFrame:
@@ -311,7 +359,10 @@ def near_duplicates(docs: DataFrame, size: int) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     """docs with one document of each component, the one that is kept, with all columns. Rows that are equal in doc_id and text are one document, of which one row stays."""
-    gone = written(_judged(docs, size).where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct(), scratch(docs.sparkSession))
+    gone = written(
+        _judged(docs, size).where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct(),
+        scratch(docs.sparkSession)
+    )
     own = F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.xxhash64("text") == F.col("_h1")) & (F.hash("text") == F.col("_h2"))
     return docs.join(gone, own, "left_anti").dropDuplicates(["doc_id", "text"])
 

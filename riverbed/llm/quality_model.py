@@ -30,7 +30,10 @@ CUT = 0.3
 FEATURES = 12
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_CLASS = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "symbol": b"#*$%&<>", "bar": b"|", "bang": b"!", "stop": b".,;:?"}
+_CLASS = {
+    "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "symbol": b"#*$%&<>", "bar": b"|",
+    "bang": b"!", "stop": b".,;:?"
+}
 _TABLES = {k: np.isin(np.arange(256), np.frombuffer(v, np.uint8)) for k, v in _CLASS.items()} | {"wide": np.arange(256) >= 128}
 
 
@@ -62,7 +65,14 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     copy = np.zeros(len(key), bool)
     copy[order[1:]] = key[order[1:]] == key[order[:-1]]
     w, c = np.maximum(n, 1), np.maximum(solid, 1)
-    x = np.stack([np.log1p(n) / 5, solid / w / 10, *[count(_TABLES[k][data]) / c for k in ("upper", "digit", "wide", "stop")], *[np.minimum(count(_TABLES[k][data]) / w, 4) for k in ("symbol", "bar", "bang")], per_word(again) / w, copy.astype(float), count(_TABLES["lower"][data]) / c], 1)
+    x = np.stack(
+        [
+            np.log1p(n) / 5, solid / w / 10, *[count(_TABLES[k][data]) / c for k in ("upper", "digit", "wide", "stop")],
+            *[np.minimum(count(_TABLES[k][data]) / w, 4) for k in ("symbol", "bar", "bang")], per_word(again) / w, copy.astype(float),
+            count(_TABLES["lower"][data]) / c
+        ],
+        1
+    )
     full = solid > 0
     x, doc = x[full], doc[full]
     lack = np.setdiff1d(np.arange(len(texts)), doc)
@@ -88,7 +98,11 @@ def forward(m: dict, x: np.ndarray, at: np.ndarray) -> dict:
 def fitted(x: np.ndarray, at: np.ndarray, y: np.ndarray, seed: int = 7) -> dict:
     """A model for bags x[at[i]:at[i + 1]] with labels y. Adam on the cross entropy with a small decay."""
     rng = np.random.default_rng(seed)
-    m = {"mean": x.mean(0), "sd": x.std(0) + 1e-3, "We": rng.normal(0, 0.3, (x.shape[1], CODE)), "be": np.zeros(CODE), "V": rng.normal(0, 0.3, (CODE, CODE)), "U": rng.normal(0, 0.3, (CODE, CODE)), "w": rng.normal(0, 0.3, CODE), "c": rng.normal(0, 0.3, CODE), "b": np.zeros(())}
+    m = {
+        "mean": x.mean(0), "sd": x.std(0) + 1e-3, "We": rng.normal(0, 0.3, (x.shape[1], CODE)), "be": np.zeros(CODE),
+        "V": rng.normal(0, 0.3, (CODE, CODE)), "U": rng.normal(0, 0.3, (CODE, CODE)), "w": rng.normal(0, 0.3, CODE), "c": rng.normal(0, 0.3, CODE),
+        "b": np.zeros(())
+    }
     names, size, xs = ["We", "be", "V", "U", "w", "c", "b"], np.diff(at), (x - m["mean"]) / m["sd"]
     first = {k: np.zeros_like(m[k]) for k in names}
     second = {k: np.zeros_like(m[k]) for k in names}
@@ -130,7 +144,12 @@ def _described(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for begin, texts in _lists(pdf):
             x, at = passages(texts)
-            yield pd.DataFrame({"quality": pdf["quality"].to_numpy()[begin : begin + len(texts)], "x": [x[a:b].ravel() for a, b in zip(at[:-1], at[1:], strict=True)]})
+            yield pd.DataFrame(
+                {
+                    "quality": pdf["quality"].to_numpy()[begin : begin + len(texts)],
+                    "x": [x[a:b].ravel() for a, b in zip(at[:-1], at[1:], strict=True)]
+                }
+            )
 
 
 def _scored(model: dict):
@@ -150,10 +169,16 @@ HELD_OUT = "crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 = 0"
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
     """The model of at most TRAIN labelled documents."""
-    chosen = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(f"NOT ({HELD_OUT})").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    chosen = labels.where(
+        "doc_id IS NOT NULL AND quality IN (0, 1)"
+    ).where(f"NOT ({HELD_OUT})").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN)
     # at most TRAIN rows of two numbers: small whatever the input
-    bags = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text")).orderBy("doc_id").select("text", F.col("quality").cast("int").alias("quality")).mapInPandas(_described, "quality int, x array<double>").toPandas()
+    bags = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(
+        F.min_by("text", F.xxhash64("text")).alias("text")
+    ).orderBy("doc_id").select(
+        "text", F.col("quality").cast("int").alias("quality")
+    ).mapInPandas(_described, "quality int, x array<double>").toPandas()
     y = bags["quality"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return {"p": float(y.mean()) if len(y) else 0.5}

@@ -56,16 +56,35 @@ def text_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
 def rates(counts: DataFrame) -> DataFrame:
     """Whole-number rates; null without words. sym, rep: per thousand words; dup: per thousand lines; upp: per thousand characters in words; len: hundredths of characters a word."""
     per = lambda a, b, k: F.expr(f"CASE WHEN n_words > 0 THEN {a} * {k} DIV greatest({b}, 1) END")
-    return counts.withColumns({"sym": per("n_symbols", "n_words", 1000), "rep": per("n_repeat_words", "n_words", 1000), "dup": per("n_dup_lines", "n_lines", 1000), "upp": per("n_upper", "word_chars", 1000), "len": per("word_chars", "n_words", 100)})
+    return counts.withColumns(
+        {
+            "sym": per("n_symbols", "n_words", 1000), "rep": per("n_repeat_words", "n_words", 1000), "dup": per("n_dup_lines", "n_lines", 1000),
+            "upp": per("n_upper", "word_chars", 1000), "len": per("word_chars", "n_words", 100)
+        }
+    )
 
 
 def sketches(rated: DataFrame) -> DataFrame:
     """Rows (level, lang, source, rate, bucket, n): level 0 by language and source, 1 by language, 2 for all."""
     named = F.array(*[F.struct(F.lit(m).alias("rate"), F.col(m).alias("v")) for m in SLACK])
     bucket = "shiftleft(shiftright(v, greatest(0, length(bin(v)) - 6)), greatest(0, length(bin(v)) - 6))"
-    own = rated.where("n_words > 0").select("lang", "source", F.inline(named)).groupBy("lang", "source", "rate", F.expr(bucket).alias("bucket")).agg(F.count("*").alias("n"))
-    levels = F.array(*[F.struct(F.lit(k).alias("level"), a.alias("_lang"), b.alias("_source")) for k, (a, b) in enumerate([(F.col("lang"), F.col("source")), (F.col("lang"), F.lit(None).cast("string")), (F.lit(None).cast("string"), F.lit(None).cast("string"))])])
-    return own.select("rate", "bucket", "n", F.inline(levels)).groupBy("level", F.col("_lang").alias("lang"), F.col("_source").alias("source"), "rate", "bucket").agg(F.sum("n").alias("n"))
+    own = rated.where("n_words > 0").select("lang", "source", F.inline(named)).groupBy(
+        "lang", "source", "rate", F.expr(bucket).alias("bucket")
+    ).agg(F.count("*").alias("n"))
+    levels = F.array(
+        *[
+            F.struct(F.lit(k).alias("level"), a.alias("_lang"), b.alias("_source")) for k,
+            (a, b) in enumerate(
+                [
+                    (F.col("lang"), F.col("source")), (F.col("lang"), F.lit(None).cast("string")),
+                    (F.lit(None).cast("string"), F.lit(None).cast("string"))
+                ]
+            )
+        ]
+    )
+    return own.select("rate", "bucket", "n", F.inline(levels)).groupBy(
+        "level", F.col("_lang").alias("lang"), F.col("_source").alias("source"), "rate", "bucket"
+    ).agg(F.sum("n").alias("n"))
 
 
 def fences(sketch: DataFrame) -> DataFrame:
@@ -79,7 +98,9 @@ def fences(sketch: DataFrame) -> DataFrame:
     grid = groups.join(F.broadcast(level(2)), "rate")
     same = lambda *keys: F.expr(" AND ".join(f"g.{k} <=> h.{k}" for k in (*keys, "rate", "bucket")))
     for k, keys in ((1, ("lang",)), (0, ("lang", "source"))):
-        grid = grid.alias("g").join(level(k, *keys).alias("h"), same(*keys), "left").select("g.*", F.coalesce(f"h.n{k}", F.lit(0).cast("decimal(38,0)")).alias(f"n{k}"))
+        grid = grid.alias("g").join(level(k, *keys).alias("h"), same(*keys), "left").select(
+            "g.*", F.coalesce(f"h.n{k}", F.lit(0).cast("decimal(38,0)")).alias(f"n{k}")
+        )
     every = "OVER (PARTITION BY lang, source, rate)"
     sized = grid.selectExpr("*", f"sum(n1) {every} AS t1", f"sum(n2) {every} AS t2")
     weight = f"n0 * t2 * (t1 + {PRIOR}) + {PRIOR} * (n1 * t2 + {PRIOR} * n2)"

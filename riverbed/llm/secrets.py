@@ -52,7 +52,16 @@ def _parts(text: Column, kind: str) -> Column:
     hit = F.regexp_like(text, F.lit(pattern))
     if kind in HINTS:
         hit = F.contains(text, F.lit(HINTS[kind])) & hit
-    listed = F.transform(F.array(F.struct(whole.alias("m"), gaps.alias("g"), value.alias("v"))), lambda s: F.transform(s["m"], lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("ord"), F.length(F.get(s["g"], i)).alias("gap"), F.length(m).alias("len"), F.length(F.get(s["v"], i)).alias("value"), (F.regexp_like(m, F.lit("[0-9]")) & F.regexp_like(m, F.lit("[A-Za-z]"))).alias("mixed"))))
+    listed = F.transform(
+        F.array(F.struct(whole.alias("m"), gaps.alias("g"), value.alias("v"))),
+        lambda s: F.transform(
+            s["m"],
+            lambda m, i: F.struct(
+                F.lit(kind).alias("kind"), i.alias("ord"), F.length(F.get(s["g"], i)).alias("gap"), F.length(m).alias("len"),
+                F.length(F.get(s["v"], i)).alias("value"), (F.regexp_like(m, F.lit("[0-9]")) & F.regexp_like(m, F.lit("[A-Za-z]"))).alias("mixed")
+            )
+        )
+    )
     return F.when(hit, F.element_at(listed, 1))
 
 
@@ -68,9 +77,13 @@ def with_parts(docs: DataFrame, keep: dict[str, Column]) -> DataFrame:
 def reported(rows: DataFrame) -> DataFrame:
     """_rid, kind, k, start, stop of every span to report. rows: _rid and _parts, read from storage so that _rid is stable."""
     found = rows.where("_parts IS NOT NULL").select("_rid", F.inline("_parts"))
-    placed = found.withColumn("stop", F.expr("sum(gap + len) OVER (PARTITION BY _rid, kind ORDER BY ord)").cast("int")).withColumn("start", F.col("stop") - F.col("len"))
+    placed = found.withColumn(
+        "stop", F.expr("sum(gap + len) OVER (PARTITION BY _rid, kind ORDER BY ord)").cast("int")
+    ).withColumn("start", F.col("stop") - F.col("len"))
     kind = f"CASE WHEN kind = '{ASSIGN}' AND value < 8 THEN '{SHORT}' ELSE kind END"
-    placed = placed.where(f"NOT (kind = '{KEY}' AND NOT mixed) AND NOT (kind = '{ASSIGN}' AND value < 4)").select("_rid", F.expr(kind).alias("kind"), "start", "stop")
+    placed = placed.where(
+        f"NOT (kind = '{KEY}' AND NOT mixed) AND NOT (kind = '{ASSIGN}' AND value < 4)"
+    ).select("_rid", F.expr(kind).alias("kind"), "start", "stop")
     base = f"kind IN ('{ASSIGN}', '{ACCESS}', '{HEX}')"
     held = f"kind IN ('{IDENT}', '{ENDPOINT}')"
     # one sweep tells what overlaps: spans that cover others enter at their start, every span is judged at its last code point by how far those before it reach
@@ -87,7 +100,9 @@ def reported(rows: DataFrame) -> DataFrame:
     weak = free.where(f"NOT base AND kind <> '{ENDPOINT}'")
     # what is secret needs a name or a place beside it; a name needs something secret
     asks = F.expr(f"explode(CASE WHEN role = 'what' THEN array('who', 'where') ELSE array('what') END)")
-    asked = weak.select("*", asks.alias("_role")).select("*", F.explode(F.array(*[(F.col("cell") + d).cast("bigint") for d in (-1, 0, 1)])).alias("_cell"))
+    asked = weak.select("*", asks.alias("_role")).select(
+        "*", F.explode(F.array(*[(F.col("cell") + d).cast("bigint") for d in (-1, 0, 1)])).alias("_cell")
+    )
     near = f"_start BETWEEN start - {SCOPE} AND start + {SCOPE} AND (_stop <= start OR _start >= stop)"
     linked = asked.join(cells, ["_rid", "_cell", "_role"]).where(near).select("_rid", "kind", "start", "stop").distinct()
     order = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS)) + " END"
@@ -97,11 +112,19 @@ def reported(rows: DataFrame) -> DataFrame:
 def secret_spans(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans for each row of docs."""
     rows = written(with_parts(docs, {"doc_id": F.col("doc_id")}), scratch(docs.sparkSession))
-    listed = lambda cond: F.expr(f"array_join(transform(sort_array(collect_list(CASE WHEN {cond} THEN struct(start, k, concat_ws(':', kind, start, stop) AS s) END)), x -> x.s), ',')")
-    per = reported(rows).groupBy("_rid").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in (ASSIGN, ACCESS, HEX)], listed("k < 3").alias("base"), listed("true").alias("spans"))
+    listed = lambda cond: F.expr(
+        f"array_join(transform(sort_array(collect_list(CASE WHEN {cond} THEN struct(start, k, concat_ws(':', kind, start, stop) AS s) END)), x -> x.s), ',')"
+    )
+    per = reported(rows).groupBy("_rid").agg(
+        *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in (ASSIGN, ACCESS, HEX)], listed("k < 3").alias("base"),
+        listed("true").alias("spans")
+    )
     out = rows.select("_rid", "doc_id").join(per, "_rid", "left")
     none = F.lit("")
-    return out.select("doc_id", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in (ASSIGN, ACCESS, HEX)], F.sha2(F.coalesce("base", none), 256).alias("base_sha256"), F.coalesce("spans", none).alias("spans"))
+    return out.select(
+        "doc_id", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in (ASSIGN, ACCESS, HEX)],
+        F.sha2(F.coalesce("base", none), 256).alias("base_sha256"), F.coalesce("spans", none).alias("spans")
+    )
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -113,13 +136,20 @@ def redact(docs: DataFrame) -> DataFrame:
     # the other columns travel in a struct: their names can't clash
     packed = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"))
     rows = written(with_parts(packed, {"_row": F.col("_row")}), scratch(docs.sparkSession))
-    spans = reported(rows.select("_rid", "_parts")).selectExpr("_rid", "start", "stop", "coalesce(max(stop) OVER (PARTITION BY _rid ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS past")
+    spans = reported(rows.select("_rid", "_parts")).selectExpr(
+        "_rid", "start", "stop",
+        "coalesce(max(stop) OVER (PARTITION BY _rid ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS past"
+    )
     cuts = spans.groupBy("_rid").agg(F.sort_array(F.collect_list(F.struct("start", "past", "stop"))).alias("_cuts"))
     hit = rows.where("_parts IS NOT NULL").join(cuts, "_rid", "left")
     joined = f"concat(array_join(transform(_cuts, c -> CASE WHEN c.past > c.start THEN '' ELSE concat(substring(_row.text, c.past + 1, c.start - c.past), '{MARK}') END), ''), substring(_row.text, aggregate(_cuts, 0, (a, c) -> greatest(a, c.stop)) + 1))"
     text = F.expr(f"CASE WHEN _cuts IS NULL THEN _row.text ELSE {joined} END")
-    both = hit.select("_row", text.alias("_text"), F.expr("_cuts IS NOT NULL").alias("_cut")).unionByName(rows.where("_parts IS NULL").select("_row", F.col("_row.text").alias("_text"), F.lit(False).alias("_cut")))
-    value = lambda c: F.col("_text") if c == "text" else F.when(F.col("_cut"), F.length("_text").cast(docs.schema[c].dataType)).otherwise(F.col("_row")[c]) if c == "n_chars" else F.col("_row")[c]
+    both = hit.select("_row", text.alias("_text"), F.expr("_cuts IS NOT NULL").alias("_cut")).unionByName(
+        rows.where("_parts IS NULL").select("_row", F.col("_row.text").alias("_text"), F.lit(False).alias("_cut"))
+    )
+    value = lambda c: F.col("_text") if c == "text" else F.when(
+        F.col("_cut"), F.length("_text").cast(docs.schema[c].dataType)
+    ).otherwise(F.col("_row")[c]) if c == "n_chars" else F.col("_row")[c]
     return both.select(*[value(c).alias(c) for c in cols])
 
 

@@ -50,7 +50,10 @@ def _anchored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = np.frombuffer(b"".join(texts[done:end]), np.uint8)
             a = anchors(data, np.cumsum([0] + [len(t) for t in texts[done:end]]), SIZE)
             at = a["text"] + done
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a["gram"], a["span"], h1[at], h2[at], *(a[k].astype(np.int32) for k in ("lo", "hi", "at")))], ["gram", "span", "h1", "h2", "lo", "hi", "at"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (a["gram"], a["span"], h1[at], h2[at], *(a[k].astype(np.int32) for k in ("lo", "hi", "at")))],
+                ["gram", "span", "h1", "h2", "lo", "hi", "at"]
+            )
             done = end
 
 
@@ -60,7 +63,10 @@ def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
         kept = [i for i, n in enumerate(batch.schema.names) if n != "text"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array([press(t) for t in _bytes(batch)], pa.binary())], [*[batch.schema.names[i] for i in kept], "blob"])
+        yield pa.RecordBatch.from_arrays(
+            [*[batch.column(i) for i in kept], pa.array([press(t) for t in _bytes(batch)], pa.binary())],
+            [*[batch.schema.names[i] for i in kept], "blob"]
+        )
 
 
 def _contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +83,9 @@ def _contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 left.append(text[x["lo"] : x["at"]])
                 right.append(text[x["at"] : x["hi"] + SIZE])
         cols = [pa.array([r[k] for r in rows], pa.int64()) for k in ("gram", "span", "h1")]
-        cols += [pa.array([r[k] for r in rows], pa.int32()) for k in ("h2", "at")] + [pa.array([r["single"] for r in rows], pa.bool_()), pa.array(left, pa.binary()), pa.array(right, pa.binary())]
+        cols += [pa.array([r[k] for r in rows], pa.int32()) for k in ("h2", "at")] + [
+            pa.array([r["single"] for r in rows], pa.bool_()), pa.array(left, pa.binary()), pa.array(right, pa.binary())
+        ]
         yield pa.RecordBatch.from_arrays(cols, ["gram", "span", "h1", "h2", "at", "single", "left", "right"])
 
 
@@ -174,7 +182,12 @@ def _windows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             before = part["left"].map(len).to_numpy()
             h = mixed((sums[at + SIZE] - sums[at]) * down[at] + (before[row] - within).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
             take = lambda c: part[c].to_numpy()[row]  # noqa: E731, B023
-            yield pd.DataFrame({"gram": take("gram"), "w": h.view(np.int64), "h1": take("h1"), "h2": take("h2"), "start": (take("at") - before[row] + within).astype(np.int32), "single": take("single")})
+            yield pd.DataFrame(
+                {
+                    "gram": take("gram"), "w": h.view(np.int64), "h1": take("h1"), "h2": take("h2"),
+                    "start": (take("at") - before[row] + within).astype(np.int32), "single": take("single")
+                }
+            )
 
 
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,18 +213,25 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             removed.append(sum(b - a for a, b in ends))
             spans.append(len(ends))
             kept.append(h.hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in (sizes, removed, spans)], pa.array(kept)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in (sizes, removed, spans)], pa.array(kept)],
+            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        )
 
 
 def _blobs(docs: DataFrame, keep: str) -> DataFrame:
-    return docs.select(*([keep] if keep else []), "h1", "h2", "text").mapInArrow(_packed, f"{keep} long, " * bool(keep) + "h1 long, h2 int, blob binary")
+    return docs.select(*([keep] if keep else []), "h1", "h2", "text").mapInArrow(
+        _packed, f"{keep} long, " * bool(keep) + "h1 long, h2 int, blob binary"
+    )
 
 
 def _found(docs: DataFrame, place: str) -> tuple[DataFrame, DataFrame]:
     """(anchors whose gram occurs again, with `several` where its spans differ; the spans of such grams with their count c and one occurrence)."""
     # the anchors are computed twice, which costs less than to store them
     rows = docs.select("h1", "h2", "text").mapInArrow(_anchored, "gram long, span long, h1 long, h2 int, lo int, hi int, at int")
-    grams = rows.groupBy("gram").agg(F.count("*").alias("_n"), F.min("span").alias("_lo"), F.max("span").alias("_hi")).where("_n > 1").select("gram", F.expr("_lo <> _hi").alias("several"))
+    grams = rows.groupBy("gram").agg(
+        F.count("*").alias("_n"), F.min("span").alias("_lo"), F.max("span").alias("_hi")
+    ).where("_n > 1").select("gram", F.expr("_lo <> _hi").alias("several"))
     found = written(rows.join(grams, "gram"), f"{place}/found")
     spans = found.where("several").groupBy("gram", "span").agg(F.count("*").alias("c"), F.min(F.struct("h1", "h2", "lo", "hi", "at")).alias("one"))
     return found, written(spans, f"{place}/spans")
@@ -222,7 +242,9 @@ def _around(docs: DataFrame, spans: DataFrame, place: str) -> DataFrame:
     ask = spans.select(F.struct("gram", "span", "one.h1", "one.h2", "one.lo", "one.hi", "one.at", F.expr("c = 1").alias("single")).alias("x"))
     asked = ask.groupBy("x.h1", "x.h2").agg(F.collect_list("x").alias("asked"))
     texts = _blobs(docs, "").dropDuplicates(["h1", "h2"])
-    made = texts.join(asked, ["h1", "h2"]).select("blob", "asked").mapInArrow(_contexts, "gram long, span long, h1 long, h2 int, at int, single boolean, left binary, right binary")
+    made = texts.join(asked, ["h1", "h2"]).select("blob", "asked").mapInArrow(
+        _contexts, "gram long, span long, h1 long, h2 int, at int, single boolean, left binary, right binary"
+    )
     return written(made, f"{place}/around")
 
 
@@ -241,7 +263,10 @@ def maximal_repeats(docs: DataFrame) -> DataFrame:
     found, spans = _found(docs, place)
     groups = _by_gram(_around(docs, spans, place)).mapInPandas(_grouped, "gram long, group binary, span long, before int, length int")
     many = found.where("several").join(groups, ["gram", "span"]).select("group", "h1", "h2", (F.col("at") - F.col("before")).alias("start"), "length")
-    whole = found.where("NOT several").select(F.expr("CAST(concat(hex(gram), hex(span)) AS binary)").alias("group"), "h1", "h2", F.col("lo").alias("start"), (F.col("hi") + SIZE - F.col("lo")).alias("length"))
+    whole = found.where("NOT several").select(
+        F.expr("CAST(concat(hex(gram), hex(span)) AS binary)").alias("group"), "h1", "h2", F.col("lo").alias("start"),
+        (F.col("hi") + SIZE - F.col("lo")).alias("length")
+    )
     return many.unionByName(whole).distinct()
 
 
@@ -251,7 +276,9 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
     found, spans = _found(docs, place)
     interval = ["h1", "h2", F.col("lo").alias("start"), (F.col("hi") + SIZE).alias("stop")]
     often = spans.where("c > 1").select("gram", "span")
-    whole = found.where("NOT several").select(*interval).unionByName(found.where("several").join(often, ["gram", "span"], "left_semi").select(*interval))
+    whole = found.where("NOT several").select(*interval).unionByName(
+        found.where("several").join(often, ["gram", "span"], "left_semi").select(*interval)
+    )
     around = _around(docs, spans, place)
     big = spans.groupBy("gram").agg(F.count("*").alias("_v")).where(f"_v > {HOT}").select("gram")
     ends = "h1 long, h2 int, start int, stop int"
@@ -268,7 +295,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(t).alias("h1"), F.hash(t).alias("h2"), t.alias("text"))
     cuts = repeated_intervals(keyed).groupBy("h1", "h2").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
     cuts = written(cuts, scratch(docs.sparkSession))
-    return _blobs(keyed, "doc_id").join(cuts, ["h1", "h2"], "left").select("doc_id", "blob", "cuts").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _blobs(keyed, "doc_id").join(cuts, ["h1", "h2"], "left").select("doc_id", "blob", "cuts").mapInArrow(
+        _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    )
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

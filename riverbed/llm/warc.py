@@ -40,7 +40,10 @@ def _record(page: int | None, url: str | None, payload: bytes, digest: str, refe
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     name = lambda i: f"<urn:page:{'' if i is None else i}>"
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name(page)}", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response"]
+    head = [
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name(page)}", "WARC-Date: 2024-01-01T00:00:00Z",
+        f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response"
+    ]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if revisit:
@@ -76,12 +79,19 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """path, size of the archives written below folder, a URI that all workers can open. pages: page_id, url, html."""
     spark = pages.sparkSession
     payload = F.coalesce("html", F.lit(""))
-    sized = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(payload.cast("binary")).alias("digest"), (F.octet_length(payload) >= LEAST).alias("_long"))
-    winners = sized.where("_long").groupBy("digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("_n")).where("_n > 1").select("digest", "winner")
+    sized = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(payload.cast("binary")).alias("digest"),
+        (F.octet_length(payload) >= LEAST).alias("_long")
+    )
+    winners = sized.where("_long").groupBy("digest").agg(
+        F.max("page_id").alias("winner"), F.count("*").alias("_n")
+    ).where("_n > 1").select("digest", "winner")
     winners = written(winners, scratch(spark))
     if winners.count() <= BROADCAST_ROWS:
         # archives are written where pages are read, no page is moved; short ones look for a digest that is never there
-        both = sized.withColumn("_key", F.when(F.col("_long"), F.col("digest"))).join(F.broadcast(winners.withColumnRenamed("digest", "_key")), "_key", "left")
+        both = sized.withColumn("_key", F.when(F.col("_long"), F.col("digest"))).join(
+            F.broadcast(winners.withColumnRenamed("digest", "_key")), "_key", "left"
+        )
     else:
         # pages of one digest are dealt over SALTS tasks, and its winner goes to each of these
         salted = winners.select("digest", "winner", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
@@ -136,7 +146,10 @@ def _fields(raw: bytes) -> dict | None:
         number = lambda s: int(s[10:-1]) if s[10:-1] else None
         out = {"page_id": number(h["WARC-Record-ID"]), "record_type": h["WARC-Type"]}
         if out["record_type"] == "revisit":
-            return out | {"payload_bytes": int(h["WARC-Payload-Length"]), "payload_digest": h["WARC-Payload-Digest"].removeprefix("sha1:"), "refers_to": number(h["WARC-Refers-To"]), "payload": None}
+            return out | {
+                "payload_bytes": int(h["WARC-Payload-Length"]), "payload_digest": h["WARC-Payload-Digest"].removeprefix("sha1:"),
+                "refers_to": number(h["WARC-Refers-To"]), "payload": None
+            }
         payload = rest[:length].partition(b"\r\n\r\n")[2]
         return out | {"payload_bytes": len(payload), "payload_digest": hashlib.sha1(payload).hexdigest(), "refers_to": None, "payload": payload}
     except (KeyError, ValueError):
@@ -171,7 +184,11 @@ def _searcher(folder: str, with_payload: bool):
         from pyarrow import fs
 
         files, _ = fs.FileSystem.from_uri(folder)
-        schema = pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in COLUMNS.split(", ")] + [("payload", pa.binary())] * with_payload)
+        schema = pa.schema(
+            [
+                (c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in COLUMNS.split(", ")
+            ] + [("payload", pa.binary())] * with_payload
+        )
         for batch in batches:
             for path, size, start in zip(*(batch.column(c).to_pylist() for c in ("path", "size", "start")), strict=True):
                 stop, found = min(size, start + SPLIT), {}
@@ -186,7 +203,10 @@ def _searcher(folder: str, with_payload: bool):
                             found[start + at] = (m[1], f)
                         at = ahead.data.find(MAGIC, at + 1)
                 marks = forest({a: n for a, (n, _) in found.items()}, stop)
-                rows = [{"path": path, "split": start, "off": a, "leave": marks[a][0], "num": marks[a][1], "weight": marks[a][2], "size": size} | f for a, (_, f) in found.items()]
+                rows = [
+                    {"path": path, "split": start, "off": a, "leave": marks[a][0], "num": marks[a][1], "weight": marks[a][2], "size": size} | f for a,
+                    (_, f) in found.items()
+                ]
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -206,10 +226,17 @@ def read_archives(archives: DataFrame, folder: str, with_payload: bool = False)
         known = now
         further = reached.join(jump, ["path", "off"]).select("path", F.col("to").alias("off"))
         reached = written(reached.unionByName(further).distinct(), scratch(spark))
-        jump = written(jump.join(jump.select("path", F.col("off").alias("to"), F.col("to").alias("_to")), ["path", "to"]).select("path", "off", F.col("_to").alias("to")), scratch(spark))
+        jump = written(
+            jump.join(
+                jump.select("path", F.col("off").alias("to"), F.col("to").alias("_to")), ["path", "to"]
+            ).select("path", "off", F.col("_to").alias("to")),
+            scratch(spark)
+        )
     entry = reached.join(found.select("path", "off", "split", F.col("num").alias("_num")), ["path", "off"]).select("path", "split", "_num")
     kept = found.join(entry, ["path", "split"]).where("num <= _num AND _num < num + weight")
-    return kept.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "path", "off", *(["payload"] if with_payload else []))
+    return kept.select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "path", "off", *(["payload"] if with_payload else [])
+    )
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
