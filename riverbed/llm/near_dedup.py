@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riverbed.llm import shingles
-from riverbed.llm.common import runs, scratch, table, written
+from riverbed.llm.common import discard, runs, scratch, table, written
 from riverbed.llm.graph import components
 
 SIMILAR = 80
@@ -134,43 +134,53 @@ def _plausible(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"part": names, "cid": cids, "label": labels})
 
 
-def _linked(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _linked(size: int):
     """The links of each part, on full sets; pairs that are already connected in the part, or have one label, are passed over."""
-    a, b = [], []
-    for g in runs(batches, "part"):
-        sets, cid, label = [np.frombuffer(s, np.uint64) for s in g["set"]], g["cid"].tolist(), g["label"].tolist()
-        u, first = _Union(len(cid)), {}
-        for i, x in enumerate(label):
-            u.join(i, first.setdefault(x, i))
-        order = sorted(range(len(cid)), key=lambda i: len(sets[i]))
-        sizes, top = [len(sets[i]) for i in order], Counter(label).most_common(1)[0][0]
-        # rows of the most common label are in one component and need no comparison with each other
-        for x, i in enumerate(order):
-            if label[i] == top:
-                continue
-            m = sizes[x]
-            for y in range(bisect_left(sizes, m * SIMILAR / 100), bisect_right(sizes, m * 100 / SIMILAR)):
-                j, n = order[y], sizes[y]
-                if (y > x or label[j] == top) and u.root(i) != u.root(j):
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if 100 * both >= SIMILAR * (m + n - both):
-                        u.join(i, j)
-                        a.append(cid[i])
-                        b.append(cid[j])
-        if len(a) > 10_000:
-            yield pd.DataFrame({"a": a, "b": b})
-            a, b = [], []
-    yield pd.DataFrame({"a": a, "b": b})
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        a, b = [], []
+        for g in runs(batches, "part"):
+            sets = [s for block in shingles.blocks(g["text"].tolist()) for s in shingles.shingle_sets(block, size)]
+            cid, label = g["cid"].tolist(), g["label"].tolist()
+            u, first = _Union(len(cid)), {}
+            for i, x in enumerate(label):
+                u.join(i, first.setdefault(x, i))
+            order = sorted(range(len(cid)), key=lambda i: len(sets[i]))  # noqa: B023
+            sizes, top = [len(sets[i]) for i in order], Counter(label).most_common(1)[0][0]
+            # rows of the most common label are in one component and need no comparison with each other
+            for x, i in enumerate(order):
+                if label[i] == top:
+                    continue
+                m = sizes[x]
+                for y in range(bisect_left(sizes, m * SIMILAR / 100), bisect_right(sizes, m * 100 / SIMILAR)):
+                    j, n = order[y], sizes[y]
+                    if (y > x or label[j] == top) and u.root(i) != u.root(j):
+                        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                        if 100 * both >= SIMILAR * (m + n - both):
+                            u.join(i, j)
+                            a.append(cid[i])
+                            b.append(cid[j])
+            if len(a) > 10_000:
+                yield pd.DataFrame({"a": a, "b": b})
+                a, b = [], []
+        yield pd.DataFrame({"a": a, "b": b})
+
+    return run
 
 
 def _compared(groups: DataFrame, classes: DataFrame, docs: DataFrame, size: int, place: str) -> DataFrame:
-    """Links (a, b) within groups. groups: grp, cid, label; classes: cid, doc_id, sig."""
+    """Links (a, b) within groups. groups: grp, cid, label; classes: cid, doc_id, h1, h2, sig.
+
+    Texts travel to the parts that ask for them, and their sets are made there: a set takes eight bytes a word that don't compress, a text less than half of it.
+    """
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = groups.join(classes.select("cid", "sig"), "cid").repartition(n, "grp").sortWithinPartitions("grp")
     parts = written(rows.mapInPandas(_plausible, "part binary, cid binary, label binary").distinct(), f"{place}/parts")
-    sets = _texts(parts, classes, docs).mapInPandas(_with_sets(size), "cid binary, set binary").dropDuplicates(["cid"])
-    full = parts.join(sets, "cid").repartition(n, "part").sortWithinPartitions("part")
-    return written(full.mapInPandas(_linked, "a binary, b binary"), f"{place}/links")
+    asked = parts.join(classes.selectExpr("cid", *_REP), "cid")
+    full = _texts(parts, classes, docs).join(asked, F.expr(_OWN)).select("part", "cid", "label", "text")
+    found = written(full.repartition(n, "part").sortWithinPartitions("part").mapInPandas(_linked(size), "a binary, b binary"), f"{place}/links")
+    discard(docs.sparkSession, f"{place}/parts")
+    return found
 
 
 def _counted(rows: DataFrame) -> DataFrame:
@@ -202,10 +212,15 @@ def _mixed(groups: DataFrame) -> DataFrame:
     return groups.distinct().select("*", (F.min("label").over(every) < F.max("label").over(every)).alias("_mixed")).where("_mixed").drop("_mixed")
 
 
+#: The document that stands for a class, as columns, and the test for it.
+_REP = ("doc_id AS _id", "h1 AS _h1", "h2 AS _h2")
+_OWN = "doc_id <=> _id AND h1 = _h1 AND h2 = _h2"
+
+
 def _texts(cids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, text of documents that have the sets of cids, and maybe of some others with the same doc_id."""
-    active = classes.join(cids.select("cid"), "cid", "left_semi").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.select("doc_id", "text").join(active, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """doc_id, h1, h2, text of the documents that stand for the classes of cids, each once."""
+    active = classes.join(cids.select("cid"), "cid", "left_semi").selectExpr(*_REP)
+    return docs.select("doc_id", "h1", "h2", "text").join(active, F.expr(_OWN), "left_semi").dropDuplicates(["doc_id", "h1", "h2"])
 
 
 def _tokens(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -245,7 +260,7 @@ def _closing(dense: DataFrame, classes: DataFrame, docs: DataFrame, size: int, p
             F.count("*").alias("n")
         ).where("n > 1").orderBy(F.desc("n"), "token").limit(COMMON).collect()
     }
-    first = _texts(dense, classes, docs).mapInPandas(_prefixes(size, common), "cid binary, tokens array<long>, few int").dropDuplicates(["cid"])
+    first = _texts(dense, classes, docs).mapInPandas(_prefixes(size, common), "cid binary, tokens array<long>, few int")
     rows = first.join(dense, "cid").select(
         "cid", "label", "few", F.posexplode("tokens").alias("_k", "node")
     ).select("node", "cid", "label", F.expr("_k < few").alias("ix"))
@@ -281,7 +296,7 @@ def _closing(dense: DataFrame, classes: DataFrame, docs: DataFrame, size: int, p
 
 
 def links(classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """root for every cid that has a link; classes: cid, doc_id, sig."""
+    """node and root for every cid that has a link. classes: cid, doc_id, h1, h2 of the document that stands for it, sig; docs: doc_id, text, h1, h2."""
     spark = docs.sparkSession
     place = scratch(spark)
     path = lambda t, deep: "xxhash64(" + ", ".join([str(t), *[f"sig[{t * (COORDINATES // TREES) + k}]" for k in range(deep)]]) + ")"
@@ -294,8 +309,10 @@ def links(classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     rows = rooted(FIRST, DEEP)
     first = _compared(written(_chunks(rows, written(_counted(rows), f"{place}/c"), 0), f"{place}/g"), plain, docs, size, f"{place}/first")
     roots = written(components(first), f"{place}/roots")
+    for done in ("c", "g"):
+        discard(spark, f"{place}/{done}")
     classes = written(
-        plain.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "doc_id", "sig", F.coalesce("root", "cid").alias("label")),
+        plain.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "sig", F.coalesce("root", "cid").alias("label")),
         f"{place}/classes"
     )
     # each level's groups are written at once: one plan for all levels would be planned again after each of its many stages
@@ -321,8 +338,14 @@ def links(classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
         t in (("small", "grp long, cid binary, label binary"), ("dense", "cid binary, label binary"))
     )
     groups = small.unionByName(_closing(written(dense.distinct(), f"{place}/dense"), plain, docs, size, place))
-    more = _compared(written(groups, f"{place}/groups"), plain, docs, size, f"{place}/more")
-    return components(first.unionByName(more))
+    groups = written(groups, f"{place}/groups")
+    # what the levels wrote is not read again
+    for done in ("classes", "dense", "prefixes", *[f"{kind}{k}" for k in range(1, levels + 1) for kind in ("n", "small", "dense", "r")]):
+        discard(spark, f"{place}/{done}")
+    more = _compared(groups, plain, docs, size, f"{place}/more")
+    roots = written(components(first.unionByName(more)), scratch(spark))
+    discard(spark, place)
+    return roots
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -333,16 +356,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _judged(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, h1, h2, n_shingles, component_id, kept for each row of docs."""
     spark = docs.sparkSession
-    rows = _keyed(docs.select("doc_id", "text")).mapInPandas(
-        _sketched(size), "doc_id long, h1 long, h2 int, n_shingles long, cid binary, sig array<int>"
-    )
-    rows = written(rows, scratch(spark))
-    classes = written(rows.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), scratch(spark))
-    roots = written(links(classes, docs, size), scratch(spark))
-    named = classes.select("cid").join(roots, F.col("cid") == F.col("node"), "left").select("cid", F.coalesce("root", "cid").alias("root"))
+    keyed = _keyed(docs.select("doc_id", "text"))
+    schema = "doc_id long, h1 long, h2 int, n_shingles long, cid binary, sig array<int>"
+    rows = written(keyed.mapInPandas(_sketched(size), schema), scratch(spark))
     # nulls last
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
-    best = rows.where("n_shingles > 0").groupBy("cid").agg(F.min(key).alias("b")).join(named, "cid")
+    classes = rows.where("n_shingles > 0").groupBy("cid").agg(F.min(key).alias("b"), F.first("sig").alias("sig"))
+    classes = written(classes.select("cid", "b.doc_id", "b.h1", "b.h2", "sig", "b"), scratch(spark))
+    roots = links(classes.drop("b"), keyed, size)
+    named = classes.select("cid").join(roots, F.col("cid") == F.col("node"), "left").select("cid", F.coalesce("root", "cid").alias("root"))
+    best = classes.select("cid", "b").join(named, "cid")
     owner = named.join(best.groupBy("root").agg(F.min("b").alias("b")), "root").select("cid", "b")
     out = rows.drop("sig").join(owner, "cid", "left")
     alone = F.col("n_shingles") == 0
