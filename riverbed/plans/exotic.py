@@ -370,7 +370,7 @@ SELECT ts, lag(w1) OVER (ORDER BY ts) AS w1, ret, CASE WHEN lag(w1) OVER (ORDER
 def transport_gate(spark: SparkSession, sf: str) -> DataFrame:
     """Distance of the market's last twenty weeks from the twenty before, a week late, and a gate on its own past. One row a week."""
     w = W.orderBy("ts")
-    m = _wide(spark, sf).groupBy("ts").agg(F.avg("ret").alias("ret"))
+    m = _weekly_returns(spark, sf).where("ret IS NOT NULL").groupBy("ts").agg(F.avg("ret").alias("ret"))
     e = m.select(
         "ts", "ret", F.collect_list("ret").over(w.rowsBetween(-19, 0)).alias("a"), F.collect_list("ret").over(w.rowsBetween(-39, -20)).alias("b")
     ).where("size(b) = 20")
