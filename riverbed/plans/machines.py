@@ -75,7 +75,7 @@ hq AS (SELECT *, count(doi) OVER t AS k, quantile_cont(doi, 0.2) OVER t AS lowes
 cs AS (SELECT symbol, ts, CASE WHEN k >= 24 AND doi <= lowest AND abs(ret) >= 0.2 THEN CASE WHEN ret < 0 AND taker < 0.5 THEN 1.0 WHEN ret > 0 AND taker > -0.5 THEN -1.0 ELSE 0.0 END ELSE 0.0 END AS x FROM hq)"""
 
 
-def cascades(spark: SparkSession, sf: str) -> DataFrame:
+def cascades(spark: SparkSession, sf: str, least_move: float = 0.2) -> DataFrame:
     """symbol, ts, x: -1 or 1 against a sharp move on an hour in which open interest falls among its lowest fifth of 72 hours."""
     hb = P.ticks(spark, sf).groupBy("symbol", F.date_trunc("hour", "ts").alias("bar")).agg(
         F.max_by("price", F.struct("ts", "seq")).alias("close"), F.sum("qty").alias("oi"),
@@ -83,7 +83,7 @@ def cascades(spark: SparkSession, sf: str) -> DataFrame:
     )
     hr = hb.withColumnRenamed("bar", "ts").withColumns({"ret": F.col("close") / S.lagged("close") - 1, "doi": F.col("oi") - S.lagged("oi")})
     hq = hr.withColumn("lowest", S.rolling(lambda c: F.percentile(c, F.lit(0.2)), 72, "doi", least=24))
-    hit = "doi <= lowest AND abs(ret) >= 0.2"
+    hit = f"doi <= lowest AND abs(ret) >= {least_move}D"
     return hq.select(
         "symbol", "ts", "ret",
         F.expr(f"CASE WHEN {hit} AND ret < 0 AND taker < 0.5 THEN 1.0D WHEN {hit} AND ret > 0 AND taker > -0.5 THEN -1.0D ELSE 0.0D END").alias("x")

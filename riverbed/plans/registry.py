@@ -48,7 +48,7 @@ def query(sql: str | None = None, floats: str = "", exact: str = ""):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from riverbed.plans import backtests, books, exotic, live, machines, panel_ops, research, search, statistics, strategies, streams  # noqa: F401
+    from riverbed.plans import backtests, books, exotic, live, machines, panel_ops, probes, research, search, statistics, strategies, streams  # noqa: F401
 
     return dict(_queries)
 
