@@ -29,7 +29,7 @@ def slope(x: np.ndarray, y: np.ndarray) -> float:
 
 def log_scales(n: int, least: int = 8, count: int = 20) -> np.ndarray:
     """Distinct whole numbers, evenly spaced in logarithms, from least to n // 4."""
-    return np.unique(np.floor(10 ** np.linspace(math.log10(least), math.log10(n // 4), count)).astype(int))
+    return np.unique(np.floor(10 ** np.linspace(math.log10(least), math.log10(n // 4), count) + 1e-9).astype(int))
 
 
 def detrended(y: np.ndarray, s: int) -> np.ndarray:

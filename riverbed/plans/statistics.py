@@ -46,10 +46,29 @@ def variance_ratio_robust(spark: SparkSession, sf: str) -> DataFrame:
     return z.where("theta > 0").withColumn("z", F.expr("(vr - 1) / sqrt(theta / n)"))
 
 
-@query(None)
+_SCALE = "CAST(floor(pow(10, log10(8) + k * (log10(floor(n / 4)) - log10(8)) / 19) + 1e-9) AS BIGINT)"
+
+
+@query(f"""{DRETS}, x AS (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n,
+  ret - avg(ret) OVER (PARTITION BY symbol) AS d FROM r WHERE ret IS NOT NULL),
+y AS (SELECT symbol, i, n, sum(d) OVER (PARTITION BY symbol ORDER BY i) AS y FROM x WHERE n >= 100),
+sc AS (SELECT DISTINCT symbol, {_SCALE} AS s FROM (SELECT DISTINCT symbol, n FROM y), unnest(generate_series(0, 19)) AS q(k)),
+sg AS (SELECT symbol, s, i // s AS seg, regr_syy(y, i) - pow(regr_sxy(y, i), 2) / regr_sxx(y, i) AS rss FROM y JOIN sc USING (symbol) WHERE i < n // s * s GROUP BY 1, 2, 3),
+f AS (SELECT symbol, s, avg(sqrt(greatest(rss, 0) / s)) AS f FROM sg GROUP BY 1, 2)
+SELECT symbol, regr_slope(ln(f), ln(s)) AS hurst, count(*) AS scales FROM f WHERE f > 0 GROUP BY symbol HAVING count(*) >= 4""", "hurst", "symbol scales")
 def hurst_exponents(spark: SparkSession, sf: str) -> DataFrame:
-    """Detrended fluctuation analysis of each symbol's returns."""
-    return per_series(_daily_returns(spark, sf).where("ret IS NOT NULL"), ["symbol"], ["ret"], lambda x: (K.hurst(x), len(x)), "hurst double, n long")
+    """Detrended fluctuation analysis of each symbol's returns: a row goes to one segment of each of twenty scales, a segment's line is a regression, all as aggregates."""
+    every = W.partitionBy("symbol")
+    x = _daily_returns(spark, sf).where("ret IS NOT NULL").withColumns({
+        "i": F.row_number().over(S.by_symbol()) - 1, "n": F.count("*").over(every), "d": F.col("ret") - F.avg("ret").over(every)
+    })
+    y = x.where("n >= 100").select("symbol", "i", "n", F.sum("d").over(W.partitionBy("symbol").orderBy("i")).alias("y"))
+    scales = F.expr(f"explode(array_distinct(transform(sequence(0, 19), k -> {_SCALE})))")
+    seg = y.select("*", scales.alias("s")).where("i < n DIV s * s").groupBy("symbol", "s", F.expr("i DIV s").alias("seg"))
+    rss = seg.agg((F.regr_syy("y", "i") - F.pow(F.regr_sxy("y", "i"), F.lit(2)) / F.regr_sxx("y", "i")).alias("rss"))
+    f = rss.groupBy("symbol", "s").agg(F.avg(F.sqrt(F.greatest("rss", F.lit(0.0)) / F.col("s"))).alias("f")).where("f > 0")
+    fit = f.groupBy("symbol").agg(F.regr_slope(F.log("f"), F.log(F.col("s").cast("double"))).alias("hurst"), F.count("*").alias("scales"))
+    return fit.where("scales >= 4")
 
 
 @query(f"""{DRETS}, nsym AS (SELECT count(DISTINCT symbol) AS k FROM r), days AS (SELECT ts FROM r WHERE ret IS NOT NULL GROUP BY ts HAVING count(*) = (SELECT k FROM nsym)),

@@ -151,6 +151,14 @@ def test_features_know_the_past_alone(spark, name, tmp_path):
     pd.testing.assert_frame_equal(a, b)
 
 
+def test_hurst_by_aggregates_equals_the_functional(spark):
+    from riverbed.plans import registry, research
+
+    got = {r["symbol"]: r["hurst"] for r in registry.queries()["hurst_exponents"](spark, "/root/testdata/sf0.001").collect()}
+    rows = research._daily_returns(spark, "/root/testdata/sf0.001").where("ret IS NOT NULL").toPandas().sort_values("ts")
+    assert got == pytest.approx({k: K.hurst(v["ret"].to_numpy()) for k, v in rows.groupby("symbol")}, abs=1e-5)
+
+
 def test_windows_and_panels(spark):
     x = np.random.default_rng(0).normal(size=10)
     df = Fn.windows(series(spark, x, ("a", "b")), [], 4, 3)
