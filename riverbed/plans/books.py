@@ -7,11 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riverbed.functions import series as S
-from riverbed.operators import backtest as B
 from riverbed.operators import books
 from riverbed.operators import stateful as T
 from riverbed.plans.backtests import GENTLE, METRICS, evaluated, gentle
-from riverbed.plans.machines import cascades, flow_signals, hedged_scores  # noqa: F401
+from riverbed.plans.machines import hedged_scores
 from riverbed.plans.panel_ops import BETAS, HELD_SQL, WITH_B, WITH_C, basis_or_funding, betas
 from riverbed.plans.registry import query
 from riverbed.plans.research import RETS, WITH_D, _weekly_returns

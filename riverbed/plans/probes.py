@@ -50,14 +50,20 @@ SELECT k, y, count(*) FILTER (p <> 0 AND p0 = 0) AS events, sum(p * coalesce(ret
 def cascade_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Events and net of fading cascades for every size of move and time held; fewer than eight events don't count."""
     base = cascades(spark, sf, least_move=0.0)
-    sizes = base.withColumn("y", F.explode(F.array(*map(F.lit, (0.1, 0.2, 0.4))))).withColumn("x", F.expr("CASE WHEN abs(ret) >= y THEN x ELSE 0.0D END"))
+    sizes = base.withColumn("y", F.explode(F.array(*map(F.lit, (0.1, 0.2, 0.4))))).withColumn(
+        "x", F.expr("CASE WHEN abs(ret) >= y THEN x ELSE 0.0D END")
+    )
     every = None
     for k in (3, 6, 12):
         st = T.timed_position(sizes.fillna(0.0, ["x"]), ["symbol", "y"], "x", k, False).withColumn("k", F.lit(k))
         every = st if every is None else every.unionByName(st)
     by = W.partitionBy("symbol", "k", "y").orderBy("ts")
-    p = every.withColumns({"p": F.lag("state", 1, 0).over(by), "p0": F.lag("state", 2, 0).over(by)}).join(base.select("symbol", "ts", "ret"), ["symbol", "ts"])
-    out = p.groupBy("k", "y").agg(F.count_if(F.expr("p <> 0 AND p0 = 0")).alias("events"), F.sum(F.expr("p * coalesce(ret, 0.0D) - abs(p - p0) * 5 / 1e4D")).alias("net"))
+    p = every.withColumns(
+        {"p": F.lag("state", 1, 0).over(by), "p0": F.lag("state", 2, 0).over(by)}
+    ).join(base.select("symbol", "ts", "ret"), ["symbol", "ts"])
+    out = p.groupBy("k", "y").agg(
+        F.count_if(F.expr("p <> 0 AND p0 = 0")).alias("events"), F.sum(F.expr("p * coalesce(ret, 0.0D) - abs(p - p0) * 5 / 1e4D")).alias("net")
+    )
     return out.withColumn("enough", F.col("events") >= 8)
 
 
@@ -70,14 +76,21 @@ SELECT lead, follow, count(*) AS n, sum(pos * y) AS gross, sum(pos * y - t * 10
 def lead_lag_trades(spark: SparkSession, sf: str) -> DataFrame:
     """What following each symbol's last move in another earns after the cut, in the direction that held before it."""
     g = gentle(spark, sf)
-    pr = g.select("ts", F.col("symbol").alias("lead"), F.col("ret").alias("x")).join(g.select("ts", F.col("symbol").alias("follow"), F.col("ret").alias("y")), "ts")
+    pr = g.select("ts", F.col("symbol").alias("lead"), F.col("ret").alias("x")).join(
+        g.select("ts", F.col("symbol").alias("follow"), F.col("ret").alias("y")), "ts"
+    )
     keys = ["lead", "follow"]
     by = W.partitionBy(*keys).orderBy("ts")
     lg = B.split(pr.where("lead <> follow").withColumn("x1", F.lag("x").over(by)), keys)
     rho = lg.where("split = 'is'").groupBy(*keys).agg(F.corr("x1", "y").alias("rho"))
-    po = lg.where("split = 'oos'").join(rho, keys).withColumn("pos", F.expr("CASE WHEN abs(rho) >= 0.05 THEN coalesce(signum(rho) * signum(x1), 0.0D) ELSE 0.0D END"))
+    po = lg.where("split = 'oos'").join(rho, keys).withColumn(
+        "pos", F.expr("CASE WHEN abs(rho) >= 0.05 THEN coalesce(signum(rho) * signum(x1), 0.0D) ELSE 0.0D END")
+    )
     t = po.withColumn("t", F.abs(F.col("pos") - F.lag("pos", 1, 0.0).over(by)))
-    return t.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.expr("pos * y")).alias("gross"), F.sum(F.expr("pos * y - t * 10 / 1e4D")).alias("net"), F.avg("t").alias("turnover"))
+    return t.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.sum(F.expr("pos * y")).alias("gross"), F.sum(F.expr("pos * y - t * 10 / 1e4D")).alias("net"),
+        F.avg("t").alias("turnover")
+    )
 
 
 @query(f"""{BATTERY}, rk AS (SELECT name, ts, net, pos, lag(pos, 1, 0) OVER (PARTITION BY name ORDER BY ts) AS was, row_number() OVER (PARTITION BY name ORDER BY net DESC, ts) AS place FROM nets WHERE split = 'oos'),
