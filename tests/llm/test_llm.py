@@ -503,3 +503,98 @@ def test_licences_of_wrapped_notices_held_out_figures_and_seeds():
         ).stdout for k in ("1", "2")
     }
     assert len(said) == 1
+
+
+def test_mined_url_rules_equal_brute_force(spark):
+    import itertools
+
+    from riverbed.llm import url_filter as uf
+
+    r, urls = random.Random(8), []
+    for k in range(160):
+        known = k < 110
+        host, path = r.choice([("a.com", "en"), ("shop.a.com", "en"), ("b.net", "de"), ("x.org", "es")] if known else [("d.io", "fr"), ("ads.d.io", "en"), ("a.com", "fr")])
+        tail = r.choice(["x", "y", "x/z"])
+        urls.append(f"http://{host}/{path}/{tail}" + r.choice(["?utm=2", "?utm=2&id=3", "?utm=1"] if known and k % 9 else ["", "?utm=4", "?id=1"]))
+    urls += [None, "no scheme", "http://"]
+    p = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "'clash' AS tokens", "1 AS verdict")
+    got = {x["page_id"]: (x["rule"], x["verdict"], x["mined"]) for x in uf.judged(p).collect()}
+
+    def cut(url):
+        rest = (url or "").split("://", 1)[1] if "://" in (url or "") else ""
+        host, path, query = re.match(r"([^/?#]*)([^?#]*)(?:\?([^#]*))?", rest).groups()
+        found = [f"h:{x}" for x in host.lower().split(".") if x] + [f"p{i}:{x}" for i, x in enumerate(y for y in path.split("/") if y)]
+        return host.lower(), path, set(found + [f"q:{x.split('=')[0]}" for x in (query or "").split("&") if x])
+
+    def fixed(host, path):
+        fits = [x for x in uf.RULES if (host == x[1] or host.endswith("." + x[1])) and path.startswith(x[2])]
+        return max(fits, key=lambda x: len(x[1] + x[2]), default=None)
+
+    pages = [cut(u) for u in urls]
+    labels = [fixed(h, p_) for h, p_, _ in pages]
+    baskets = [(t, lab[0] if lab else None) for (_, _, t), lab in zip(pages, labels, strict=True) if t]
+    seen, both = {}, {}
+    for t, v in baskets:
+        for k in range(1, len(t) + 1):
+            for c in itertools.combinations(sorted(t), k):
+                seen[c] = seen.get(c, 0) + 1
+                if v:
+                    both[c, v] = both.get((c, v), 0) + 1
+    rules = [(n / seen[c], n / len(baskets), len(c), c, v) for (c, v), n in both.items() if n >= 0.01 * len(baskets) and n / seen[c] >= 0.6]
+    mined = 0
+    for i, ((_, _, t), lab) in enumerate(zip(pages, labels, strict=True)):
+        best = None if lab else max((x for x in rules if set(x[3]) <= t), default=None)
+        mined += best is not None
+        want = (lab[1] + lab[2], lab[0], None) if lab else (None, best[4], " ".join(best[3])) if best else (None, "allow", None)
+        assert got[i] == want, urls[i]
+    assert mined > 10
+
+
+def test_warc_edges(spark, tmp_path):
+    from riverbed.llm import warc
+
+    big, other = "x" * 1500, "y" * 1500
+    rows = [(1, "http://a", big), (3, "http://b", big), (3, "http://b", big), (None, None, big), (4, "http://c", "short"), (5, None, "short"), (6, "http://d", None), (7, "u", other)]
+    for broadcast in (200_000, 0):
+        warc_dir = f"file://{tmp_path}/w{broadcast}"
+        p = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'clash' AS digest", "9 AS winner")
+        old, warc.BROADCAST_ROWS = warc.BROADCAST_ROWS, broadcast
+        try:
+            got = warc.read_archives(warc.write_archives(p, warc_dir), warc_dir).collect()
+        finally:
+            warc.BROADCAST_ROWS = old
+        key = lambda x: tuple(-1 if v is None else v for v in x)
+        want = [(1, "revisit", 3, 1500), (3, "response", None, 1500), (3, "response", None, 1500), (None, "revisit", 3, 1500), (4, "response", None, 5),
+                (5, "response", None, 5), (6, "response", None, 0), (7, "response", None, 1500)]
+        assert sorted(((x["page_id"], x["record_type"], x["refers_to"], x["payload_bytes"]) for x in got), key=key) == sorted(want, key=key)
+        assert warc.read_archives(warc.write_archives(p.limit(0), f"{warc_dir}e"), f"{warc_dir}e").count() == 0
+
+
+def test_operators_take_empty_tables_null_and_repeated_rows_and_clashing_columns(spark):
+    import public_tokenizers as P
+
+    from riverbed.llm import bpe, license_scan, quality_model, secrets, suffix_dedup, url_filter
+    from riverbed.llm.near_dedup import near_duplicates
+
+    a, lic = prose(1, 120), "Released under the MIT License."
+    rows = [(1, a), (1, a), (None, a), (None, None), (2, lic), (2, lic), (3, "password=hunter2hunter2"), (3, "password=hunter2hunter2"), (4, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("ids", "gram", "h1", "h2", "at", "spans", "quality", "score", "label", "sig", "cid", "family", "_rid", "x"):
+        d = d.selectExpr("*", f"'c' AS `{name}`")
+    none = d.limit(0)
+    labels = spark.createDataFrame([(1, 1), (2, 1), (None, 0), (4, None)], "doc_id long, quality int")
+    coded = bpe.encoded(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, True)
+    assert coded.count() == 9 and bpe.encoded(none, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
+    spans = secrets.secret_spans(d).collect()
+    assert len(spans) == 9 and sum(x["n_assign"] for x in spans) == 2 and secrets.secret_spans(none).count() == 0
+    cut = sorted((x["doc_id"] or 0, x["n_removed"]) for x in suffix_dedup.without_repeats(d).collect())
+    assert cut == [(0, 0), (0, len(a)), (1, len(a)), (1, len(a)), (2, 0), (2, 0), (3, 0), (3, 0), (4, 0)] and suffix_dedup.without_repeats(none).count() == 0
+    assert sorted((x["doc_id"], x["family"]) for x in license_scan.licences(d).collect()) == [(2, "mit"), (2, "mit")] and license_scan.licences(none).count() == 0
+    one_class = quality_model.scores(d, labels)
+    assert {x["score"] for x in one_class.collect()} <= {0.5, 1.0} and one_class.count() == 9 and quality_model.scores(none, labels).count() == 0
+    near = sorted(((x["doc_id"] or 0, x["component_id"] or 0, x["kept"]) for x in near_duplicates(d, 4).collect()))
+    assert near == [(0, 0, True), (0, 1, False), (1, 1, True), (1, 1, True), (2, 2, True), (2, 2, True), (3, 3, True), (3, 3, True), (4, 4, True)]
+    assert near_duplicates(none, 4).count() == 0
+    pages = spark.createDataFrame([(1, "http://com/en/"), (1, "http://com/en/"), (None, None)], "page_id long, url string").selectExpr("*", "1 AS rule", "2 AS _tail")
+    assert sorted((x["page_id"] or 0, x["verdict"]) for x in url_filter.judged(pages).collect()) == [(0, "allow"), (1, "block"), (1, "block")]
+    assert url_filter.judged(pages.limit(0)).count() == 0
