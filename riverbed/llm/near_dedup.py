@@ -183,16 +183,21 @@ def _compared(groups: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
     return found
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    """node, n and the prints by which nodes with the same classes are told; nodes with one label are left out. Sums and extremes: combined on the map side."""
+def _counted(rows: DataFrame, path: str) -> DataFrame:
+    """node, n, up of nodes with several labels, one of those with the same classes, and pivots p0, p1 ... of nodes over SMALL; written to path.
+
+    Sums and extremes of numbers are combined on the map side, and most nodes have one class: they travel as seven numbers. Pivots are looked for in the few large nodes alone.
+    """
+    label = F.xxhash64("label")
     same = rows.groupBy("node").agg(
         F.count("*").alias("n"), F.expr("bit_xor(xxhash64(cid))").alias("x"), F.expr("sum(xxhash64(cid, 1) % 1000000007)").alias("y"),
-        F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("up").alias("up"),
-        *[F.min_by(F.struct("cid", "label"), F.xxhash64("cid", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)]
+        F.min(label).alias("lo"), F.max(label).alias("hi"), F.min("up").alias("up")
     )
-    return same.where("lo <> hi").groupBy("n", "x", "y").agg(
-        F.min_by(F.struct("node", "up", *[f"p{k}" for k in range(PIVOTS)]), "node").alias("s")
-    ).select("n", "s.*")
+    told = same.where("lo <> hi").groupBy("n", "x", "y").agg(F.min_by(F.struct("node", "up"), "node").alias("s")).select("n", "s.*")
+    told = written(told, f"{path}-told")
+    large = rows.join(told.where(f"n > {SMALL}").select("node"), "node", "left_semi")
+    pivots = large.groupBy("node").agg(*[F.min_by(F.struct("cid", "label"), F.xxhash64("cid", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)])
+    return written(told.join(pivots, "node", "left"), path)
 
 
 def _chunks(rows: DataFrame, counts: DataFrame, salt: int) -> DataFrame:
@@ -307,9 +312,9 @@ def links(classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     plain = classes
     classes = plain.withColumn("label", F.col("cid"))
     rows = rooted(FIRST, DEEP)
-    first = _compared(written(_chunks(rows, written(_counted(rows), f"{place}/c"), 0), f"{place}/g"), plain, docs, size, f"{place}/first")
+    first = _compared(written(_chunks(rows, _counted(rows, f"{place}/c"), 0), f"{place}/g"), plain, docs, size, f"{place}/first")
     roots = written(components(first), f"{place}/roots")
-    for done in ("c", "g"):
+    for done in ("c", "c-told", "g"):
         discard(spark, f"{place}/{done}")
     classes = written(
         plain.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "sig", F.coalesce("root", "cid").alias("label")),
@@ -318,7 +323,7 @@ def links(classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     # each level's groups are written at once: one plan for all levels would be planned again after each of its many stages
     rows, levels = rooted(TREES, 1), 0
     for level in range(1, LEVELS + 1):
-        counts = written(_counted(rows), f"{place}/n{level}")
+        counts = _counted(rows, f"{place}/n{level}")
         split = f"n > {SMALL} AND NOT coalesce(2 * n > up, false)"
         last = level == LEVELS
         written(_chunks(rows, counts.where(f"n <= {SMALL}"), level), f"{place}/small{level}")
@@ -340,7 +345,7 @@ def links(classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     groups = small.unionByName(_closing(written(dense.distinct(), f"{place}/dense"), plain, docs, size, place))
     groups = written(groups, f"{place}/groups")
     # what the levels wrote is not read again
-    for done in ("classes", "dense", "prefixes", *[f"{kind}{k}" for k in range(1, levels + 1) for kind in ("n", "small", "dense", "r")]):
+    for done in ("classes", "dense", "prefixes", *[f"{kind}{k}" for k in range(1, levels + 1) for kind in ("n", "small", "dense", "r")], *[f"n{k}-told" for k in range(1, levels + 1)]):
         discard(spark, f"{place}/{done}")
     more = _compared(groups, plain, docs, size, f"{place}/more")
     roots = written(components(first.unionByName(more)), scratch(spark))
