@@ -27,6 +27,16 @@ def lagged(c: Column | str, k: int = 1, default=None) -> Column:
     return F.lag(c, k, default).over(by_symbol())
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b as floating-point numbers divide: by zero infinite, or no number for zero over zero, where Spark's division raises. Null if either is null."""
+    return F.when(b == 0, F.signum(a) * float("inf")).otherwise(F.try_divide(a, b))
+
+
+def logarithm(x: Column) -> Column:
+    """The natural logarithm as floating-point numbers have it: -infinity at zero and no number below, where Spark's is null."""
+    return F.when(x == 0, float("-inf")).when(x < 0, float("nan")).otherwise(F.log(x))
+
+
 def simple_return(c: str, k: int = 1) -> Column:
     return F.try_divide(F.col(c), lagged(c, k)) - 1
 

@@ -218,12 +218,15 @@ os AS (SELECT *, lag(CASE WHEN rn >= h THEN m END) OVER (PARTITION BY symbol, h
 
 
 def flow_signals(spark: SparkSession, sf: str) -> DataFrame:
-    """symbol, h, ts, rn, r1, fwd, sig: mean order flow of h minutes as known a minute before, and returns over one and h minutes."""
+    """symbol, h, ts, rn, r1, fwd, sig: mean order flow of h minutes as known a minute before, and returns over one and h minutes.
+
+    A price of zero makes a return infinite, and two make one that is no number; both stay rows, as they do in SQL.
+    """
     signed = F.when(F.col("maker"), -F.col("qty")).otherwise(F.col("qty"))
     b = P.ticks(spark, sf).groupBy("symbol", F.window("ts", "1 minute").start.alias("bar")).agg(
-        F.max_by("price", F.struct("ts", "seq")).alias("close"), (F.sum(signed) / F.sum("qty")).alias("ofi")
+        F.max_by("price", F.struct("ts", "seq")).alias("close"), S.quotient(F.sum(signed), F.sum("qty")).alias("ofi")
     ).withColumnRenamed("bar", "ts")
-    by, ahead = S.by_symbol(), lambda k: F.log(F.lead("close", k).over(S.by_symbol()) / F.col("close"))
+    by, ahead = S.by_symbol(), lambda k: S.logarithm(S.quotient(F.lead("close", k).over(S.by_symbol()), F.col("close")))
     b = b.withColumns(
         {
             "rn": F.row_number().over(by), "r1": ahead(1), **{f"f{h}": ahead(h) for h in (1, 5, 15)},
@@ -244,7 +247,9 @@ def flow_ic(spark: SparkSession, sf: str) -> DataFrame:
     ok = s.where("sig IS NOT NULL AND fwd IS NOT NULL").withColumn(
         "k", F.row_number().over(W.partitionBy("symbol", "h").orderBy("ts"))
     ).join(total, "symbol").where("k > floor(bars * 0.6)")
-    return ok.groupBy("symbol", "h").agg(F.count("*").alias("n"), F.corr("sig", "fwd").alias("ic")).where("n > 50")
+    # corr raises where a side is constant
+    ic = S.quotient(F.covar_pop("sig", "fwd"), F.stddev_pop("sig") * F.stddev_pop("fwd"))
+    return ok.groupBy("symbol", "h").agg(F.count("*").alias("n"), ic.alias("ic")).where("n > 50")
 
 
 @query(f"""{OFI}, hp AS (SELECT symbol, h, ts, r1, last_value(CASE WHEN (rn - 1) % h = 0 THEN coalesce(sign(sig), 0) END IGNORE NULLS) OVER (PARTITION BY symbol, h ORDER BY ts) AS pos FROM os),

@@ -66,3 +66,39 @@ def test_normal_cdf_and_benchmark(spark):
 def test_formula_text_and_size():
     t = ("add", ("rank", ("feat", "a")), ("feat", "b"))
     assert formulas.text(t) == "add(rank(a),b)" and formulas.nodes(t) == 4
+
+
+def strict(rows):
+    """Rows as sorted text, in which no number is not null."""
+    text = lambda v: f"{v:.6f}" if isinstance(v, float) else str(v)
+    return sorted(tuple(text(r[c]) for c in sorted(r)) for r in rows)
+
+
+def odd_ticks(path):
+    """Ticks whose prices are zero once, twice running and only early, or below zero, or never move; quantities add up to zero in some minutes."""
+    import datetime as dt
+    import random
+
+    import pandas as pd
+
+    rng, rows = random.Random(3), []
+    for s in ("once", "twice", "early", "below", "flat", "still", "void"):
+        for t in range(240):
+            price = 100.0 if s == "flat" else round(rng.uniform(90, 110), 2)
+            zero = {"once": t == 200, "twice": t in (210, 211), "early": t in (0, 9)}.get(s, False)
+            quantities = [0, 0] if s == "still" else [-1, -1] if s == "void" and t % 40 == 3 else [0, -2] if s == "void" and t % 40 == 7 else [rng.randrange(9), rng.randrange(9)]
+            for k, q in enumerate(quantities):
+                rows.append((s, dt.datetime(2024, 1, 1, t // 60, t % 60, 10 * k), 0.0 if zero else -price if s == "below" and t == 220 else price, f'{{"k": {q}}}', 2 * len(rows) if s == "still" else len(rows)))
+    pd.DataFrame(rows, columns=["event_type", "ts", "value", "props", "event_id"]).astype({"ts": "datetime64[us]"}).to_parquet(f"{path}/events.parquet")
+
+
+@pytest.mark.parametrize("name", ["flow_ic"])
+def test_order_flow_over_prices_and_quantities_of_zero_equals_sql(spark, tmp_path, name):
+    odd_ticks(tmp_path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = [r.asDict() for r in registry.queries()[name](spark, str(tmp_path)).collect()]
+    sql = con.execute(registry.oracle_sql()[name])
+    want = [dict(zip([c[0] for c in sql.description], r, strict=True)) for r in sql.fetchall()]
+    assert strict(got) == strict(want)
+    assert {"nan", "early"} <= {v for r in strict(got) for v in r}
