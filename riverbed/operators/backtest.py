@@ -31,10 +31,15 @@ def split(df: DataFrame, keys: list[str], share: float = 0.6) -> DataFrame:
     return df.withColumn("split", F.when(F.row_number().over(_time(keys)) <= F.floor(n * share), "is").otherwise("oos"))
 
 
-def metrics(df: DataFrame, keys: list[str], per_year: int | Column, position: str | None = None) -> DataFrame:
-    """One row per key: n, sharpe_ann, sr_pp, ret_ann, vol_ann, maxdd, hit, turnover, skew, kurt. Null but n below ten finite rows or without variance."""
+def metrics(df: DataFrame, keys: list[str], per_year: int | Column, position: str | None = None, every: bool = False) -> DataFrame:
+    """One row per key: n, sharpe_ann, sr_pp, ret_ann, vol_ann, maxdd, hit, turnover, skew, kurt. Null but n below ten finite rows or without variance.
+
+    every: infinite returns and those that are no number count as well, so that a Sharpe ratio over them is no number, as it is in SQL.
+    """
     time = _time(keys)
-    finite = df.where(F.col("net").isNotNull() & ~F.isnan("net") & (F.abs("net") < float("inf")))
+    finite = df.where(F.col("net").isNotNull())
+    if not every:
+        finite = finite.where(~F.isnan("net") & (F.abs("net") < float("inf")))
     past = time.rowsBetween(W.unboundedPreceding, 0)
     # a running product: magnitudes by logarithms, the sign by the parity of negative factors, zero for good once a factor is zero
     factor = F.col("net") + 1

@@ -136,9 +136,9 @@ def battery_nets(spark: SparkSession, sf: str) -> DataFrame:
     return every.unionByName(row(rev, F.concat(F.lit("H4_reversal/"), "symbol"), 1095))
 
 
-def evaluated(nets: DataFrame, keys: list[str], per_year) -> DataFrame:
-    """Metrics in and out of sample for rows (keys, ts, pos, net)."""
-    return B.metrics(B.split(nets, keys), [*keys, "split"], per_year, "pos").where("sr_pp IS NOT NULL")
+def evaluated(nets: DataFrame, keys: list[str], per_year, every: bool = False) -> DataFrame:
+    """Metrics in and out of sample for rows (keys, ts, pos, net); every: of infinite returns too."""
+    return B.metrics(B.split(nets, keys), [*keys, "split"], per_year, "pos", every).where("sr_pp IS NOT NULL")
 
 
 _PSR = normal_cdf_sql("(sr_pp * sqrt(n - 1) / sqrt(greatest(1e-12, 1 - skew * sr_pp + (kurt - 1) / 4 * sr_pp * sr_pp)))")

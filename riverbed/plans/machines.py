@@ -259,12 +259,12 @@ SELECT symbol, h, fee, n, sharpe_ann, turnover FROM met JOIN kk USING (name) WHE
 def flow_strategy(spark: SparkSession, sf: str) -> DataFrame:
     """The sign of order flow held for h minutes, by fee; a hundredth of the return, so that it compounds."""
     per = W.partitionBy("symbol", "h").orderBy("ts")
-    held = F.last(F.expr("CASE WHEN (rn - 1) % h = 0 THEN coalesce(signum(sig), 0.0D) END"), True).over(per.rowsBetween(W.unboundedPreceding, 0))
+    held = F.last(F.expr("CASE WHEN (rn - 1) % h = 0 THEN coalesce(signum(nanvl(sig, 0.0D)), 0.0D) END"), True).over(per.rowsBetween(W.unboundedPreceding, 0))
     hp = flow_signals(spark, sf).withColumn("pos", held).withColumn("turn", F.abs(F.col("pos") - F.lag(F.col("pos"), 1, 0.0).over(per)))
     fe = hp.withColumn(
         "fee", F.explode(F.array(*[F.lit(x) for x in (0.0, 1.8, 4.5)]))
     ).withColumn("net", F.expr("pos * r1 / 100 - turn * fee / 1e4D")).where("net IS NOT NULL")
-    return evaluated(fe.select("symbol", "h", "fee", "ts", "pos", "net"), ["symbol", "h", "fee"], 525600).where("split = 'oos'")
+    return evaluated(fe.select("symbol", "h", "fee", "ts", "pos", "net"), ["symbol", "h", "fee"], 525600, True).where("split = 'oos'")
 
 
 # ---- timed exposures

@@ -92,7 +92,7 @@ def odd_ticks(path):
     pd.DataFrame(rows, columns=["event_type", "ts", "value", "props", "event_id"]).astype({"ts": "datetime64[us]"}).to_parquet(f"{path}/events.parquet")
 
 
-@pytest.mark.parametrize("name", ["flow_ic"])
+@pytest.mark.parametrize("name", ["flow_ic", "flow_strategy"])
 def test_order_flow_over_prices_and_quantities_of_zero_equals_sql(spark, tmp_path, name):
     odd_ticks(tmp_path)
     con = duckdb.connect()
