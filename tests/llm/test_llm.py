@@ -43,6 +43,25 @@ def test_quality_counts_and_edges(spark):
     assert quality_filter(d.limit(0)).count() == 0
 
 
+def test_quality_filter_leaves_no_texts_on_disk(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from riverbed.llm import quality_rules
+
+    monkeypatch.setattr(quality_rules, "scratch", lambda _: f"file://{tmp_path}/scratch")
+    good, bad = [prose(k, 3000, 100_000) for k in range(40)], "too short"
+    rows = [(k, t, "en", "a", None) for k, t in enumerate(good)]
+    rows += [(3, bad, "en", "a", None), (None, bad, "en", "a", None), (None, good[0], None, "a", None), (None, None, "en", None, None), (5, good[5], "en", "a", None), (50, bad, None, None, None)]
+    d = spark.createDataFrame(rows, ROWS)
+    verdict = {(r["doc_id"], r["n_words"]): r["kept"] for r in quality_rules.quality_verdicts(d).collect()}
+    kept = quality_rules.quality_filter(d)
+    left = sum(p.stat().st_size for p in Path(f"{tmp_path}/scratch").rglob("*.parquet"))
+    assert left < sum(len(t or "") for _, t, *_ in rows) / 5
+    key = lambda r: repr(tuple(r))
+    want = [r for r in rows if verdict[(r[0], len((r[1] or "").split()))]]
+    assert sorted(map(key, kept.collect())) == sorted(map(key, want)) and 40 < len(want) < len(rows)
+
+
 def test_quality_thresholds_of_large_and_small_groups_equal_sql(spark, tmp_path):
     import duckdb
 
